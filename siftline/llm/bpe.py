@@ -4,8 +4,8 @@ Method: the symbols of a pre-token are a doubly linked list; a priority queue ho
 of adjacent pairs, and entries whose symbols have changed since are skipped when they come up.
 Decoding concatenates vocabulary strings and maps their characters back to bytes.
 
-Texts are cut into pre-tokens by the pattern of the vocabulary. Every pre-token is encoded once per
-worker and kept in a table of bounded size (it is emptied when full, which only costs time).
+Texts are cut into pre-tokens by the pattern of the vocabulary. A worker keeps the ids of pre-tokens
+that it has met in a table of bounded size, whose older half is forgotten when it is full.
 
 Cases: null text counts as empty (no ids); empty text has no ids; the strings of special tokens in
 a text become the ids of these tokens, as the vocabulary's own library does; texts of any length are
@@ -33,7 +33,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: A space after a character that is no white space always starts a pre-token, so what stands on
 #: either side of it can be encoded apart.
 _CUT = re.compile(r"(?<=\S) ")
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 300_000
 _workers: dict[str, Encoder] = {}
 
 
@@ -44,6 +44,26 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Table(dict):
+    """Values of ``make(key)``; once ``size`` are new, those not asked for since the last time go."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int = TABLE_ENTRIES):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes and decodes with a vocabulary file's content (JSON text of a byte-level BPE)."""
 
@@ -64,8 +84,8 @@ class Encoder:
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
         self.pattern = regex.compile(SPLIT)
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.tokens: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.tokens = Table(self._token)
+        self.chunks = Table(self._chunk)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The ids that are left when the pair of least rank (leftmost first) is merged until none is."""
@@ -92,33 +112,17 @@ class Encoder:
                 heapq.heappush(queue, (found[0], h, symbols[h], merged, found[1]))
         return [s for s in symbols if s >= 0]
 
+    def _token(self, token: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a pre-token."""
+        return array("I", self.merge([self.of_byte[b] for b in token.encode()])).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a chunk, by its pre-tokens."""
-        known, out = self.tokens, []
-        for token in self.pattern.findall(chunk):
-            ids = known.get(token)
-            if ids is None:
-                if len(known) >= TABLE_ENTRIES:
-                    known.clear()
-                ids = array("I", self.merge([self.of_byte[b] for b in token.encode()])).tobytes()
-                if len(token) <= 64:
-                    known[token] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(chunk)))
 
     def _plain(self, text: str) -> bytes:
         first, *rest = _CUT.split(text)
-        known, out = self.chunks, []
-        for chunk in (first, *(f" {x}" for x in rest)):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(known) >= TABLE_ENTRIES:
-                        known.clear()
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        chunks = self.chunks
+        return chunks[first] + b"".join([chunks[" " + x] for x in rest])
 
     def encode(self, text: str | None) -> array:
         if not text:
@@ -137,11 +141,11 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encoder_of(content: str) -> Encoder:
-    """One encoder for each vocabulary and worker."""
-    key = hashlib.md5(content.encode(), usedforsecurity=False).hexdigest()
+def encoder_of(content: str, kind: type[Encoder] = Encoder) -> Encoder:
+    """One encoder for each vocabulary, kind and worker."""
+    key = f"{kind.__name__} {hashlib.md5(content.encode(), usedforsecurity=False).hexdigest()}"
     if key not in _workers:
-        _workers[key] = Encoder(content)
+        _workers[key] = kind(content)
     return _workers[key]
 
 
@@ -150,7 +154,7 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def map_texts(docs: DataFrame, vocabulary: str, text_col: str, keep: list[str], schema: str, make: Callable[[Encoder, list[str | None], pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def map_texts(docs: DataFrame, vocabulary: str, text_col: str, keep: list[str], schema: str, make: Callable[[Encoder, list[str | None], pa.RecordBatch], pa.RecordBatch], kind: type[Encoder] = Encoder) -> DataFrame:
     """Runs ``make`` on Arrow batches with the worker's encoder. The vocabulary (a fixed file of one
     or two MB) is broadcast; nothing is shuffled."""
     spark = docs.sparkSession
@@ -158,7 +162,7 @@ def map_texts(docs: DataFrame, vocabulary: str, text_col: str, keep: list[str],
     content = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(content.value)
+        encoder = encoder_of(content.value, kind)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

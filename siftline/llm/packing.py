@@ -5,6 +5,9 @@ Method: power-of-two decomposition. A document's ids (with one end id) are cut i
 form, longest first. Each piece is a sequence of its own; sequences of equal length form a bucket,
 from which batches of one shape are drawn, so no sequence crosses documents and none is padded.
 
+Ids come from a native encoder built from the same vocabulary file, asked once for each stretch of
+text between spaces that a worker has not met lately.
+
 Nothing is shuffled: pieces come from the task that encodes their document. ``sequence_id`` is the
 task's number and a counter in it, which a rerun of a lost task gives again. Memory: one batch of
 documents.
@@ -16,16 +19,30 @@ repeated documents are packed again with sequences of their own.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from siftline.llm.bpe import map_texts
+from siftline.llm.bpe import SPLIT, Encoder, map_texts
 
 LIMIT = 1024
 END_ID = 0
 
 
+class NativeEncoder(Encoder):
+    """An encoder whose merges run in native code: a merge's rank is the order of its result's id."""
+
+    def __init__(self, content: str):
+        super().__init__(content)
+        ranks = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
+        self.native = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def _chunk(self, chunk: str) -> bytes:
+        return array("I", self.native.encode_ordinary(chunk)).tobytes()
+
+
 def lengths_of(n: int, limit: int) -> list[int]:
     """``limit`` as often as it goes, then the binary form of what is left."""
     return [limit] * (n // limit) + [1 << b for b in range(limit.bit_length() - 1, -1, -1) if (n % limit) >> b & 1]
@@ -62,7 +79,7 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END
         return pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
-    out = map_texts(docs, vocabulary, text_col, [id_col], schema, make)
+    out = map_texts(docs, vocabulary, text_col, [id_col], schema, make, NativeEncoder)
     return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
