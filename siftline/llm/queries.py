@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import bpe, jaccard, packing, secrets
+from siftline.llm import ann, bitslice, bpe, jaccard, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark, sf_dir):
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -31,5 +35,17 @@ def op9_bpe(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_jaccard, op7_secrets, op9_bpe)}
-SQL: dict[str, str] = {}
+def op10_topk(spark, sf_dir):
+    return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op5_jaccard, op7_secrets, op9_bpe, op10_topk)}
+SQL: dict[str, str] = {
+    "op10_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), i -> q.x[i] * r.x[i])) AS BIGINT) AS score
+              FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.x) = len(r.x) WHERE q.vec_id % 50 = 0),
+        o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5""",
+}
