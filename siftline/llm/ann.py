@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.llm.bitslice import finite, ranked
 from siftline.session import ship
 
-SAMPLE, MAX_LISTS, PROBE_SHARE, LEAST_PROBES, BLOCK, GROUP = 16384, 256, 0.25, 8, 8192, 512
+SAMPLE, MAX_LISTS, PROBE_SHARE, LEAST_PROBES, BLOCK, GROUP = 16384, 256, 0.6, 32, 8192, 512
 EPS, STEP, FIRST = 2.1, 16, 64
 
 

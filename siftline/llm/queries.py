@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import ann, bitslice, bpe, jaccard, packing, secrets
+from siftline.llm import ann, bitslice, bpe, jaccard, langid, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op4_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out("doc_id", 4, 2)
+    profiles = langid.learn(docs.where(~out))
+    found = langid.predict(docs, profiles, keep=["doc_id"])
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_jaccard(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -39,7 +47,7 @@ def op10_topk(spark, sf_dir):
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op5_jaccard, op7_secrets, op9_bpe, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op4_langid, op5_jaccard, op7_secrets, op9_bpe, op10_topk)}
 SQL: dict[str, str] = {
     "op10_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
