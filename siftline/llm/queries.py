@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import ann, bitslice, bpe, jaccard, langid, packing, secrets
+from siftline.llm import ann, bitslice, bpe, ctw, jaccard, langid, packing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op7_secrets(spark, sf_dir):
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(secrets.named(base), 256).alias("base_sha256"), secrets.named(F.col("spans")).alias("spans"))
 
 
+def op8_ctw(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = ctw.score(docs, ~langid.held_out("doc_id", 7, 2))
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,7 +53,7 @@ def op10_topk(spark, sf_dir):
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op4_langid, op5_jaccard, op7_secrets, op9_bpe, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op4_langid, op5_jaccard, op7_secrets, op8_ctw, op9_bpe, op10_topk)}
 SQL: dict[str, str] = {
     "op10_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
