@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
@@ -68,13 +69,13 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END
                 length.append(size)
                 crc.append(zlib.crc32(piece))
                 total.append(n)
-                if with_ids:
-                    ids.append(piece.cast("I").tolist())
                 pos += size
+            ids.append(own)
         columns = [batch.column(1).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
         if with_ids:
-            columns.append(pa.array(ids, pa.list_(pa.int32())))
+            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32))))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 

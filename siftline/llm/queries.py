@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import ann, bitslice, bpe, ctw, jaccard, langid, packing, secrets
+from siftline.llm import ann, bitslice, bpe, chat, ctw, jaccard, langid, packing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op3_chat(spark, sf_dir):
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op4_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out("doc_id", 4, 2)
@@ -32,6 +36,10 @@ def op5_jaccard(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op7_secrets(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -53,8 +61,19 @@ def op10_topk(spark, sf_dir):
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op4_langid, op5_jaccard, op7_secrets, op8_ctw, op9_bpe, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op3_chat, op4_langid, op5_jaccard, op6_quality, op7_secrets, op8_ctw, op9_bpe, op10_topk)}
 SQL: dict[str, str] = {
+    "op3_chat": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+        i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS idx,
+                     count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+        p AS (SELECT *, string_agg(coalesce('r' || role, '-') || chr(1) || coalesce('t' || text, '-') || chr(2), '') OVER
+                     (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix FROM i),
+        w AS (SELECT n, prefix, min(conv_id) AS conv_id, count(*) AS n_logged FROM p WHERE idx = n GROUP BY n, prefix),
+        k AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.idx < p.n AND p.idx = w.n AND p.prefix = w.prefix))
+        SELECT k.conv_id, k.n AS n_turns, k.n_logged,
+               string_agg('<|im_start|>' || coalesce(i.role, '') || chr(10) || coalesce(i.text, '') || '<|im_end|>' || chr(10), '' ORDER BY i.idx) AS chat
+        FROM k JOIN i ON i.conv_id = k.conv_id GROUP BY k.conv_id, k.n, k.n_logged""",
     "op10_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),

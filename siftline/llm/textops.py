@@ -53,11 +53,11 @@ def slices(batch: pa.RecordBatch, column: int = 0, limit: int = 2 << 20) -> Iter
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (A-Z lower-cased, split at ASCII white space) and their rows."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased, split at the bytes ``between``) and their rows."""
     if not len(data):
         return np.zeros(0, U), np.zeros(0, np.int64)
-    solid = ~SPACE[data]
+    solid = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
