@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from siftline.plans import clusters, groups, joins, metrics, scalars, scorer, shared_passages, windows  # noqa: F401  (they register queries)
+from siftline.registry import QUERIES, SQL  # noqa: F401
+
+flagship = shared_passages.peaks_shared_passages
