@@ -102,7 +102,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = vectors.where(finite(x) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long")).alias("v"), is_query.alias("q")).dropDuplicates(["id", "v"])
     n, nq = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     blocks, groups = max(1, -(-n // block)), max(1, -(-nq // group))
-    rb, qb = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups))
+    # both sides' keys must be of one type: equal values of different types are dealt to different tasks
+    rb, qb = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups)).cast("int")
     dim = F.size("v").alias("dim")
     left = rows.select("id", "v", dim, rb.alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qb"))
     right = rows.where("q").select("id", "v", dim, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"), qb.alias("qb"))
