@@ -164,11 +164,11 @@ def tree(string: np.ndarray, n: np.ndarray, depth: int) -> dict[int, tuple[np.nd
     return nodes
 
 
-def _top(sums: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _top(sums: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Of each node of depth 1 [byte, decisions]: the part of P(1) that depths 0 and 1 give, and the weight left for longer contexts."""
     zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
     at = sums["byte"].to_numpy(), sums["decisions"].to_numpy()
-    zeros[at], ones[at], below[at] = sums["zeros"], sums["ones"], sums["log_p"]
+    zeros[at], ones[at], below[at] = (sums[c].to_numpy() for c in ("zeros", "ones", "log_p"))
     own = log_kt(zeros, ones)
     both = np.logaddexp(HALF + own, HALF + below)
     weight = np.exp(HALF + own - both)
@@ -228,7 +228,7 @@ def model(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         key, zeros, ones, both = _summed(key & 0xFFFF, zeros, ones, both)
         return pd.DataFrame({"byte": key >> 8, "decisions": key & 255, "zeros": zeros, "ones": ones, "log_p": both})
 
-    sums = dealt.applyInPandas(upper, "byte bigint, decisions bigint, zeros double, ones double, log_p double").groupBy("byte", "decisions").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_p")]).toPandas()
+    sums = dealt.applyInPandas(upper, "byte bigint, decisions bigint, zeros double, ones double, log_p double").groupBy("byte", "decisions").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_p")]).toArrow()
     top = spark.sparkContext.broadcast(_top(sums))
 
     def lower(x: pd.DataFrame) -> pd.DataFrame:
@@ -270,6 +270,18 @@ class Lookup:
         return out
 
 
+def _least_count(tokens: DataFrame, most: int) -> int:
+    """A count that at most ``most`` words reach, from a histogram in eighths of powers of two."""
+    rows = tokens.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("b")).collect()  # at most 512
+    held, least = 0, 1 << 62
+    for r in rows:
+        held += r.words
+        if held > most:
+            break
+        least = r.n
+    return least
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, held_rows: int = HELD_ROWS) -> DataFrame:
     """id_col, training, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length)."""
     spark = docs.sparkSession
@@ -278,14 +290,14 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     tokens = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
     total, distinct, ends = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("key"), F.coalesce(F.max(F.when(F.col("key") == END, F.col("n"))), F.lit(0))).first()
     below = math.log10(total + distinct + 1)
-    common = tokens.orderBy(F.desc("n"), "key").limit(frequent).toPandas()
-    known = spark.sparkContext.broadcast(Lookup(common["key"].to_numpy(np.int64), common["n"].to_numpy(np.float64)))
+    common = tokens.where(F.col("n") >= _least_count(tokens, frequent)).toArrow()
+    known = spark.sparkContext.broadcast(Lookup(common["key"].to_numpy(), common["n"].to_numpy().astype(np.float64)))
     rates = cut(model(counts, depth), "model")
     fits = rates.count() <= held_rows
     table = None
     if fits:
-        rows = rates.toPandas()
-        table = spark.sparkContext.broadcast(Lookup(rows["key"].to_numpy(np.int64), rows["log_p"].to_numpy()))
+        rows = rates.toArrow()
+        table = spark.sparkContext.broadcast(Lookup(rows["key"].to_numpy(), rows["log_p"].to_numpy()))
 
     kind = dict(docs.dtypes)[id_col]
     numbered = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("__id"), training.alias("train"), F.monotonically_increasing_id().alias("row"))

@@ -193,9 +193,9 @@ def _points(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, de
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
     """node and set (bytes of its sorted hashes) of the texts whose node is in ``wanted`` (node, cell), with the cell."""
     prefix = F.shiftrightunsigned("node", 64 - BITS)
-    rows = wanted.groupBy(F.shiftright(prefix, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - BITS}) & 63 as int))")).alias("bits")).toPandas()
+    rows = wanted.groupBy(F.shiftright(prefix, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(1 << (BITS - 6), U)
-    table[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(U)
+    table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(U)
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
