@@ -4,8 +4,9 @@ Method: unit vectors are dealt to the lists of an inverted file (centroids fitte
 sample; every row is indexed). All vectors are turned by one random rotation, so that any leading
 block of dimensions is a fair sample of a distance. A query scans its probed lists in blocks of
 dimensions: after d of D dimensions, a candidate whose partial squared distance p fails the test
-sqrt(p D / d) <= (1 + EPS / sqrt(d)) r is abandoned, r being the query's k-th smallest distance in
-the scan so far. Survivors are scored on the original vectors in double precision.
+sqrt(p D / d) <= (1 + EPS / sqrt(d)) r is abandoned, r being the query's k-th smallest distance so
+far. The ``SEED`` nearest lists are scanned first; what they give is the r with which the other
+probed lists begin. Survivors are scored on the original vectors in double precision.
 
 A list longer than ``block`` rows is split, and a list's queries too, so a task holds one block of
 one list for one group of queries, whatever the sizes of lists. Passed on: k rows a query and task.
@@ -24,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.llm.bitslice import finite, ranked
-from siftline.session import ship
+from siftline.session import cut, ship
 
 SAMPLE, MAX_LISTS, PROBE_SHARE, LEAST_PROBES, BLOCK, GROUP = 16384, 256, 0.6, 32, 8192, 512
-EPS, STEP, FIRST = 2.1, 16, 64
+EPS, STEP, FIRST, CHUNK, SEED = 2.1, 16, 64, 1024, 4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -54,33 +55,33 @@ def fit(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> tuple[np.n
     return rotation, centroids
 
 
-def scan(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Rows of ``x`` (rotated unit vectors) that the tests have not abandoned for query ``q``."""
-    dims, kept, best = x.shape[1], [], np.zeros(0)
-    at, size = 0, FIRST
+def scan(q: np.ndarray, x: np.ndarray, k: int, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs that the tests have not abandoned, of rotated unit vectors ``q`` and ``x``.
+    ``r2``: squared distances beyond which a query needs nothing (inf: not known yet)."""
+    dims, found, r2 = x.shape[1], [], r2.copy()
+    at, size = 0, FIRST if np.isinf(r2).any() else CHUNK
     while at < len(x):
-        alive = np.arange(at, min(at + size, len(x)))
-        at, size = at + size, 1024
-        partial = np.zeros(len(alive))
-        r2 = best[k - 1] if len(best) >= k else np.inf
+        rows = np.arange(at, min(at + size, len(x)))
+        at, size = at + size, CHUNK
+        partial, alive = np.zeros((len(q), len(rows))), np.ones((len(q), len(rows)), bool)
         for d in range(0, dims, STEP):
-            diff = x[alive, d : d + STEP] - q[d : d + STEP]
-            partial += np.einsum("ij,ij->i", diff, diff)
+            a, b = q[:, d : d + STEP], x[rows, d : d + STEP]
+            partial += (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
             done = min(d + STEP, dims)
-            if r2 < np.inf:
-                bound = r2 * (1 + (EPS / np.sqrt(done) if done < dims else 1e-9)) ** 2 * done / dims + 1e-12
-                keep = partial <= bound
-                if not keep.all():
-                    alive, partial = alive[keep], partial[keep]
-                    if not len(alive):
-                        break
-        kept.append(alive)
-        best = np.sort(np.concatenate([best, partial]))[:k]
-    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            bound = r2 * (1 + (EPS / np.sqrt(done) if done < dims else 1e-9)) ** 2 * done / dims + 1e-12
+            alive &= partial <= bound[:, None]
+            some = alive.any(0)
+            if not some.all():  # rows that every query has abandoned go
+                rows, partial, alive = rows[some], partial[:, some], alive[:, some]
+        i, j = np.nonzero(alive)
+        found.append((i, rows[j]))
+        if len(rows) >= k:
+            r2 = np.minimum(r2, np.partition(np.where(alive, partial, np.inf), k - 1, axis=1)[:, k - 1])
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def _indexed(rows: DataFrame, rotation: np.ndarray, centroids: np.ndarray, probes: int) -> DataFrame:
-    """(id, v, list): each row with the ``probes`` nearest lists."""
+    """(id, v, list, place): each row with the ``probes`` nearest lists, nearest first."""
     held = rows.sparkSession.sparkContext.broadcast((rotation, centroids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,10 +92,10 @@ def _indexed(rows: DataFrame, rotation: np.ndarray, centroids: np.ndarray, probe
             x = unit(np.stack(batch["v"].to_list())) @ rotation
             near = (centroids * centroids).sum(1) - 2 * x @ centroids.T
             lists = np.argsort(near, 1, kind="stable")[:, :probes]
-            out = batch.loc[batch.index.repeat(lists.shape[1])].assign(list=lists.ravel())
-            yield out[["id", "v", "list"]]
+            out = batch.loc[batch.index.repeat(lists.shape[1])].assign(list=lists.ravel(), place=np.tile(np.arange(lists.shape[1]), len(batch)))
+            yield out[["id", "v", "list", "place"]]
 
-    return rows.select("id", "v").mapInPandas(run, "id bigint, v array<double>, list bigint")
+    return rows.select("id", "v").mapInPandas(run, "id bigint, v array<double>, list bigint, place bigint")
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", probe_share: float = PROBE_SHARE, sample: int = SAMPLE, lists: int | None = None, block: int = BLOCK, group: int = GROUP) -> DataFrame:
@@ -110,7 +111,11 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
         chosen = own.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(min(sample, SAMPLE)).toPandas()
         rotation, centroids = fit(np.stack(chosen["v"].to_list()), lists or min(MAX_LISTS, int(np.ceil(np.sqrt(n)))))
         probes = min(len(centroids), max(LEAST_PROBES, int(np.ceil(probe_share * len(centroids)))))
-        part = _searched(_indexed(own, rotation, centroids, 1), _indexed(own.where("q"), rotation, centroids, probes), rotation, k, block, group)
+        index, asked = _indexed(own, rotation, centroids, 1).drop("place"), _indexed(own.where("q"), rotation, centroids, probes)
+        near = cut(_searched(index, asked.where(F.col("place") < SEED).withColumn("r2", F.lit(float("inf"))), rotation, k, block, group), "near")
+        reach = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.greatest(2 - 2 * F.col("score"), F.lit(0.0)).alias("r2"))
+        rest = asked.where(F.col("place") >= SEED).join(reach, "id", "left").withColumn("r2", F.coalesce("r2", F.lit(float("inf"))))
+        part = near.unionByName(_searched(index, rest, rotation, k, block, group))
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "query_id bigint, id bigint, score double")
@@ -126,22 +131,23 @@ def _searched(rows: DataFrame, queries: DataFrame, rotation: np.ndarray, k: int,
     grid = F.broadcast(sizes.join(asked, "list"))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = rows.join(grid, "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("rb"), upto("groups").alias("qb"))
-    right = queries.join(grid, "list").select("id", "v", "list", upto("blocks").alias("rb"), F.pmod(F.xxhash64("id"), F.col("groups")).alias("qb"))
+    right = queries.join(grid, "list").select("id", "v", "list", "r2", upto("blocks").alias("rb"), F.pmod(F.xxhash64("id"), F.col("groups")).alias("qb"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            ids, own = a["id"].to_numpy(), np.stack(a["v"].to_list())
-            turned = unit(own) @ held.value
-            length = np.sqrt((own * own).sum(1))
-            asked = np.stack(b["v"].to_list())
-            for query, q, t in zip(b["id"].to_numpy(), asked, unit(asked) @ held.value):
-                rows = scan(t, turned, k + 1)
-                rows = rows[ids[rows] != query]
-                score = own[rows] @ q / (length[rows] * np.sqrt(q @ q))
-                best = np.lexsort((ids[rows], -score))[:k]
-                out.append(pd.DataFrame({"query_id": query, "id": ids[rows][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        ids, own = a["id"].to_numpy(), np.stack(a["v"].to_list())
+        query, asked = b["id"].to_numpy(), np.stack(b["v"].to_list())
+        i, j = scan(unit(asked) @ held.value, unit(own) @ held.value, k + 1, b["r2"].to_numpy(float))
+        other = ids[j] != query[i]
+        i, j = i[other], j[other]
+        length = lambda x: np.sqrt((x * x).sum(1))
+        score = np.einsum("ij,ij->i", own[j], asked[i]) / (length(own)[j] * length(asked)[i])
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.searchsorted(i, i)  # where a query's pairs begin
+        top = np.arange(len(i)) - first < k
+        return pd.DataFrame({"query_id": query[i][top], "id": ids[j][top], "score": score[top]})
 
     keys = ["list", "rb", "qb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id bigint, id bigint, score double")

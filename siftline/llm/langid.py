@@ -30,6 +30,7 @@ from siftline.llm.textops import slices
 from siftline.session import ship
 
 TOP = 300
+PART = 1 << 19  # bytes of text whose n-grams are held at once
 UND = "und"
 _letters: list[np.ndarray] = []
 
@@ -83,7 +84,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top:
             return gram, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, 0, PART):
                 gram, row = grams(data, offsets)
                 lang = np.array(rows.column(1).to_pylist(), object)
                 for name in set(lang):
@@ -113,12 +114,13 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
         ranks[np.searchsorted(vocabulary, profiles[name]), j] = np.arange(len(profiles[name]))
     held = spark.sparkContext.broadcast((names, vocabulary, ranks))
     kept = docs.columns if keep is None else keep
+    place_of_text = kept.index(text_col) if text_col in kept else len(kept)
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vocabulary, ranks = held.value
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, place_of_text, PART):
                 gram, row = grams(data, offsets)
                 order = np.argsort(row, kind="stable")
                 gram, at = gram[order], np.searchsorted(row[order], np.arange(rows.num_rows + 1))
@@ -130,16 +132,16 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
                         continue
                     own = top_grams(gram[a:b], top)
                     place = np.searchsorted(vocabulary, own)
-                    place[(place == len(vocabulary)) | (vocabulary[np.minimum(place, len(vocabulary) - 1)] != own)] = len(vocabulary)
+                    place[vocabulary[np.minimum(place, len(vocabulary) - 1)] != own] = len(vocabulary)
                     found = ranks[place]
                     away = np.where(found < 0, top, np.abs(found - np.arange(len(own))[:, None])).sum(0)
                     best = int(away.argmin())
                     lang.append(names[best])
                     score.append(1 - away[best] / (top * len(own)))
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "lang_pred string, score double"])
-    return docs.select(F.col(text_col).alias("__text"), *kept).mapInArrow(run, schema)
+    return docs.select(*kept, *[text_col] * (text_col not in kept)).mapInArrow(run, schema)
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

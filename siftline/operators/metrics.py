@@ -55,22 +55,22 @@ def expected_ranks(df: DataFrame, by: str, score: str, gold: Column, ks: list[in
 
 
 def draws(n_boot: int, units: DataFrame, key: str, seed: int, by: list[str] | None = None) -> DataFrame:
-    """by, b, key, times: how often each unit is drawn in each of n_boot resamples of as many units
+    """by, __b, key, times: how often each unit is drawn in each of n_boot resamples of as many units
     with replacement. A draw is md5 of (b, place) scaled to the unit's number, so any engine repeats it."""
     by = by or []
     place = Window.partitionBy(*by).orderBy(key)
     numbered = units.select(*by, key).distinct().withColumn("__i", F.row_number().over(place) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    slots = numbered.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    pick = F.floor(hash_uniform("b", "__i", *by, salt=str(seed)) * F.col("__n"))
-    drawn = slots.select(*by, "b", pick.cast("int").alias("__i")).groupBy(*by, "b", "__i").agg(F.count(F.lit(1)).alias("times"))
-    return drawn.join(numbered.drop("__n"), [*by, "__i"]).select(*by, "b", key, "times")
+    slots = numbered.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    pick = F.floor(hash_uniform("__b", "__i", *by, salt=str(seed)) * F.col("__n"))
+    drawn = slots.select(*by, "__b", pick.cast("int").alias("__i")).groupBy(*by, "__b", "__i").agg(F.count(F.lit(1)).alias("times"))
+    return drawn.join(numbered.drop("__n"), [*by, "__i"]).select(*by, "__b", key, "times")
 
 
 def bootstrap_ratio(facts: DataFrame, unit: str, num: Column, den: Column, n_boot: int = 200, seed: int = 0, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """sum(num) / sum(den) with a percentile interval from resampling whole units (clusters)."""
     by = by or []
     sums = facts.groupBy(*by, unit).agg(F.sum(num).cast("double").alias("num"), F.sum(den).cast("double").alias("den"))
-    per = draws(n_boot, sums, unit, seed, by).join(sums, [*by, unit]).groupBy(*by, "b").agg((F.sum(F.col("num") * F.col("times")) / F.sum(F.col("den") * F.col("times"))).alias("ratio"))
+    per = draws(n_boot, sums, unit, seed, by).join(sums, [*by, unit]).groupBy(*by, "__b").agg((F.sum(F.col("num") * F.col("times")) / F.sum(F.col("den") * F.col("times"))).alias("ratio"))
     ci = per.groupBy(*by).agg(F.percentile("ratio", F.lit([alpha / 2, 1 - alpha / 2])).alias("ci"))
     point = sums.groupBy(*by).agg((F.sum("num") / F.sum("den")).alias("ratio"), F.count(F.lit(1)).alias("n_units"))
     joined = point.join(ci, by) if by else point.crossJoin(ci)
@@ -225,3 +225,94 @@ def mean_difference(df: DataFrame, unit: str, a: str, b: str, n_boot: int = 200,
     """Paired mean difference with a percentile interval from resampling units."""
     return bootstrap_ratio(df, unit, F.col(a) - F.col(b), F.lit(1), n_boot, seed).withColumnRenamed("ratio", "delta")
 
+
+
+def nested_bootstrap(draws_table: DataFrame, unit: str, draw: str, num: str, den: str, n_inner: int, n_boot: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """ratio, lo, hi: units are resampled, and each drawn unit takes one of its n_inner scored draws
+    (unit, draw 0 .. n_inner - 1, num, den)."""
+    outer = draws(n_boot, draws_table.select(unit), unit, seed)
+    copies = outer.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    inner = copies.withColumn(draw, F.floor(hash_uniform("__b", unit, "copy", salt=f"inner{seed}") * n_inner).cast("int"))
+    per = inner.join(draws_table.withColumn(draw, F.col(draw).cast("int")), [unit, draw]).groupBy("__b").agg((F.sum(num) / F.sum(den)).alias("r"))
+    point = draws_table.agg((F.sum(num) / F.sum(den)).alias("ratio"))
+    ci = per.agg(F.percentile("r", F.lit([alpha / 2, 1 - alpha / 2])).alias("ci"))
+    return point.crossJoin(ci).select("ratio", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
+
+
+def auroc_delta(scores: DataFrame, by: list[str], unit: str, a: str, b: str, positive: str, n_boot: int = 200, seed: int = 0) -> DataFrame:
+    """by, delta (AUROC of a minus that of b on the same units), lo, hi: positives and negatives are
+    resampled apart, both models on the same draw."""
+    weight = draws(n_boot, scores.select(*by, positive, unit), unit, seed, [*by, positive])
+    drawn = weight.join(scores, [*by, positive, unit])
+
+    def rate(score: str) -> DataFrame:
+        counts = drawn.groupBy(*by, "__b", score).agg(F.sum(F.when(F.col(positive), F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col("times"))).alias("n"))
+        below = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        won = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy(*by, "__b").agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+        return won.select(*by, "__b", F.try_divide(F.col("w"), F.col("p").cast("double") * F.col("n")).alias(f"auc_{score}"))
+
+    per = rate(a).join(rate(b), [*by, "__b"]).groupBy(*by).agg(F.percentile(F.col(f"auc_{a}") - F.col(f"auc_{b}"), F.lit([0.025, 0.975])).alias("ci"))
+    point = auroc(scores, by, a, F.col(positive)).withColumnRenamed("auroc", "x").join(auroc(scores, by, b, F.col(positive)).select(*by, F.col("auroc").alias("y")), by)
+    return point.join(per, by).select(*by, (F.col("x") - F.col("y")).alias("delta"), F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
+
+
+def decision_gate(a: DataFrame, b: DataFrame, unit: str, hit: str, least_shared: int = 20, cutoff: float = 0.5) -> DataFrame:
+    """One row: shared units, rates, discordant counts, and which of two detectors fires less (locked:
+    the interval of the paired difference leaves out 0 and not both rates are high)."""
+    both = a.select(unit, F.col(hit).cast("double").alias("x")).join(b.select(unit, F.col(hit).cast("double").alias("y")), unit)
+    facts = both.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("rate_a"), F.avg("y").alias("rate_b"), F.count_if("x > y").alias("only_a"), F.count_if("y > x").alias("only_b"))
+    delta = mean_difference(both, unit, "x", "y").select("delta", "lo", "hi")
+    out = facts.crossJoin(delta)
+    why = F.when(F.col("n") < least_shared, "too_few_shared").when((F.col("rate_a") > cutoff) & (F.col("rate_b") > cutoff), "both_high").when((F.col("lo") <= 0) & (F.col("hi") >= 0), "undecided").when(F.col("delta") > 0, "b_lower").otherwise("a_lower")
+    return out.withColumn("verdict", why).withColumn("locked", F.col("verdict").isin("a_lower", "b_lower"))
+
+
+def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Spearman's coefficient, with mean ranks for ties. One global order: for summary tables."""
+    mean_rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(mean_rank(x).alias("rx"), mean_rank(y).alias("ry"))
+    return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
+def two_samples(df: DataFrame, x: str, first: Column) -> DataFrame:
+    """Kolmogorov-Smirnov statistic and Mann-Whitney U of two samples, from counts per distinct value."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
+    upto = Window.orderBy(x)
+    all_ = Window.partitionBy()
+    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(all_) - F.sum("b").over(upto) / F.sum("b").over(all_))
+    below = F.sum("b").over(upto) - F.col("b")
+    return counts.select(gap.alias("gap"), (F.col("a") * (below + F.col("b") / 2)).alias("u")).agg(F.max("gap").alias("ks"), F.sum("u").alias("u"))
+
+
+def cross_validated_auroc(df: DataFrame, key: str, features: list[str], positive: str, folds: int = 5, seed: int = 0) -> DataFrame:
+    """fold, n_pos, n_neg, auroc of held-out logistic scores; folds are hashes of ``key``; one-class folds are null."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = df.withColumn("label", F.col(positive).cast("double")).withColumn("fold", F.floor(hash_uniform(key, salt=str(seed)) * folds).cast("int")).na.drop(subset=[*features, "label"])
+    steps = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(regParam=0.01)])
+    out = None
+    for fold in range(folds):
+        train = rows.where(F.col("fold") != fold)
+        if train.select("label").distinct().count() < 2:
+            continue
+        scored = steps.fit(train).transform(rows.where(F.col("fold") == fold)).select("fold", "label", vector_to_array("probability")[1].alias("score"))
+        part = auroc(scored, ["fold"], "score", F.col("label") == 1)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else df.sparkSession.createDataFrame([], "fold int, n_pos bigint, n_neg bigint, auroc double")
+
+
+def coherence_permutation(hits: DataFrame, bag: str, site: str, key: str, n_perm: int, seed: int = 0) -> DataFrame:
+    """perm, s, n: how many (bag, key) have hits in at least s sites, for the real bags (perm 0) and
+    for sites dealt anew to bags of the same sizes in hash order."""
+    sites = hits.select(bag, site).distinct()
+    slots = sites.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(bag, site)))
+    perms = sites.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    dealt = perms.withColumn("__k", F.row_number().over(Window.partitionBy("perm").orderBy(hash_uniform("perm", bag, site, salt=str(seed)), bag, site)))
+    moved = dealt.join(slots.select("__k", F.col(bag).alias("__to")), "__k").select("perm", bag, site, "__to")
+    every = hits.join(moved, [bag, site]).select("perm", F.col("__to").alias("g"), F.concat_ws("|", bag, site).alias("s"), key).unionByName(hits.select(F.lit(0).alias("perm"), F.col(bag).alias("g"), F.concat_ws("|", bag, site).alias("s"), key))
+    support = every.groupBy("perm", "g", key).agg(F.countDistinct("s").alias("support"))
+    steps = support.withColumn("s", F.explode(F.sequence(F.lit(1).cast("long"), F.least("support", F.lit(5)))))
+    return steps.groupBy("perm", "s").agg(F.count(F.lit(1)).alias("n"))

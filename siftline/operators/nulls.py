@@ -129,3 +129,57 @@ def mismatch_classes(spark, length: int, n_mm: int) -> DataFrame:
 
     rows = [(i, list(c)) for i, c in enumerate(combinations(range(length), n_mm))]
     return spark.createDataFrame(rows, "class int, positions array<int>")
+
+
+def counterfactual(df: DataFrame, key: str, kind: str, nc: str, flank: str, lo: str, length: str, seed: int = 0) -> DataFrame:
+    """A negative made from each row by one named change: orientation (the target is reverse-complemented
+    in place), position (the flank is rotated by 1 to its length - 1), or target (its letters in reverse)."""
+    from siftline.functions.seq import revcomp, slice_at
+
+    n = F.length(flank)
+    target = slice_at(flank, F.col(lo), F.col(length))
+    put = lambda new: F.concat(slice_at(flank, 0, F.col(lo)), new, F.substring(F.col(flank), F.col(lo) + F.col(length) + 1, n))
+    turn = (F.lit(1) + F.floor(hash_uniform(key, salt=str(seed)) * (n - 1))).cast("int")
+    made = {"orientation": put(revcomp(target)), "position": F.concat(F.substring(F.col(flank), turn + 1, n), slice_at(flank, 0, turn)), "target": put(F.reverse(target))}
+    return df.withColumn(flank, made[kind]).withColumn("negative_mode", F.lit(kind))
+
+
+def broken_invariants(positive: DataFrame, negative: DataFrame, key: str, same: list[str], lengths: list[str]) -> DataFrame:
+    """key, problem: where a negative changes what its kind must not change, or a length."""
+    a = positive.select(key, *[F.col(c).alias(f"__{c}") for c in {*same, *lengths}])
+    both = negative.join(a, key, "left")
+    tests = [F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), f"changed:{c}") for c in same] + [F.when(F.length(c) != F.length(f"__{c}"), f"length:{c}") for c in lengths]
+    return both.select(key, F.explode(F.array_compact(F.array(*tests))).alias("problem"))
+
+
+def target_matches(rates: DataFrame, length: str, m: str, rate: str, wanted: float, floor: float) -> DataFrame:
+    """length, m: the number of matches whose rate is nearest (in ratio) to the wanted one among rates
+    of at least ``floor``; without any, the one of the highest rate."""
+    off = F.abs(F.log(F.col(rate) / wanted))
+    return rates.groupBy(length).agg(F.coalesce(F.min_by(F.when(F.col(rate) >= floor, F.col(m)), F.when(F.col(rate) >= floor, F.struct(off, F.col(m)))), F.max_by(m, F.struct(rate, -F.col(m)))).alias(m))
+
+
+def synthetic_bags(spark, n_bags: int, n_sites: int, nc_length: int, flank_length: int, target_length: int, mismatches: int, seed: int = 0) -> DataFrame:
+    """bag_id, site_ord, nc, flank, planted, target_at: bags whose sites carry a copy of one nc window at
+    a flank position of their own, with some letters changed. Letters and places are hashes of their
+    coordinates, so a bag is the same however the range is dealt out."""
+    ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for bag in batch["id"]:
+                draw = _random(seed, bag)
+                nc = "".join(draw.choices("ACGT", k=nc_length))
+                planted = draw.randrange(nc_length - target_length + 1)
+                for site in range(n_sites):
+                    flank = draw.choices("ACGT", k=flank_length)
+                    at = draw.randrange(flank_length - target_length + 1)
+                    copy = list(nc[planted : planted + target_length])
+                    for i in draw.sample(range(target_length), mismatches):
+                        copy[i] = draw.choice([c for c in "ACGT" if c != copy[i]])
+                    flank[at : at + target_length] = copy
+                    out.append((f"bag{bag}", site, nc, "".join(flank), planted, at))
+            yield pd.DataFrame(out, columns=["bag_id", "site_ord", "nc", "flank", "planted", "target_at"])
+
+    return spark.range(n_bags).mapInPandas(run, "bag_id string, site_ord int, nc string, flank string, planted int, target_at int")
