@@ -260,7 +260,7 @@ def decision_gate(a: DataFrame, b: DataFrame, unit: str, hit: str, least_shared:
     """One row: shared units, rates, discordant counts, and which of two detectors fires less (locked:
     the interval of the paired difference leaves out 0 and not both rates are high)."""
     both = a.select(unit, F.col(hit).cast("double").alias("x")).join(b.select(unit, F.col(hit).cast("double").alias("y")), unit)
-    facts = both.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("rate_a"), F.avg("y").alias("rate_b"), F.count_if("x > y").alias("only_a"), F.count_if("y > x").alias("only_b"))
+    facts = both.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("rate_a"), F.avg("y").alias("rate_b"), F.count_if(F.col("x") > F.col("y")).alias("only_a"), F.count_if(F.col("y") > F.col("x")).alias("only_b"))
     delta = mean_difference(both, unit, "x", "y").select("delta", "lo", "hi")
     out = facts.crossJoin(delta)
     why = F.when(F.col("n") < least_shared, "too_few_shared").when((F.col("rate_a") > cutoff) & (F.col("rate_b") > cutoff), "both_high").when((F.col("lo") <= 0) & (F.col("hi") >= 0), "undecided").when(F.col("delta") > 0, "b_lower").otherwise("a_lower")
