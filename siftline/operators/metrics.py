@@ -268,7 +268,8 @@ def decision_gate(a: DataFrame, b: DataFrame, unit: str, hit: str, least_shared:
 
 
 def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman's coefficient, with mean ranks for ties. One global order: for summary tables."""
+    """Spearman's coefficient, with mean ranks for ties. One global order: for summary tables (rows
+    such as a bag's score each), since all of them are ranked in one task."""
     mean_rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(mean_rank(x).alias("rx"), mean_rank(y).alias("ry"))
     return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
@@ -306,7 +307,8 @@ def cross_validated_auroc(df: DataFrame, key: str, features: list[str], positive
 
 def coherence_permutation(hits: DataFrame, bag: str, site: str, key: str, n_perm: int, seed: int = 0) -> DataFrame:
     """perm, s, n: how many (bag, key) have hits in at least s sites, for the real bags (perm 0) and
-    for sites dealt anew to bags of the same sizes in hash order."""
+    for sites dealt anew to bags of the same sizes in hash order. The (bag, site) pairs of one
+    permutation are ordered in one task: for tables of sites, not of hits."""
     sites = hits.select(bag, site).distinct()
     slots = sites.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(bag, site)))
     perms = sites.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
