@@ -11,7 +11,8 @@ Method: a metric-space join under the Jaccard distance 1 - |x & y| / |x | y|.
    projections of sets on k parts of the universe, each distinct projection being a pivot with the
    texts at distance 0 from it as its region. A linked pair differs in at most D elements, so with
    k = D + 1 + E parts at least 1 + E of its projections are at distance 0: the pair meets in a region.
-   (E parts may be empty in a set; empty projections are pivots only for sets with more than E.)
+   (So each set leaves out its E smallest projections, in an order that sets share: of 1 + E equal
+   ones at most E go on either side, and those are the same. E grows with the expected empty parts.)
 3. Regions that share points are one cell (components of point-region membership). A cell of more
    than ``leaf`` points is divided again by document pivots: points go to the Voronoi region of their
    nearest pivot and, as boundary points, to every other whose distance is within 2 e of that; so each
@@ -51,7 +52,7 @@ BITS = 26
 
 
 class Shells:
-    """Size shells, and for each the number of parts and of empty parts that are put up with."""
+    """Size shells, and for each the most different elements and the number of smallest parts left out."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -60,7 +61,7 @@ class Shells:
             edges.append(int(edges[-1] * SHELL) + 1)
         self.edges = np.array(edges)
         self.differ = [self.most_different(e - 1) for e in edges[1:]]
-        self.empty = [0 if d == 0 else 1 if d == 1 else 2 for d in self.differ]
+        self.spare = [min(d, 2) + int(2 * d * np.exp(-e / d)) if d else 0 for d, e in zip(self.differ, edges)]
 
     def most_different(self, least: int) -> int:
         """Most elements in which a set of ``least`` elements and a linked one no smaller differ:
@@ -83,12 +84,12 @@ def regions_of(s: np.ndarray, shells: Shells) -> np.ndarray:
     low, high = (spread & U(0xFFFFFFFF)).astype(np.float64), (spread >> U(32)).astype(np.float64)
     place = s >> U(32)
     for j in shells.of(len(s)):
-        k = shells.differ[j] + 1 + shells.empty[j]
+        k = shells.differ[j] + 1 + shells.spare[j]
         part = ((place * U(k)) >> U(32)).astype(np.int64)
         count = np.bincount(part, minlength=k)
         sums = np.bincount(part, low, k).astype(U) + mix(np.bincount(part, high, k).astype(U))
         name = mix(sums ^ mix(np.arange(k, dtype=U) + U((j + 1) << 40)))
-        out.append(name[count > 0] if (count == 0).sum() <= shells.empty[j] else name)
+        out.append(name[np.lexsort((name, count))[shells.spare[j] :]])
     return np.concatenate(out) if out else np.zeros(0, U)
 
 

@@ -281,5 +281,39 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, empty, DIR).count() == 0
 
 
+def test_pipeline_near_copies_by_brute_force(spark):
+    """5-word shingles at 0.8: two changed words in a hundred make a near copy, four do not."""
+    draw = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    changed = lambda at: " ".join("new" if i in at else w for i, w in enumerate(base))
+    texts = [" ".join(base), changed({30, 70}), changed({20, 40, 60, 80}), *near_copies(12, 8, 6)]
+    draw.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, root = [shingles(t, 5) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    left = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, DIR).collect()}
+    assert left == set(root)
+    where = {t: i for i, t in enumerate(texts)}
+    near, far = where[changed({30, 70})], where[changed({20, 40, 60, 80})]
+    assert root[near] == root[where[" ".join(base)]] != root[far] and 100 * len(shingles(texts[near]) & shingles(" ".join(base))) < 90 * len(shingles(texts[near]) | shingles(" ".join(base)))
+
+
+@pytest.mark.parametrize(("num", "size"), [(80, 40), (80, 300), (80, 2000), (90, 300)])
+def test_linked_sets_meet_at_either_bar(num, size):
+    draw, shells = np.random.default_rng(7), jaccard.Shells(num, 100)
+    for _ in range(40):
+        a = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64))
+        gone = int(draw.integers(0, size * (100 - num) // (100 + num) + 1))
+        b = np.unique(np.concatenate([a[gone:], draw.integers(0, 1 << 63, gone, dtype=np.uint64)]))
+        more = np.unique(np.concatenate([a, draw.integers(0, 1 << 63, size * 100 // num - size, dtype=np.uint64)]))
+        for x, y in ((a, b), (a, more)):
+            common = len(np.intersect1d(x, y))
+            assert 100 * common < num * (len(x) + len(y) - common) or len(np.intersect1d(jaccard.regions_of(x, shells), jaccard.regions_of(y, shells)))
+
+
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
