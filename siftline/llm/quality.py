@@ -6,7 +6,8 @@ whole text. Sites are hosts and, within them, paths. All documents' rates (label
 any, classifier probabilities else) are added up by path, host and in all; a host's rate is shrunk to
 the global one and a path's to its host's, by pseudo-counts that the method of moments takes from how
 far the groups' rates differ. So a sparse site keeps its prior, and a document's final probability is
-its evidence on top of what the rest of its path (the document itself left out) says.
+its evidence on top of what the rest of its path (the document itself left out) says. ``documents``
+has no URL: op6_quality and the pipeline pass ``source`` for the host and ``lang`` for the path.
 
 The logistic model is fitted on at most ``sample`` labelled documents (those whose ids hash lowest;
 the bound is a parameter), on the ``FEATURES`` features that tell the classes apart best. Everything

@@ -315,5 +315,17 @@ def test_linked_sets_meet_at_either_bar(num, size):
             assert 100 * common < num * (len(x) + len(y) - common) or len(np.intersect1d(jaccard.regions_of(x, shells), jaccard.regions_of(y, shells)))
 
 
+def test_callers_name_what_stands_for_host_and_path(monkeypatch):
+    from unittest.mock import MagicMock
+
+    judge = MagicMock()
+    monkeypatch.setattr(quality, "judge", judge)
+    monkeypatch.setattr(queries, "table", MagicMock())
+    monkeypatch.setattr(corpus_pipeline, "F", MagicMock())
+    next(f for n, f in queries.QUERIES.items() if n == "op6_quality")(MagicMock(), DIR)
+    corpus_pipeline.good_quality(MagicMock(), MagicMock(), DIR)
+    assert [c.kwargs for c in judge.call_args_list] == [{"host": "source", "path": "lang"}] * 2
+
+
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
