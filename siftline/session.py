@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_scopes: list[list[str]] = []
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -24,9 +27,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a fresh one where unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, a local master
+    gets a fresh folder of this machine; on a cluster, whose executors don't share one, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,9 +44,45 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     the loss of any executor, and a result that is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what :func:`cut` has written inside: for callers that write their result
+    before they leave. Without it the tables stay until the shared folder is cleared."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            delete(spark, path)
+
+
+def free_name(columns: Iterable[str], wanted: str) -> str:
+    """``wanted``, with as many underscores in front as it takes to be none of ``columns`` in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+    """``df`` with a number for each row, written, so that all later scans agree on it, and its column's name."""
+    row = free_name(df.columns, "row_number")
+    return cut(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
