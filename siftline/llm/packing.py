@@ -40,8 +40,9 @@ class NativeEncoder(Encoder):
         ranks = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
         self.native = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def _chunk(self, chunk: str) -> bytes:
-        return array("I", self.native.encode_ordinary(chunk)).tobytes()
+    def _chunks(self, chunks: list[str], lead: str) -> list[bytes]:
+        encode = self.native.encode_ordinary
+        return [array("I", encode(lead + c)).tobytes() for c in chunks]
 
 
 def lengths_of(n: int, limit: int) -> list[int]:
@@ -59,8 +60,8 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END
 
     def make(encoder, texts, batch):
         at, start, length, crc, total, ids = [], [], [], [], [], []
-        for i, text in enumerate(texts):
-            own = memoryview(encoder.encode(text).tobytes() + end)
+        for i, found in enumerate(encoder.encode_many(texts)):
+            own = memoryview(found + end)
             n, pos = len(own) // 4, 0
             for size in lengths_of(n, limit):
                 piece = own[4 * pos : 4 * (pos + size)]
