@@ -15,8 +15,9 @@ else covers all documents. Texts are not shuffled: a row for each document is.
 
 Cases: null and empty texts have only shape features; a null host or path is a site of its own;
 labels with a null id or quality don't count, null toxic counts as 0, of several labels of one id the
-worst holds; without labels of both classes the evidence is 0; repeated rows are judged apart; columns
-of other names are passed through by ``keep`` alone.
+worst holds; without labels of both classes the evidence is 0; repeated rows are judged apart; an empty
+table gives an empty result; extra columns are left out by ``judge`` and kept as they are by ``accept``,
+whatever their names; texts are judged whole, a batch of about 2 MB (or one longer text) at a time.
 """
 
 from __future__ import annotations
@@ -154,32 +155,65 @@ def _pseudo_count(groups: DataFrame, rate: str, prior: str) -> float:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str = "lang", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """row, id_col, evidence, site_rate, score (probability of good), accepted. ``row`` is
-    monotonically_increasing_id of ``docs``."""
-    spark = docs.sparkSession
-    ship(spark)
-    as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    good = ((F.col("quality") >= 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("__label"), good).groupBy("__label").agg(F.min("good").alias("good"))
-    few = known.orderBy(F.xxhash64("__label"), "__label").limit(sample)
-    learn = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("__id")).join(F.broadcast(few), F.col("__id") == F.col("__label")).select("__text", "good")
-    fitted = fit(learn)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__body"), as_col(host).cast("string").alias("host"), as_col(path).cast("string").alias("path"))
-    scored = evidence(base, fitted, "__body", ["row", "__id", "host", "path"]).join(known, F.col("__id") == F.col("__label"), "left")
-    share = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
-    share = min(max(0.5 if share is None else share, 0.01), 0.99)
-    p = F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.greatest(F.least(F.col("llr") + math.log(share / (1 - share)), F.lit(30.0)), F.lit(-30.0)))))
-    scored = cut(scored.select("row", "__id", F.coalesce("host", F.lit("\0")).alias("host"), F.coalesce("path", F.lit("\0")).alias("path"), "llr", p.alias("p")), "scored")
+    """id_col, evidence, site_rate, score (probability of good), accepted of every document."""
+    judged, columns = _judged(docs.select(id_col, text_col, _column(host).alias("host"), _column(path).alias("path")), labels, id_col, text_col, "host", "path", sample, threshold)
+    return judged.select(F.col(columns[0]).alias(id_col), "evidence", "site_rate", "score", "accepted")
+
+
+def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str = "lang", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The documents that :func:`judge` accepts, with all columns of ``docs`` as they are."""
+    judged, columns = _judged(docs, labels, id_col, text_col, host, path, sample, threshold, with_text=True)
+    return judged.where("accepted").select(*[F.col(k).alias(c) for k, c in zip(columns, docs.columns)])
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
 
-    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
+def site_of(url: Column) -> tuple[Column, Column]:
+    """Host (lower case, without www.) and path (its first step, within the host) of a URL column;
+    null where there is no host."""
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    return host, F.when(host.isNotNull(), F.concat(host, F.lit("/"), F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"^/*([^/]*)/", 1)))
+
+
+def shrunk(site: DataFrame) -> DataFrame:
+    """(host, path, n, s, host_rate, weight) of each path, of rows (host, path, p): documents, the sum of
+    their rates, the host's posterior rate, and the pseudo-count that this prior is worth for the path."""
+    paths = cut(site.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     n, s = hosts.agg(F.sum("n"), F.sum("s")).first()
     mean = min(max(s / n, 1e-3), 1 - 1e-3) if n else 0.5
     of_hosts = _pseudo_count(hosts.withColumn("rate", F.col("s") / F.col("n")).withColumn("prior", F.lit(mean)), "rate", "prior")
     hosts = hosts.select("host", ((F.col("s") + of_hosts * mean) / (F.col("n") + of_hosts)).alias("host_rate"))
-    paths = cut(paths.join(hosts, "host"), "paths")
+    paths = paths.join(hosts, "host")
     of_paths = _pseudo_count(paths.withColumn("rate", F.col("s") / F.col("n")), "rate", "host_rate")
-    rate = F.greatest(F.least((F.col("s") - F.col("p") + of_paths * F.col("host_rate")) / (F.col("n") - 1 + of_paths), F.lit(0.99)), F.lit(0.01))
-    out = scored.join(paths, ["host", "path"]).withColumn("site_rate", rate)
+    return paths.withColumn("weight", F.lit(of_paths))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: Column | str, path: Column | str, sample: int, threshold: float, with_text: bool = False) -> tuple[DataFrame, list[str]]:
+    """Rows with evidence, site_rate, score, accepted, and columns k0, k1.. that hold those of ``docs``
+    (the id alone unless ``with_text``). Names inside are this function's own, so none can clash."""
+    spark = docs.sparkSession
+    ship(spark)
+    good = ((F.col("quality") >= 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("label"), good).groupBy("label").agg(F.min("good").alias("good"))
+    few = known.orderBy(F.xxhash64("label"), "label").limit(sample)
+    # of documents that share an id one learns, so that the sample keeps its bound
+    learn = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("__id")).join(F.broadcast(few), F.col("__id") == F.col("label")).groupBy("label").agg(F.min("__text").alias("__text"), F.min("good").alias("good"))
+    fitted = fit(learn.select("__text", "good"))
+    wanted = docs.columns if with_text else [id_col]
+    columns = [f"k{i}" for i in range(len(wanted))]
+    base = docs.select(*[F.col(c).alias(k) for c, k in zip(wanted, columns)], F.col(text_col).alias("body"), F.col(id_col).alias("doc"), _column(host).cast("string").alias("host"), _column(path).cast("string").alias("path"), F.monotonically_increasing_id().alias("row"))
+    # numbers are written with the rows, so every later scan agrees on them
+    scored = cut(evidence(base, fitted, "body", [*columns, "doc", "row", "host", "path"]).withColumns({c: F.coalesce(c, F.lit("\0")) for c in ("host", "path")}), "scored")
+    share = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
+    share = min(max(0.5 if share is None else share, 0.01), 0.99)
+    p = F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.greatest(F.least(F.col("llr") + math.log(share / (1 - share)), F.lit(30.0)), F.lit(-30.0)))))
+    rates = scored.select("doc", "row", "host", "path", "llr").join(known, F.col("doc") == F.col("label"), "left").select("row", "host", "path", "llr", p.alias("p"))
+    rates = cut(rates, "rates")
+    rate = F.greatest(F.least((F.col("s") - F.col("p") + F.col("weight") * F.col("host_rate")) / (F.col("n") - 1 + F.col("weight")), F.lit(0.99)), F.lit(0.01))
+    out = rates.join(shrunk(rates), ["host", "path"]).withColumn("site_rate", rate)
     score = 1 / (1 + F.exp(-F.greatest(F.least(F.col("llr") + F.log(F.col("site_rate") / (1 - F.col("site_rate"))), F.lit(30.0)), F.lit(-30.0))))
-    return out.select("row", F.col("__id").alias(id_col), F.col("llr").alias("evidence"), "site_rate", score.alias("score")).withColumn("accepted", F.col("score") >= threshold)
+    out = out.select("row", F.col("llr").alias("evidence"), "site_rate", score.alias("score")).withColumn("accepted", F.col("score") >= threshold)
+    return scored.select("row", *columns).join(out.where("accepted") if with_text else out, "row"), columns

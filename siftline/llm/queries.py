@@ -37,7 +37,7 @@ def op5_jaccard(spark, sf_dir):
 
 
 def op6_quality(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host="source", path="lang").drop("row")
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host="source", path="lang")
 
 
 def op7_secrets(spark, sf_dir):
