@@ -138,7 +138,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     right = right.toDF(*right.columns)  # both sides come from one table
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype="int64")]
+        out = [np.zeros((3, 0), np.int64)]
         for dim, raw, kind, v, wide, rest, slices in a[["dim", "ids", "kind", "v", "wide", "rest", "slices"]].itertuples(index=False):
             ids = np.frombuffer(raw, np.int64)
             own = np.frombuffer(v, kind).reshape(len(ids), dim)
@@ -154,8 +154,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                     found = top_in_block(q, k, both, rest, alive, len(ids))
                     score = own[found].astype(np.int64) @ q
                     best = np.lexsort((ids[found], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": query, "id": ids[found][best], "score": score[best]}))
-        return pd.concat(out)
+                    out.append(np.stack([np.full(len(best), query), ids[found[best]], score[best]]))
+        return pd.DataFrame(dict(zip(("query_id", "id", "score"), np.concatenate(out, 1))))
 
     keys = ["dim", "rb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id bigint, id bigint, score bigint")

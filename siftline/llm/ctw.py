@@ -8,11 +8,12 @@ and, given the learned counts, a decision's probability is a mixture over the de
 the weights KT / (2 P). The model is learned from training texts and scores every text as it stands.
 
 Counting: each task counts the (DEPTH + 1)-byte strings of its texts, and they are added up by key.
-Tree: nodes of depth 2 and more depend only on strings that agree in the last two context bytes, so
-strings are dealt by these; a context of two bytes has at most 2**24 of them. The nodes above (at
-most 65,280) are summed on the driver. The result is a log-probability for every string that occurs.
-Scoring: a model of up to ``held_rows`` strings is broadcast as a hash table (its size is counted
-first); a larger one is joined with each text's counted strings instead.
+Tree: nodes of depth 3 and more depend only on strings that agree in the last three context bytes, so
+strings are dealt by these. The nodes of depths 0 to 2 (at most 2**24, each of 24 bytes) are summed on
+the driver and broadcast. The result is a log-probability for every string that occurs; strings that only
+held-out texts hold count 0, which leaves every other node as it is.
+Scoring: the ``held`` most frequent strings are broadcast as a hash table; each text's others are joined
+with the model by key.
 
 Unigram base: word counts of all training texts. The ``FREQUENT`` most frequent words are broadcast;
 the others of each text are joined with the counts by key, so no vocabulary is held whole anywhere.
@@ -20,7 +21,8 @@ Words are keyed by 64-bit hashes.
 
 Cases: null text is empty and scores its end alone; without training texts counts are zero (a KT
 estimate of 1/2 for each decision); repeated rows and ids are scored apart; a null id is no held-out
-one; extra columns are left out.
+one; an empty table gives an empty result; texts are read in runs of about 2 MB (a longer one alone);
+extra columns are left out.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.llm.textops import U, slices, words
 from siftline.session import cut, partitions, ship
 
-DEPTH, FREQUENT, HELD_ROWS, FLUSH = 4, 1 << 18, 4_000_000, 3_000_000
+DEPTH, FREQUENT, HELD, FLUSH = 6, 1 << 18, 2_000_000, 3_000_000
 STRING, WORD = 0, 1
 END = -1  # the key of the end token
 HALF = math.log(0.5)
@@ -132,126 +134,144 @@ def count(docs: DataFrame, training: Column, text_col: str, depth: int) -> DataF
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    if not len(keys):
+        return keys, *values
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], *(np.add.reduceat(v[order], first) for v in values)
 
 
-def tree(string: np.ndarray, n: np.ndarray, depth: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """For depths 2 to ``depth``: node keys (context << 8 | decisions), zeros, ones, log weighted P, own weight."""
-    nodes: dict[int, tuple[np.ndarray, ...]] = {}
-    string, n = string[n > 0], n[n > 0].astype(np.float64)
-    if not len(string):
-        return nodes
-    for d in range(depth, 1, -1):
-        string, n = _summed(string & ((1 << 8 * (d + 1)) - 1), n)
-        symbol, keys, bits = string & 255, [], []
-        for k in range(8):
-            keys.append(string >> 8 << 8 | 1 << k | symbol >> 8 - k)
-            bits.append(symbol >> 7 - k & 1)
-        bit, every = np.concatenate(bits), np.tile(n, 8)
-        key, zeros, ones = _summed(np.concatenate(keys), every * (1 - bit), every * bit)
-        own = log_kt(zeros, ones)
-        if d == depth:
-            both, weight = own, np.ones(len(key))
-        else:
-            below = nodes[d + 1]
-            parent, children = _summed((below[0] >> 8 & (1 << 8 * d) - 1) << 8 | below[0] & 255, below[3])
-            both = np.logaddexp(HALF + own, HALF + children)  # every node has a child, and in the same order
-            weight = np.exp(HALF + own - both)
-        nodes[d] = (key, zeros, ones, both, weight)
-    return nodes
-
-
-def _top(sums: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Of each node of depth 1 [byte, decisions]: the part of P(1) that depths 0 and 1 give, and the weight left for longer contexts."""
-    zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
-    at = sums["byte"].to_numpy(), sums["decisions"].to_numpy()
-    zeros[at], ones[at], below[at] = (sums[c].to_numpy() for c in ("zeros", "ones", "log_p"))
-    own = log_kt(zeros, ones)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the order that sorts ``keys``, where each begins in it, and each key's place."""
+    order = np.argsort(keys, kind="stable")
+    new = np.concatenate([[True], np.diff(keys[order]) != 0])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return keys[order][first], order, first, place
+
+
+def _mixed(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log weighted probability of nodes, and the weight of their own estimates."""
     both = np.logaddexp(HALF + own, HALF + below)
-    weight = np.exp(HALF + own - both)
-    zeros0, ones0 = zeros.sum(0), ones.sum(0)
-    seen = zeros + ones > 0
-    own0 = log_kt(zeros0, ones0)
-    both0 = np.logaddexp(HALF + own0, HALF + np.where(seen, both, 0).sum(0))
-    weight0 = np.exp(HALF + own0 - both0)
-    acc0, rest0 = weight0 * (ones0 + 0.5) / (zeros0 + ones0 + 1), 1 - weight0
-    acc = np.where(seen, acc0 + rest0 * weight * (ones + 0.5) / (zeros + ones + 1), acc0)
-    rest = np.where(seen, rest0 * (1 - weight), rest0)
-    never = zeros0 + ones0 == 0
-    return np.where(never, 0.0, acc), np.where(never, 1.0, rest)
-
-
-def probabilities(string: np.ndarray, n: np.ndarray, top: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    """log10 P(symbol | context) of each string."""
-    nodes, held = tree(string, n, depth), {}
-    for d in range(2, depth + 1):
-        if d not in nodes:
-            break
-        key, zeros, ones, _, weight = nodes[d]
-        if d == 2:
-            acc, rest = (t[key >> 8 & 255, key & 255] for t in top)
+    return both, np.exp(HALF + own - both)
+
+
+class Level:
+    """The nodes of one depth: keys (context << 8 | decisions made), counts, log weighted P, own weight,
+    and for each its node one depth up (``up``, filled in by that depth)."""
+
+    def __init__(self, string: np.ndarray, n: np.ndarray, below: Level | None, depth: int):
+        symbol, context = string & 255, string >> 8
+        keys = np.concatenate([context << 8 | 1 << k | symbol >> 8 - k for k in range(8)])
+        bit = np.concatenate([symbol >> 7 - k & 1 for k in range(8)])
+        self.keys, order, first, self.place = _distinct(keys)
+        every, bit = np.tile(n, 8)[order], bit[order]
+        self.ones = np.add.reduceat(every * bit, first)
+        self.zeros = np.add.reduceat(every, first) - self.ones
+        own = log_kt(self.zeros, self.ones)
+        if below is None:
+            self.both, self.weight = own, np.ones(len(own))
         else:
-            up = np.searchsorted(nodes[d - 1][0], (key >> 8 & (1 << 8 * (d - 1)) - 1) << 8 | key & 255)
-            acc, rest = (v[up] for v in held[d - 1])
-        held[d] = acc + rest * weight * (ones + 0.5) / (zeros + ones + 1), rest * (1 - weight)
-    out = np.zeros(len(string))
-    context, symbol = string >> 8, string & 255
-    for k in range(8):
-        made, bit = 1 << k | symbol >> 8 - k, symbol >> 7 - k & 1
-        acc, rest = (t[context & 255, made] for t in top)
-        for d, (own_acc, own_rest) in held.items():
-            keys, key = nodes[d][0], (context & (1 << 8 * d) - 1) << 8 | made
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            acc, rest = np.where(hit, own_acc[at], acc), np.where(hit, own_rest[at], rest)
-        one = acc + rest / 2
-        out += np.log10(np.where(bit == 1, one, 1 - one))
-    return out
+            below.up = np.searchsorted(self.keys, shorter(below.keys, depth))
+            self.both, self.weight = _mixed(own, np.bincount(below.up, below.both, len(own)))
+
+    def guess(self) -> np.ndarray:
+        return (self.ones + 0.5) / (self.zeros + self.ones + 1)
+
+
+def shorter(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the nodes of ``depth`` that lie above nodes of depth + 1."""
+    return (keys >> 8 & (1 << 8 * depth) - 1) << 8 | keys & 255
+
+
+def tree(string: np.ndarray, n: np.ndarray, depth: int) -> list[Level]:
+    """The levels from ``depth`` up to 3 of distinct strings."""
+    levels, n = [], n.astype(np.float64)
+    for d in range(depth, 2, -1):
+        if levels:
+            string, order, first, _ = _distinct(string & (1 << 8 * (d + 1)) - 1)
+            n = np.add.reduceat(n[order], first)
+        levels.append(Level(string, n, levels[-1] if levels else None, d))
+    return levels
+
+
+def _top(sums: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each node of depth 2, in order of its key: the part of P(1) that depths 0 to 2 give, and the
+    weight left for longer contexts."""
+    order = np.argsort(sums["key"].to_numpy())
+    key, zeros, ones, below = (sums[c].to_numpy()[order] for c in ("key", "zeros", "ones", "log_p"))
+    levels = []
+    for depth in (2, 1, 0):
+        if depth < 2:
+            levels[-1][-1] = np.searchsorted(np.unique(shorter(key, depth)), shorter(key, depth))
+            key, zeros, ones, below = _summed(shorter(key, depth), zeros, ones, levels[-1][3])
+        both, weight = _mixed(log_kt(zeros, ones), below)
+        levels.append([key, weight, (ones + 0.5) / (zeros + ones + 1), both, None])
+    acc, rest = np.zeros(256), np.ones(256)
+    for key, weight, guess, _, _ in levels[:1:-1]:
+        acc, rest = weight * guess, 1 - weight
+    for key, weight, guess, _, up in levels[1::-1]:
+        acc, rest = acc[up] + rest[up] * weight * guess, rest[up] * (1 - weight)
+    return levels[0][0], acc, rest
+
+
+def probabilities(string: np.ndarray, n: np.ndarray, top: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    """log10 P(symbol | context) of each of distinct strings."""
+    levels = tree(string, n, depth)
+    up = np.searchsorted(top[0], shorter(levels[-1].keys, 2))
+    acc, rest = top[1][up], top[2][up]
+    for i in range(len(levels) - 1, -1, -1):
+        x = levels[i]
+        if i < len(levels) - 1:
+            acc, rest = acc[x.up], rest[x.up]
+        acc, rest = acc + rest * x.weight * x.guess(), rest * (1 - x.weight)
+    one, symbol = acc[levels[0].place].reshape(8, len(string)), string & 255
+    return sum(np.log10(np.where(symbol >> 7 - k & 1, one[k], 1 - one[k])) for k in range(8))
 
 
 def model(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, log_p): log10 P(last byte | bytes before it) for every counted string."""
+    """(key, n, log_p): log10 P(last byte | bytes before it) for every counted string."""
+    if not 3 <= depth <= 6:
+        raise ValueError("depth is 3 to 6: a string is one 64-bit number")
     spark = counts.sparkSession
     rows = counts.where(F.col("kind") == STRING)
-    total = rows.count()
-    groups = max(partitions(spark), total // 200_000)
-    dealt = rows.select("key", "n", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(groups)).alias("g")).groupBy("g")
+    groups = max(partitions(spark), rows.count() // 100_000)
+    dealt = rows.select("key", "n", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFFFF)), F.lit(groups)).alias("g")).groupBy("g")
 
     def upper(x: pd.DataFrame) -> pd.DataFrame:
-        nodes = tree(x["key"].to_numpy(), x["n"].to_numpy(), depth).get(2)
-        if nodes is None:
-            return pd.DataFrame({"byte": [], "decisions": [], "zeros": [], "ones": [], "log_p": []})
-        key, zeros, ones, both, _ = nodes
-        key, zeros, ones, both = _summed(key & 0xFFFF, zeros, ones, both)
-        return pd.DataFrame({"byte": key >> 8, "decisions": key & 255, "zeros": zeros, "ones": ones, "log_p": both})
-
-    sums = dealt.applyInPandas(upper, "byte bigint, decisions bigint, zeros double, ones double, log_p double").groupBy("byte", "decisions").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_p")]).toArrow()
+        last = tree(x["key"].to_numpy(), x["n"].to_numpy(), depth)[-1]
+        key, zeros, ones, both = _summed(shorter(last.keys, 2), last.zeros, last.ones, last.both)
+        return pd.DataFrame({"key": key, "zeros": zeros, "ones": ones, "log_p": both})
+
+    sums = dealt.applyInPandas(upper, "key bigint, zeros double, ones double, log_p double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_p")]).toArrow()
     top = spark.sparkContext.broadcast(_top(sums))
 
     def lower(x: pd.DataFrame) -> pd.DataFrame:
-        key = x["key"].to_numpy()
-        return pd.DataFrame({"key": key, "log_p": probabilities(key, x["n"].to_numpy(), top.value, depth)})
+        key, n = x["key"].to_numpy(), x["n"].to_numpy()
+        return pd.DataFrame({"key": key, "n": n, "log_p": probabilities(key, n, top.value, depth)})
+
+    return dealt.applyInPandas(lower, "key bigint, n bigint, log_p double")
 
-    return dealt.applyInPandas(lower, "key bigint, log_p double")
+
+EMPTY = np.iinfo(np.int64).min
 
 
 class Lookup:
-    """An open-addressing hash table of int64 keys and double values."""
+    """An open-addressing hash table of int64 keys (EMPTY counts as EMPTY + 1) and double values."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys = np.maximum(keys, EMPTY + 1)
         self.shift = 64 - max(4, (2 * len(keys) + 1).bit_length())
         size = 1 << 64 - self.shift
-        self.used, self.keys, self.values = np.zeros(size, bool), np.zeros(size, np.int64), np.zeros(size)
+        self.keys, self.values = np.full(size, EMPTY), np.zeros(size)
         left, slot = np.arange(len(keys)), self.slot(keys)
         while len(left):
-            free = ~self.used[slot[left]]
+            free = self.keys[slot[left]] == EMPTY
             _, one = np.unique(slot[left][free], return_index=True)
             placed = left[free][one]
-            at = slot[placed]
-            self.used[at], self.keys[at], self.values[at] = True, keys[placed], values[placed]
+            self.keys[slot[placed]], self.values[slot[placed]] = keys[placed], values[placed]
             left = left[~np.isin(left, placed)]
             slot[left] = (slot[left] + 1) & (size - 1)
 
@@ -260,13 +280,20 @@ class Lookup:
         return ((x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9) >> U(self.shift)).astype(np.int64)
 
     def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        out, left, slot = np.full(len(keys), default), np.arange(len(keys)), self.slot(keys)
+        keys = np.maximum(keys, EMPTY + 1)
+        slot = self.slot(keys)
+        held = self.keys[slot]
+        hit = held == keys
+        out = np.where(hit, self.values[slot], default)
+        left = np.flatnonzero(~hit & (held != EMPTY))
+        slot = slot[left]
         while len(left):
-            at = slot[left]
-            hit = self.used[at] & (self.keys[at] == keys[left])
-            out[left[hit]] = self.values[at[hit]]
-            left = left[self.used[at] & ~hit]
-            slot[left] = (slot[left] + 1) & (len(self.used) - 1)
+            slot = (slot + 1) & (len(self.keys) - 1)
+            held = self.keys[slot]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (held != EMPTY)
+            left, slot = left[on], slot[on]
         return out
 
 
@@ -282,7 +309,7 @@ def _least_count(tokens: DataFrame, most: int) -> int:
     return least
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, held_rows: int = HELD_ROWS) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, held: int = HELD) -> DataFrame:
     """id_col, training, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length)."""
     spark = docs.sparkSession
     ship(spark)
@@ -293,22 +320,32 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     common = tokens.where(F.col("n") >= _least_count(tokens, frequent)).toArrow()
     known = spark.sparkContext.broadcast(Lookup(common["key"].to_numpy(), common["n"].to_numpy().astype(np.float64)))
     rates = cut(model(counts, depth), "model")
-    fits = rates.count() <= held_rows
-    table = None
-    if fits:
-        rows = rates.toArrow()
-        table = spark.sparkContext.broadcast(Lookup(rows["key"].to_numpy(), rows["log_p"].to_numpy()))
+    seen_rates = rates.where("n > 0")
+    most = seen_rates.where(F.col("n") >= _least_count(seen_rates, held)).select("key", "log_p").toArrow()
+    table = spark.sparkContext.broadcast(Lookup(most["key"].to_numpy(), most["log_p"].to_numpy()))
 
     kind = dict(docs.dtypes)[id_col]
     numbered = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("__id"), training.alias("train"), F.monotonically_increasing_id().alias("row"))
-    # what the last part of a task's rows must hold: a document's own figures, or one rare word of it
+    # what the last part of a task's rows must hold: a document's own figures, or one rare word or string of it
     stat = pa.struct([("id", pa.string()), ("train", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("log_p", pa.float64()), ("bytes", pa.int64())])
+    names = ["row", "kind", "key", "tf", "stat"]
+
+    def rare(row_id, of: int, keys: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((keys, at))
+        keys, at = keys[order], at[order]
+        if len(keys):
+            begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])]))
+            times = np.diff(np.append(begin, len(keys))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(row_id[at[begin]]), pa.array(np.full(len(begin), of, np.int32)), pa.array(keys[begin]), pa.array(times), pa.nulls(len(begin), stat)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 string, first = strings(data, offsets, depth)
-                log_p = np.add.reduceat(table.value.get(string, 0.0), first) if fits else np.zeros(rows.num_rows)
+                found = table.value.get(string, 1.0)  # 1: not among them, as no log-probability is positive
+                missing = np.flatnonzero(found > 0)
+                found[missing] = 0
+                log_p = np.add.reduceat(found, first)
                 h, row = words(data, offsets)
                 h, n_rows = h.view(np.int64), rows.num_rows
                 c = known.value.get(h, -1.0)
@@ -318,38 +355,20 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 n = np.bincount(row, minlength=n_rows) + 1
                 row_id = rows.column(3).to_numpy()
                 stats = pa.StructArray.from_arrays([rows.column(1).cast(pa.string()), rows.column(2), *map(pa.array, (n, n_known.astype(np.int64), base, log_p, np.diff(offsets)))], fields=list(stat))
-                yield pa.RecordBatch.from_arrays([pa.array(row_id), pa.array((row_id + 1) * np.int64(-7046029254386353131)), pa.array(np.zeros(n_rows, np.int32)), stats], ["row", "key", "tf", "stat"])
-                order = np.lexsort((h[~seen], row[~seen]))
-                rare, at = h[~seen][order], row[~seen][order]
-                if len(rare):
-                    begin = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (at[1:] != at[:-1])]))
-                    yield pa.RecordBatch.from_arrays([pa.array(row_id[at[begin]]), pa.array(rare[begin]), pa.array(np.diff(np.append(begin, len(rare))).astype(np.int32)), pa.nulls(len(begin), stat)], ["row", "key", "tf", "stat"])
-
-    emitted = numbered.mapInArrow(run, "row bigint, key bigint, tf int, stat struct<id:string,train:boolean,n:bigint,known:bigint,base:double,log_p:double,bytes:bigint>")
-    rate = F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(below)
-    by_row = emitted.join(tokens, "key", "left").groupBy("row").agg(F.max("stat").alias("stat"), F.sum(F.col("tf") * rate).alias("rare"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    log_p = F.col("stat.log_p")
-    if not fits:
-        by_row = by_row.join(_joined(numbered, rates, depth), "row")
-        log_p = F.col("joined")
+                none = pa.array(np.zeros(n_rows, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(row_id), pa.array(np.full(n_rows, -1, np.int32)), pa.array((row_id + 1) * np.int64(-7046029254386353131)), none, stats], names)
+                yield from rare(row_id, WORD, h[~seen], row[~seen])
+                yield from rare(row_id, STRING, string[missing], np.searchsorted(first, missing, "right") - 1)
+
+    emitted = numbered.mapInArrow(run, "row bigint, kind int, key bigint, tf int, stat struct<id:string,train:boolean,n:bigint,known:bigint,base:double,log_p:double,bytes:bigint>")
+    rate = tokens.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("x")).unionByName(rates.select(F.lit(STRING).alias("kind"), "key", F.col("log_p").alias("x")))
+    word, tf = F.col("kind") == WORD, F.col("tf")
+    by_row = emitted.join(rate, ["kind", "key"], "left").groupBy("row").agg(
+        F.max("stat").alias("stat"), F.coalesce(F.sum(F.when(word, tf * (F.log10(F.coalesce("x", F.lit(0.0)) + 1) - F.lit(below)))), F.lit(0.0)).alias("rare"),
+        F.coalesce(F.sum(F.when(word & (F.col("x") > 0), tf)), F.lit(0)).alias("rare_known"), F.coalesce(F.sum(F.when(F.col("kind") == STRING, tf * F.col("x"))), F.lit(0.0)).alias("rare_log_p"),
+    )
+    log_p = F.col("stat.log_p") + F.col("rare_log_p")
     return by_row.select(
         F.col("stat.id").cast(kind).alias(id_col), F.col("stat.train").alias("training"), F.col("stat.n").alias("n_tokens"), (F.col("stat.known") + F.col("rare_known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("stat.base") + F.col("rare")).alias("base_score"), log_p.alias("score"), (-log_p / math.log10(2) / (F.col("stat.bytes") + 1)).alias("bits_per_byte"),
     )
-
-
-def _joined(numbered: DataFrame, rates: DataFrame, depth: int) -> DataFrame:
-    """(row, joined): log10 P of each text by a join of its counted strings with the model."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in slices(batch):
-                string, first = strings(data, offsets, depth)
-                row = np.repeat(np.arange(rows.num_rows), np.diff(np.append(first, len(string))))
-                order = np.lexsort((string, row))
-                string, row = string[order], row[order]
-                begin = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (row[1:] != row[:-1])]))
-                yield pa.RecordBatch.from_arrays([pa.array(rows.column(3).to_numpy()[row[begin]]), pa.array(string[begin]), pa.array(np.diff(np.append(begin, len(string))))], ["row", "key", "n"])
-
-    found = numbered.mapInArrow(run, "row bigint, key bigint, n bigint").join(rates, "key")
-    return found.groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("joined"))

@@ -241,8 +241,9 @@ def test_weak_parts_need_company(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
-def test_ctw_equals_brute_force(spark):
-    texts, depth = ["the cat\n", "the  cat sat", "", "Été the", *[t[:120] for t in corpus()[:4]]], 4
+@pytest.mark.parametrize("depth", [3, 4, 6])
+def test_ctw_equals_brute_force(spark, depth):
+    texts = ["the cat\n", "the  cat sat", "", "Été the", *[t[:120] for t in corpus()[:4]]]
     df = frame(spark, texts)
     train = ~langid.held_out("doc_id", 7, 2)
     rows = [(r.doc_id, r.text or "", r.t) for r in df.withColumn("t", train).collect()]
@@ -280,12 +281,18 @@ def test_ctw_equals_brute_force(spark):
     c = collections.Counter(w for own, (_, _, learn) in zip(words, rows) for w in own if learn)
     total, distinct = sum(c.values()), len(c)
     want = sorted((len(own), sum(c[w] > 0 for w in own), total, round(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in own), 6), round(sum(math.log10(p if y >> 7 - k & 1 else 1 - p) for x, y in symbols(t) for k in range(8) for p in [one(x, 1 << k | y >> 8 - k)]), 6)) for own, (_, t, _) in zip(words, rows))
-    for how in ({}, {"frequent": 2, "held_rows": 0}):
-        got = sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ctw.score(df, train, **how).collect())
+    for how in ({}, {"frequent": 2, "held": 0}, {"held": 50}):
+        got = sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in ctw.score(df, train, depth=depth, **how).collect())
         assert np.allclose(np.array(got), np.array(want), atol=2e-6)
     assert ctw.score(df.limit(0), train).count() == 0
 
 
+def test_code_length_beats_word_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = ctw.score(docs, ~langid.held_out("doc_id", 7, 2)).groupBy("training").agg(F.sum("score").alias("own"), F.sum("base_score").alias("base")).collect()
+    assert len(r) == 2 and all(x.own > x.base for x in r)
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
