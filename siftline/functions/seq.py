@@ -71,9 +71,8 @@ def longest_run(s: Column | str) -> Column:
 
 def periodicity(s: Column | str, p: int) -> Column:
     """Share of letters equal to the one p before; 0 for strings of p letters or fewer."""
-    a = chars(s)
-    same = F.size(F.filter(F.zip_with(F.slice(a, p + 1, F.greatest(F.size(a) - p, F.lit(0))), F.slice(a, 1, F.greatest(F.size(a) - p, F.lit(0))), lambda x, y: x == y), lambda e: e))
-    return ratio(same.cast("double"), F.greatest(F.size(a) - p, F.lit(0)))
+    same = F.regexp_count(col(s), F.lit(f"(?s)(.)(?=.{{{p - 1}}}\\1)"))
+    return ratio(same.cast("double"), F.greatest(F.length(col(s)) - p, F.lit(0)))
 
 
 def at_fraction(s: Column | str) -> Column:
@@ -95,7 +94,14 @@ def base_entropy(s: Column | str) -> Column:
 
 
 def kmers(s: Column | str, k: int) -> Column:
-    return F.transform(starts(s, k), lambda i: slice_at(s, i, k))
+    """All windows of k letters in order. One pass: the pattern looks ahead k letters and steps by one."""
+    return F.regexp_extract_all(col(s), F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
+
+
+def blocks(s: Column | str, size: int, k: int) -> Column:
+    """The text from every ``size``-th letter on, ``size`` + k - 1 letters long: the blocks' windows of k
+    letters are those of the text, each once. For long texts, whose windows should not stand in one row."""
+    return F.regexp_extract_all(col(s), F.lit(f"(?s)(?=(.{{1,{size + k - 1}}})).{{1,{size}}}"), F.lit(1))
 
 
 def kmer_counts(s: Column | str, k: int, alphabet: str = "ACGT") -> Column:
@@ -103,7 +109,7 @@ def kmer_counts(s: Column | str, k: int, alphabet: str = "ACGT") -> Column:
     words = [""]
     for _ in range(k):
         words = [w + c for w in words for c in alphabet]
-    return F.transform(F.lit(words), lambda w: F.size(F.filter(kmers(s, k), lambda x: x == w)))
+    return F.array(*[F.regexp_count(col(s), F.lit(f"(?=\\Q{w}\\E)")) for w in words])
 
 
 def dinucleotide_entropy(s: Column | str) -> Column:
@@ -150,10 +156,11 @@ def offset_identity(a: Column | str, b: Column | str, most: int = 5, least: int
 
 
 def find_all(s: Column | str, part: Column | str) -> Column:
-    """All starts, overlapping ones too; none for an empty part."""
-    k = F.length(col(part))
-    n = F.length(col(s)) - k
-    return F.when((k > 0) & (n >= 0), F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(col(s), i + 1, k) == col(part))).otherwise(F.array().cast("array<int>"))
+    """All starts, overlapping ones too; none for an empty part. One pass: at each letter the pattern
+    looks for the part, and gives an empty string where it is not."""
+    quoted = F.concat(F.lit("(?s)(?=(\\Q"), F.replace(col(part), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)?)."))
+    at = F.transform(F.regexp_extract_all(col(s), quoted, F.lit(1)), lambda x, i: F.when(x != "", i))
+    return F.when(F.length(col(part)) > 0, F.array_compact(at)).when(col(s).isNotNull() & col(part).isNotNull(), F.array().cast("array<int>"))
 
 
 def both_strand_hits(s: Column | str, part: Column | str) -> Column:

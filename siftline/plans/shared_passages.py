@@ -9,9 +9,13 @@ from siftline.operators.windows import peaks
 from siftline.registry import query, table
 
 
+BLOCK = 4096
+
+
 def windows(df: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
-    """keys, p, w: every window of n characters with its place."""
-    return df.select(*keys, F.posexplode(seq.kmers(text, n)).alias("p", "w"))
+    """keys, p, w: every window of n characters with its place, a block of a text at a time."""
+    cut = df.select(*keys, F.posexplode(seq.blocks(text, BLOCK, n)).alias("b", "t"))
+    return cut.select(*keys, "b", F.posexplode(seq.kmers("t", n)).alias("o", "w")).select(*keys, (F.col("b") * BLOCK + F.col("o")).alias("p"), "w")
 
 
 def shared_positions(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str, n: int) -> DataFrame:
