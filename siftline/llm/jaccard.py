@@ -14,15 +14,16 @@ Method: a metric-space join under the Jaccard distance 1 - |x & y| / |x | y|.
    (So each set leaves out its E smallest projections, in an order that sets share: of 1 + E equal
    ones at most E go on either side, and those are the same. E grows with the expected empty parts.)
 3. Regions that share points are one cell (components of point-region membership). A cell of more
-   than ``leaf`` points is divided again by document pivots: points go to the Voronoi region of their
-   nearest pivot and, as boundary points, to every other whose distance is within 2 e of that; so each
-   linked pair lies together in one region. This recurs; a cell that the windows keep whole is
-   instead joined block by block. Cells of up to ``leaf`` points go to one task each, which recurs in
-   the same way in memory down to a few points, and verifies with the sets themselves.
+   than ``leaf`` points or ``mass`` hashes is divided again by document pivots: points go to the Voronoi
+   region of their nearest pivot and, as boundary points, to every other whose distance is within 2 e
+   of that; so each linked pair lies together in one region. This recurs; a cell that the windows keep
+   whole is instead joined block by block. Smaller cells go to one task each, which recurs in the same
+   way in memory down to a few points, and verifies with the sets themselves.
 4. Verified links (a spanning set of each region's, not all pairs) give the components.
 
 Shuffled: about 0.18 hashes for each shingle, and the sets of the texts in cells of two or more.
-Broadcast: a bit table of fixed size (at most 8 MB) that holds which sets are wanted.
+Broadcast: a bit table of fixed size (at most 8 MB) that holds which sets are wanted; once it is full
+(from some 10 million wanted sets on) the sets of all texts are shuffled and the join alone decides.
 
 Cases: null, empty and blank texts have an empty set and stay alone; fewer words than the shingle
 size make one shingle of the whole sequence; repeated rows are one point; null ids are allowed, and
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.llm.components import components
 from siftline.llm.textops import U, mix, shingle_sets, slices
@@ -45,7 +46,7 @@ from siftline.session import cut, partitions, ship
 
 NUM, DEN = 90, 100  # linked when DEN * |x & y| >= NUM * |x | y|
 SHELL = 1.3
-LEAF = 4096
+LEAF, MASS = 4096, 1 << 22  # points and hashes (32 MB) of a cell that one task joins
 DIVIDES = 0.6  # a division is worth while if its regions' pairs are at most this part of the cell's
 PIVOTS = 8
 BITS = 26
@@ -219,57 +220,77 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataF
     return found.join(wanted, "node").dropDuplicates(["node"])
 
 
-def _divide(big: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Members (cell, p, node, set) of large cells in the regions p of their cells' pivots, and links (p null) to pivots."""
+def _weighed(members: DataFrame) -> DataFrame:
+    """cell, size (points) and mass (hashes) of cells."""
+    return members.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("set") / 8).cast("long").alias("mass"))
+
+
+def _parts(leaf: int, mass: int) -> Column:
+    """In how many parts a cell fits the bounds of a task."""
+    return F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(leaf)), F.ceil(F.col("mass") / F.lit(mass)))
+
+
+def _divide(large: DataFrame, turn: int, num: int, den: int, leaf: int, mass: int) -> DataFrame:
+    """Members (cell, p, node, set) of large cells in the regions p of their cells' pivots, and links (p
+    null) to pivots. A task compares a part of a cell with its pivots."""
     draw = F.xxhash64("node", F.lit(turn))
-    pivots = big.groupBy("cell", F.pmod(draw, F.lit(PIVOTS)).alias("p")).agg(F.min_by(F.struct("node", "set"), F.struct(draw, "node")).alias("pivot")).groupBy("cell").agg(F.collect_list("pivot").alias("pivots"))
+    pivots = large.groupBy("cell", F.pmod(draw, F.lit(PIVOTS)).alias("p")).agg(F.min_by(F.struct("node", "set"), F.struct(draw, "node")).alias("pivot"), F.max("size").alias("size"), F.max("mass").alias("mass"))
+    pivots = pivots.groupBy("cell").agg(F.collect_list("pivot.node").alias("nodes"), F.collect_list("pivot.set").alias("sets"), F.max("size").alias("size"), F.max("mass").alias("mass"))
+    pivots = pivots.select("cell", "nodes", "sets", F.explode(F.sequence(F.lit(0).cast("long"), _parts(leaf, mass) - 1)).alias("c"))
+    pivots = pivots.toDF(*pivots.columns)  # both sides come from one table
     near = (den - num) / den
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for cell, node, raw, pivots in batch.itertuples(index=False):
-                s, far = np.frombuffer(raw, U), []
-                for pivot in pivots:
-                    t = np.frombuffer(pivot["set"], U)
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    union = len(s) + len(t) - common
-                    far.append(1 - common / union)
-                    if den * common >= num * union and pivot["node"] != node:
-                        out.append((cell, None, node, None, pivot["node"]))
-                out += [(cell, p, node, raw, None) for p, d in enumerate(far) if d <= min(far) + 2 * near + 1e-9]
-            yield pd.DataFrame(out, columns=["cell", "p", "node", "set", "link"]).astype({"p": "Int64", "link": "Int64"})
-
-    return big.select("cell", "node", "set").join(pivots, "cell").mapInPandas(run, "cell bigint, p bigint, node bigint, set binary, link bigint")
-
-
-def _in_blocks(whole: DataFrame, leaf: int) -> DataFrame:
+    def run(own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own):
+            nodes, raw = own["node"].to_numpy(), own["set"].to_list()
+            sets = [np.frombuffer(x, U) for x in raw]
+            flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+            starts = np.cumsum(sizes) - sizes
+            chosen, far, cell = pivots["nodes"].iloc[0], [], own["cell"].iloc[0]
+            for pivot, x in zip(chosen, pivots["sets"].iloc[0]):
+                t = np.frombuffer(x, U)
+                at = np.minimum(np.searchsorted(t, flat), len(t) - 1)
+                common = np.add.reduceat(t[at] == flat, starts, dtype=np.int64)
+                union = sizes + len(t) - common
+                far.append(1 - common / union)
+                out += [(cell, None, nodes[i], None, pivot) for i in np.flatnonzero((den * common >= num * union) & (nodes != pivot))]
+            far = np.stack(far)
+            out += [(cell, int(p), nodes[i], raw[i], None) for p, i in zip(*np.nonzero(far <= far.min(0) + 2 * near + 1e-9))]
+        return pd.DataFrame(out, columns=["cell", "p", "node", "set", "link"]).astype({"p": "Int64", "link": "Int64"})
+
+    rows = large.select("cell", F.pmod(F.xxhash64("node"), _parts(leaf, mass)).alias("c"), "node", "set")
+    return rows.groupBy("cell", "c").cogroup(pivots.groupBy("cell", "c")).applyInPandas(run, "cell bigint, p bigint, node bigint, set binary, link bigint")
+
+
+def _in_blocks(whole: DataFrame, leaf: int, mass: int) -> DataFrame:
     """Members of cells that pivots do not divide, in cells that each hold two blocks: every pair meets in one."""
-    blocks = whole.withColumn("blocks", F.ceil(F.col("size") / F.lit(max(1, leaf // 2))))
-    blocks = blocks.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = whole.withColumn("blocks", _parts(max(1, leaf // 2), max(1, mass // 2)))
+    blocks = blocks.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return blocks.select(F.xxhash64("cell", F.least("b", "c"), F.greatest("b", "c")).alias("cell"), "node", "set")
 
 
-def _links(members: DataFrame, leaf: int, num: int, den: int, turns: int = 6) -> DataFrame:
+def _links(members: DataFrame, leaf: int, mass: int, num: int, den: int, turns: int = 6) -> DataFrame:
     """Verified links (a, b) of members (cell, node, set)."""
-    at, small, links, total = members, [], [], 0
+    at, small, links, total, hashes = members, [], [], 0, 0
     for turn in range(turns + 1):
-        sizes = at.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-        points, most = sizes.agg(F.sum("size"), F.max("size")).first()
-        total += points or 0
-        if not points or most <= leaf:
+        sizes = _weighed(at)
+        points, most, weight, heaviest = sizes.agg(F.sum("size"), F.max("size"), F.sum("mass"), F.max("mass")).first()
+        total, hashes = total + (points or 0), hashes + (weight or 0)
+        if not points or (most <= leaf and heaviest <= mass):
             small.append(at)
             break
         sizes = cut(sizes, "sizes")
-        small.append(at.join(sizes.where(F.col("size").between(2, leaf)), "cell").drop("size"))
-        large = at.join(sizes.where(F.col("size") > leaf), "cell")
+        fits = (F.col("size") <= leaf) & (F.col("mass") <= mass)
+        small.append(at.join(sizes.where(fits & (F.col("size") > 1)), "cell").drop("size", "mass"))
+        large = at.join(sizes.where(~fits & (F.col("size") > 1)), "cell")
         if turn == turns:
-            small.append(_in_blocks(large, leaf))
+            small.append(_in_blocks(large, leaf, mass))
             break
-        divided = cut(_divide(large, turn, num, den), "cells")
+        divided = cut(_divide(large, turn, num, den, leaf, mass), "cells")
         pairs = divided.where("p is not null").groupBy("cell", "p").agg(F.count(F.lit(1)).cast("double").alias("held")).groupBy("cell").agg(F.sum(F.col("held") * F.col("held")).alias("pairs"))
         worth = cut(pairs.join(sizes, "cell").select("cell", (F.col("pairs") <= DIVIDES * F.pow("size", F.lit(2))).alias("worth")), "worth")
-        small.append(_in_blocks(large.join(worth.where(~F.col("worth")), "cell"), leaf))
+        small.append(_in_blocks(large.join(worth.where(~F.col("worth")), "cell"), leaf, mass))
         links.append(divided.where("link is not null").select(F.col("node").alias("a"), F.col("link").alias("b")))
         at = divided.where("p is not null").join(worth.where("worth"), "cell").select(F.xxhash64("cell", "p").alias("cell"), "node", "set")
     cells = small[0]
@@ -284,15 +305,15 @@ def _links(members: DataFrame, leaf: int, num: int, den: int, turns: int = 6) ->
                 found += [(nodes[i], nodes[j]) for i, j in join_cell([np.frombuffer(x, U) for x in cell["set"]], num, den)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    # cells are dealt to groups of a few hundred points each, far below what a task can hold
-    groups = max(partitions(members.sparkSession), total // 512)
+    # cells are dealt to groups of a few hundred points and a few MB each, far below what a task can hold
+    groups = max(partitions(members.sparkSession), total // 512, hashes // (1 << 19))
     out = cells.select("cell", "node", "set").withColumn("g", F.pmod(F.xxhash64("cell"), F.lit(groups))).groupBy("g").applyInPandas(run, "a bigint, b bigint")
     for x in links:
         out = out.unionByName(x)
     return out
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = NUM, den: int = DEN, leaf: int = LEAF) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = NUM, den: int = DEN, leaf: int = LEAF, mass: int = MASS) -> DataFrame:
     """id_col, n_shingles, node (equal for equal sets), component_id: the least id reachable by links."""
     ship(docs.sparkSession)
     points = cut(_points(docs, id_col, text_col, size, num, den), "points")
@@ -301,7 +322,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     meets = region.withColumn("least", least).where("node > least").select("node", "least").distinct()
     cells = cut(components(meets, "node", "least").select("node", F.col("root").alias("cell")), "region-cells")
     members = cut(_sets(docs, cells, text_col, size), "members")
-    roots = components(_links(members, leaf, num, den))
+    roots = components(_links(members, leaf, mass, num, den))
     nodes = points.where("n > 0").groupBy("node").agg(F.min(id_col).alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("own").alias("component_id"))
     named = nodes.where("node != root").select("node", "root").join(least, "root").select("node", "component_id")
