@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftline.functions.arrays import floor_percentile
+from siftline.operators.windows import running
 
 
 def median(x: Column | str) -> Column:
@@ -16,9 +16,15 @@ def quantiles(x: Column | str, ps: list[float]) -> Column:
     return F.percentile(x, F.lit(ps))
 
 
-def floor_index(x: Column | str, p: float) -> Column:
-    """The value at min(int(n p / 100), n - 1) of the sorted values."""
-    return floor_percentile(F.sort_array(F.collect_list(x)), p)
+def floor_index(df: DataFrame, by: list[str], x: str, ps: dict[str, float]) -> DataFrame:
+    """by, n, and for each name the value at min(int(n p / 100), n - 1) of the group's sorted values, by
+    running counts of distinct values."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("c"))
+    n = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    rows = running(counts, by, [x], F.col("c")).drop("__n").join(n, by) if by else running(counts, by, [x], F.col("c")).drop("__n").join(F.broadcast(n))
+    at = {name: F.least(F.floor(F.col("n") * F.lit(p) / 100), F.col("n") - 1) for name, p in ps.items()}
+    held = {name: F.max(F.when((F.col("__sum") - F.col("c") <= k) & (k < F.col("__sum")), F.col(x))) for name, k in at.items()}
+    return rows.groupBy(*by, "n").agg(*[v.alias(name) for name, v in held.items()])
 
 
 def with_spread(df: DataFrame, by: list[str], x: str) -> DataFrame:

@@ -68,13 +68,27 @@ def pivot_pair(facts: DataFrame, keys: list[str], side: str, values: tuple[str,
     return facts.where(F.col(side).isin(*values)).groupBy(*keys).agg(*[last(v).alias(v) for v in values]).where(F.col(values[0]).isNotNull() & F.col(values[1]).isNotNull())
 
 
-def pairs_within(df: DataFrame, group: list[str], key: str, take: list[str], most: int) -> DataFrame:
-    """Unordered pairs a < b of rows of groups of at most ``most`` rows; larger groups are refused."""
+def pairs_within(df: DataFrame, group: list[str], key: str, take: list[str], most: int = 5000) -> DataFrame:
+    """Unordered pairs a < b of rows of a group. Groups of more than ``most`` rows are dealt to blocks,
+    each pair of blocks to a task of its own. For analyses whose result is these pairs: where only near
+    ones count, see :func:`near_pairs`."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    checked = df.withColumn("__n", n).where(F.when(F.col("__n") > most, F.raise_error(F.lit(f"a group has more than {most} rows"))).otherwise(F.lit(True)))
-    a = checked.select(*group, F.col(key).alias(f"{key}_a"), *[F.col(c).alias(f"{c}_a") for c in take])
-    b = checked.select(*group, F.col(key).alias(f"{key}_b"), *[F.col(c).alias(f"{c}_b") for c in take])
-    return a.join(b, group).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    dealt = df.withColumn("__blocks", F.ceil(n / most)).withColumn("__b", F.pmod(F.xxhash64(key), F.col("__blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))
+    side = lambda s, own, other: dealt.select(*group, F.col(key).alias(f"{key}_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in take], F.col("__b").alias(own), every.alias(other))
+    return side("a", "__x", "__y").join(side("b", "__y", "__x"), [*group, "__x", "__y"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).drop("__x", "__y")
+
+
+def near_pairs(df: DataFrame, group: list[str], key: str, value: str, within: float) -> DataFrame:
+    """Unordered pairs a < b (by key) of rows of a group whose values differ by ``within`` at most: values
+    are bucketed by it, and a row meets its own bucket and the next."""
+    bucket = F.floor(F.col(value) / within)
+    a = df.select(*group, F.col(key).alias("__k"), F.col(value).alias("__v"), F.explode(F.array(bucket, bucket + 1)).alias("__at"), bucket.alias("__own"))
+    b = df.select(*group, F.col(key).alias("__l"), F.col(value).alias("__w"), bucket.alias("__at"))
+    met = a.join(b, [*group, "__at"]).where((F.abs(F.col("__v") - F.col("__w")) <= within) & ((F.col("__own") < F.col("__at")) | (F.col("__k") < F.col("__l"))) & (F.col("__k") != F.col("__l")))
+    low = F.col("__k") < F.col("__l")
+    pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+    return met.select(*group, pick("__k", "__l").alias(f"{key}_a"), pick("__l", "__k").alias(f"{key}_b"), pick("__v", "__w").alias(f"{value}_a"), pick("__w", "__v").alias(f"{value}_b"))
 
 
 def suffix_pairs(scores: DataFrame, key: str, score: str, suffix: str) -> DataFrame:

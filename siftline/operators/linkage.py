@@ -1,5 +1,6 @@
 """Clustering and record linkage. What depends on sequential decisions inside one small group runs
-as a grouped map with a total order; groups above ``most`` rows are refused, not cut."""
+as a grouped map with a total order. Groups are first split at gaps that no decision reaches over;
+parts that are still above ``most`` rows are refused, not cut."""
 
 from __future__ import annotations
 
@@ -48,37 +49,61 @@ def dedup_intervals(df: DataFrame, by: list[str], key: str, score: str, spans: l
                 rows.append(i)
         return x.iloc[rows][columns]
 
-    return grouped(df.select(columns), by, run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    rows, keys = df.select(columns), list(by)
+    for i, (lo, hi) in enumerate(spans):  # rows of different islands of any span do not overlap
+        rows = split_at_gaps(rows, keys, lo, hi, 0).withColumnRenamed("__island", f"__i{i}")
+        keys.append(f"__i{i}")
+    return grouped(rows, keys, run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
 
 
-def clusters_of(hits: pd.DataFrame, offset: float, min_frac: float, k_valid: int, rounds: int = 20) -> list[tuple]:
+def _distinct_sites(near: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduceat(near, first, axis=1).sum(1)
+
+
+def clusters_of(hits: pd.DataFrame, offset: float, min_frac: float, k_valid: int, rounds: int = 20, bounds: tuple[int, int] | None = None) -> list[tuple]:
     """Clusters (median, mad, support sites, positions) of hits (site, pos, m): every integer centre, the nearest hit of
     each site within ``offset`` of it (best m, then position, on ties), trimmed around the median until
-    it stands; duplicates by Jaccard of sites (0.8) within ``offset`` go, best first."""
+    it stands; duplicates by Jaccard of sites (0.8) within ``offset`` go, best first. All centres take a
+    step at once, as rows of an array. ``bounds``: the least and greatest centre, those of the hits unless given."""
     need = max(1, int(min_frac * k_valid + 0.9999))
-    rows = hits[["site", "pos", "m"]].sort_values(["site", "pos"]).to_numpy()
+    rows = hits[["site", "pos", "m"]].sort_values(["site", "pos"])
     if not len(rows):
         return []
-    lo, hi = int(rows[:, 1].min()), int(rows[:, 1].max())
+    site, pos, m = rows["site"].to_numpy(), rows["pos"].to_numpy(float), rows["m"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], site[1:] != site[:-1]]))
+    # of equally near hits of a site the one that comes first here
+    order = np.lexsort((pos, -m))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    lo, hi = bounds or (int(pos.min()), int(pos.max()))
+    centres = np.unique(pos.astype(np.int64)[:, None] + np.arange(-int(offset), int(offset) + 1))
+    centres = centres[(centres >= lo) & (centres <= hi)].astype(float)
     found: dict[tuple, tuple] = {}
-    tried = sorted({c for p in rows[:, 1].astype(int) for c in range(p - int(offset), p + int(offset) + 1) if lo <= c <= hi})
-    for centre in tried:
-        mid, last = float(centre), None
+    step = max(1, 2_000_000 // len(pos))
+    for at in range(0, len(centres), step):
+        mid, last = centres[at : at + step], None
         for _ in range(rounds):
-            near = rows[np.abs(rows[:, 1] - mid) <= offset]
-            chosen = {}
-            for site, pos, m in near:
-                rank = (abs(pos - mid), -m, pos)
-                if site not in chosen or rank < chosen[site][0]:
-                    chosen[site] = (rank, pos)
-            if len(chosen) < need:
-                break
-            now = tuple(sorted((s, p) for s, (_, p) in chosen.items()))
-            mid = float(np.median([p for _, p in now]))
-            if now == last and all(abs(p - mid) <= offset for _, p in now):
-                found[now] = (mid, float(np.median([abs(p - mid) for _, p in now])), [s for s, _ in now], [p for _, p in now])
+            away = np.abs(pos - mid[:, None])
+            near = away <= offset
+            held = _distinct_sites(near, first) >= need
+            mid, away, near = mid[held], away[held], near[held]
+            if not len(mid):
                 break
-            last = now
+            # the best hit of each site: least distance, then place; -1 for sites without one
+            best = np.minimum.reduceat(np.where(near, away * len(pos) * 2 + place, np.inf), first, axis=1)
+            none = np.isinf(best)
+            chosen = np.where(none, -1, order[(np.where(none, 0, best) % len(pos)).astype(np.int64)])
+            at_pos = np.where(chosen >= 0, pos[chosen], np.nan)
+            now = np.nanmedian(at_pos, axis=1)
+            if last is not None:
+                stands = (chosen == last[held]).all(1) & (np.nanmax(np.abs(at_pos - now[:, None]), axis=1) <= offset)
+                for c, mid_now in zip(chosen[stands], now[stands]):
+                    own = c[c >= 0]
+                    key = tuple(zip(site[own].tolist(), pos[own].tolist()))
+                    if key not in found:
+                        found[key] = (float(mid_now), float(np.median(np.abs(pos[own] - mid_now))), site[own].tolist(), pos[own].tolist())
+                now, chosen = now[~stands], chosen[~stands]
+            mid, last = now, chosen
     out: list[tuple] = []
     for c in sorted(found.values(), key=lambda c: (-len(c[2]), c[1], c[0], c[3])):
         own = set(c[2])
@@ -87,17 +112,30 @@ def clusters_of(hits: pd.DataFrame, offset: float, min_frac: float, k_valid: int
     return out
 
 
+def split_at_gaps(df: DataFrame, by: list[str], lo: str, hi: str, gap: float) -> DataFrame:
+    """Adds __island: a number for each run of rows of a group whose intervals [lo, hi] lie at most
+    ``gap`` apart. What only acts over shorter distances can be done for each island alone."""
+    own = Window.partitionBy(*by).orderBy(lo, hi)
+    reach = F.max(hi).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    new = (reach.isNull() | (F.col(lo) - reach > gap)).cast("int")
+    return df.withColumn("__new", new).withColumn("__island", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+
+
 def position_clusters(hits: DataFrame, by: list[str], site: str, pos: str, m: str, valid: str, offset: float = 5, min_frac: float = 0.5) -> DataFrame:
     """by, cluster_id, median, mad, n_support, sites: see clusters_of. ``valid``: sites of the group
-    before any filtering. Groups are the hits of one window."""
+    before any filtering. A group's hits are dealt out at gaps that no cluster spans."""
     kinds = dict(hits.dtypes)
+    bounds = Window.partitionBy(*by)
+    dealt = split_at_gaps(hits.withColumns({"__lo": F.min(pos).over(bounds), "__hi": F.max(pos).over(bounds)}), by, pos, pos, 2 * offset)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        found = clusters_of(x.rename(columns={site: "site", pos: "pos", m: "m"}), offset, min_frac, int(x[valid].iloc[0]))
+        found = clusters_of(x.rename(columns={site: "site", pos: "pos", m: "m"}), offset, min_frac, int(x[valid].iloc[0]), bounds=(int(x["__lo"].iloc[0]), int(x["__hi"].iloc[0])))
         head = [x[c].iloc[0] for c in by]
-        return pd.DataFrame([(*head, i, c[0], c[1], len(c[2]), [int(s) for s in c[2]]) for i, c in enumerate(found)], columns=[*by, "cluster_id", "median", "mad", "n_support", "sites"])
+        return pd.DataFrame([(*head, c[0], c[1], len(c[2]), [int(s) for s in c[2]], [float(p) for p in c[3]]) for c in found], columns=[*by, "median", "mad", "n_support", "sites", "at"])
 
-    return grouped(hits, by, run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", cluster_id bigint, median double, mad double, n_support bigint, sites array<bigint>")
+    found = grouped(dealt, [*by, "__island"], run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", median double, mad double, n_support bigint, sites array<bigint>, at array<double>")
+    best = Window.partitionBy(*by).orderBy(F.desc("n_support"), "mad", "median", "at")
+    return found.withColumn("cluster_id", F.row_number().over(best).cast("long") - 1).select(*by, "cluster_id", "median", "mad", "n_support", "sites")
 
 
 def merge_rows(rows: list[tuple], near: list[float], jaccard: float = 0.8) -> list[int]:
@@ -126,7 +164,11 @@ def greedy_merge(df: DataFrame, by: list[str], key: str, order: list[tuple[str,
         at = merge_rows([(t[:-1], set(t[-1])) for t in x[[*near, members]].itertuples(index=False, name=None)], list(near.values()), jaccard)
         return x[[*by, key]].assign(anchor=x[key].to_numpy()[at])
 
-    return grouped(df, by, run, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, key]) + f", anchor {kinds[key]}")
+    rows, keys = df, list(by)
+    for i, (c, d) in enumerate(near.items()):  # nothing merges over a larger gap of a coordinate
+        rows = split_at_gaps(rows, keys, c, c, d).withColumnRenamed("__island", f"__i{i}")
+        keys.append(f"__i{i}")
+    return grouped(rows, keys, run, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, key]) + f", anchor {kinds[key]}")
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
@@ -146,26 +188,12 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components need more than {rounds} rounds")
 
 
-def threshold_groups(pairs: DataFrame, by: list[str], a: str, b: str, linked) -> DataFrame:
-    """by, node, root over pairs of small groups for which ``linked`` holds; unlinked nodes are roots."""
-    kinds = dict(pairs.dtypes)
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({*x[a], *x[b]})
-        root = {n: n for n in nodes}
-
-        def find(n):
-            while root[n] != n:
-                root[n] = n = root[root[n]]
-            return n
-
-        for p, q in zip(x[a][x["__l"]], x[b][x["__l"]]):
-            p, q = find(p), find(q)
-            root[max(p, q)] = min(p, q)
-        head = {c: x[c].iloc[0] for c in by}
-        return pd.DataFrame({**{c: [v] * len(nodes) for c, v in head.items()}, "node": nodes, "root": [find(n) for n in nodes]})
-
-    return grouped(pairs.withColumn("__l", F.coalesce(linked, F.lit(False))), by, run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", node {kinds[a]}, root {kinds[a]}")
+def threshold_groups(nodes: DataFrame, linked: DataFrame, by: list[str], key: str, a: str, b: str) -> DataFrame:
+    """by, node, root: the groups that the pairs ``linked`` (by, a, b) make of ``nodes`` (by, key) within
+    each ``by``; unlinked nodes are roots. Groups may be of any size."""
+    name = lambda c: F.struct(*by, F.col(c).alias("k"))
+    roots = components(linked.select(name(a).alias("a"), name(b).alias("b")), "a", "b").select(*[F.col(f"node.{c}").alias(c) for c in by], F.col("node.k").alias("node"), F.col("root.k").alias("root"))
+    return nodes.select(*by, F.col(key).alias("node")).distinct().join(roots, [*by, "node"], "left").select(*by, "node", F.coalesce("root", "node").alias("root"))
 
 
 def group_gate(groups: DataFrame, by: list[str], least: int = 3) -> DataFrame:

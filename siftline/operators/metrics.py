@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.functions.seq import hash_uniform
-from siftline.session import ship
+from siftline.operators.windows import running
+from siftline.session import cut, ship
 
 
 def auroc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
@@ -38,9 +39,8 @@ def hanley_mcneil(rates: DataFrame, z: float = 1.959963984540054) -> DataFrame:
 
 def average_precision(df: DataFrame, by: list[str], score: str, positive: Column, tie: str) -> DataFrame:
     """Mean over positives of the precision at their place; ``tie`` orders equal scores."""
-    order = Window.partitionBy(*by).orderBy(F.desc(score), tie)
-    at = df.select(*by, positive.alias("__p"), F.row_number().over(order).alias("__k"), F.count_if(positive).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__tp"))
-    return at.where("__p").groupBy(*by).agg(F.avg(F.col("__tp") / F.col("__k")).alias("ap"), F.count(F.lit(1)).alias("n_pos"))
+    at = running(df.withColumn("__p", positive), by, [F.desc(score), tie], F.col("__p").cast("int"))
+    return at.where("__p").groupBy(*by).agg(F.avg(F.col("__sum") / F.col("__place")).alias("ap"), F.count(F.lit(1)).alias("n_pos"))
 
 
 def expected_ranks(df: DataFrame, by: str, score: str, gold: Column, ks: list[int]) -> DataFrame:
@@ -58,11 +58,10 @@ def draws(n_boot: int, units: DataFrame, key: str, seed: int, by: list[str] | No
     """by, __b, key, times: how often each unit is drawn in each of n_boot resamples of as many units
     with replacement. A draw is md5 of (b, place) scaled to the unit's number, so any engine repeats it."""
     by = by or []
-    place = Window.partitionBy(*by).orderBy(key)
-    numbered = units.select(*by, key).distinct().withColumn("__i", F.row_number().over(place) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    numbered = cut(running(units.select(*by, key).distinct(), by, [key]).select(*by, key, (F.col("__place") - 1).alias("__i"), "__n"), "units")
     slots = numbered.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     pick = F.floor(hash_uniform("__b", "__i", *by, salt=str(seed)) * F.col("__n"))
-    drawn = slots.select(*by, "__b", pick.cast("int").alias("__i")).groupBy(*by, "__b", "__i").agg(F.count(F.lit(1)).alias("times"))
+    drawn = slots.select(*by, "__b", pick.cast("long").alias("__i")).groupBy(*by, "__b", "__i").agg(F.count(F.lit(1)).alias("times"))
     return drawn.join(numbered.drop("__n"), [*by, "__i"]).select(*by, "__b", key, "times")
 
 
@@ -268,21 +267,24 @@ def decision_gate(a: DataFrame, b: DataFrame, unit: str, hit: str, least_shared:
 
 
 def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman's coefficient, with mean ranks for ties. One global order: for summary tables (rows
-    such as a bag's score each), since all of them are ranked in one task."""
-    mean_rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(mean_rank(x).alias("rx"), mean_rank(y).alias("ry"))
-    return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    """Spearman's coefficient, with mean ranks for ties: ranks come from counts per distinct value."""
+    rows = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y")), "pairs")
+
+    def ranks(c: str) -> DataFrame:
+        counts = running(rows.groupBy(c).agg(F.count(F.lit(1)).alias("c")), [], [c], F.col("c"))
+        return counts.select(c, (F.col("__sum") - F.col("c") + (F.col("c") + 1) / 2).alias(f"r{c}"))
+
+    return rows.join(ranks("x"), "x").join(ranks("y"), "y").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def two_samples(df: DataFrame, x: str, first: Column) -> DataFrame:
     """Kolmogorov-Smirnov statistic and Mann-Whitney U of two samples, from counts per distinct value."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
-    upto = Window.orderBy(x)
-    all_ = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(all_) - F.sum("b").over(upto) / F.sum("b").over(all_))
-    below = F.sum("b").over(upto) - F.col("b")
-    return counts.select(gap.alias("gap"), (F.col("a") * (below + F.col("b") / 2)).alias("u")).agg(F.max("gap").alias("ks"), F.sum("u").alias("u"))
+    counts = cut(df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b")), "values")
+    upto = running(counts, [], ["x"], F.col("a")).withColumnRenamed("__sum", "a_upto").drop("__place", "__n")
+    upto = running(upto, [], ["x"], F.col("b"))
+    total = F.broadcast(counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")))  # one row
+    gap = F.abs(F.try_divide(F.col("a_upto"), F.col("ta")) - F.try_divide(F.col("__sum"), F.col("tb")))
+    return upto.join(total).agg(F.max(gap).alias("ks"), F.sum(F.col("a") * (F.col("__sum") - F.col("b") + F.col("b") / 2)).alias("u"))
 
 
 def cross_validated_auroc(df: DataFrame, key: str, features: list[str], positive: str, folds: int = 5, seed: int = 0) -> DataFrame:
@@ -307,12 +309,11 @@ def cross_validated_auroc(df: DataFrame, key: str, features: list[str], positive
 
 def coherence_permutation(hits: DataFrame, bag: str, site: str, key: str, n_perm: int, seed: int = 0) -> DataFrame:
     """perm, s, n: how many (bag, key) have hits in at least s sites, for the real bags (perm 0) and
-    for sites dealt anew to bags of the same sizes in hash order. The (bag, site) pairs of one
-    permutation are ordered in one task: for tables of sites, not of hits."""
+    for sites dealt anew to bags of the same sizes in hash order."""
     sites = hits.select(bag, site).distinct()
-    slots = sites.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(bag, site)))
+    slots = running(sites, [], [bag, site]).withColumnRenamed("__place", "__k")
     perms = sites.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    dealt = perms.withColumn("__k", F.row_number().over(Window.partitionBy("perm").orderBy(hash_uniform("perm", bag, site, salt=str(seed)), bag, site)))
+    dealt = running(perms, ["perm"], [hash_uniform("perm", bag, site, salt=str(seed)), bag, site]).withColumnRenamed("__place", "__k")
     moved = dealt.join(slots.select("__k", F.col(bag).alias("__to")), "__k").select("perm", bag, site, "__to")
     every = hits.join(moved, [bag, site]).select("perm", F.col("__to").alias("g"), F.concat_ws("|", bag, site).alias("s"), key).unionByName(hits.select(F.lit(0).alias("perm"), F.col(bag).alias("g"), F.concat_ws("|", bag, site).alias("s"), key))
     support = every.groupBy("perm", "g", key).agg(F.countDistinct("s").alias("support"))

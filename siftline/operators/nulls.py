@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.functions.seq import hash_uniform
+from siftline.operators.windows import following, running
 from siftline.session import ship
 
 
@@ -84,9 +85,12 @@ def shuffled(df: DataFrame, keys: list[str], s: str, seed: int, k: int | None =
 
 def rotated(df: DataFrame, by: list[str], key: str, take: str, seed: int) -> DataFrame:
     """A derangement: each row gets ``take`` of the next row of its group in hash order (alone: its own)."""
-    order = Window.partitionBy(*by).orderBy(hash_uniform(key, salt=str(seed)), key)
-    following = F.coalesce(F.lead(take).over(order), F.first(take).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return df.withColumn(f"shuffled_{take}", following)
+    return following(df, by, [hash_uniform(key, salt=str(seed)), key], take).withColumnRenamed("__next", f"shuffled_{take}")
+
+
+def next_bags(bags: DataFrame, bag: str) -> DataFrame:
+    """bag, donor: the next bag by name, the first for the last."""
+    return following(bags.select(bag).distinct(), [], [bag], bag).select(bag, F.col("__next").alias("donor"))
 
 
 def donor_join(df: DataFrame, bag: str, ordinal: str, take: str, donors: DataFrame) -> DataFrame:
@@ -119,8 +123,8 @@ def subsets(df: DataFrame, group: str, key: str, n_sets: int, least: int, most:
 
 def batches(df: DataFrame, stratum: str, key: str, per_batch: int, seed: int = 0) -> DataFrame:
     """batch number of each row: per_batch rows of every stratum in each batch, in hash order."""
-    order = Window.partitionBy(stratum).orderBy(hash_uniform(key, salt=str(seed)), key)
-    return df.withColumn("batch", F.floor((F.row_number().over(order) - 1) / per_batch))
+    placed = running(df, [stratum], [hash_uniform(key, salt=str(seed)), key])
+    return placed.withColumn("batch", F.floor((F.col("__place") - 1) / per_batch)).drop("__place", "__n", "__sum")
 
 
 def mismatch_classes(spark, length: int, n_mm: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.functions.seq import hash_uniform
+from siftline.operators.windows import running
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -48,8 +49,7 @@ def flat_top(df: DataFrame, by: list[str], x: str, k: int) -> DataFrame:
 
 def stratified_split(df: DataFrame, key: str, stratum: str, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 0) -> DataFrame:
     """train, val or test by hash order within strata; sizes are rounded half to even, test takes the rest."""
-    own = Window.partitionBy(stratum)
-    i = F.row_number().over(own.orderBy(hash_uniform(key, salt=str(seed)), key))
-    n = F.count(F.lit(1)).over(own)
-    a, b = F.bround(n * ratios[0]), F.bround(n * ratios[1])
-    return df.withColumn("split", F.when(i <= a, "train").when(i <= a + b, "val").otherwise("test"))
+    placed = running(df, [stratum], [hash_uniform(key, salt=str(seed)), key])
+    a, b = F.bround(F.col("__n") * ratios[0]), F.bround(F.col("__n") * ratios[1])
+    split = F.when(F.col("__place") <= a, "train").when(F.col("__place") <= a + b, "val").otherwise("test")
+    return placed.withColumn("split", split).drop("__place", "__n", "__sum")

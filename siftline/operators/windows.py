@@ -2,8 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from siftline.session import cut, partitions
+
+
+def running(df: DataFrame, by: list[str], order: list[Column | str], value: Column | None = None) -> DataFrame:
+    """Adds __place (from 1), __n (rows of the group) and __sum (``value`` up to the row), for groups of
+    any size: rows are dealt by range of (by, order) and numbered in their part, and the sums of the
+    parts before are added. ``order`` ends with a unique key. ``by`` may be empty."""
+    n = max(partitions(df.sparkSession), 2)
+    dealt = cut(df.withColumn("__v", F.lit(0) if value is None else value).repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a row for each group and each part: groups that lie in one part need no more than that
+    sums = dealt.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__c"), F.sum("__v").alias("__s"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, "__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c0"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"), F.sum("__c").over(Window.partitionBy(*by)).alias("__n"))
+    on = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "__part"]])
+    rows = dealt.withColumns({"__place": F.row_number().over(own), "__sum": F.sum("__v").over(own)}).alias("r").join(offsets.alias("o"), on)
+    return rows.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r.__place") + F.col("o.__c0")).alias("__place"), (F.col("r.__sum") + F.col("o.__s0")).alias("__sum"), F.col("o.__n").alias("__n"))
+
+
+def following(df: DataFrame, by: list[str], order: list[Column | str], take: str) -> DataFrame:
+    """Adds __next: ``take`` of the next row of the group in ``order``, of the first after the last."""
+    placed = cut(running(df, by, order), "places")
+    after = placed.select(*by, (F.pmod(F.col("__place") - 2, F.col("__n")) + 1).alias("__place"), F.col(take).alias("__next"))
+    return placed.join(after, [*by, "__place"]).drop("__place", "__n", "__sum")
+
 
 def peaks(df: DataFrame, by: list[str], pos: str, height: str, distance: int, least: float | None = None) -> DataFrame:
     """Rows that no other within ``distance`` positions exceeds; every row of a plateau is one."""

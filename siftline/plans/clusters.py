@@ -9,12 +9,21 @@ from siftline.registry import query, table
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_quantity >= 49 AND b.l_quantity >= 49),
+    WITH RECURSIVE p AS (SELECT DISTINCT s_nationkey AS g, s_suppkey AS k, s_acctbal AS v FROM supplier),
+    e AS (SELECT a.g, a.k AS x, b.k AS y FROM p a JOIN p b ON a.g = b.g AND a.k <> b.k AND abs(a.v - b.v) <= 500),
     r AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
+def link_balances(spark, sf_dir):
+    """Suppliers of a nation chained by like balances, and the least supplier that each reaches."""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    return linkage.components(joins.near_pairs(s, ["s_nationkey"], "s_suppkey", "s_acctbal", 500), "s_suppkey_a", "s_suppkey_b")
+
+
+@query()
 def link_components(spark, sf_dir):
-    """Parts that share an order, at large quantities, and the groups that they form."""
-    big = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey").distinct()
-    return linkage.components(joins.pairs_within(big, ["l_orderkey"], "l_partkey", [], 1000), "l_partkey_a", "l_partkey_b")
+    """Parts that share an order, over all lines: each order's parts are linked to its least part."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    least = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("least"))
+    return linkage.components(lines.join(least, "l_orderkey").where("l_partkey > least").select("l_partkey", "least").distinct(), "l_partkey", "least")
 
 
 @query()
@@ -44,13 +53,17 @@ def cluster_merge(spark, sf_dir):
     return linkage.greedy_merge(c, ["user_id"], "cluster_id", [("n_support", False), ("mad", True)], {"median": 8.0}, "sites")
 
 
-@query()
+@query("""
+    WITH RECURSIVE p AS (SELECT s_nationkey AS g, s_suppkey AS k, s_acctbal AS v FROM supplier),
+    e AS (SELECT a.g, a.k AS x, b.k AS y FROM p a JOIN p b ON a.g = b.g AND a.k <> b.k AND abs(a.v - b.v) <= 500),
+    r AS (SELECT g, k AS node, k AS root FROM p UNION SELECT e.g, e.y, r.root FROM r JOIN e ON e.x = r.node AND e.g = r.g),
+    m AS (SELECT g, node, min(root) AS root FROM r GROUP BY 1, 2), n AS (SELECT g AS s_nationkey, count(DISTINCT root) AS n_groups FROM m GROUP BY 1)
+    SELECT s_nationkey, n_groups, n_groups >= 3 AS passes, CASE WHEN n_groups < 3 THEN 'insufficient_bg_groups' END AS reason FROM n""")
 def group_similar(spark, sf_dir):
     """Suppliers of a nation linked by like balances: groups, and whether a nation has three or more."""
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
-    pairs = joins.pairs_within(s, ["s_nationkey"], "s_suppkey", ["s_acctbal"], 5000)
-    groups = linkage.threshold_groups(pairs, ["s_nationkey"], "s_suppkey_a", "s_suppkey_b", F.abs(F.col("s_acctbal_a") - F.col("s_acctbal_b")) <= 500)
-    return linkage.group_gate(groups, ["s_nationkey"])
+    linked = joins.near_pairs(s, ["s_nationkey"], "s_suppkey", "s_acctbal", 500)
+    return linkage.group_gate(linkage.threshold_groups(s, linked, ["s_nationkey"], "s_suppkey", "s_suppkey_a", "s_suppkey_b"), ["s_nationkey"])
 
 
 @query("""
@@ -59,5 +72,5 @@ def group_similar(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY members DESC, anchor) AS k FROM c) SELECT s_nationkey, anchor, members FROM r WHERE k = 1""")
 def link_star_anchor(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
-    pairs = joins.pairs_within(s, ["s_nationkey"], "s_suppkey", ["s_acctbal"], 5000).where(F.abs(F.col("s_acctbal_a") - F.col("s_acctbal_b")) <= 2000).withColumn("size", F.lit(0))
+    pairs = joins.near_pairs(s, ["s_nationkey"], "s_suppkey", "s_acctbal", 2000).withColumn("size", F.lit(0))
     return linkage.star_anchor(pairs, ["s_nationkey"], "s_suppkey_a", "s_suppkey_b", "size")

@@ -20,8 +20,7 @@ def agg_spread(spark, sf_dir):
     WITH s AS (SELECT l_returnflag, list(l_extendedprice ORDER BY l_extendedprice) AS x FROM lineitem GROUP BY 1)
     SELECT l_returnflag, x[CAST(least(floor(len(x) * 50 / 100.0), len(x) - 1) AS BIGINT) + 1] AS p50, x[CAST(least(floor(len(x) * 90 / 100.0), len(x) - 1) AS BIGINT) + 1] AS p90, x[CAST(least(floor(len(x) * 99 / 100.0), len(x) - 1) AS BIGINT) + 1] AS p99 FROM s""")
 def agg_floor_percentiles(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sort_array(F.collect_list("l_extendedprice")).alias("x"))
-    return g.select("l_returnflag", *[a.floor_percentile(F.col("x"), p).alias(f"p{p}") for p in (50, 90, 99)])
+    return a.floor_index(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 50, "p90": 90, "p99": 99}).drop("n")
 
 
 @query("SELECT l_shipmonth, round(q[1], 6) AS q1, round(q[2], 6) AS q2, round(q[3], 6) AS q3, round(big, 6) AS big FROM (SELECT month(l_shipdate) AS l_shipmonth, quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS q, avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END) AS big FROM lineitem GROUP BY 1)")

@@ -245,15 +245,10 @@ def null_batches(spark, sf_dir):
     d AS (SELECT o_custkey, coalesce(lead(o_custkey) OVER (ORDER BY o_custkey), min(o_custkey) OVER ()) AS donor FROM n)
     SELECT r.o_orderkey, x.o_orderkey AS donor_o_orderkey FROM r JOIN d ON d.o_custkey = r.o_custkey JOIN n ON n.o_custkey = d.donor JOIN r x ON x.o_custkey = d.donor AND x.i = r.i % n.n""")
 def null_donors(spark, sf_dir):
-    from pyspark.sql import Window
-
-    from siftline.operators.nulls import donor_join
+    from siftline.operators.nulls import donor_join, next_bags
 
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    bags = o.select("o_custkey").distinct()
-    bounds = bags.agg(F.min("o_custkey").alias("least"))
-    donors = bags.crossJoin(F.broadcast(bounds)).select("o_custkey", F.coalesce(F.lead("o_custkey").over(Window.orderBy("o_custkey")), "least").alias("donor"))
-    return donor_join(o, "o_custkey", "o_orderkey", "o_orderkey", donors).select("o_orderkey", "donor_o_orderkey")
+    return donor_join(o, "o_custkey", "o_orderkey", "o_orderkey", next_bags(o, "o_custkey")).select("o_orderkey", "donor_o_orderkey")
 
 
 @query("SELECT c_custkey, CAST(NULL AS VARCHAR) AS condition FROM customer WHERE 1 = 0 UNION ALL SELECT c_custkey, condition FROM customer, unnest(['real', 'pairs', 'words', 'donor', 'reverse']) AS t(condition)")

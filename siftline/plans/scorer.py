@@ -51,11 +51,12 @@ def score_clusters(sites: DataFrame, spec: Spec = Spec()) -> DataFrame:
     wide = hits.withColumn("key", F.concat_ws("|", "orient", "L", "i"))
     clusters = linkage.position_clusters(wide.select("bag_id", "key", "site_ord", "f", "m", "k_valid"), ["bag_id", "key"], "site_ord", "f", "m", "k_valid", spec.offset, spec.min_frac)
     members = clusters.select("bag_id", "key", "cluster_id", "median", F.explode("sites").alias("site_ord")).join(sites.select("bag_id", F.col("site_ord").cast("long").alias("site_ord"), "flank"), ["bag_id", "site_ord"])
-    pairs = joins.pairs_within(members, ["bag_id", "key", "cluster_id"], "site_ord", ["flank", "median"], 10_000)
+    pairs = joins.pairs_within(members, ["bag_id", "key", "cluster_id"], "site_ord", ["flank", "median"])
     length = F.element_at(F.split("key", r"\|"), 2).cast("int")
     bounds = lambda side: seq.masked_bounds(F.length(f"flank_{side}"), F.floor("median_a").cast("int"), length, spec.margin)
     same = F.greatest(*[seq.trimmed_identity(c["a"], c["b"]) for c in (seq.side_chunks("flank_a", bounds("a"), "flank_b", bounds("b"), s) for s in ("left", "right"))]) > spec.identity
-    groups = linkage.threshold_groups(pairs.withColumn("same", same).select("bag_id", "key", "cluster_id", "site_ord_a", "site_ord_b", "same"), ["bag_id", "key", "cluster_id"], "site_ord_a", "site_ord_b", F.col("same"))
+    cluster = ["bag_id", "key", "cluster_id"]
+    groups = linkage.threshold_groups(members, pairs.where(same), cluster, "site_ord", "site_ord_a", "site_ord_b")
     gated = linkage.group_gate(groups, ["bag_id", "key", "cluster_id"], spec.least_groups)
     rows = clusters.join(gated, ["bag_id", "key", "cluster_id"], "left").withColumn("passes", F.coalesce("passes", F.lit(False))).withColumn("id", F.concat_ws("#", "key", "cluster_id"))
     merged = linkage.greedy_merge(rows.select("bag_id", "id", "n_support", "mad", "median", "sites"), ["bag_id"], "id", [("n_support", False), ("mad", True)], {"median": spec.offset}, "sites", spec.jaccard)

@@ -94,3 +94,24 @@ def test_counterfactuals_keep_lengths(spark, kind):
     neg = nulls.counterfactual(df, "k", kind, "nc", "flank", "lo", "n")
     assert nulls.broken_invariants(df, neg, "k", ["nc"], ["flank"]).count() == 0
     assert all(r.flank != "ACGGTCATTACGATCGAAAC" for r in neg.collect())
+
+
+def test_link_components_by_union_find(spark):
+    """Parts of one order are one group: over all lines."""
+    from siftline import catalog
+
+    folder = "/root/testdata/sf0.001"
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    orders = {}
+    for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        first = orders.setdefault(r.l_orderkey, r.l_partkey)
+        a, b = find(first), find(r.l_partkey)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in catalog.QUERIES["link_components"](spark, folder).collect()}
+    assert got == {x: find(x) for x in got} and set(got) >= {x for x in root if find(x) != x}

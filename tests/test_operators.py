@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,70 @@ def test_checks_raise(spark):
     side = spark.createDataFrame([(1, "bad")], "x int, digest string")
     with pytest.raises(Exception, match="digest"):
         validate.attach_verified(df, side, ["x"], F.col("x").cast("string"), "digest").collect()
+
+
+def loops_over_centres(rows, offset, min_frac, k_valid):
+    """The rule of clusters_of, a centre and a hit at a time: rows (site, pos, m)."""
+    need, found = max(1, int(min_frac * k_valid + 0.9999)), {}
+    lo, hi = min(p for _, p, _ in rows), max(p for _, p, _ in rows)
+    for centre in sorted({c for _, p, _ in rows for c in range(p - offset, p + offset + 1) if lo <= c <= hi}):
+        mid, last = float(centre), None
+        for _ in range(20):
+            best = {}
+            for site, pos, m in rows:
+                rank = (abs(pos - mid), -m, pos)
+                if abs(pos - mid) <= offset and (site not in best or rank < best[site]):
+                    best[site] = rank
+            now = sorted((s, r[2]) for s, r in best.items())
+            if len(now) < need:
+                break
+            mid = float(np.median([p for _, p in now]))
+            if now == last and all(abs(p - mid) <= offset for _, p in now):
+                found[tuple(now)] = (mid, float(np.median([abs(p - mid) for _, p in now])), [s for s, _ in now], [p for _, p in now])
+                break
+            last = now
+    out = []
+    for c in sorted(found.values(), key=lambda c: (-len(c[2]), c[1], c[0], c[3])):
+        if not any(abs(c[0] - o[0]) <= offset and len(set(c[2]) & set(o[2])) / len(set(c[2]) | set(o[2])) >= 0.8 for o in out):
+            out.append(c)
+    return out
+
+
+def test_clusters_equal_loops_and_split_at_gaps(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for g in range(25):
+        for _ in range(int(rng.integers(1, 40))):
+            rows.append((g, int(rng.integers(0, 8)), int(rng.integers(0, 90)), int(rng.integers(0, 4))))
+    rows = list(dict.fromkeys(rows))
+    df = spark.createDataFrame([(*r, 8) for r in rows], "g int, site int, pos int, m int, valid int")
+    got = {}
+    for r in linkage.position_clusters(df, ["g"], "site", "pos", "m", "valid", 5, 0.3).orderBy("g", "cluster_id").collect():
+        got.setdefault(r.g, []).append((r["median"], r.mad, r.sites))
+    for g in range(25):
+        own = [r[1:] for r in rows if r[0] == g]
+        assert got.get(g, []) == [(c[0], c[1], c[2]) for c in loops_over_centres(own, 5, 0.3, 8)]
+
+
+def test_pairs_in_blocks_are_all_pairs(spark):
+    df = spark.createDataFrame([(i % 2, i, float(i * 37 % 50)) for i in range(60)], "g int, k int, v double")
+    rows = df.collect()
+    want = {(a.k, b.k) for a in rows for b in rows if a.g == b.g and a.k < b.k}
+    assert {(r.k_a, r.k_b) for r in joins.pairs_within(df, ["g"], "k", ["v"], 7).collect()} == want
+    near = {(a.k, b.k) for a in rows for b in rows if a.g == b.g and a.k < b.k and abs(a.v - b.v) <= 6}
+    got = [(r.k_a, r.k_b) for r in joins.near_pairs(df, ["g"], "k", "v", 6).collect()]
+    assert len(got) == len(set(got)) and set(got) == near
+
+
+def test_running_over_ranges(spark):
+    from siftline.operators import windows
+
+    df = spark.createDataFrame([("a" if i % 3 else "b", i, i * 7 % 11) for i in range(200)], "g string, k int, v int")
+    for by in (["g"], []):
+        got = windows.running(df, by, [F.desc("v"), "k"], F.col("v")).collect()
+        groups = {}
+        for r in sorted(got, key=lambda r: (-r.v, r.k)):
+            own = groups.setdefault(r.g if by else 0, [])
+            own.append(r)
+        for own in groups.values():
+            assert [r["__place"] for r in own] == list(range(1, len(own) + 1)) and [r["__sum"] for r in own] == list(np.cumsum([r.v for r in own])) and all(r["__n"] == len(own) for r in own)
