@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.llm.textops import U, slices, words
 from siftline.session import cut, partitions, ship
 
-DEPTH, FREQUENT, HELD, FLUSH = 6, 1 << 18, 2_000_000, 3_000_000
+DEPTH, FREQUENT, HELD, FLUSH = 5, 1 << 18, 1 << 20, 2_000_000
 STRING, WORD = 0, 1
 END = -1  # the key of the end token
 HALF = math.log(0.5)
