@@ -209,21 +209,38 @@ def side_chunks(a: Column | str, a_bounds: Column, b: Column | str, b_bounds: Co
     return F.struct(slice_at(a, a_bounds["hi"], n).alias("a"), slice_at(b, b_bounds["hi"], n).alias("b"))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), the value being computed once however often f names it (in lambdas too)."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def boundaries(occupied: Column | str, empty: Column | str) -> Column:
-    """struct(mismatches, intervals): the deletions of occupied that leave empty with fewest mismatches."""
-    e = F.length(col(empty))
-    size = F.length(col(occupied)) - e
-    differ = lambda i: e - _pairs(F.concat(F.substring(col(occupied), F.lit(1), i), F.substring(col(occupied), i + size + 1, e)), empty, lambda x, y: x == y)
-    tried = F.transform(F.sequence(F.lit(0), e), lambda i: F.struct(differ(i).alias("mismatches"), i.alias("lo"), (i + size).alias("hi")))
-    least = F.array_min(F.transform(tried, lambda t: t["mismatches"]))
-    return F.when(size >= 0, F.struct(least.alias("mismatches"), F.transform(F.filter(tried, lambda t: t["mismatches"] == least), lambda t: F.struct(t["lo"].alias("lo"), t["hi"].alias("hi"))).alias("intervals")))
+    """struct(mismatches, intervals): the deletions of occupied that leave empty with fewest mismatches.
+    A deletion's mismatches are those before it and those after it, from running counts."""
+    upto = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def counts(t: Column) -> Column:
+        n, size = F.size(t["e"]), F.size(t["o"]) - F.size(t["e"])
+        return F.struct(n.alias("n"), size.alias("size"), upto(F.slice(t["o"], 1, n), t["e"]).alias("head"), upto(F.slice(t["o"], size + 1, n), t["e"]).alias("tail"))
+
+    def tried(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), c["n"]), lambda i: F.struct((F.get(c["head"], i) + F.element_at(c["tail"], -1) - F.get(c["tail"], i)).alias("mismatches"), i.alias("lo"), (i + c["size"]).alias("hi")))
+
+    def best(all_: Column) -> Column:
+        return let(F.struct(F.array_min(F.transform(all_, lambda t: t["mismatches"])).alias("least"), all_.alias("all")), lambda s: F.struct(s["least"].alias("mismatches"), F.transform(F.filter(s["all"], lambda t: t["mismatches"] == s["least"]), lambda t: F.struct(t["lo"].alias("lo"), t["hi"].alias("hi"))).alias("intervals")))
+
+    found = let(F.struct(chars(occupied).alias("o"), chars(empty).alias("e")), lambda t: let(counts(t), lambda c: let(tried(c), best)))
+    return F.when(F.length(col(occupied)) >= F.length(col(empty)), found)
 
 
 def window_hits(nc: Column | str, flank: Column | str, length: int, least: int) -> Column:
     """array<struct(i, j, m)>: pairs of windows with m >= least matches, found before anything is exploded."""
-    a, b = encode(nc), encode(flank)
-    m = lambda i, j: F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0), lambda t, k: t + ((F.get(a, i + k) == F.get(b, j + k)) & (F.get(a, i + k) < 4)).cast("int"))
-    return F.flatten(F.transform(starts(nc, length), lambda i: F.filter(F.transform(starts(flank, length), lambda j: F.struct(i.alias("i"), j.alias("j"), m(i, j).alias("m"))), lambda h: h["m"] >= least)))
+
+    def hits(t: Column) -> Column:
+        m = lambda i, j: F.aggregate(F.zip_with(F.slice(t["a"], i + 1, length), F.slice(t["b"], j + 1, length), lambda x, y: ((x == y) & (x < 4)).cast("int")), F.lit(0), lambda n, x: n + x)
+        return F.flatten(F.transform(starts(nc, length), lambda i: F.filter(F.transform(starts(flank, length), lambda j: F.struct(i.alias("i"), j.alias("j"), m(i, j).alias("m"))), lambda h: h["m"] >= least)))
+
+    return let(F.struct(encode(nc).alias("a"), encode(flank).alias("b")), hits)
 
 
 def seed_repeat(s: Column | str, half: int, least: int, most: int) -> Column:
