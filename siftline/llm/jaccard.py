@@ -319,7 +319,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     points = cut(_points(docs, id_col, text_col, size, num, den), "points")
     region = points.where("regions is not null").select("node", F.explode("regions").alias("region"))
     least = F.first("node").over(Window.partitionBy("region").orderBy("node"))
-    meets = region.withColumn("least", least).where("node > least").select("node", "least").distinct()
+    meets = cut(region.withColumn("least", least).where("node > least").select("node", "least").distinct(), "meets")
     cells = cut(components(meets, "node", "least").select("node", F.col("root").alias("cell")), "region-cells")
     members = cut(_sets(docs, cells, text_col, size), "members")
     roots = components(_links(members, leaf, mass, num, den))

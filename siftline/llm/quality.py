@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.llm.ctw import Counts, Lookup
-from siftline.llm.textops import U, mix, slices, words
-from siftline.session import cut, ship
+from siftline.llm.textops import U, content_keys, mix, slices, words
+from siftline.session import cut, free_name, ship
 
 SAMPLE, FEATURES, LEAST_DF, LEAST_Z = 20_000, 4096, 5, 2.5
 _BYTES = np.arange(256)
@@ -156,14 +156,17 @@ def _pseudo_count(groups: DataFrame, rate: str, prior: str) -> float:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str = "lang", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """id_col, evidence, site_rate, score (probability of good), accepted of every document."""
-    judged, columns = _judged(docs.select(id_col, text_col, _column(host).alias("host"), _column(path).alias("path")), labels, id_col, text_col, "host", "path", sample, threshold)
-    return judged.select(F.col(columns[0]).alias(id_col), "evidence", "site_rate", "score", "accepted")
+    return _judged(docs, labels, id_col, text_col, host, path, sample, threshold).select(F.col("doc").alias(id_col), "evidence", "site_rate", "score", "accepted")
 
 
 def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str = "lang", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """The documents that :func:`judge` accepts, with all columns of ``docs`` as they are."""
-    judged, columns = _judged(docs, labels, id_col, text_col, host, path, sample, threshold, with_text=True)
-    return judged.where("accepted").select(*[F.col(k).alias(c) for k, c in zip(columns, docs.columns)])
+    """The documents that :func:`judge` accepts, with all columns of ``docs`` as they are. A decision
+    depends on id, text, host and path alone, so rows are found again by a 128-bit hash of these,
+    which is the same however a scan is dealt out."""
+    accepted = _judged(docs, labels, id_col, text_col, host, path, sample, threshold).where("accepted").select("k1", "k2").distinct()
+    names = free_name(docs.columns, "k1"), free_name(docs.columns, "k2")
+    keys = content_keys(F.col(id_col), F.col(text_col), _column(host), _column(path))
+    return docs.withColumns(dict(zip(names, keys))).join(accepted.toDF(*names), list(names), "left_semi").select(docs.columns)
 
 
 def _column(c: Column | str) -> Column:
@@ -191,9 +194,8 @@ def shrunk(site: DataFrame) -> DataFrame:
     return paths.withColumn("weight", F.lit(of_paths))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: Column | str, path: Column | str, sample: int, threshold: float, with_text: bool = False) -> tuple[DataFrame, list[str]]:
-    """Rows with evidence, site_rate, score, accepted, and columns k0, k1.. that hold those of ``docs``
-    (the id alone unless ``with_text``). Names inside are this function's own, so none can clash."""
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: Column | str, path: Column | str, sample: int, threshold: float) -> DataFrame:
+    """doc, k1, k2, evidence, site_rate, score, accepted of every row. Names inside are this function's own, so none can clash."""
     spark = docs.sparkSession
     ship(spark)
     good = ((F.col("quality") >= 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")
@@ -202,18 +204,15 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host
     # of documents that share an id one learns, so that the sample keeps its bound
     learn = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("__id")).join(F.broadcast(few), F.col("__id") == F.col("label")).groupBy("label").agg(F.min("__text").alias("__text"), F.min("good").alias("good"))
     fitted = fit(learn.select("__text", "good"))
-    wanted = docs.columns if with_text else [id_col]
-    columns = [f"k{i}" for i in range(len(wanted))]
-    base = docs.select(*[F.col(c).alias(k) for c, k in zip(wanted, columns)], F.col(text_col).alias("body"), F.col(id_col).alias("doc"), _column(host).cast("string").alias("host"), _column(path).cast("string").alias("path"), F.monotonically_increasing_id().alias("row"))
-    # numbers are written with the rows, so every later scan agrees on them
-    scored = cut(evidence(base, fitted, "body", [*columns, "doc", "row", "host", "path"]).withColumns({c: F.coalesce(c, F.lit("\0")) for c in ("host", "path")}), "scored")
+    where = _column(host).cast("string"), _column(path).cast("string")
+    k1, k2 = content_keys(F.col(id_col), F.col(text_col), _column(host), _column(path))
+    base = docs.select(F.col(text_col).alias("body"), F.col(id_col).alias("doc"), k1.alias("k1"), k2.alias("k2"), where[0].alias("host"), where[1].alias("path"))
+    scored = evidence(base, fitted, "body", ["doc", "k1", "k2", "host", "path"]).withColumns({c: F.coalesce(c, F.lit("\0")) for c in ("host", "path")})
     share = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
     share = min(max(0.5 if share is None else share, 0.01), 0.99)
     p = F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.greatest(F.least(F.col("llr") + math.log(share / (1 - share)), F.lit(30.0)), F.lit(-30.0)))))
-    rates = scored.select("doc", "row", "host", "path", "llr").join(known, F.col("doc") == F.col("label"), "left").select("row", "host", "path", "llr", p.alias("p"))
-    rates = cut(rates, "rates")
+    rates = cut(scored.join(known, F.col("doc") == F.col("label"), "left").select("doc", "k1", "k2", "host", "path", "llr", p.alias("p")), "rates")
     rate = F.greatest(F.least((F.col("s") - F.col("p") + F.col("weight") * F.col("host_rate")) / (F.col("n") - 1 + F.col("weight")), F.lit(0.99)), F.lit(0.01))
     out = rates.join(shrunk(rates), ["host", "path"]).withColumn("site_rate", rate)
     score = 1 / (1 + F.exp(-F.greatest(F.least(F.col("llr") + F.log(F.col("site_rate") / (1 - F.col("site_rate"))), F.lit(30.0)), F.lit(-30.0))))
-    out = out.select("row", F.col("llr").alias("evidence"), "site_rate", score.alias("score")).withColumn("accepted", F.col("score") >= threshold)
-    return scored.select("row", *columns).join(out.where("accepted") if with_text else out, "row"), columns
+    return out.select("doc", "k1", "k2", F.col("llr").alias("evidence"), "site_rate", score.alias("score")).withColumn("accepted", F.col("score") >= threshold)

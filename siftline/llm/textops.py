@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, functions as F
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -97,3 +98,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
                 whole = mix(whole * U(0xA24BAED4963EE407) + h[i : i + 1])
             out[r] = whole
     return out
+
+
+def content_keys(*columns: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of values, nulls told from anything else: the same for equal rows in every scan."""
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *reversed(parts))

@@ -428,6 +428,7 @@ def test_callers_name_what_stands_for_host_and_path(monkeypatch):
 
     judge = MagicMock()
     monkeypatch.setattr(quality, "judge", judge)
+    monkeypatch.setattr(quality, "accept", judge)
     monkeypatch.setattr(queries, "table", MagicMock())
     monkeypatch.setattr(corpus_pipeline, "F", MagicMock())
     next(f for n, f in queries.QUERIES.items() if n == "op6_quality")(MagicMock(), DIR)
