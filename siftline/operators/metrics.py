@@ -287,15 +287,16 @@ def two_samples(df: DataFrame, x: str, first: Column) -> DataFrame:
     return upto.join(total).agg(F.max(gap).alias("ks"), F.sum(F.col("a") * (F.col("__sum") - F.col("b") + F.col("b") / 2)).alias("u"))
 
 
-def cross_validated_auroc(df: DataFrame, key: str, features: list[str], positive: str, folds: int = 5, seed: int = 0) -> DataFrame:
-    """fold, n_pos, n_neg, auroc of held-out logistic scores; folds are hashes of ``key``; one-class folds are null."""
+def cross_validated_auroc(df: DataFrame, key: str, features: list[str], positive: str, folds: int = 5, seed: int = 0, model: str = "logistic", block: str | None = None) -> DataFrame:
+    """fold, n_pos, n_neg, auroc of held-out scores of a logistic model or boosted ``trees``; folds are
+    hashes of ``block`` (whole groups; of ``key`` unless given); one-class folds are null."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = df.withColumn("label", F.col(positive).cast("double")).withColumn("fold", F.floor(hash_uniform(key, salt=str(seed)) * folds).cast("int")).na.drop(subset=[*features, "label"])
-    steps = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(regParam=0.01)])
+    rows = df.withColumn("label", F.col(positive).cast("double")).withColumn("fold", F.floor(hash_uniform(block or key, salt=str(seed)) * folds).cast("int")).na.drop(subset=[*features, "label"])
+    steps = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), GBTClassifier(maxIter=10, maxDepth=3, seed=seed) if model == "trees" else LogisticRegression(regParam=0.01)])
     out = None
     for fold in range(folds):
         train = rows.where(F.col("fold") != fold)

@@ -141,27 +141,88 @@ def metric_rank_vs_replicates(spark, sf_dir):
 
 @query()
 def metric_intervals(spark, sf_dir):
-    """AUROC by language with Hanley-McNeil intervals, and exact binomial intervals of the share of good documents."""
+    """AUROC by language with normal intervals, and exact binomial intervals of the share of good documents."""
     a = m.hanley_mcneil(m.auroc(judged(spark, sf_dir), ["lang"], "score", F.col("pos"))).withColumnsRenamed({"lo": "auroc_lo", "hi": "auroc_hi"})
     return m.with_interval(a.withColumn("n", F.col("n_pos") + F.col("n_neg")), "n_pos", "n")
 
 
-@query()
+@query("""
+    WITH g AS (SELECT l AS L, m FROM range(5, 17) AS t(l), range(0, 17) AS u(m) WHERE m <= l),
+    b AS (SELECT L, m, least(1.0, list_sum(list_transform(range(m, L + 1), lambda k: exp(lgamma(L + 1) - lgamma(k + 1) - lgamma(L - k + 1) + k * ln(0.25) + (L - k) * ln(0.75))))) AS tail FROM g)
+    SELECT L, m, round(tail, 7) AS tail, round(tail * (121 - L) * 2, 3) AS e_position, round(tail * (121 - L) * 2 * (201 - L), 3) AS e_global, round(tail * (121 - L) * (201 - L), 3) AS e_record FROM b""")
 def metric_e_values(spark, sf_dir):
     """Three expectations of binomial tails for windows of up to 16 letters."""
     grid = spark.range(5, 17).select(F.col("id").alias("L")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("L"))))
     tails = m.tail_table(grid, "L", "m")
-    return tails.select("L", "m", "tail", *[c.alias(n) for n, c in m.e_values(F.col("tail"), F.lit(120) - F.col("L") + 1, F.lit(200) - F.col("L") + 1, F.lit(2)).items()])
+    e = m.e_values(F.col("tail"), F.lit(120) - F.col("L") + 1, F.lit(200) - F.col("L") + 1, F.lit(2))
+    return tails.select("L", "m", F.round("tail", 7).alias("tail"), *[F.round(c, 3).alias(n) for n, c in e.items()])
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, (value % 100) / 400 AS p, row_number() OVER (PARTITION BY user_id ORDER BY (value % 100) / 400, event_id) AS i FROM events),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d FROM events
+          UNION ALL SELECT r.user_id, e.i, a * (1 - p), b * (1 - p) + a * p, c * (1 - p) + b * p, d + c * p FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    SELECT user_id, round(arg_max(d, i), 9) AS p FROM r GROUP BY 1""")
 def metric_poisson_binomial(spark, sf_dir):
     """P(at least 3 of a user's events), each with a probability from its value."""
     p = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list((F.col("value") % 100) / 400)).alias("ps"))
-    return p.select("user_id", m.poisson_binomial_tail("ps", 3).alias("p"))
+    return p.select("user_id", F.round(m.poisson_binomial_tail("ps", 3), 9).alias("p"))
 
 
 @query()
 def metric_platt(spark, sf_dir):
     slope, intercept = m.platt(judged(spark, sf_dir).withColumn("x", F.log1p("score")), "x", F.col("pos"))
     return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
+
+
+_DRAW = "CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query("""
+    WITH r AS (SELECT (rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0) AS x, (rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0) AS y FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL)
+    SELECT round(corr(x, y), 9) AS rho, count(*) AS n FROM r""")
+def metric_rank_correlation(spark, sf_dir):
+    return m.rank_correlation(table(spark, sf_dir, "customer"), "c_acctbal", "c_nationkey").withColumn("rho", F.round("rho", 9))
+
+
+@query("""
+    WITH c AS (SELECT o_totalprice AS x, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus <> 'F') AS b FROM orders GROUP BY 1),
+    s AS (SELECT a, b, sum(a) OVER w AS ua, sum(b) OVER w AS ub, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM c WINDOW w AS (ORDER BY x))
+    SELECT round(max(abs(ua / ta - ub / tb)), 9) AS ks, sum(a * (ub - b + b / 2.0)) AS u FROM s""")
+def metric_two_samples(spark, sf_dir):
+    out = m.two_samples(table(spark, sf_dir, "orders"), "o_totalprice", F.col("o_orderstatus") == "F")
+    return out.select(F.round("ks", 9).alias("ks"), F.col("u").cast("double").alias("u"))
+
+
+@query(f"""
+    WITH h AS (SELECT DISTINCT s_nationkey AS bag, s_suppkey AS site, CAST(floor(s_acctbal / 2000) AS BIGINT) AS key FROM supplier), t AS (SELECT DISTINCT bag, site FROM h),
+    k AS (SELECT *, row_number() OVER (ORDER BY bag, site) AS k FROM t), p AS (SELECT bag, site, perm, row_number() OVER (PARTITION BY perm ORDER BY {_DRAW.format("'0::' || perm || '::' || bag || '::' || site")}, bag, site) AS k FROM t, unnest(range(1, 6)) AS u(perm)),
+    v AS (SELECT p.perm, p.bag, p.site, k.bag AS g FROM p JOIN k USING (k)), e AS (SELECT perm, g, bag || '|' || site AS s, key FROM h JOIN v USING (bag, site) UNION ALL SELECT 0, bag, bag || '|' || site, key FROM h),
+    s AS (SELECT perm, g, key, count(DISTINCT s) AS n FROM e GROUP BY 1, 2, 3) SELECT CAST(perm AS INTEGER) AS perm, s, count(*) AS n FROM s, unnest(range(1, 6)) AS u(s) WHERE s <= n GROUP BY 1, 2""")
+def metric_coherence_permutation(spark, sf_dir):
+    """Suppliers as sites of nations: how many share a balance class, and when dealt anew."""
+    h = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("bag"), F.col("s_suppkey").alias("site"), F.floor(F.col("s_acctbal") / 2000).alias("key")).distinct()
+    return m.coherence_permutation(h, "bag", "site", "key", 5)
+
+
+@query(f"""
+    WITH a AS (SELECT o_custkey AS u, max(CASE WHEN o_orderpriority LIKE '1%' THEN 1.0 ELSE 0.0 END) AS x FROM orders GROUP BY 1), b AS (SELECT o_custkey AS u, max(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END) AS y FROM orders GROUP BY 1),
+    j AS (SELECT u, x, y, row_number() OVER (ORDER BY u) - 1 AS i, count(*) OVER () AS n FROM a JOIN b USING (u)),
+    d AS (SELECT bb, CAST(floor({_DRAW.format("'0::' || bb || '::' || i")} * n) AS BIGINT) AS i FROM j, unnest(range(1, 201)) AS t(bb)), r AS (SELECT bb, avg(j.x - j.y) AS r FROM d JOIN j USING (i) GROUP BY 1),
+    f AS (SELECT count(*) AS n, avg(x) AS ra, avg(y) AS rb, count(*) FILTER (x > y) AS oa, count(*) FILTER (y > x) AS ob, avg(x - y) AS delta FROM j), c AS (SELECT quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM r),
+    v AS (SELECT *, CASE WHEN n < 20 THEN 'too_few_shared' WHEN ra > 0.5 AND rb > 0.5 THEN 'both_high' WHEN lo <= 0 AND hi >= 0 THEN 'undecided' WHEN delta > 0 THEN 'b_lower' ELSE 'a_lower' END AS verdict FROM f, c)
+    SELECT n, round(ra, 9) AS rate_a, round(rb, 9) AS rate_b, oa AS only_a, ob AS only_b, round(delta, 9) AS delta, round(lo, 9) AS lo, round(hi, 9) AS hi, verdict, verdict IN ('a_lower', 'b_lower') AS locked FROM v""")
+def metric_decision_gate(spark, sf_dir):
+    """Two detectors over the same customers."""
+    o = table(spark, sf_dir, "orders")
+    a = o.groupBy("o_custkey").agg(F.max(F.col("o_orderpriority").startswith("1").cast("double")).alias("hit"))
+    b = o.groupBy("o_custkey").agg(F.max((F.col("o_orderstatus") == "P").cast("double")).alias("hit"))
+    out = m.decision_gate(a, b, "o_custkey", "hit")
+    return out.select("n", *[F.round(c, 9).alias(c) for c in ("rate_a", "rate_b")], "only_a", "only_b", *[F.round(c, 9).alias(c) for c in ("delta", "lo", "hi")], "verdict", "locked")
+
+
+@query()
+def metric_cross_validated(spark, sf_dir):
+    """Held-out AUROC by fold of quality labels, from the size of a text: logistic and boosted trees."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("good")), "doc_id").select("doc_id", "good", F.log1p("n_chars").alias("size"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("upper"))
+    return m.cross_validated_auroc(d, "doc_id", ["size", "upper"], "good", 3).withColumn("model", F.lit("logistic")).unionByName(m.cross_validated_auroc(d, "doc_id", ["size", "upper"], "good", 3, model="trees").withColumn("model", F.lit("trees")))

@@ -100,7 +100,7 @@ def log_fields(spark: SparkSession, path: str, patterns: dict[str, str]) -> Data
 
 def first_scalar(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """file, value: the first match in each whole file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).alias("value"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).alias("value"))
 
 
 def required(schema: T.StructType, df: DataFrame) -> DataFrame:
