@@ -171,20 +171,33 @@ def greedy_merge(df: DataFrame, by: list[str], key: str, order: list[tuple[str,
     return grouped(rows, keys, run, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, key]) + f", anchor {kinds[key]}")
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """node, root (the least node reached): labels spread over links and jump to their label's label,
-    all as joins, cut each round, until none changes."""
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = cut(both.union(both.select("y", "x")).where("x is not null and y is not null").distinct(), "links")
-    at = both.select(F.col("x").alias("node")).distinct().withColumn("root", F.col("node"))
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """One half round over links (u, v) with u > v."""
+    if large:
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        out = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    return out.where("u > v").distinct()
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """node, root (the least node reached) of every node of ``links``; null ends and loops are left out.
+    Large and small stars by turns: a half round is a grouped minimum and a join back, so one row per
+    link moves, and a node with very many neighbours is split by the skew handling of the join. Links
+    are written and read again every round; a lost executor costs its own part of one. Raises if
+    ``rounds`` don't suffice (the number needed grows with the logarithm of the longest chain)."""
+    at = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    seen = None
     for _ in range(rounds):
-        seen = both.join(at, both["y"] == at["node"]).groupBy("x").agg(F.min("root").alias("near"))
-        step = at.join(seen, at["node"] == seen["x"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = step.select(F.col("node").alias("k"), F.col("root").alias("beyond"))
-        now = cut(step.join(jump, F.col("root") == F.col("k"), "left").select("node", "old", F.least("root", F.coalesce("beyond", "root")).alias("root")), "labels")
-        if not now.where("old <> root").limit(1).count():
-            return now.select("node", "root")
-        at = now.select("node", "root")
+        at = cut(_star(_star(at, True), False), "links")
+        now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
+            roots = at.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+            return at.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+        seen = now
     raise RuntimeError(f"components need more than {rounds} rounds")
 
 

@@ -139,6 +139,14 @@ def metric_rank_vs_replicates(spark, sf_dir):
     return r.select("o_custkey", F.round("rank", 6).alias("rank"), F.round("delta", 4).alias("delta"), F.round("z", 4).alias("z"))
 
 
+@query(f"""{JUDGED}, a AS (SELECT lang, count(*) FILTER (pos) AS n_pos, count(*) FILTER (NOT pos) AS n_neg, (SELECT avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) FROM j a, j b WHERE a.pos AND NOT b.pos AND a.lang = j.lang AND b.lang = j.lang) AS a FROM j GROUP BY lang),
+    s AS (SELECT *, sqrt(greatest((a * (1 - a) + (n_pos - 1) * (a / (2 - a) - a * a) + (n_neg - 1) * (2 * a * a / (1 + a) - a * a)) / (n_pos * CAST(n_neg AS DOUBLE)), 0)) AS se FROM a)
+    SELECT lang, round(a, 6) AS auroc, round(greatest(a - 1.959963984540054 * se, 0), 6) AS lo, round(least(a + 1.959963984540054 * se, 1), 6) AS hi FROM s""")
+def metric_normal_intervals(spark, sf_dir):
+    a = m.hanley_mcneil(m.auroc(judged(spark, sf_dir), ["lang"], "score", F.col("pos")))
+    return a.select("lang", *[F.round(c, 6).alias(c) for c in ("auroc", "lo", "hi")])
+
+
 @query()
 def metric_intervals(spark, sf_dir):
     """AUROC by language with normal intervals, and exact binomial intervals of the share of good documents."""
@@ -149,13 +157,13 @@ def metric_intervals(spark, sf_dir):
 @query("""
     WITH g AS (SELECT l AS L, m FROM range(5, 17) AS t(l), range(0, 17) AS u(m) WHERE m <= l),
     b AS (SELECT L, m, least(1.0, list_sum(list_transform(range(m, L + 1), lambda k: exp(lgamma(L + 1) - lgamma(k + 1) - lgamma(L - k + 1) + k * ln(0.25) + (L - k) * ln(0.75))))) AS tail FROM g)
-    SELECT L, m, round(tail, 7) AS tail, round(tail * (121 - L) * 2, 3) AS e_position, round(tail * (121 - L) * 2 * (201 - L), 3) AS e_global, round(tail * (121 - L) * (201 - L), 3) AS e_record FROM b""")
+    SELECT L, m, round(tail + 1e-10, 7) AS tail, round(tail * (121 - L) * 2 + 1e-7, 3) AS e_position, round(tail * (121 - L) * 2 * (201 - L) + 1e-7, 3) AS e_global, round(tail * (121 - L) * (201 - L) + 1e-7, 3) AS e_record FROM b""")
 def metric_e_values(spark, sf_dir):
     """Three expectations of binomial tails for windows of up to 16 letters."""
     grid = spark.range(5, 17).select(F.col("id").alias("L")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("L"))))
     tails = m.tail_table(grid, "L", "m")
     e = m.e_values(F.col("tail"), F.lit(120) - F.col("L") + 1, F.lit(200) - F.col("L") + 1, F.lit(2))
-    return tails.select("L", "m", F.round("tail", 7).alias("tail"), *[F.round(c, 3).alias(n) for n, c in e.items()])
+    return tails.select("L", "m", F.round(F.col("tail") + 1e-10, 7).alias("tail"), *[F.round(c + 1e-7, 3).alias(n) for n, c in e.items()])  # the small term settles ties of rounding
 
 
 @query("""
