@@ -40,8 +40,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftline.llm.components import components
 from siftline.llm.textops import U, mix, shingle_sets, slices
+from siftline.operators.linkage import components
 from siftline.session import cut, partitions, ship
 
 NUM, DEN = 90, 100  # linked when DEN * |x & y| >= NUM * |x | y|

@@ -62,7 +62,34 @@ def op10_topk(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op3_chat, op4_langid, op5_jaccard, op6_quality, op7_secrets, op8_ctw, op9_bpe, op10_topk)}
+#: crc32 of the text of doc_id
+CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT)),
+         lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
 SQL: dict[str, str] = {
+    "op4_langid": f"""
+        WITH d AS (SELECT doc_id, lang, {CRC} % 4 = 2 AS held_out, ' ' || trim(lower(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g'))) || ' ' AS t FROM documents),
+        c AS (SELECT doc_id, lang, held_out, list_transform(string_split(t, ''), lambda x: CAST(unicode(x) AS BIGINT)) AS u FROM d WHERE length(t) > 2),
+        g AS (SELECT doc_id, lang, held_out, u[i] AS a, u[i + 1] AS b, u[i + 2] AS c FROM c, unnest(range(1, CAST(len(u) + 1 AS BIGINT))) AS t(i)),
+        n AS (SELECT doc_id, lang, held_out, a AS gram FROM g WHERE a <> 32 UNION ALL SELECT doc_id, lang, held_out, (a << 21) | b FROM g WHERE b IS NOT NULL AND (a <> 32 OR b <> 32)
+              UNION ALL SELECT doc_id, lang, held_out, (a << 42) | (b << 21) | c FROM g WHERE c IS NOT NULL AND b <> 32),
+        k AS (SELECT doc_id, lang, held_out, gram, count(*) AS n FROM n GROUP BY ALL),
+        p AS (SELECT * FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS r FROM k WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram) WHERE r < 300),
+        o AS (SELECT * FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS r FROM k) WHERE r < 300),
+        l AS (SELECT DISTINCT lang FROM p), s AS (SELECT doc_id, count(*) AS n FROM o GROUP BY 1),
+        a AS (SELECT o.doc_id, l.lang, sum(CASE WHEN p.r IS NULL THEN 300 ELSE abs(p.r - o.r) END) AS away FROM o CROSS JOIN l LEFT JOIN p ON p.lang = l.lang AND p.gram = o.gram GROUP BY 1, 2),
+        b AS (SELECT doc_id, lang, away, row_number() OVER (PARTITION BY doc_id ORDER BY away, lang) AS q FROM a)
+        SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, CASE WHEN b.lang IS NULL THEN 0 ELSE 1 - b.away / (300.0 * s.n) END AS score
+        FROM d LEFT JOIN b ON b.doc_id = d.doc_id AND b.q = 1 LEFT JOIN s ON s.doc_id = d.doc_id""",
+    "op5_jaccard": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                             ELSE list_distinct(list_transform(range(1, CAST(len(w) - 1 AS BIGINT)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        e AS (SELECT doc_id, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * i >= 90 * (len(x.s) + len(y.s) - i)),
+        k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT a AS node, a AS root FROM k UNION SELECT k.b, r.root FROM r JOIN k ON k.a = r.node)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.root, s.doc_id) AS component_id FROM s LEFT JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) c ON c.node = s.doc_id""",
     "op3_chat": """
         WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
         i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS idx,

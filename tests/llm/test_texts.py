@@ -438,3 +438,18 @@ def test_callers_name_what_stands_for_host_and_path(monkeypatch):
 
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for table in ("documents", "embeddings", "conversations"):
+        c.execute(f"create view {table} as select * from '{DIR}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, DIR)
+    found = c.execute(queries.SQL[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    shown = lambda r: tuple(round(r[x], 9) if isinstance(r[x], float) else r[x] for x in sorted(columns))
+    assert sorted((shown(r) for r in df.collect()), key=repr) == sorted((shown(dict(zip(columns, r))) for r in found.fetchall()), key=repr)
