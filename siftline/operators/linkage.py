@@ -4,7 +4,8 @@ parts that are still above ``most`` rows are refused, not cut."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,32 @@ MOST = 200_000
 
 
 def grouped(df: DataFrame, by: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = MOST) -> DataFrame:
+    """``f`` of the rows of each group. Rows are dealt by group and sorted, and a task takes one group
+    after the other from its stream, so that very many small groups cost no more than their rows."""
     ship(df.sparkSession)
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        if len(x) > most:
-            raise ValueError(f"a group has {len(x)} rows, more than {most}")
-        return f(x)
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in chain(batches, [None]):
+            x = kept if batch is None else batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            if x is None or not len(x):
+                continue
+            new = np.zeros(len(x), bool)
+            for c in by:
+                v = x[c]
+                new[1:] |= ((v != v.shift()) & ~(v.isna() & v.shift().isna())).to_numpy()[1:]
+            edge = [0, *np.flatnonzero(new).tolist(), len(x)]
+            if batch is not None:  # the last group may go on
+                kept = x.iloc[edge[-2] :]
+                edge = edge[:-1]
+                if len(kept) > most:
+                    raise ValueError(f"a group has more than {most} rows")
+            out = [f(x.iloc[p:q]) for p, q in zip(edge, edge[1:])]
+            out = [o for o in out if len(o)]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
 def _iou(a, b) -> float:
@@ -60,16 +79,17 @@ def _distinct_sites(near: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.logical_or.reduceat(near, first, axis=1).sum(1)
 
 
-def clusters_of(hits: pd.DataFrame, offset: float, min_frac: float, k_valid: int, rounds: int = 20, bounds: tuple[int, int] | None = None) -> list[tuple]:
+def clusters_of(hits: pd.DataFrame | dict[str, pd.Series], offset: float, min_frac: float, k_valid: int, rounds: int = 20, bounds: tuple[int, int] | None = None) -> list[tuple]:
     """Clusters (median, mad, support sites, positions) of hits (site, pos, m): every integer centre, the nearest hit of
     each site within ``offset`` of it (best m, then position, on ties), trimmed around the median until
     it stands; duplicates by Jaccard of sites (0.8) within ``offset`` go, best first. All centres take a
     step at once, as rows of an array. ``bounds``: the least and greatest centre, those of the hits unless given."""
     need = max(1, int(min_frac * k_valid + 0.9999))
-    rows = hits[["site", "pos", "m"]].sort_values(["site", "pos"])
-    if not len(rows):
+    site, pos, m = hits["site"].to_numpy(), hits["pos"].to_numpy(float), hits["m"].to_numpy()
+    if len(pos) < need or len(np.unique(site)) < need:
         return []
-    site, pos, m = rows["site"].to_numpy(), rows["pos"].to_numpy(float), rows["m"].to_numpy()
+    order = np.lexsort((pos, site))
+    site, pos, m = site[order], pos[order], m[order]
     first = np.flatnonzero(np.concatenate([[True], site[1:] != site[:-1]]))
     # of equally near hits of a site the one that comes first here
     order = np.lexsort((pos, -m))
@@ -129,7 +149,9 @@ def position_clusters(hits: DataFrame, by: list[str], site: str, pos: str, m: st
     dealt = split_at_gaps(hits.withColumns({"__lo": F.min(pos).over(bounds), "__hi": F.max(pos).over(bounds)}), by, pos, pos, 2 * offset)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        found = clusters_of(x.rename(columns={site: "site", pos: "pos", m: "m"}), offset, min_frac, int(x[valid].iloc[0]), bounds=(int(x["__lo"].iloc[0]), int(x["__hi"].iloc[0])))
+        found = clusters_of({"site": x[site], "pos": x[pos], "m": x[m]}, offset, min_frac, int(x[valid].iloc[0]), bounds=(int(x["__lo"].iloc[0]), int(x["__hi"].iloc[0])))
+        if not found:
+            return x.iloc[:0]
         head = [x[c].iloc[0] for c in by]
         return pd.DataFrame([(*head, c[0], c[1], len(c[2]), [int(s) for s in c[2]], [float(p) for p in c[3]]) for c in found], columns=[*by, "median", "mad", "n_support", "sites", "at"])
 
