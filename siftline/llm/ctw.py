@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.llm.textops import U, slices, words
+from siftline.llm.textops import Counts, Lookup, slices, words
 from siftline.session import cut, partitions, ship
 
 DEPTH, FREQUENT, HELD, FLUSH = 5, 1 << 18, 1 << 20, 2_000_000
@@ -74,27 +74,6 @@ def strings(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarr
     return whole[keep], offsets[:-1] + np.arange(n)
 
 
-class Counts:
-    """Sorted keys and counts that grow by parts."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.parts.append((keys, n))
-        if len(self.parts) > 16:
-            self.parts = [self.total()]
-
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys = np.concatenate([k for k, _ in self.parts])
-        order = np.argsort(keys)
-        keys, n = keys[order], np.concatenate([n for _, n in self.parts])[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.add.reduceat(n, first) if len(keys) else n
-
-
 def count(docs: DataFrame, training: Column, text_col: str, depth: int) -> DataFrame:
     """(kind, key, n): all strings and all training words with their counts in training texts."""
 
@@ -255,48 +234,6 @@ def model(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return dealt.applyInPandas(lower, "key bigint, n bigint, log_p double")
 
 
-EMPTY = np.iinfo(np.int64).min
-
-
-class Lookup:
-    """An open-addressing hash table of int64 keys (EMPTY counts as EMPTY + 1) and double values."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        keys = np.maximum(keys, EMPTY + 1)
-        self.shift = 64 - max(4, (2 * len(keys) + 1).bit_length())
-        size = 1 << 64 - self.shift
-        self.keys, self.values = np.full(size, EMPTY), np.zeros(size)
-        left, slot = np.arange(len(keys)), self.slot(keys)
-        while len(left):
-            free = self.keys[slot[left]] == EMPTY
-            _, one = np.unique(slot[left][free], return_index=True)
-            placed = left[free][one]
-            self.keys[slot[placed]], self.values[slot[placed]] = keys[placed], values[placed]
-            left = left[~np.isin(left, placed)]
-            slot[left] = (slot[left] + 1) & (size - 1)
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        x = keys.view(U) * U(0x9E3779B97F4A7C15)
-        return ((x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9) >> U(self.shift)).astype(np.int64)
-
-    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        keys = np.maximum(keys, EMPTY + 1)
-        slot = self.slot(keys)
-        held = self.keys[slot]
-        hit = held == keys
-        out = np.where(hit, self.values[slot], default)
-        left = np.flatnonzero(~hit & (held != EMPTY))
-        slot = slot[left]
-        while len(left):
-            slot = (slot + 1) & (len(self.keys) - 1)
-            held = self.keys[slot]
-            hit = held == keys[left]
-            out[left[hit]] = self.values[slot[hit]]
-            on = ~hit & (held != EMPTY)
-            left, slot = left[on], slot[on]
-        return out
-
-
 def _least_count(tokens: DataFrame, most: int) -> int:
     """A count that at most ``most`` words reach, from a histogram in eighths of powers of two."""
     rows = tokens.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("b")).collect()  # at most 512

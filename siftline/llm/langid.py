@@ -24,7 +24,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,7 +31,7 @@ from siftline.llm.textops import slices
 from siftline.session import ship
 
 TOP = 300
-PART = 1 << 19  # bytes of text whose n-grams are held at once
+PART = 1 << 18  # bytes of text whose n-grams are held at once
 UND = "und"
 _letters: list[np.ndarray] = []
 

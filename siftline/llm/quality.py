@@ -29,8 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.llm.ctw import Counts, Lookup
-from siftline.llm.textops import U, content_keys, mix, slices, words
+from siftline.llm.textops import Counts, Lookup, U, content_keys, mix, slices, words
 from siftline.session import cut, free_name, ship
 
 SAMPLE, FEATURES, LEAST_DF, LEAST_Z = 20_000, 4096, 5, 2.5
@@ -203,7 +202,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host
     few = known.orderBy(F.xxhash64("label"), "label").limit(sample)
     # of documents that share an id one learns, so that the sample keeps its bound
     learn = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("__id")).join(F.broadcast(few), F.col("__id") == F.col("label")).groupBy("label").agg(F.min("__text").alias("__text"), F.min("good").alias("good"))
-    fitted = fit(learn.select("__text", "good"))
+    fitted = fit(cut(learn.select("__text", "good"), "learning"))
     where = _column(host).cast("string"), _column(path).cast("string")
     k1, k2 = content_keys(F.col(id_col), F.col(text_col), _column(host), _column(path))
     base = docs.select(F.col(text_col).alias("body"), F.col(id_col).alias("doc"), k1.alias("k1"), k2.alias("k2"), where[0].alias("host"), where[1].alias("path"))
