@@ -256,3 +256,92 @@ def direction_free_auroc(df: DataFrame, classes: str, features: list[str]) -> Da
     wide = long.join(F.broadcast(names))  # a row for each of a few classes
     a = auroc(wide.withColumn("pos", F.col(classes) == F.col("class")), ["class", "feature"], "x", F.col("pos"))
     return a.select("class", "feature", F.greatest(F.col("auroc"), 1 - F.col("auroc")).alias("auroc"))
+
+
+def seed_density(hits: DataFrame, by: list[str], i: str, j: str, m: str, length: int, radius: int) -> DataFrame:
+    """by, i, j, box: how many perfect seeds (m = length) lie in the square around each perfect seed."""
+    from siftline.operators.windows import box_sum
+
+    return box_sum(hits.where(F.col(m) == length).withColumn("__one", F.lit(1)), by, i, j, "__one", radius)
+
+
+def share_below(a: Column | str, start: Column, n: Column | int) -> Column:
+    """Share of an array's entries that lie below the mean of its window of n from ``start``."""
+    n = F.lit(n) if isinstance(n, int) else n
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v)
+    return seq.let(F.struct(seq.col(a).alias("a"), seq.ratio(total(F.slice(seq.col(a), start + 1, n)), n).alias("m")), lambda t: seq.ratio(F.size(F.filter(t["a"], lambda x: x < t["m"])).cast("double"), F.size(t["a"])))
+
+
+def gold_slot(candidates: DataFrame, gold: DataFrame, on: list[str], slot: str) -> DataFrame:
+    """gold with the least candidate slot of equal coordinates, -1 without one."""
+    found = candidates.groupBy(*on).agg(F.min(slot).alias("__s"))
+    return gold.join(found, on, "left").withColumn(slot, F.coalesce("__s", F.lit(-1))).drop("__s")
+
+
+def must_join(left: DataFrame, right: DataFrame, on: list[str], message: str) -> DataFrame:
+    """left with the row of right of its key; running it raises where there is none."""
+    from siftline.operators.validate import refuse
+
+    both = left.join(right.withColumn("__found", F.lit(True)), on, "left")
+    return refuse(both, F.col("__found").isNull(), message).drop("__found")
+
+
+def slice_audit(claims: DataFrame, sources: DataFrame, on: list[str], s: str, lo: str, hi: str, claimed: str) -> DataFrame:
+    """claims with ``problems`` (array of codes, empty for a good one): no source, out of its range, or a
+    slice that is not the claimed letters on either strand. Those with problems are the quarantine."""
+    from siftline.functions.arrays import reasons
+
+    both = claims.join(sources.select(*on, s), on, "left")
+    cut_ = seq.slice_at(s, F.col(lo), F.col(hi) - F.col(lo))
+    bad = (F.col(lo) < 0) | (F.col(hi) > F.length(s)) | (F.col(hi) <= F.col(lo))
+    problems = reasons(no_source=F.col(s).isNull(), out_of_range=bad, other_letters=~bad & (seq.canonical_strand(cut_) != seq.canonical_strand(claimed)))
+    return both.withColumn("problems", problems).drop(s)
+
+
+def exact_extension(nc: Column | str, flank: Column | str, i: Column, f: Column, length: Column | int, most: int = 30) -> Column:
+    """struct(left, right): how many letters the exact match of a hit goes on before and after its window, at most ``most``."""
+    n = F.lit(length) if isinstance(length, int) else length
+    run = lambda a, b: F.length(F.regexp_extract(F.array_join(F.zip_with(seq.chars(a), seq.chars(b), lambda x, y: F.when(x == y, "1").otherwise("0")), ""), "^1*", 0))
+    before = F.least(i, f, F.lit(most))
+    after = F.least(F.length(seq.col(nc)) - i - n, F.length(seq.col(flank)) - f - n, F.lit(most))
+    back = lambda s, at: F.reverse(seq.slice_at(s, at - before, before))
+    return F.struct(run(back(nc, i), back(flank, f)).alias("left"), run(seq.slice_at(nc, i + n, after), seq.slice_at(flank, f + n, after)).alias("right"))
+
+
+def with_flanks(sites: DataFrame, new: DataFrame, key: list[str], flank: str, evidence: str) -> DataFrame:
+    """sites with the flanks of ``new`` (key, flank): of equal length, or running it raises; ``evidence``
+    says from then on that the flank is a conditional null."""
+    from siftline.operators.validate import refuse
+
+    both = sites.join(new.select(*key, F.col(flank).alias("__new")), key)
+    both = refuse(both, F.length("__new") != F.length(flank), "a flank of another length")
+    return both.withColumns({flank: F.col("__new"), evidence: F.lit("conditional_null")}).drop("__new")
+
+
+def shuffled_around(df: DataFrame, key: list[str], s: str, lo: Column, n: Column, seed: int) -> DataFrame:
+    """``s`` with the letters outside [lo, lo + n) dealt anew, left and right apart, in hash order."""
+    def deal(part: Column, side: str) -> Column:
+        marked = F.transform(seq.chars(part), lambda c, i: F.struct(seq.hash_uniform(*key, i, salt=f"{side}{seed}").alias("u"), i.alias("i"), c.alias("c")))
+        return F.array_join(F.transform(F.array_sort(marked), lambda x: x["c"]), "")
+
+    left, right = seq.slice_at(s, F.lit(0), lo), F.substring(F.col(s), (lo + n + 1).cast("int"), F.length(s))
+    return df.withColumn(s, F.concat(deal(left, "l"), seq.slice_at(s, lo, n), deal(right, "r")))
+
+
+def replicated(df: DataFrame, key: list[str], n: int, make) -> DataFrame:
+    """``make`` (rows with a column ``replicate`` that is part of their key) for replicates 1 .. n in one plan."""
+    return make(df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))), [*key, "replicate"])
+
+
+def molecule_summary(values: Column | str, brackets: Column | str, energy: Column, least_energy: Column) -> Column:
+    """struct(unpaired, helices, stability): share of values of 0.5 or more, runs of opening brackets, 1 - energy / least."""
+    share = seq.ratio(F.size(F.filter(seq.col(values), lambda x: x >= 0.5)).cast("double"), F.size(seq.col(values)))
+    return F.struct(share.alias("unpaired"), F.regexp_count(seq.col(brackets), F.lit(r"\(+")).alias("helices"), (1 - seq.ratio(energy, least_energy)).alias("stability"))
+
+
+def genbank(df: DataFrame, name: str, s: str, features: str) -> DataFrame:
+    """value: flat records for a text sink: locus, features array<struct<lo, hi, label>>, sequence in lines of 60."""
+    lines = F.array_join(F.transform(F.col(features), lambda f: F.concat(F.lit("     misc_feature    "), (f["lo"] + 1).cast("string"), F.lit(".."), f["hi"].cast("string"), F.lit('\n                     /label="'), f["label"], F.lit('"\n'))), "")
+    rows = F.regexp_extract_all(F.lower(F.col(s)), F.lit(".{1,60}"), F.lit(0))
+    body = F.array_join(F.transform(rows, lambda r, i: F.concat(F.lpad((60 * i + 1).cast("string"), 9, " "), F.lit(" "), F.rtrim(F.regexp_replace(r, "(.{10})", "$1 ")), F.lit("\n"))), "")
+    return df.select(F.concat(F.lit("LOCUS       "), F.col(name), F.lit(" "), F.length(s).cast("string"), F.lit(" bp    DNA\nFEATURES             Location/Qualifiers\n"), lines, F.lit("ORIGIN\n"), body, F.lit("//")).alias("value"))

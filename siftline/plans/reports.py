@@ -324,3 +324,86 @@ def null_minimal_edit(spark, sf_dir):
 def metric_direction_free(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
     return r.direction_free_auroc(c, "c_mktsegment", ["balance", "nation"]).withColumn("auroc", F.round("auroc", 9))
+
+
+@query("""
+    WITH h AS (SELECT l_suppkey AS g, l_partkey % 40 AS i, l_orderkey % 40 AS j, count(*) AS x FROM lineitem WHERE l_linenumber = 3 GROUP BY 1, 2, 3)
+    SELECT a.g, a.i, a.j, CAST(sum(b.x) AS BIGINT) AS box FROM h a JOIN h b ON a.g = b.g AND abs(a.i - b.i) <= 2 AND abs(a.j - b.j) <= 2 GROUP BY 1, 2, 3""")
+def match_seed_density(spark, sf_dir):
+    """Line numbers as matches, third lines as perfect seeds."""
+    h = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 40).alias("i"), (F.col("l_orderkey") % 40).alias("j"), F.col("l_linenumber").alias("m"))
+    return r.seed_density(h, ["g"], "i", "j", "m", 3, 2).withColumn("box", F.col("box").cast("long"))
+
+
+@query("""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, CAST(vec_id % 50 AS BIGINT) AS s FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    m AS (SELECT vec_id, a, list_sum(a[s + 1:s + 8]) / 8 AS m FROM v) SELECT vec_id, len(list_filter(a, lambda x: x < m)) / 64.0 AS below FROM m""")
+def array_share_below(spark, sf_dir):
+    """Where a window's mean stands among a vector's entries."""
+    x = F.col("embedding")
+    v = table(spark, sf_dir, "embeddings").where((F.size(x) == 64) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
+    return v.select("vec_id", r.share_below(x.cast("array<double>"), (F.col("vec_id") % 50).cast("int"), 8).alias("below"))
+
+
+@query("""
+    WITH c AS (SELECT l_suppkey AS k, l_partkey % 20 AS p, min(l_orderkey) AS slot FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), g AS (SELECT s_suppkey AS k, s_suppkey * 7 % 20 AS p FROM supplier)
+    SELECT g.k, g.p, coalesce(c.slot, -1) AS slot, s.n AS lines FROM g LEFT JOIN c USING (k, p) JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) s ON s.k = g.k""")
+def join_gold_slot(spark, sf_dir):
+    """The first returned line at a supplier's own place, and its number of lines, which must be there."""
+    lines = table(spark, sf_dir, "lineitem")
+    c = lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 20).alias("p"), F.col("l_orderkey").alias("slot"))
+    g = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") * 7 % 20).alias("p"))
+    n = lines.groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("lines"))
+    return r.must_join(r.gold_slot(c, g, ["k", "p"], "slot"), n, ["k"], "a supplier without lines")
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT k, k % 60 AS lo, k % 60 + k % 9 AS hi, CASE WHEN k % 4 = 0 THEN reverse(translate(substr(b, CAST(k % 60 + 1 AS BIGINT), CAST(k % 9 AS BIGINT)), 'ACGT', 'TGCA')) WHEN k % 4 = 1 THEN 'GATTACA' ELSE substr(b, CAST(k % 60 + 1 AS BIGINT), CAST(k % 9 AS BIGINT)) END AS w FROM s),
+    j AS (SELECT c.*, s.b FROM c LEFT JOIN s ON s.k = c.k AND s.k % 5 <> 0), t AS (SELECT *, substr(b, lo + 1, hi - lo) AS x, b IS NOT NULL AND (hi > 64 OR hi <= lo) AS bad FROM j)
+    SELECT k, array_to_string(list_filter([CASE WHEN b IS NULL THEN 'no_source' END, CASE WHEN bad THEN 'out_of_range' END, CASE WHEN b IS NULL AND hi <= lo THEN 'out_of_range' END,
+        CASE WHEN b IS NOT NULL AND NOT bad AND least(x, reverse(translate(x, 'ACGT', 'TGCA'))) <> least(w, reverse(translate(w, 'ACGT', 'TGCA'))) THEN 'other_letters' END], lambda x: x IS NOT NULL), ',') AS problems FROM t""")
+def validate_slices(spark, sf_dir):
+    """Claimed slices, some of them of the other strand, false or out of range; every fifth source is missing."""
+    from siftline.functions import seq
+
+    k, p = F.col("k"), pairs(spark, sf_dir)
+    x = seq.slice_at("b", k % 60, k % 9)
+    c = p.select("k", (k % 60).alias("lo"), (k % 60 + k % 9).alias("hi"), F.when(k % 4 == 0, seq.revcomp(x)).when(k % 4 == 1, "GATTACA").otherwise(x).alias("w"))
+    return r.slice_audit(c, p.where("k % 5 <> 0"), ["k"], "b", "lo", "hi", "w").select("k", F.array_join("problems", ",").alias("problems"))
+
+
+@query(f"""WITH {PAIRS}, p AS (SELECT k, a, b, 10 AS i, CAST(k % 40 AS BIGINT) AS f FROM s),
+    e AS (SELECT k, list_transform(range(1, 31), lambda o: CASE WHEN o <= least(i, f) AND substr(a, i - o + 1, 1) = substr(b, f - o + 1, 1) THEN '1' ELSE '0' END) AS l, list_transform(range(1, 31), lambda o: CASE WHEN o <= least(54 - 20, 64 - f - 20) AND substr(a, i + 20 + o, 1) = substr(b, f + 20 + o, 1) THEN '1' ELSE '0' END) AS r FROM p)
+    SELECT k, CAST(length(regexp_extract(array_to_string(l, ''), '^1*')) AS INTEGER) AS "left", CAST(length(regexp_extract(array_to_string(r, ''), '^1*')) AS INTEGER) AS "right" FROM e""")
+def match_extension(spark, sf_dir):
+    """How far planted stretches go on exactly beyond their window."""
+    return pairs(spark, sf_dir).select("k", r.exact_extension("a", "b", F.lit(10), (F.col("k") % 40).cast("int"), 20).alias("e")).select("k", "e.left", "e.right")
+
+
+@query(f"""WITH {PAIRS} SELECT k, rep AS replicate, 'conditional_null' AS evidence, substr(b, 11, 20) AS kept, true AS same_letters FROM s, unnest(range(1, 4)) AS t(rep)""")
+def null_replicates(spark, sf_dir):
+    """Three replicates of flanks dealt anew around a target: the target stays, and so do the letters of each side."""
+    p = pairs(spark, sf_dir).select("k", "b")
+    made = r.replicated(p, ["k"], 3, lambda df, key: r.shuffled_around(df, key, "b", F.lit(10), F.lit(20), 7))
+    sites = p.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumnsRenamed({"b": "flank"})
+    new = r.with_flanks(sites, made.withColumnRenamed("b", "flank"), ["k", "replicate"], "flank", "evidence").join(p, "k")
+    letters = lambda c, at, n: F.array_sort(F.split(F.substring(c, at, n), ""))
+    return new.select("k", F.col("replicate").cast("long").alias("replicate"), "evidence", F.substring("flank", 11, 20).alias("kept"), ((letters("flank", 1, 10) == letters("b", 1, 10)) & (letters("flank", 31, 34) == letters("b", 31, 34))).alias("same_letters"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey AS k, [p_size / 50.0, 0.5, p_partkey % 2 * 0.4] AS v, repeat('((.))', CAST(p_partkey % 4 AS BIGINT)) || '..(.)' AS b, -p_size AS e FROM part)
+    SELECT k, round(len(list_filter(v, lambda x: x >= 0.5)) / 3.0, 9) AS unpaired, CAST(k % 4 + 1 AS INTEGER) AS helices, round(1 - e / -50.0, 9) AS stability FROM p""")
+def seq_molecule_summary(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, sf_dir, "part").select(k.alias("k"), F.array(size / 50.0, F.lit(0.5), (k % 2) * 0.4).alias("v"), F.concat(F.repeat(F.lit("((.))"), (k % 4).cast("int")), F.lit("..(.)")).alias("b"), (-size).cast("double").alias("e"))
+    return p.select("k", r.molecule_summary("v", "b", F.col("e"), F.lit(-50.0)).alias("m")).select("k", F.round("m.unpaired", 9).alias("unpaired"), "m.helices", F.round("m.stability", 9).alias("stability"))
+
+
+@query(f"""WITH {PAIRS} SELECT k, 'LOCUS       r' || k || ' 64 bp    DNA' || chr(10) || 'FEATURES             Location/Qualifiers' || chr(10) || '     misc_feature    ' || (k % 40 + 1) || '..' || (k % 40 + 20) || chr(10) || '                     /label="target"' || chr(10) || 'ORIGIN' || chr(10)
+    || '        1 ' || array_to_string(list_transform(range(0, 6), lambda i: lower(substr(b, 10 * i + 1, 10))), ' ') || chr(10) || '       61 ' || lower(substr(b, 61, 4)) || chr(10) || '//' AS value FROM s""")
+def io_genbank(spark, sf_dir):
+    """Flat records for a text sink."""
+    k = F.col("k")
+    p = pairs(spark, sf_dir).select("k", F.concat(F.lit("r"), k).alias("name"), "b", F.array(F.struct((k % 40).alias("lo"), (k % 40 + 20).alias("hi"), F.lit("target").alias("label"))).alias("f"))
+    made = r.genbank(p.select("name", "b", "f"), "name", "b", "f")
+    return made.select(F.regexp_extract("value", r"LOCUS +r(\d+)", 1).cast("long").alias("k"), "value")
