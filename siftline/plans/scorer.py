@@ -162,3 +162,65 @@ def detector_survival(spark, sf_dir):
 @query()
 def calibration_threshold(spark, sf_dir):
     return null_calibration(item_sites(spark, sf_dir), ITEM_SPEC)
+
+
+_HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+#: Bags of four sites whose letters are md5 digests; each site holds nc[10, 24) at a place of its own.
+BAGS = f"""
+    b AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 4) AS BIGINT) AS bag, CAST(p_partkey % 4 AS INTEGER) AS site, CAST(p_partkey * 7 % 30 AS BIGINT) AS off,
+                 substr(translate(md5('n' || CAST(floor(p_partkey / 4) AS BIGINT)) || md5('m' || CAST(floor(p_partkey / 4) AS BIGINT)), {_HEX}), 1, 48) AS nc, translate(md5('f' || p_partkey) || md5('g' || p_partkey), {_HEX}) AS f0 FROM part),
+    s AS (SELECT bag, site, nc, substr(f0, 1, off) || substr(nc, 11, 14) || substr(f0, off + 15) AS flank FROM b),
+    o AS (SELECT bag, site, nc, 'fwd' AS orient, flank AS y FROM s UNION ALL SELECT bag, site, nc, 'rc', reverse(translate(flank, 'ACGT', 'TGCA')) FROM s),
+    w AS (SELECT bag, site, orient, CAST(i AS INTEGER) AS i, substr(nc, i + 1, 11) AS guide, substr(y, j + 1, 11) AS target, list_sum(list_transform(range(1, 12), lambda n: CASE WHEN substr(nc, i + n, 1) = substr(y, j + n, 1) THEN 1 ELSE 0 END)) AS m FROM o, unnest(range(0, 38)) AS t(i), unnest(range(0, 54)) AS u(j)),
+    h AS (SELECT * FROM w WHERE m >= 8),
+    d AS (SELECT DISTINCT guide AS x FROM h UNION SELECT DISTINCT target FROM h),
+    c AS (SELECT x, i, substr(x, CAST(i AS BIGINT), 1) AS ch, i - row_number() OVER (PARTITION BY x, substr(x, CAST(i AS BIGINT), 1) ORDER BY i) AS g FROM d, unnest(range(1, 12)) AS t(i)),
+    r AS (SELECT x, max(n) AS run FROM (SELECT x, ch, g, count(*) AS n FROM c GROUP BY 1, 2, 3) GROUP BY 1),
+    e AS (SELECT x, sum(n) FILTER (ch IN ('A', 'T')) / 11.0 AS weak, -sum(n / 11.0 * log2(n / 11.0)) AS h FROM (SELECT x, ch, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
+    q AS (SELECT x, list_max(list_transform([1, 2, 3, 4], lambda p: list_sum(list_transform(range(1, 12 - p), lambda i: CASE WHEN substr(x, i, 1) = substr(x, i + p, 1) THEN 1 ELSE 0 END)) / (11.0 - p))) AS p FROM d),
+    good AS (SELECT x FROM r JOIN e USING (x) JOIN q USING (x) WHERE run < 6 AND p < 0.8 AND coalesce(weak, 0) < 0.85 AND h >= 1.2),
+    hits AS (SELECT h.* FROM h JOIN good a ON a.x = h.guide JOIN good b ON b.x = h.target),
+    k AS (SELECT bag, orient, i AS p, count(DISTINCT site) AS s FROM hits GROUP BY 1, 2, 3),
+    peaks AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY bag, orient ORDER BY p RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS top FROM k) WHERE s = top AND s >= 3)"""
+BAG_SPEC = Spec()
+
+
+def digest_bags(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    bag, at = F.floor(k / 4), (k * 7 % 30).cast("int")
+    letters = lambda a, b, c: F.translate(F.concat(F.md5(F.concat(F.lit(a), c.cast("string"))), F.md5(F.concat(F.lit(b), c.cast("string")))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    b = table(spark, sf_dir, "part").select(bag.cast("string").alias("bag_id"), (k % 4).cast("int").alias("site_ord"), at.alias("at"), F.substring(letters("n", "m", bag), 1, 48).alias("nc"), letters("f", "g", k).alias("f0"))
+    return b.select("bag_id", "site_ord", "nc", F.concat(F.substring(F.col("f0"), F.lit(1), F.col("at")), F.substring("nc", 11, 14), F.substring(F.col("f0"), F.col("at") + 15, F.lit(64))).alias("flank"))
+
+
+@query(f"WITH {BAGS} SELECT CAST(bag AS VARCHAR) AS bag_id, orient, p, CAST(s AS DOUBLE) AS s FROM peaks")
+def detector_bag_peaks(spark, sf_dir):
+    """Peaks of bags that are known to hold a shared stretch."""
+    return detect_peaks(digest_bags(spark, sf_dir), BAG_SPEC).select("bag_id", "orient", "p", F.col("s").cast("double").alias("s"))
+
+
+@query(f"""WITH {BAGS}, t AS (SELECT DISTINCT bag, bag % 3 AS stratum FROM s),
+    j AS (SELECT t.bag, t.stratum, p.p, p.s, p.s = max(p.s) OVER (PARTITION BY t.bag) AS best FROM t LEFT JOIN peaks p ON p.bag = t.bag),
+    g AS (SELECT bag, stratum, count(p) AS n, count(*) FILTER (abs(p - 11) <= 5) AS right_, avg(p) FILTER (best) AS main FROM j GROUP BY 1, 2)
+    SELECT stratum, count(*) AS n_bags, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 9) AS coverage, round(sum(right_) / sum(n), 9) AS ppv_peak, round(avg(CASE WHEN n > 0 THEN CASE WHEN right_ > 0 THEN 1.0 ELSE 0.0 END END), 9) AS ppv_bag,
+           round(avg(CASE WHEN main = 11 THEN 1.0 ELSE 0.0 END), 9) AS exact FROM g GROUP BY 1""")
+def detector_bag_metrics(spark, sf_dir):
+    sites = digest_bags(spark, sf_dir)
+    truth = sites.select("bag_id").distinct().select("bag_id", F.lit(11).alias("planted"), (F.col("bag_id").cast("long") % 3).alias("stratum"))
+    out = detection_metrics(detect_peaks(sites, BAG_SPEC), truth)
+    return out.select("stratum", "n_bags", *[F.round(c, 9).alias(c) for c in ("coverage", "ppv_peak", "ppv_bag", "exact")])
+
+
+@query(f"""WITH {BAGS}, n AS (SELECT count(DISTINCT bag) AS n FROM s), l1 AS (SELECT count(DISTINCT bag) AS c FROM hits), l2 AS (SELECT count(*) AS c FROM (SELECT bag FROM hits GROUP BY 1 HAVING count(DISTINCT site) >= 2)),
+    l4 AS (SELECT count(DISTINCT bag) AS c FROM k WHERE s >= 2), l5 AS (SELECT count(DISTINCT bag) AS c FROM peaks)
+    SELECT layer, c AS n_bags, round(c / n, 9) AS rate FROM (SELECT 'L1' AS layer, c FROM l1 UNION ALL SELECT 'L2', c FROM l2 UNION ALL SELECT 'L4', c FROM l4 UNION ALL SELECT 'L5', c FROM l5), n""")
+def detector_bag_survival(spark, sf_dir):
+    sites = digest_bags(spark, sf_dir)
+    return survival(detect_peaks(sites, BAG_SPEC), hits_of(sites, BAG_SPEC), sites).withColumn("rate", F.round("rate", 9))
+
+
+@query()
+def scorer_bag_clusters(spark, sf_dir):
+    """Ranked clusters of the same bags."""
+    out = score_clusters(digest_bags(spark, sf_dir), BAG_SPEC)
+    return out.select("bag_id", "id", "median", "mad", "n_support", "n_groups", "passes", "anchor", "rank_support", "rank_groups", "rank_spread")
