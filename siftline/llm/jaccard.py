@@ -46,6 +46,7 @@ from siftline.session import cut, partitions, ship
 
 NUM, DEN = 90, 100  # linked when DEN * |x & y| >= NUM * |x | y|
 SHELL = 1.3
+PART, PART_MASS = 1024, 1 << 19  # points and hashes that are compared with pivots at once
 LEAF, MASS = 4096, 1 << 22  # points and hashes (32 MB) of a cell that one task joins
 DIVIDES = 0.6  # a division is worth while if its regions' pairs are at most this part of the cell's
 PIVOTS = 8
@@ -231,8 +232,9 @@ def _parts(leaf: int, mass: int) -> Column:
 
 
 def _divide(large: DataFrame, turn: int, num: int, den: int, leaf: int, mass: int) -> DataFrame:
-    """Members (cell, p, node, set) of large cells in the regions p of their cells' pivots, and links (p
-    null) to pivots. A task compares a part of a cell with its pivots."""
+    """Members (cell, p, node) of large cells in the regions p of their cells' pivots, and links (p null)
+    to pivots. A task compares a small part of a cell with its pivots; sets stay where they are."""
+    leaf, mass = min(leaf, PART), min(mass, PART_MASS)
     draw = F.xxhash64("node", F.lit(turn))
     pivots = large.groupBy("cell", F.pmod(draw, F.lit(PIVOTS)).alias("p")).agg(F.min_by(F.struct("node", "set"), F.struct(draw, "node")).alias("pivot"), F.max("size").alias("size"), F.max("mass").alias("mass"))
     pivots = pivots.groupBy("cell").agg(F.collect_list("pivot.node").alias("nodes"), F.collect_list("pivot.set").alias("sets"), F.max("size").alias("size"), F.max("mass").alias("mass"))
@@ -243,8 +245,7 @@ def _divide(large: DataFrame, turn: int, num: int, den: int, leaf: int, mass: in
     def run(own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own):
-            nodes, raw = own["node"].to_numpy(), own["set"].to_list()
-            sets = [np.frombuffer(x, U) for x in raw]
+            nodes, sets = own["node"].to_numpy(), [np.frombuffer(x, U) for x in own["set"]]
             flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
             starts = np.cumsum(sizes) - sizes
             chosen, far, cell = pivots["nodes"].iloc[0], [], own["cell"].iloc[0]
@@ -254,13 +255,13 @@ def _divide(large: DataFrame, turn: int, num: int, den: int, leaf: int, mass: in
                 common = np.add.reduceat(t[at] == flat, starts, dtype=np.int64)
                 union = sizes + len(t) - common
                 far.append(1 - common / union)
-                out += [(cell, None, nodes[i], None, pivot) for i in np.flatnonzero((den * common >= num * union) & (nodes != pivot))]
+                out += [(cell, None, nodes[i], pivot) for i in np.flatnonzero((den * common >= num * union) & (nodes != pivot))]
             far = np.stack(far)
-            out += [(cell, int(p), nodes[i], raw[i], None) for p, i in zip(*np.nonzero(far <= far.min(0) + 2 * near + 1e-9))]
-        return pd.DataFrame(out, columns=["cell", "p", "node", "set", "link"]).astype({"p": "Int64", "link": "Int64"})
+            out += [(cell, int(p), nodes[i], None) for p, i in zip(*np.nonzero(far <= far.min(0) + 2 * near + 1e-9))]
+        return pd.DataFrame(out, columns=["cell", "p", "node", "link"]).astype({"p": "Int64", "link": "Int64"})
 
     rows = large.select("cell", F.pmod(F.xxhash64("node"), _parts(leaf, mass)).alias("c"), "node", "set")
-    return rows.groupBy("cell", "c").cogroup(pivots.groupBy("cell", "c")).applyInPandas(run, "cell bigint, p bigint, node bigint, set binary, link bigint")
+    return rows.groupBy("cell", "c").cogroup(pivots.groupBy("cell", "c")).applyInPandas(run, "cell bigint, p bigint, node bigint, link bigint")
 
 
 def _in_blocks(whole: DataFrame, leaf: int, mass: int) -> DataFrame:
@@ -292,7 +293,8 @@ def _links(members: DataFrame, leaf: int, mass: int, num: int, den: int, turns:
         worth = cut(pairs.join(sizes, "cell").select("cell", (F.col("pairs") <= DIVIDES * F.pow("size", F.lit(2))).alias("worth")), "worth")
         small.append(_in_blocks(large.join(worth.where(~F.col("worth")), "cell"), leaf, mass))
         links.append(divided.where("link is not null").select(F.col("node").alias("a"), F.col("link").alias("b")))
-        at = divided.where("p is not null").join(worth.where("worth"), "cell").select(F.xxhash64("cell", "p").alias("cell"), "node", "set")
+        dealt = divided.where("p is not null").join(worth.where("worth"), "cell").select("cell", "node", "p")
+        at = cut(dealt.join(large.select("cell", "node", "set"), ["cell", "node"]).select(F.xxhash64("cell", "p").alias("cell"), "node", "set"), "regions")
     cells = small[0]
     for x in small[1:]:
         cells = cells.unionByName(x)
