@@ -18,7 +18,8 @@ Method: a metric-space join under the Jaccard distance 1 - |x & y| / |x | y|.
    region of their nearest pivot and, as boundary points, to every other whose distance is within 2 e
    of that; so each linked pair lies together in one region. This recurs; a cell that the windows keep
    whole is instead joined block by block. Smaller cells go to one task each, which recurs in the same
-   way in memory down to a few points, and verifies with the sets themselves.
+   way in memory down to a few points, and verifies with the sets themselves; what its pivots do not
+   divide is verified where two sets share one of their rarest elements, as linked sets must.
 4. Verified links (a spanning set of each region's, not all pairs) give the components.
 
 Shuffled: about 0.18 hashes for each shingle, and the sets of the texts in cells of two or more.
@@ -128,12 +129,10 @@ def join_cell(sets: list[np.ndarray], num: int = NUM, den: int = DEN, leaf: int
     def laid_out(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([own[j] for j in cell]), np.concatenate([[0], np.cumsum(sizes[cell])[:-1]])
 
-    def each_with_later(cell: np.ndarray, flat: np.ndarray, starts: np.ndarray, far: np.ndarray | None) -> None:
+    def each_with_later(cell: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> None:
         for k in range(len(cell) - 1):
             later = cell[k + 1 :]
             open_ = label[later] != label[cell[k]]
-            if far is not None:
-                open_ &= np.abs(far[k + 1 :] - far[k]) <= near + 1e-9
             if not open_.any():
                 continue
             if open_.sum() < 0.3 * len(later):
@@ -144,6 +143,27 @@ def join_cell(sets: list[np.ndarray], num: int = NUM, den: int = DEN, leaf: int
                 _, linked = against(cell[k], flat[starts[k + 1] :], starts[k + 1 :] - starts[k + 1], later)
                 unite(cell[k], later[linked & open_])
 
+    def by_rare_elements(cell: np.ndarray, flat: np.ndarray) -> None:
+        """Two linked sets of a elements or more share one of the a - ceil(num a / den) + 1 that are rarest in the cell."""
+        own_row = np.repeat(np.arange(len(cell)), sizes[cell])
+        often = np.bincount(flat)
+        order = np.lexsort((flat, often[flat], own_row))
+        first = np.cumsum(sizes[cell]) - sizes[cell]
+        place = np.arange(len(flat)) - np.repeat(first, sizes[cell])
+        early = place < np.repeat(sizes[cell] - -(-num * sizes[cell] // den) + 1, sizes[cell])
+        element, row = flat[order][early], own_row[order][early]
+        by = np.argsort(element, kind="stable")
+        element, row = element[by], cell[row[by]]
+        edge = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1], [True]]))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if b - a > 1:
+                group = row[a:b]
+                for k in range(len(group) - 1):
+                    open_ = group[k + 1 :][label[group[k + 1 :]] != label[group[k]]]
+                    if len(open_):
+                        _, linked = against(group[k], *laid_out(open_), open_)
+                        unite(group[k], open_[linked])
+
     todo = [np.arange(n)]
     while todo:
         cell = todo.pop()
@@ -151,7 +171,7 @@ def join_cell(sets: list[np.ndarray], num: int = NUM, den: int = DEN, leaf: int
             continue
         flat, starts = laid_out(cell)
         if len(cell) <= leaf:
-            each_with_later(cell, flat, starts, None)
+            each_with_later(cell, flat, starts)
             continue
         chosen = np.linspace(0, len(cell) - 1, PIVOTS).astype(int)
         far = np.empty((PIVOTS, len(cell)))
@@ -161,7 +181,7 @@ def join_cell(sets: list[np.ndarray], num: int = NUM, den: int = DEN, leaf: int
         within = far <= far.min(0) + 2 * near + 1e-9
         held = [within[p] for p in np.unique(far.argmin(0))]
         if sum(int(x.sum()) ** 2 for x in held) > DIVIDES * len(cell) ** 2:
-            each_with_later(cell, flat, starts, far[int(far.std(1).argmax())])
+            by_rare_elements(cell, flat)
         else:
             todo += [cell[x] for x in held]
     return links
