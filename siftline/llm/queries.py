@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import ann, bitslice, bpe, chat, ctw, jaccard, langid, packing, quality, secrets
+from siftline.llm import ann, bitslice, bpe, chat, ctw, jaccard, langid, merkle, packing, quality, secrets, sharding, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +61,67 @@ def op10_topk(spark, sf_dir):
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op3_chat, op4_langid, op5_jaccard, op6_quality, op7_secrets, op8_ctw, op9_bpe, op10_topk)}
+def op11_trie(spark, sf_dir):
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_sharding(spark, sf_dir):
+    placed = sharding.shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_packing, op3_chat, op4_langid, op5_jaccard, op6_quality, op7_secrets, op8_ctw, op9_bpe, op10_topk, op11_trie, op12_sharding, op13_merkle)}
 #: crc32 of the text of doc_id
 CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT)),
          lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+#: crc32 of the bytes of text, by the table k of (t) that stands for each byte
+CRC_TABLE = "SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY b) AS t FROM range(256) AS r(b)"
+CRC_TEXT = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+         lambda c, b: xor(c >> 8, k.t[(xor(c, b) & 255) + 1])))"""
+
+
+def _levels(first: str, group: str, n: int) -> str:
+    """Tables {first}1 to {first}n: the runs of 16 above {first}0 (group, place i, digest h); a lone node is passed on."""
+    made = []
+    for level in range(n):
+        below = f"{first}{level}"
+        made.append(f"""{below}c AS (SELECT *, count(*) OVER (PARTITION BY {group}) AS c FROM {below}),
+        {first}{level + 1} AS (SELECT {group}, i // 16 AS i, CASE WHEN max(c) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {below}c GROUP BY {group}, i // 16)""")
+    return ", ".join(made)
+
+
+def _sides(first: str, level: int, group: str, at: str, key: str) -> str:
+    """Of each row of {at} ({key}, group, place i): what stands before and after it in its run of the level."""
+    own = f"{at}.i // {16**level}"
+    side = lambda op: f"coalesce(string_agg(CASE WHEN n.i {op} {own} THEN n.h END, '' ORDER BY n.i), '')"
+    return f"(SELECT {at}.{key}, {side('<')} AS b, {side('>')} AS a, count(*) AS m FROM {at} JOIN {first}{level} n ON n.{group} IS NOT DISTINCT FROM {at}.{group} AND n.i // 16 = {at}.i // {16 ** (level + 1)} GROUP BY {at}.{key}, {own})"
+
+
+def _merkle_sql(own: int = 5, over: int = 3) -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    lower = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in [*merkle.FIELDS[:-1], text]) + ")"
+    steps = [("d", k, "source", "l", "r") for k in range(own)] + [("s", k, "g", "q", "r") for k in range(over)]
+    chain, before = [], "SELECT r, h, u AS f, '' AS p FROM l"
+    for step, (first, level, group, at, key) in enumerate(steps):
+        folded = "CASE WHEN z.m = 1 THEN x.f ELSE sha256(z.b || x.f || z.a) END"
+        chain.append(f"w{step} AS (SELECT x.r, x.h, {folded} AS f, x.p || z.b || z.a AS p FROM ({before}) x JOIN {_sides(first, level, group, at, key)} z ON z.r = x.r)")
+        before = f"SELECT * FROM w{step}"
+    return f"""
+        WITH i AS (SELECT doc_id, source, row_number() OVER () AS r, {leaf("text")} AS h, CASE WHEN {CRC} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS u FROM documents),
+        l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h, r) - 1 AS i FROM i),
+        d0 AS (SELECT source, i, h FROM l), {_levels("d", "source", own)},
+        s0 AS (SELECT 0 AS g, source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i, h FROM d{own}), {_levels("s", "g", over)},
+        q AS (SELECT l.r, 0 AS g, s0.i FROM l JOIN s0 ON s0.source IS NOT DISTINCT FROM l.source),
+        {", ".join(chain)}
+        SELECT l.doc_id, l.h AS leaf, s0.h AS subroot, t.h AS root, sha256(w.p) AS proof_sha256, w.f AS folded_root, w.f = t.h AS verified
+        FROM ({before}) w JOIN l ON l.r = w.r JOIN s0 ON s0.source IS NOT DISTINCT FROM l.source CROSS JOIN s{over} t"""
+
+
 SQL: dict[str, str] = {
     "op4_langid": f"""
         WITH d AS (SELECT doc_id, lang, {CRC} % 4 = 2 AS held_out, ' ' || trim(lower(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g'))) || ' ' AS t FROM documents),
@@ -108,4 +165,26 @@ SQL: dict[str, str] = {
               FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.x) = len(r.x) WHERE q.vec_id % 50 = 0),
         o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5""",
+    "op11_trie": f"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        v AS (SELECT DISTINCT c, c - c % 100 AS b, {CRC.replace("doc_id", "c")} % 6 AS h FROM t),
+        r AS (SELECT v.c, 0 AS own, t.i, t.role, t.x FROM v JOIN t ON t.c = v.b AND t.i <= v.h UNION ALL SELECT v.c, 1, t.i, t.role, t.x FROM v JOIN t ON t.c = v.c AND t.i > v.h),
+        s AS (SELECT c, role, x, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d FROM r),
+        k AS (SELECT c, d, length(x) AS l, sha256(string_agg(strlen(role) || ':' || role || strlen(x) || ':' || x, '') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p FROM s
+              UNION ALL SELECT c, 0, 0, '' FROM v),
+        n AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, max(l) AS l FROM k GROUP BY d, p),
+        m AS (SELECT c, max(d) AS d FROM k GROUP BY c),
+        e AS (SELECT k.d, k.p, string_agg(CAST(k.c AS VARCHAR), ',' ORDER BY k.c) AS ids FROM k JOIN m ON m.c = k.c AND m.d = k.d GROUP BY k.d, k.p),
+        o AS (SELECT k.d, k.p, count(*) AS n_children FROM n JOIN k ON k.c = n.conv_id AND k.d = n.d - 1 GROUP BY k.d, k.p),
+        a AS (SELECT k.d, k.p, count(*) FILTER (WHERE o.p IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.l) AS saved FROM n JOIN k ON k.c = n.conv_id AND k.d <= n.d LEFT JOIN o ON o.d = n.d AND o.p = n.p GROUP BY k.d, k.p)
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(o.n_children, 0) AS n_children, a.n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM n JOIN a ON a.d = n.d AND a.p = n.p LEFT JOIN o ON o.d = n.d AND o.p = n.p LEFT JOIN e ON e.d = n.d AND e.p = n.p
+        LEFT JOIN k ON k.c = n.conv_id AND k.d = n.d - 1 LEFT JOIN n u ON u.d = k.d AND u.p = k.p""",
+    "op12_sharding": f"""
+        WITH k AS ({CRC_TABLE}), d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, {CRC_TEXT} AS text_crc32 FROM documents CROSS JOIN k),
+        p AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS i, sum(size) OVER () AS total FROM d),
+        b AS (SELECT *, sum(size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM p),
+        s AS (SELECT *, CAST(least((2 * before + size) * 40 // (2 * total), 39) AS INTEGER) AS shard FROM b)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY i) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
+    "op13_merkle": _merkle_sql(),
 }

@@ -437,7 +437,7 @@ def test_callers_name_what_stands_for_host_and_path(monkeypatch):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
