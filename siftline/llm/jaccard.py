@@ -13,16 +13,20 @@ Method: a metric-space join under the Jaccard distance 1 - |x & y| / |x | y|.
    k = D + 1 + E parts at least 1 + E of its projections are at distance 0: the pair meets in a region.
    (So each set leaves out its E smallest projections, in an order that sets share: of 1 + E equal
    ones at most E go on either side, and those are the same. E grows with the expected empty parts.)
-3. Regions that share points are one cell (components of point-region membership). A cell of more
-   than ``leaf`` points or ``mass`` hashes is divided again by document pivots: points go to the Voronoi
-   region of their nearest pivot and, as boundary points, to every other whose distance is within 2 e
-   of that; so each linked pair lies together in one region. This recurs; a cell that the windows keep
-   whole is instead joined block by block. Smaller cells go to one task each, which recurs in the same
-   way in memory down to a few points, and verifies with the sets themselves; what its pivots do not
-   divide is verified where two sets share one of their rarest elements, as linked sets must.
-4. Verified links (a spanning set of each region's, not all pairs) give the components.
-
-Shuffled: about 0.18 hashes for each shingle, and the sets of the texts in cells of two or more.
+3. A region's pivot is its point of least name; only (point, pivot) pairs go on. Where the points that such
+   pairs connect are few (``leaf`` points and ``mass`` hashes), they are one cell and each set is copied once.
+   Where they are many, since chance meetings chain, the cells are the pivots' own: a pivot and what it met.
+   All of a region lies in its pivot's cell, so each linked pair lies in a cell, and no chain makes one larger.
+4. A cell that is still larger is divided by document pivots: points go to the Voronoi region of their nearest
+   pivot and, as boundary points, to every other whose distance is within 2 e of that; there, what lies within
+   2 e of the pivot is parted from what lies beyond e. So each linked pair lies together in one part. Pivots
+   have been compared with all and leave; parts whose points are all linked already are done. Points at a
+   distance near 1 of each other, which pivots cannot divide, are dealt by the elements that are rarest in
+   their cell: linked sets share one of the first few. This recurs. Smaller cells go to one task each, which
+   divides them in the same ways in memory and verifies with the sets themselves.
+5. Verified links (a spanning set of each cell's, not all pairs) give the components.
+
+Shuffled: about 0.2 hashes for each shingle at 0.9, 0.5 at 0.8, and the sets of the texts that met others.
 Broadcast: a bit table of fixed size (at most 8 MB) that holds which sets are wanted; once it is full
 (from some 10 million wanted sets on) the sets of all texts are shuffled and the join alone decides.
 
@@ -187,34 +191,44 @@ def join_cell(sets: list[np.ndarray], num: int = NUM, den: int = DEN, leaf: int
     return links
 
 
-def _points(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
-    """id, node, n and (once a task for equal sets) the regions of every document."""
+def _points(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """id, node and n of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch):
+                sets = shingle_sets(data, offsets, size)
+                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], [id_col, "node", "n"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(text_col).alias("__text"), id_col).mapInArrow(run, f"`{id_col}` {kind}, node bigint, n bigint")
+
+
+def _meets(docs: DataFrame, text_col: str, size: int, num: int, den: int) -> DataFrame:
+    """(node, pivot) of every point that is in a first region, and not its pivot. A task names equal sets once."""
     shells = Shells(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for rows, data, offsets in slices(batch):
-                node, n, regions = [], [], []
+            for _, data, offsets in slices(batch):
+                node, regions = [], []
                 for s in shingle_sets(data, offsets, size):
                     k = _name(s)
-                    node.append(k)
-                    n.append(len(s))
-                    if k in seen or not len(s):
-                        regions.append(None)
-                        continue
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(k)
-                    regions.append(regions_of(s, shells).view(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(regions, pa.list_(pa.int64()))], [id_col, "node", "n", "regions"])
+                    if k not in seen and len(s):
+                        if len(seen) >= 1_000_000:
+                            seen.clear()
+                        seen.add(k)
+                        node.append(k)
+                        regions.append(regions_of(s, shells).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(regions, pa.list_(pa.int64()))], ["node", "regions"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(text_col).alias("__text"), id_col).mapInArrow(run, f"`{id_col}` {kind}, node bigint, n bigint, regions array<bigint>")
+    rows = docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "node bigint, regions array<bigint>").select("node", F.explode("regions").alias("region"))
+    return rows.withColumn("pivot", F.min("node").over(Window.partitionBy("region"))).where("node > pivot").select("node", "pivot").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
-    """node and set (bytes of its sorted hashes) of the texts whose node is in ``wanted`` (node, cell), with the cell."""
+    """node and set (bytes of its sorted hashes) of the texts whose node is in ``wanted`` (node and what else it carries)."""
     prefix = F.shiftrightunsigned("node", 64 - BITS)
     rows = wanted.groupBy(F.shiftright(prefix, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(1 << (BITS - 6), U)
@@ -252,11 +266,12 @@ def _parts(leaf: int, mass: int) -> Column:
 
 
 def _divide(large: DataFrame, turn: int, num: int, den: int, leaf: int, mass: int) -> DataFrame:
-    """Members (cell, p, node) of large cells in the regions p of their cells' pivots, and links (p null)
-    to pivots. A task compares a small part of a cell with its pivots; sets stay where they are."""
+    """Members (cell, part, node) of large cells in parts around their cells' pivots, and links (part null) to
+    pivots. Pivots are of different labels (what is linked already has one), as far as there are several, and
+    in no part. A task compares a small share of a cell with its pivots; sets stay where they are."""
     leaf, mass = min(leaf, PART), min(mass, PART_MASS)
-    draw = F.xxhash64("node", F.lit(turn))
-    pivots = large.groupBy("cell", F.pmod(draw, F.lit(PIVOTS)).alias("p")).agg(F.min_by(F.struct("node", "set"), F.struct(draw, "node")).alias("pivot"), F.max("size").alias("size"), F.max("mass").alias("mass"))
+    slot, draw = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(PIVOTS)), F.xxhash64("node", F.lit(turn))
+    pivots = large.groupBy("cell", slot.alias("p")).agg(F.min_by(F.struct("node", "set"), F.struct(draw, "node")).alias("pivot"), F.max("size").alias("size"), F.max("mass").alias("mass"))
     pivots = pivots.groupBy("cell").agg(F.collect_list("pivot.node").alias("nodes"), F.collect_list("pivot.set").alias("sets"), F.max("size").alias("size"), F.max("mass").alias("mass"))
     pivots = pivots.select("cell", "nodes", "sets", F.explode(F.sequence(F.lit(0).cast("long"), _parts(leaf, mass) - 1)).alias("c"))
     pivots = pivots.toDF(*pivots.columns)  # both sides come from one table
@@ -277,73 +292,121 @@ def _divide(large: DataFrame, turn: int, num: int, den: int, leaf: int, mass: in
                 far.append(1 - common / union)
                 out += [(cell, None, nodes[i], pivot) for i in np.flatnonzero((den * common >= num * union) & (nodes != pivot))]
             far = np.stack(far)
-            out += [(cell, int(p), nodes[i], None) for p, i in zip(*np.nonzero(far <= far.min(0) + 2 * near + 1e-9))]
-        return pd.DataFrame(out, columns=["cell", "p", "node", "link"]).astype({"p": "Int64", "link": "Int64"})
+            within = (far <= far.min(0) + 2 * near + 1e-9) & ~np.isin(nodes, chosen)
+            for part, held in ((0, within & (far <= 2 * near + 1e-9)), (1, within & (far >= near - 1e-9))):
+                out += [(cell, 2 * int(p) + part, nodes[i], None) for p, i in zip(*np.nonzero(held))]
+        return pd.DataFrame(out, columns=["cell", "part", "node", "link"]).astype({"part": "Int64", "link": "Int64"})
 
     rows = large.select("cell", F.pmod(F.xxhash64("node"), _parts(leaf, mass)).alias("c"), "node", "set")
-    return rows.groupBy("cell", "c").cogroup(pivots.groupBy("cell", "c")).applyInPandas(run, "cell bigint, p bigint, node bigint, link bigint")
+    return rows.groupBy("cell", "c").cogroup(pivots.groupBy("cell", "c")).applyInPandas(run, "cell bigint, part bigint, node bigint, link bigint")
+
+
+def _by_rare_elements(whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Members (cell, node) of cells that pivots do not divide in the cells of second pivots: with its elements
+    in order of how often they are in the cell, a set shares one of its first n - num n / den + 1 with each
+    linked one; the sets with one such element are a region, and regions of one least node are a cell."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
+            edge = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["cell", "node", "elements"])
+
+    rows = whole.select("cell", "node", "set").mapInArrow(elements, "cell bigint, node bigint, elements array<bigint>").select("cell", "node", F.explode("elements").alias("element"))
+    often = rows.groupBy("cell", "element").agg(F.count(F.lit(1)).alias("often"))
+    first = F.size("all") - F.ceil(F.size("all") * F.lit(num) / F.lit(den)).cast("int") + 1
+    ranked = rows.join(often, ["cell", "element"]).groupBy("cell", "node").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("all"))
+    early = ranked.select("cell", "node", F.explode(F.slice("all", F.lit(1), first)).alias("e")).where("e.often > 1")
+    meets = early.withColumn("pivot", F.min("node").over(Window.partitionBy("cell", "e.element"))).where("node > pivot").select("cell", "node", "pivot").distinct()
+    meets = cut(meets, "rare")
+    return meets.unionByName(meets.select("cell", F.col("pivot").alias("node"), "pivot").distinct()).select("cell", F.xxhash64("cell", "pivot").alias("sub"), "node")
 
 
 def _in_blocks(whole: DataFrame, leaf: int, mass: int) -> DataFrame:
-    """Members of cells that pivots do not divide, in cells that each hold two blocks: every pair meets in one."""
+    """Members of cells in cells that each hold two blocks: every pair meets in one. The exact way that is left
+    for more than ``leaf`` unlinked sets that neither pivots nor their rarest elements part."""
     blocks = whole.withColumn("blocks", _parts(max(1, leaf // 2), max(1, mass // 2)))
     blocks = blocks.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return blocks.select(F.xxhash64("cell", F.least("b", "c"), F.greatest("b", "c")).alias("cell"), "node", "set")
 
 
-def _links(members: DataFrame, leaf: int, mass: int, num: int, den: int, turns: int = 6) -> DataFrame:
+def _small(cells: DataFrame, num: int, den: int, groups: int) -> DataFrame:
+    """Verified links (a, b) of cells that each fit a task."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, cell in group.sort_values(["cell", "node"]).groupby("cell", sort=False):
+            if len(cell) > 1:
+                nodes = cell["node"].to_numpy()
+                found += [(nodes[i], nodes[j]) for i, j in join_cell([np.frombuffer(x, U) for x in cell["set"]], num, den)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return cells.select("cell", "node", "set").withColumn("g", F.pmod(F.xxhash64("cell"), F.lit(groups))).groupBy("g").applyInPandas(run, "a bigint, b bigint")
+
+
+def _links(members: DataFrame, leaf: int, mass: int, num: int, den: int, turns: int = 8) -> DataFrame:
     """Verified links (a, b) of members (cell, node, set)."""
-    at, small, links, total, hashes = members, [], [], 0, 0
+    at, labels, links, total, hashes = members, None, [], 0, 0
+    small, fits = [], (F.col("size") <= leaf) & (F.col("mass") <= mass)
     for turn in range(turns + 1):
-        sizes = _weighed(at)
+        sizes = cut(_weighed(at), "sizes")
         points, most, weight, heaviest = sizes.agg(F.sum("size"), F.max("size"), F.sum("mass"), F.max("mass")).first()
         total, hashes = total + (points or 0), hashes + (weight or 0)
         if not points or (most <= leaf and heaviest <= mass):
-            small.append(at)
+            small.append(at.select("cell", "node", "set"))
             break
-        sizes = cut(sizes, "sizes")
-        fits = (F.col("size") <= leaf) & (F.col("mass") <= mass)
-        small.append(at.join(sizes.where(fits & (F.col("size") > 1)), "cell").drop("size", "mass"))
+        small.append(at.join(sizes.where(fits & (F.col("size") > 1)), "cell").select("cell", "node", "set"))
         large = at.join(sizes.where(~fits & (F.col("size") > 1)), "cell")
         if turn == turns:
             small.append(_in_blocks(large, leaf, mass))
             break
-        divided = cut(_divide(large, turn, num, den, leaf, mass), "cells")
-        pairs = divided.where("p is not null").groupBy("cell", "p").agg(F.count(F.lit(1)).cast("double").alias("held")).groupBy("cell").agg(F.sum(F.col("held") * F.col("held")).alias("pairs"))
-        worth = cut(pairs.join(sizes, "cell").select("cell", (F.col("pairs") <= DIVIDES * F.pow("size", F.lit(2))).alias("worth")), "worth")
-        small.append(_in_blocks(large.join(worth.where(~F.col("worth")), "cell"), leaf, mass))
+        large = large.withColumn("label", F.col("node")) if labels is None else large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        divided = cut(_divide(large, turn, num, den, leaf, mass), "parts")
         links.append(divided.where("link is not null").select(F.col("node").alias("a"), F.col("link").alias("b")))
-        dealt = divided.where("p is not null").join(worth.where("worth"), "cell").select("cell", "node", "p")
-        at = cut(dealt.join(large.select("cell", "node", "set"), ["cell", "node"]).select(F.xxhash64("cell", "p").alias("cell"), "node", "set"), "regions")
+        labels = links[0]
+        for x in links[1:]:
+            labels = labels.unionByName(x)
+        labels = cut(components(labels).select("node", F.col("root").alias("label")), "labels")
+        parts = divided.where("part is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        parts = parts.groupBy("cell", "part").agg(F.count(F.lit(1)).cast("double").alias("held"), F.min("label").alias("one"), F.max("label").alias("other")).where("one != other")
+        pairs = parts.groupBy("cell").agg(F.sum(F.col("held") * F.col("held")).alias("pairs"))
+        worth = cut(sizes.where(~fits).join(pairs, "cell", "left").select("cell", (F.coalesce("pairs", F.lit(0)) <= DIVIDES * F.pow("size", F.lit(2))).alias("worth")), "worth")
+        sets = large.select("cell", "node", "set")
+        dealt = divided.where("part is not null").join(parts.select("cell", "part"), ["cell", "part"]).join(worth.where("worth"), "cell")
+        next_ = dealt.join(sets, ["cell", "node"]).select(F.xxhash64("cell", "part").alias("cell"), "node", "set")
+        if not worth.where("not worth").isEmpty():
+            whole = sets.join(worth.where("not worth"), "cell").select("cell", "node", "set")
+            next_ = next_.unionByName(_by_rare_elements(whole, num, den).join(whole, ["cell", "node"]).select(F.col("sub").alias("cell"), "node", "set"))
+        at = cut(next_, "regions")
     cells = small[0]
     for x in small[1:]:
         cells = cells.unionByName(x)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, cell in group.sort_values(["cell", "node"]).groupby("cell", sort=False):
-            if len(cell) > 1:
-                nodes = cell["node"].to_numpy()
-                found += [(nodes[i], nodes[j]) for i, j in join_cell([np.frombuffer(x, U) for x in cell["set"]], num, den)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
     # cells are dealt to groups of a few hundred points and a few MB each, far below what a task can hold
-    groups = max(partitions(members.sparkSession), total // 512, hashes // (1 << 19))
-    out = cells.select("cell", "node", "set").withColumn("g", F.pmod(F.xxhash64("cell"), F.lit(groups))).groupBy("g").applyInPandas(run, "a bigint, b bigint")
+    out = _small(cells, num, den, max(partitions(members.sparkSession), total // 512, hashes // (1 << 19)))
     for x in links:
         out = out.unionByName(x)
     return out
 
 
+def _cells(docs: DataFrame, meets: DataFrame, text_col: str, size: int, leaf: int, mass: int) -> DataFrame:
+    """Members (cell, node, set): components of ``meets`` (node, pivot) that fit a task, pivots with what they met for the others."""
+    linked = cut(components(meets, "node", "pivot").select("node", F.col("root").alias("cell")), "region-cells")
+    sets = cut(_sets(docs, linked, text_col, size), "members")
+    sizes = cut(_weighed(sets), "sizes")
+    fits = (F.col("size") <= leaf) & (F.col("mass") <= mass)
+    if sizes.where(~fits).isEmpty():
+        return sets.select("cell", "node", "set")
+    large = sets.join(sizes.where(~fits).select("cell"), "cell").select("node", "set")
+    own = meets.select("node", F.col("pivot").alias("cell")).unionByName(meets.select(F.col("pivot").alias("node"), F.col("pivot").alias("cell")).distinct())
+    return sets.join(sizes.where(fits).select("cell"), "cell").select("cell", "node", "set").unionByName(own.join(large, "node").select(F.xxhash64("cell", F.lit("pivot")).alias("cell"), "node", "set"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = NUM, den: int = DEN, leaf: int = LEAF, mass: int = MASS) -> DataFrame:
     """id_col, n_shingles, node (equal for equal sets), component_id: the least id reachable by links."""
     ship(docs.sparkSession)
-    points = cut(_points(docs, id_col, text_col, size, num, den), "points")
-    region = points.where("regions is not null").select("node", F.explode("regions").alias("region"))
-    least = F.first("node").over(Window.partitionBy("region").orderBy("node"))
-    meets = cut(region.withColumn("least", least).where("node > least").select("node", "least").distinct(), "meets")
-    cells = cut(components(meets, "node", "least").select("node", F.col("root").alias("cell")), "region-cells")
-    members = cut(_sets(docs, cells, text_col, size), "members")
+    points = cut(_points(docs, id_col, text_col, size), "points")
+    meets = cut(_meets(docs, text_col, size, num, den), "meets")
+    members = cut(_cells(docs, meets, text_col, size, leaf, mass), "cells")
     roots = components(_links(members, leaf, mass, num, den))
     nodes = points.where("n > 0").groupBy("node").agg(F.min(id_col).alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("own").alias("component_id"))
