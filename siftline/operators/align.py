@@ -1,13 +1,15 @@
 """Gapped alignment, translation and repeats. Distinct inputs are computed once each: callers join
-results back on the strings. Small dynamic programs run on Arrow batches in tasks."""
+results back on the strings. Dynamic programs run on Arrow batches in tasks, many pairs at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.functions.seq import col, revcomp, slice_at
+from siftline.functions.seq import col, ratio, revcomp, slice_at
 from siftline.session import ship
 
 #: The standard genetic code, bases in the order TCAG.
@@ -15,81 +17,148 @@ AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 BASES = "TCAG"
 
 
-def global_alignment(a: str, b: str, match: float = 1, mismatch: float = -1, gap_open: float = -2, gap_extend: float = -1) -> tuple[int, int, int]:
-    """(columns, pairs, identical pairs) of a best affine alignment; of equal scores a pair is preferred
-    to a gap in b, and that to a gap in a."""
-    n, m, low = len(a), len(b), -1e18
-    score = np.full((3, n + 1, m + 1), low)  # pair, gap in b, gap in a
-    back = np.zeros((3, n + 1, m + 1), np.int8)
-    score[0, 0, 0] = 0
-    for i in range(1, n + 1):
-        score[1, i, 0], back[1, i, 0] = gap_open + (i - 1) * gap_extend, 1 if i > 1 else 0
-    for j in range(1, m + 1):
-        score[2, 0, j], back[2, 0, j] = gap_open + (j - 1) * gap_extend, 2 if j > 1 else 0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            up, left, diagonal = score[:, i - 1, j], score[:, i, j - 1], score[:, i - 1, j - 1]
-            k = int(diagonal.argmax())
-            score[0, i, j], back[0, i, j] = diagonal[k] + (match if a[i - 1] == b[j - 1] else mismatch), k
-            tried = (up[0] + gap_open, up[1] + gap_extend, up[2] + gap_open)
-            k = int(np.argmax(tried))
-            score[1, i, j], back[1, i, j] = tried[k], k
-            tried = (left[0] + gap_open, left[1] + gap_open, left[2] + gap_extend)
-            k = int(np.argmax(tried))
-            score[2, i, j], back[2, i, j] = tried[k], k
-    i, j, k = n, m, int(score[:, n, m].argmax())
-    columns = pairs = same = 0
-    while i or j:
-        before = int(back[k, i, j])
-        columns += 1
-        if k == 0:
-            pairs, same = pairs + 1, same + (a[i - 1] == b[j - 1])
-            i, j = i - 1, j - 1
-        elif k == 1:
-            i -= 1
-        else:
-            j -= 1
-        k = before
-    return columns, pairs, same
-
-
-def local_alignment(a: str, b: str, match: float = 2, mismatch: float = -1, gap: float = -2) -> tuple[float, int, int]:
-    """(score, end in a, end in b) of the best local alignment with linear gaps, the first of equal ones."""
-    score, best = np.zeros(len(b) + 1), (0.0, 0, 0)
-    for i, x in enumerate(a, 1):
-        row = np.zeros(len(b) + 1)
-        for j, y in enumerate(b, 1):
-            row[j] = max(0.0, score[j - 1] + (match if x == y else mismatch), score[j] + gap, row[j - 1] + gap)
-            if row[j] > best[0]:
-                best = (float(row[j]), i, j)
-        score = row
-    return best
-
-
-def aligned(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """a, b, columns, paired_bp, identity (of pairs, 0 without any), coverage (pairs of the longer), local score."""
+#: A value holds a score and two counts, so that its order decides between equal scores and adding adds all three.
+_ONE = 1 << 20
+_SCORE = _ONE * _ONE
+_NEVER = -(1 << 60)
+CELLS = 1 << 17  # cells of an anti-diagonal, over all pairs, that are computed at once
+
+
+def _batches(a: list[str], b: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Which pairs, their letters in rows (a; b from its end), and both lengths, pairs of like lengths together."""
+    order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))
+    while order:
+        take = max(1, CELLS // (len(a[order[-1]]) + 1))
+        chunk, order = np.array(order[-take:]), order[:-take]
+        n, m = (np.array([len(x[k]) for k in chunk]) for x in (a, b))
+        if max(n.max(), m.max()) >= _ONE:
+            raise ValueError(f"sequences of {_ONE} letters or more are not aligned")
+        left, right = np.full((len(chunk), n.max()), -1, np.int32), np.full((len(chunk), m.max()), -2, np.int32)
+        left[np.arange(n.max()) < n[:, None]] = np.frombuffer("".join(a[k] for k in chunk).encode("utf-32-le"), np.int32)
+        right[np.arange(m.max()) < m[:, None]] = np.frombuffer("".join(b[k] for k in chunk).encode("utf-32-le"), np.int32)
+        yield chunk, left, right[:, ::-1], n, m
+
+
+def _diagonals(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+    """For each anti-diagonal i + j = t of the cells with i, j >= 1: t, its places i, whether the letters are
+    equal, and whether they are equal bases."""
+    n, m = left.shape[1], right.shape[1]
+    for t in range(1, n + m + 1):
+        lo, hi = max(1, t - m), min(n, t - 1)
+        x = left[:, lo - 1 : hi]
+        same = x == right[:, m - t + lo : m - t + hi + 1] if hi >= lo else np.zeros((len(left), 0), bool)
+        yield t, slice(lo, hi + 1), same, same & np.isin(x, [65, 67, 71, 84])
+
+
+def global_alignments(a: list[str], b: list[str], match: int = 1, mismatch: int = -1, gap_open: int = -2, gap_extend: int = -1) -> np.ndarray:
+    """Rows (score, pairs, identical bases) of the best global alignments with affine gaps, of equal scores the
+    one with most pairs, then most identical bases. A gap of n letters costs gap_open + (n - 1) gap_extend.
+    All cells of an anti-diagonal of all pairs of a batch take a step at once; two diagonals are kept."""
+    out = np.zeros((len(a), 3), np.int64)
+    opened, longer = gap_open * _SCORE, gap_extend * _SCORE
+    for which, left, right, n, m in _batches(a, b):
+        shape = (len(which), left.shape[1] + 1)
+        pair, in_b, in_a = (np.full(shape, _NEVER) for _ in range(3))
+        pair[:, 0] = 0
+        last = np.full(shape, _NEVER)  # the best of each cell, a diagonal earlier
+        done = n + m == 0
+        for t, at, same, base in _diagonals(left, right):
+            best = np.maximum(np.maximum(pair, in_b), in_a)
+            now = np.full(shape, _NEVER)
+            now[:, at] = last[:, at.start - 1 : at.stop - 1] + np.where(same, match * _SCORE + _ONE, mismatch * _SCORE + _ONE) + base
+            down = np.full(shape, _NEVER)
+            down[:, 1:] = np.maximum(np.maximum(pair, in_a)[:, :-1] + opened, in_b[:, :-1] + longer)
+            in_a = np.maximum(np.maximum(pair, in_b) + opened, in_a + longer)
+            pair, in_b, last = now, down, best
+            ended = n + m == t
+            if ended.any():
+                rows = np.flatnonzero(ended)
+                value = np.maximum(np.maximum(pair, in_b), in_a)[rows, n[rows]]
+                out[which[rows]] = np.stack([value >> 40, (value >> 20) & (_ONE - 1), value & (_ONE - 1)], axis=1)
+        out[which[done]] = 0
+    return out
+
+
+def local_alignments(a: list[str], b: list[str], match: int = 1, mismatch: int = 0, gap: int = -1) -> np.ndarray:
+    """Rows (score, identical letters, columns) of the best local alignments with linear gaps, of equal scores
+    the one with most identical letters, then fewest columns. mismatch and gap are not above 0."""
+    if mismatch > 0 or gap > 0:
+        raise ValueError("mismatch and gap may not be above 0")
+    out = np.zeros((len(a), 3), np.int64)
+    for which, left, right, _, _ in _batches(a, b):
+        shape = (len(which), left.shape[1] + 1)
+        two, one, best = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(len(which), np.int64)
+        for _, at, same, _ in _diagonals(left, right):
+            now = np.zeros(shape, np.int64)
+            if at.stop > at.start:
+                before = slice(at.start - 1, at.stop - 1)
+                step = np.maximum(one[:, before], one[:, at]) + (gap * _SCORE - 1)
+                now[:, at] = np.maximum(np.maximum(two[:, before] + np.where(same, match * _SCORE + _ONE - 1, mismatch * _SCORE - 1), step), 0)
+                best = np.maximum(best, now[:, at].max(1))
+            two, one = one, now
+        columns = -best % _ONE
+        out[which] = np.stack([(best + columns) >> 40, ((best + columns) >> 20) & (_ONE - 1), columns], axis=1)
+    return out
+
+
+def _per_pair(pairs: DataFrame, a: str, b: str, names: list[str], f: Callable[[list[str], list[str]], np.ndarray]) -> DataFrame:
+    """a, b and long columns ``names`` of every distinct pair without nulls."""
     ship(pairs.sparkSession)
 
-    def run(batches):
-        for x in batches:
-            out = []
-            for s, t in zip(x[a], x[b]):
-                columns, paired, same = global_alignment(s, t)
-                out.append((s, t, columns, paired, same / paired if paired else 0.0, paired / max(len(s), len(t), 1), local_alignment(s, t)[0]))
-            yield pd.DataFrame(out, columns=[a, b, "columns", "paired_bp", "identity", "coverage", "local"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = f(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(names)))], [a, b, *names])
 
     distinct = pairs.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    return distinct.mapInPandas(run, f"`{a}` string, `{b}` string, columns int, paired_bp int, identity double, coverage double, local double")
+    return distinct.mapInArrow(run, f"`{a}` string, `{b}` string, " + ", ".join(f"{c} bigint" for c in names))
+
+
+def aligned_global(pairs: DataFrame, a: str, b: str, **costs: int) -> DataFrame:
+    """Of each distinct pair: a, b, score, paired_bp, matches, mismatches, indels, identity (of paired letters, 0
+    without any), coverage_shorter and coverage_longer. Identity leaves gaps out, so ask for coverage first. With
+    an empty sequence nothing is paired."""
+    found = _per_pair(pairs, a, b, ["score", "paired_bp", "matches"], lambda x, y: global_alignments(x, y, **costs))
+    n, m = F.length(a).cast("long"), F.length(b).cast("long")
+    none = (n == 0) | (m == 0)
+    indels = F.when(none, F.lit(0)).otherwise(n + m - 2 * F.col("paired_bp"))
+    return found.select(
+        a, b, "score", "paired_bp", "matches", (F.col("paired_bp") - F.col("matches")).alias("mismatches"), indels.cast("long").alias("indels"), ratio(F.col("matches"), F.col("paired_bp")).alias("identity"),
+        ratio(F.col("paired_bp"), F.least(n, m)).alias("coverage_shorter"), F.when(none, F.lit(0.0)).otherwise(ratio(F.col("paired_bp"), F.greatest(n, m))).alias("coverage_longer"),
+    )
+
+
+def aligned_local(pairs: DataFrame, a: str, b: str, **costs: int) -> DataFrame:
+    """Of each distinct pair: a, b, score, matches, columns of its best local alignment."""
+    return _per_pair(pairs, a, b, ["score", "matches", "columns"], lambda x, y: local_alignments(x, y, **costs))
 
 
-def eligible(paired: Column, coverage: Column, least_bp: int, least_ratio: float) -> Column:
-    return (paired >= least_bp) & (coverage >= least_ratio)
+def eligible(a: Column, b: Column, paired: Column, coverage_longer: Column, least_bp: int, least_ratio: float) -> Column:
+    """Whether a side can speak for a background: known bases only, enough of them paired, and most of the longer."""
+    return a.rlike("^[ACGT]+$") & b.rlike("^[ACGT]+$") & (paired >= least_bp) & (coverage_longer >= least_ratio)
 
 
 def chosen_side(left: Column, right: Column) -> Column:
-    """The better of two structs (eligible, identity, paired_bp, ...), the left on ties."""
-    key = lambda s: F.struct(s["eligible"], s["identity"], s["paired_bp"])
-    return F.when(key(left) >= key(right), F.struct(F.lit("left").alias("side"), left.alias("metrics"))).otherwise(F.struct(F.lit("right").alias("side"), right.alias("metrics")))
+    """The better by identity, then paired_bp, of those structs that are eligible, the left on ties: its name and
+    metrics; ``none`` and null if neither is."""
+    key = lambda s: F.struct(s["identity"], s["paired_bp"])
+    first = left["eligible"] & (~right["eligible"] | (key(left) >= key(right)))
+    side = lambda name, s: F.struct(F.lit(name).alias("side"), s.alias("metrics"))
+    return F.when(first, side("left", left)).when(right["eligible"], side("right", right)).otherwise(F.struct(F.lit("none").alias("side"), F.when(F.lit(False), left).alias("metrics")))
+
+
+def sides(df: DataFrame, left: tuple[str, str], right: tuple[str, str], least_bp: int, least_ratio: float) -> DataFrame:
+    """Adds left, right (metrics of the global alignments of each side's two sequences) and chosen."""
+    both = df.select(F.col(left[0]).alias("__a"), F.col(left[1]).alias("__b")).unionByName(df.select(F.col(right[0]).alias("__a"), F.col(right[1]).alias("__b")))
+    found = aligned_global(both, "__a", "__b")
+    ok = eligible(F.col("__a"), F.col("__b"), F.col("paired_bp"), F.col("coverage_longer"), least_bp, least_ratio)
+    metrics = F.struct(*[c for c in found.columns if not c.startswith("__")], ok.alias("eligible"))
+    found = found.select("__a", "__b", metrics.alias("__m"))
+    out = df
+    for (a, b), name in ((left, "left"), (right, "right")):
+        side = found.toDF(f"__{name}_a", f"__{name}_b", name)
+        out = out.join(side, (F.col(a) == F.col(f"__{name}_a")) & (F.col(b) == F.col(f"__{name}_b"))).drop(f"__{name}_a", f"__{name}_b")
+    return out.withColumn("chosen", chosen_side(F.col("left"), F.col("right")))
 
 
 def translate(s: Column | str, frame: int = 0) -> Column:

@@ -4,9 +4,10 @@ always in the forward frame. N never matches."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.functions import seq
@@ -21,48 +22,115 @@ def retention_floor(length: int) -> int:
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
-
-
-def diagonal_counts(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """[i, j]: equal letters of the windows of ``length`` that begin at i and j; N equals nothing."""
-    rows, columns = len(a) - length + 1, len(b) - length + 1
-    if rows <= 0 or columns <= 0:
-        return np.zeros((0, 0), np.int32)
-    same = (a[:, None] == b[None, :]) & (a[:, None] < 4)
-    total = np.zeros((rows, columns), np.int32)
-    for k in range(length):
-        total += same[k : k + rows, k : k + columns]
-    return total
+WORDS = 1 << 15  # 64-bit words of a bit vector over the sites that are counted at once
+
+
+def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter codes of each text in a row, 4 for what is no letter and behind the end; and the lengths."""
+    size = np.array([len(t) for t in texts])
+    codes = np.full((len(texts), int(size.max(initial=0))), 4, np.uint8)
+    codes[np.arange(codes.shape[1]) < size[:, None]] = _CODE[np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)]
+    return codes, size
+
+
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Rows of flags as rows of 64-bit words, the first flag in the lowest bit."""
+    wide = np.zeros((len(flags), -(-flags.shape[1] // 64) * 64), bool)
+    wide[:, : flags.shape[1]] = flags
+    return np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
+
+
+def _lower(x: np.ndarray, by: int) -> np.ndarray:
+    """Bit vectors shifted ``by`` places towards the first."""
+    words, bits = divmod(by, 64)
+    out = np.zeros_like(x)
+    if words < x.shape[-1]:
+        out[..., : x.shape[-1] - words] = x[..., words:] >> np.uint64(bits)
+        if bits:
+            out[..., : x.shape[-1] - words - 1] |= x[..., words + 1 :] << np.uint64(64 - bits)
+    return out
+
+
+def _count(planes: np.ndarray, x: np.ndarray, up: bool) -> None:
+    """Adds the bits of x to counters that lie as bit planes (or takes them off)."""
+    for p in planes:
+        carry = (p if up else ~p) & x
+        p ^= x
+        x = carry
+
+
+def window_counts(a: np.ndarray, b: np.ndarray, length: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, i, j, m): windows at i of a and j of b (rows of letter codes) with m >= least equal letters.
+
+    Bit-parallel: a site's flank is four bit vectors, one for each letter, and the counts of all its windows
+    against one window of nc are bit planes. Going down by one letter, counts move one place along their
+    diagonal, gain the matches of the letter that comes in and lose those of the letter that goes out: a few
+    word operations for 64 windows, over all sites of a batch at once."""
+    if length > min(a.shape[1], b.shape[1]) or least > length:
+        return
+    letters = np.stack([_bits(b == c) for c in range(4)] + [np.zeros((len(b), -(-b.shape[1] // 64)), np.uint64)], axis=1)
+    rows = np.arange(len(a))
+    planes = np.zeros((length.bit_length(), *letters.shape[::2]), np.uint64)
+    for i in range(a.shape[1] - 1, -1, -1):
+        if i + length < a.shape[1]:
+            _count(planes, _lower(letters[rows, a[:, i + length]], length - 1), False)
+        planes = _lower(planes, 1)
+        _count(planes, letters[rows, a[:, i]], True)
+        if i + length > a.shape[1]:
+            continue
+        enough = np.full(planes.shape[1:], ~np.uint64(0))
+        for k, p in enumerate(planes):
+            enough = (p & enough) if least >> k & 1 else (p | enough)
+        some = np.flatnonzero(enough.any(1))
+        if len(some):
+            at, j = np.nonzero(np.unpackbits(enough[some].view(np.uint8), axis=1, bitorder="little")[:, : b.shape[1] - length + 1])
+            at = some[at]
+            m = np.zeros(len(at), np.int32)
+            for k, p in enumerate(planes):
+                m |= ((p[at, j >> 6] >> (j & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int32) << k
+            yield at, np.full(len(at), i), j, m
 
 
 def window_matches(sites: DataFrame, keys: list[str], nc: str, flank: str, lengths: list[int], least=retention_floor) -> DataFrame:
-    """keys, orient, L, i, f, m: all window pairs with at least ``least(L)`` matches; windows of nc
-    that hold N are left out. A row's pairs are counted with array arithmetic in its task, and only
-    hits become rows."""
+    """keys, orient, L, i, f, m: all window pairs with at least ``least(L)`` matches; windows of nc that
+    hold N are left out. Sites are counted in batches (see window_counts), and only hits become rows."""
     ship(sites.sparkSession)
     floors = {n: least(n) for n in lengths}
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for *key, x, y in batch[[*keys, nc, flank]].itertuples(index=False, name=None):
-                if x is None or y is None:
-                    continue
-                a, b = (_CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)] for s in (x, y))
-                gaps = np.concatenate([[0], np.cumsum(a == 4)])
-                for orient, side in (("fwd", b), ("rc", np.where(b < 4, 3 - b, b)[::-1])):
-                    for n, floor in floors.items():
-                        m = diagonal_counts(a, side, n)
-                        i, j = np.nonzero(m >= floor)
-                        whole = gaps[i + n] == gaps[i]
-                        i, j = i[whole], j[whole]
-                        f = j if orient == "fwd" else len(b) - j - n
-                        out.append(pd.DataFrame({**{c: [v] * len(i) for c, v in zip(keys, key)}, "orient": orient, "L": n, "i": i, "f": f, "m": m[i, j]}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=[*keys, "orient", "L", "i", "f", "m"])
-
     kinds = dict(sites.dtypes)
+    names = [*keys, "orient", "L", "i", "f", "m"]
+
+    def found(codes, size, other, other_size, orient, length):
+        whole = np.cumsum(np.pad(codes == 4, ((0, 0), (1, 0))), axis=1)
+        for row, i, j, m in window_counts(codes, other, length, max(0, floors[length])):
+            ok = (i + length <= size[row]) & (j + length <= other_size[row])
+            row, i, j, m = row[ok], i[ok], j[ok], m[ok]
+            ok = whole[row, i + length] == whole[row, i]
+            row, i, j, m = row[ok], i[ok], j[ok], m[ok]
+            yield row, i, j if orient == "fwd" else other_size[row] - j - length, m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, columns)
+            left, right = (batch.column(columns.index(c)).to_pylist() for c in (nc, flank))
+            order = sorted((k for k in range(len(left)) if left[k] is not None and right[k] is not None), key=lambda k: (len(right[k]), len(left[k])))
+            while order:
+                take = max(1, WORDS // max(1, -(-len(right[order[-1]]) // 64)))
+                chunk, order = order[-take:], order[:-take]
+                (a, a_size), (b, b_size) = _padded([left[k] for k in chunk]), _padded([right[k] for k in chunk])
+                turned = np.full_like(b, 4)
+                inside = np.arange(b.shape[1]) < b_size[:, None]
+                turned[inside] = np.where(b < 4, 3 - b, b)[:, ::-1][inside[:, ::-1]]
+                for orient, side in (("fwd", b), ("rc", turned)):
+                    for length in floors:
+                        for row, i, f, m in found(a, a_size, side, b_size, orient, length):
+                            if len(row):
+                                n, at = len(row), pa.array(np.array(chunk)[row])
+                                own = [batch.column(columns.index(c)).take(at) for c in keys]
+                                yield pa.RecordBatch.from_arrays([*own, pa.array([orient]).take(pa.array(np.zeros(n, np.int32))), *(pa.array(x, pa.int32()) for x in (np.full(n, length), i, f, m))], names)
+
+    columns = list(dict.fromkeys([*keys, nc, flank]))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", orient string, L int, i int, f int, m int"
-    return sites.select(*dict.fromkeys([*keys, nc, flank])).mapInPandas(run, schema)
+    return sites.select(*columns).mapInArrow(run, schema)
 
 
 def match_table(hits: DataFrame, keys: list[str], exclude: list[int]) -> DataFrame:

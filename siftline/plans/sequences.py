@@ -160,6 +160,53 @@ def align_project_interval(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("k"), n.alias("n"), p.alias("p")).select("k", "n", "p.status", "p.lo", "p.hi")
 
 
+_ALIGN_GLOBAL = """
+    r AS (SELECT k, x, y, 0 AS i, CAST(j AS INTEGER) AS j, CASE WHEN j = 0 THEN 0 ELSE -(1::BIGINT << 60) END AS p, -(1::BIGINT << 60) AS d, CASE WHEN j > 0 THEN (-1 - j) * (1::BIGINT << 40) ELSE -(1::BIGINT << 60) END AS g
+          FROM u, unnest(range(0, length(y) + 1)) AS t(j)
+          UNION ALL SELECT k, x, y, i, j, p, d, coalesce(max(greatest(p, d) + j * (1::BIGINT << 40)) OVER (PARTITION BY k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + (-1 - j) * (1::BIGINT << 40), -(1::BIGINT << 60)) AS g
+          FROM (SELECT k, x, y, i + 1 AS i, j, coalesce(lag(greatest(p, d, g)) OVER (PARTITION BY k ORDER BY j)
+                       + CASE WHEN substr(x, i + 1, 1) = substr(y, j, 1) THEN (1::BIGINT << 40) ELSE -(1::BIGINT << 40) END + (1 << 20) + CASE WHEN substr(x, i + 1, 1) = substr(y, j, 1) AND contains('ACGT', substr(y, j, 1)) THEN 1 ELSE 0 END, -(1::BIGINT << 60)) AS p,
+                       greatest(greatest(p, g) - 2 * (1::BIGINT << 40), d - (1::BIGINT << 40)) AS d FROM r WHERE i < length(x))),
+    v AS (SELECT k, x, y, greatest(p, d, g) AS v FROM r WHERE i = length(x) AND j = length(y)),
+    m AS (SELECT k, x, y, v >> 40 AS score, (v >> 20) & 1048575 AS paired_bp, v & 1048575 AS matches FROM v)"""
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, u AS (SELECT k, a AS x, substr(b, 1, CAST(30 + k % 35 AS BIGINT)) AS y FROM s), {_ALIGN_GLOBAL}
+    SELECT k, score, paired_bp, matches, paired_bp - matches AS mismatches, length(x) + length(y) - 2 * paired_bp AS indels, round(matches / greatest(paired_bp, 1), 9) AS identity,
+           round(paired_bp / least(length(x), length(y)), 9) AS coverage_shorter, round(paired_bp / greatest(length(x), length(y)), 9) AS coverage_longer FROM m""")
+def align_global(spark, sf_dir):
+    p = pairs(spark, sf_dir).withColumn("y", F.substring(F.col("b"), F.lit(1), (30 + F.col("k") % 35).cast("int")))
+    found = align.aligned_global(p, "a", "y")
+    whole = ["score", "paired_bp", "matches", "mismatches", "indels"]
+    return p.join(found, ["a", "y"]).select("k", *whole, *[F.round(c, 9).alias(c) for c in ("identity", "coverage_shorter", "coverage_longer")])
+
+
+@query(f"""WITH RECURSIVE {PAIRS},
+    r AS (SELECT k, a, b, 0 AS i, CAST(j AS INTEGER) AS j, 0::BIGINT AS h FROM s, unnest(range(0, 65)) AS t(j)
+          UNION ALL SELECT k, a, b, i, j, greatest(p, max(p + j * ((1::BIGINT << 40) + 1)) OVER (PARTITION BY k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - j * ((1::BIGINT << 40) + 1)) AS h
+          FROM (SELECT k, a, b, i + 1 AS i, j, CASE WHEN j = 0 THEN 0 ELSE greatest(0, lag(h) OVER (PARTITION BY k ORDER BY j) + CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN (1::BIGINT << 40) + (1 << 20) ELSE 0 END - 1, h - (1::BIGINT << 40) - 1) END AS p FROM r WHERE i < 64)),
+    v AS (SELECT k, max(h) AS h FROM r GROUP BY k), c AS (SELECT k, h, (1048576 - h % 1048576) % 1048576 AS columns FROM v)
+    SELECT k, (h + columns) >> 40 AS score, ((h + columns) >> 20) & 1048575 AS matches, columns FROM c""")
+def align_local(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return p.join(align.aligned_local(p, "a", "b"), ["a", "b"]).select("k", "score", "matches", "columns")
+
+
+@query(f"""WITH RECURSIVE {PAIRS},
+    w AS (SELECT k, replace(substr(a, 1, 20), 'N', CASE WHEN k % 2 = 0 THEN 'C' ELSE 'N' END) AS la, substr(b, CAST(k % 9 + 1 AS BIGINT), 18) AS lb, substr(b, 40, CAST(k % 25 AS BIGINT)) AS ra, substr(b, 41, 20) AS rb FROM s),
+    u AS (SELECT 2 * k AS k, la AS x, lb AS y FROM w UNION ALL SELECT 2 * k + 1, ra, rb FROM w), {_ALIGN_GLOBAL},
+    e AS (SELECT k, paired_bp, matches / greatest(paired_bp, 1) AS identity, regexp_full_match(x || y, '[ACGT]+') AND x <> '' AND paired_bp >= 10 AND paired_bp / greatest(length(x), length(y)) >= 0.5 AS ok FROM m),
+    c AS (SELECT w.k, l.ok AS lo, r.ok AS ro, l.identity AS li, r.identity AS ri, l.paired_bp AS lp, r.paired_bp AS rp, l.ok AND (NOT r.ok OR (l.identity, l.paired_bp) >= (r.identity, r.paired_bp)) AS first FROM w JOIN e l ON l.k = 2 * w.k JOIN e r ON r.k = 2 * w.k + 1)
+    SELECT k, lo AS left_ok, ro AS right_ok, CASE WHEN first THEN 'left' WHEN ro THEN 'right' ELSE 'none' END AS side, round(CASE WHEN first THEN li WHEN ro THEN ri END, 9) AS identity, CASE WHEN first THEN lp WHEN ro THEN rp END AS paired_bp FROM c""")
+def align_side(spark, sf_dir):
+    """Both sides of a pair against each other, and the one that speaks for the background."""
+    c, at = F.col, lambda s, start, n: F.substring(F.col(s), start if isinstance(start, F.Column) else F.lit(start), n if isinstance(n, F.Column) else F.lit(n))
+    known = F.when(c("k") % 2 == 0, F.replace(at("a", 1, 20), F.lit("N"), F.lit("C"))).otherwise(at("a", 1, 20))
+    w = pairs(spark, sf_dir).select("k", known.alias("la"), at("b", (c("k") % 9 + 1).cast("int"), 18).alias("lb"), at("b", 40, (c("k") % 25).cast("int")).alias("ra"), at("b", 41, 20).alias("rb"))
+    found = align.sides(w, ("la", "lb"), ("ra", "rb"), 10, 0.5)
+    return found.select("k", c("left.eligible").alias("left_ok"), c("right.eligible").alias("right_ok"), "chosen.side", F.round("chosen.metrics.identity", 9).alias("identity"), "chosen.metrics.paired_bp")
+
+
 _WINDOWS = f"""WITH {PAIRS},
     f AS (SELECT k, 'fwd' AS orient, substr(a, 1, 40) AS x, substr(b, 1, 40) AS y FROM s UNION ALL SELECT k, 'rc', substr(a, 1, 40), reverse(translate(substr(b, 1, 40), 'ACGT', 'TGCA')) FROM s),
     w AS (SELECT k, orient, i, j, x, list_sum(list_transform(range(1, 10), lambda o: CASE WHEN substr(x, i + o, 1) = substr(y, j + o, 1) AND substr(x, i + o, 1) <> 'N' THEN 1 ELSE 0 END)) AS m FROM f, unnest(range(0, 32)) AS t(i), unnest(range(0, 32)) AS u(j)),

@@ -1,8 +1,11 @@
 """Planted truth through the whole plans, and the smaller programs against plain Python."""
 
+import functools
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,13 +44,73 @@ def test_scorer_ranks_planted_cluster(spark):
     assert [r.rank_support for r in out if r.passes] == list(range(1, 1 + sum(r.passes for r in out)))
 
 
+def best_global(a, b, match, mismatch, opened, longer):
+    """(score, pairs, identical bases) by recursion over (i, j, what the last column was)."""
+
+    @functools.cache
+    def upto(i, j, last):
+        if i == j == 0:
+            return (0, 0, 0) if last == "pair" else None
+        out = []
+        if last == "pair" and i and j:
+            same = a[i - 1] == b[j - 1]
+            out = [(s + (match if same else mismatch), p + 1, q + (same and a[i - 1] in "ACGT")) for s, p, q in filter(None, (upto(i - 1, j - 1, k) for k in ("pair", "b", "a")))]
+        elif last in "ab" and (i if last == "b" else j):
+            before = (i - 1, j) if last == "b" else (i, j - 1)
+            out = [(x[0] + (longer if k == last else opened), *x[1:]) for k in ("pair", "b", "a") if (x := upto(*before, k))]
+        return max(out, default=None)
+
+    return max(filter(None, (upto(len(a), len(b), k) for k in ("pair", "b", "a"))))
+
+
+def best_local(a, b, match, mismatch, gap):
+    best = {(i, j): (0, 0, 0) for i in range(len(a) + 1) for j in range(len(b) + 1)}
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            s, q, c = best[i - 1, j - 1]
+            steps = [(s + (match if x == y else mismatch), q + (x == y), c - 1)] + [(s + gap, q, c - 1) for s, q, c in (best[i - 1, j], best[i, j - 1])]
+            best[i, j] = max((0, 0, 0), *steps)
+    s, q, c = max(best.values())
+    return s, q, -c
+
+
+def test_alignments_by_recursion():
+    draw = random.Random(5)
+    words = ["", "A", "N"] + ["".join(draw.choice("ACGTN") for _ in range(draw.randrange(1, 24))) for _ in range(60)]
+    words += [w[: len(w) // 2] + w[len(w) // 2 + 2 :] for w in words[20:40]]
+    a, b = [draw.choice(words) for _ in range(400)], [draw.choice(words) for _ in range(400)]
+    for costs in ((1, -1, -2, -1), (2, -3, -5, -1), (1, 0, -1, -1)):
+        found = align.global_alignments(a, b, *costs)
+        assert [tuple(r) for r in found.tolist()] == [best_global(x, y, *costs) for x, y in zip(a, b)]
+        turned = align.global_alignments(b, a, *costs)
+        assert (found == turned).all()
+    for costs in ((1, 0, -1), (2, -1, -2)):
+        assert [tuple(r) for r in align.local_alignments(a, b, *costs).tolist()] == [best_local(x, y, *costs) for x, y in zip(a, b)]
+    with pytest.raises(ValueError):
+        align.local_alignments(["A"], ["A"], 1, 1, -1)
+
+
+def test_alignments_of_many_pairs_take_seconds():
+    draw = np.random.default_rng(1)
+    text = lambda: "".join(draw.choice(list("ACGT"), 200))
+    a, b = [text() for _ in range(2000)], [text() for _ in range(2000)]
+    began = time.time()
+    align.global_alignments(a, b)
+    assert time.time() - began < 20
+
+
 def test_alignments(spark):
-    assert align.global_alignment("ACGT", "ACGT") == (4, 4, 4)
-    assert align.global_alignment("ACGGT", "ACGT") == (5, 4, 4)
-    assert align.global_alignment("", "AC") == (2, 0, 0)
-    assert align.local_alignment("TTACGTT", "GGACGGG")[0] == 6
-    got = align.aligned(spark.createDataFrame([("ACGT", "ACGT"), ("ACGT", "ACGT"), (None, "A")], "a string, b string"), "a", "b").collect()
-    assert len(got) == 1 and got[0].identity == 1.0 and got[0].coverage == 1.0
+    rows = [("ACGT", "ACGT"), ("ACGT", "ACGT"), (None, "A"), ("", "AC"), ("ACGGT", "ACGT"), ("ACNT", "ACNT")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = {(r.a, r.b): r for r in align.aligned_global(df, "a", "b").collect()}
+    assert len(got) == 4 and tuple(got["ACGT", "ACGT"])[2:] == (4, 4, 4, 0, 0, 1.0, 1.0, 1.0)
+    assert tuple(got["", "AC"])[3:] == (0, 0, 0, 0, 0.0, 0.0, 0.0)
+    assert tuple(got["ACGGT", "ACGT"])[2:] == (2, 4, 4, 0, 1, 1.0, 1.0, 0.8)
+    assert (got["ACNT", "ACNT"].matches, got["ACNT", "ACNT"].identity) == (3, 0.75)
+    assert {tuple(r) for r in align.aligned_local(df, "a", "b").collect()} >= {("ACGT", "ACGT", 4, 4, 4), ("", "AC", 0, 0, 0)}
+    four = spark.createDataFrame([(1, "ACGTACGT", "ACGTACGT", "AAAA", "TTTT"), (2, "ACNT", "ACNT", "AC", "AC"), (3, "ACGT", "ACGT", "ACGT", "ACGT"), (4, "", "A", "N", "N")], "k int, la string, lb string, ra string, rb string")
+    sides = {r.k: (r.left.eligible, r.right.eligible, r.chosen.side) for r in align.sides(four, ("la", "lb"), ("ra", "rb"), 2, 0.5).collect()}
+    assert sides == {1: (True, True, "left"), 2: (False, True, "right"), 3: (True, True, "left"), 4: (False, False, "none")}
 
 
 def test_frames_and_repeats(spark):

@@ -109,6 +109,28 @@ def test_window_matches(spark):
         assert m == sum(a == b and a in "ACGT" for a, b in zip("ACGTN"[i : i + 3], w))
 
 
+def test_window_counts_equal_naive_counts(spark):
+    """All windows of random sites of many lengths, also over more than one 64-bit word."""
+    draw = random.Random(6)
+    text = lambda n: "".join(draw.choice("ACGTNacg") for _ in range(n))
+    sites = [(k, text(draw.choice([0, 3, 9, 14, 30])), text(draw.choice([0, 5, 12, 63, 64, 65, 140]))) for k in range(60)] + [(60, None, "ACGT"), (61, "ACGTé", "ACéGT")]
+    found = match.window_matches(spark.createDataFrame(sites, "k int, a string, b string"), ["k"], "a", "b", [1, 4, 9], lambda n: n // 2).collect()
+    code = lambda s: ["ACGT".find(c.upper()) for c in s]
+    want = Counter()
+    for k, a, b in sites:
+        if a is None:
+            continue
+        x, forward = code(a), code(b)
+        for orient, y in (("fwd", forward), ("rc", [3 - c if c >= 0 else c for c in forward[::-1]])):
+            for n in (1, 4, 9):
+                for i in range(len(x) - n + 1):
+                    for j in range(len(y) - n + 1):
+                        m = sum(p == q >= 0 for p, q in zip(x[i : i + n], y[j : j + n]))
+                        if m >= n // 2 and min(x[i : i + n]) >= 0:
+                            want[k, orient, n, i, j if orient == "fwd" else len(b) - j - n, m] += 1
+    assert Counter(map(tuple, found)) == want
+
+
 def test_motif_reasons(spark):
     want = {"A" * 11: "homopolymer", "ATATATATATA": "period2", "AATTAACGTTAA": None}
     for s, reason in want.items():
