@@ -1,196 +1,11 @@
-"""Clustering and record linkage. What depends on sequential decisions inside one small group runs
-as a grouped map with a total order. Groups are first split at gaps that no decision reaches over;
-parts that are still above ``most`` rows are refused, not cut."""
+"""Record linkage: connected components and what is read off them. Links are chosen so that groups of any
+size need no pairs but one link a row or so."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siftline.session import cut, ship
-
-MOST = 200_000
-
-
-def grouped(df: DataFrame, by: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = MOST) -> DataFrame:
-    """``f`` of the rows of each group. Rows are dealt by group and sorted, and a task takes one group
-    after the other from its stream, so that very many small groups cost no more than their rows."""
-    ship(df.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in chain(batches, [None]):
-            x = kept if batch is None else batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            if x is None or not len(x):
-                continue
-            new = np.zeros(len(x), bool)
-            for c in by:
-                v = x[c]
-                new[1:] |= ((v != v.shift()) & ~(v.isna() & v.shift().isna())).to_numpy()[1:]
-            edge = [0, *np.flatnonzero(new).tolist(), len(x)]
-            if batch is not None:  # the last group may go on
-                kept = x.iloc[edge[-2] :]
-                edge = edge[:-1]
-                if len(kept) > most:
-                    raise ValueError(f"a group has more than {most} rows")
-            out = [f(x.iloc[p:q]) for p, q in zip(edge, edge[1:])]
-            out = [o for o in out if len(o)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
-
-
-def _iou(a, b) -> float:
-    both = max(0, min(a[1], b[1]) - max(a[0], b[0]))
-    union = a[1] - a[0] + b[1] - b[0] - both
-    return both / union if union else 0.0
-
-
-def dedup_intervals(df: DataFrame, by: list[str], key: str, score: str, spans: list[tuple[str, str]], least: float = 0.5) -> DataFrame:
-    """Best first (score, then key), a row goes if every one of its spans overlaps those of a row that
-    stays with IoU >= least. Columns: by, key, score and the spans."""
-    columns = [*by, key, score, *[c for s in spans for c in s]]
-    kinds = dict(df.dtypes)
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values([score, key], ascending=[False, True])
-        kept: list[tuple] = []
-        rows = []
-        for i, row in enumerate(x[[c for s in spans for c in s]].itertuples(index=False, name=None)):
-            own = [row[2 * k : 2 * k + 2] for k in range(len(spans))]
-            if not any(all(_iou(a, b) >= least for a, b in zip(own, other)) for other in kept):
-                kept.append(own)
-                rows.append(i)
-        return x.iloc[rows][columns]
-
-    rows, keys = df.select(columns), list(by)
-    for i, (lo, hi) in enumerate(spans):  # rows of different islands of any span do not overlap
-        rows = split_at_gaps(rows, keys, lo, hi, 0).withColumnRenamed("__island", f"__i{i}")
-        keys.append(f"__i{i}")
-    return grouped(rows, keys, run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
-
-
-def _distinct_sites(near: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.logical_or.reduceat(near, first, axis=1).sum(1)
-
-
-def clusters_of(hits: pd.DataFrame | dict[str, pd.Series], offset: float, min_frac: float, k_valid: int, rounds: int = 20, bounds: tuple[int, int] | None = None) -> list[tuple]:
-    """Clusters (median, mad, support sites, positions) of hits (site, pos, m): every integer centre, the nearest hit of
-    each site within ``offset`` of it (best m, then position, on ties), trimmed around the median until
-    it stands; duplicates by Jaccard of sites (0.8) within ``offset`` go, best first. All centres take a
-    step at once, as rows of an array. ``bounds``: the least and greatest centre, those of the hits unless given."""
-    need = max(1, int(min_frac * k_valid + 0.9999))
-    site, pos, m = hits["site"].to_numpy(), hits["pos"].to_numpy(float), hits["m"].to_numpy()
-    if len(pos) < need or len(np.unique(site)) < need:
-        return []
-    order = np.lexsort((pos, site))
-    site, pos, m = site[order], pos[order], m[order]
-    first = np.flatnonzero(np.concatenate([[True], site[1:] != site[:-1]]))
-    # of equally near hits of a site the one that comes first here
-    order = np.lexsort((pos, -m))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    lo, hi = bounds or (int(pos.min()), int(pos.max()))
-    centres = np.unique(pos.astype(np.int64)[:, None] + np.arange(-int(offset), int(offset) + 1))
-    centres = centres[(centres >= lo) & (centres <= hi)].astype(float)
-    found: dict[tuple, tuple] = {}
-    step = max(1, 2_000_000 // len(pos))
-    for at in range(0, len(centres), step):
-        mid, last = centres[at : at + step], None
-        for _ in range(rounds):
-            away = np.abs(pos - mid[:, None])
-            near = away <= offset
-            held = _distinct_sites(near, first) >= need
-            mid, away, near = mid[held], away[held], near[held]
-            if not len(mid):
-                break
-            # the best hit of each site: least distance, then place; -1 for sites without one
-            best = np.minimum.reduceat(np.where(near, away * len(pos) * 2 + place, np.inf), first, axis=1)
-            none = np.isinf(best)
-            chosen = np.where(none, -1, order[(np.where(none, 0, best) % len(pos)).astype(np.int64)])
-            at_pos = np.where(chosen >= 0, pos[chosen], np.nan)
-            now = np.nanmedian(at_pos, axis=1)
-            if last is not None:
-                stands = (chosen == last[held]).all(1) & (np.nanmax(np.abs(at_pos - now[:, None]), axis=1) <= offset)
-                for c, mid_now in zip(chosen[stands], now[stands]):
-                    own = c[c >= 0]
-                    key = tuple(zip(site[own].tolist(), pos[own].tolist()))
-                    if key not in found:
-                        found[key] = (float(mid_now), float(np.median(np.abs(pos[own] - mid_now))), site[own].tolist(), pos[own].tolist())
-                now, chosen = now[~stands], chosen[~stands]
-            mid, last = now, chosen
-    out: list[tuple] = []
-    for c in sorted(found.values(), key=lambda c: (-len(c[2]), c[1], c[0], c[3])):
-        own = set(c[2])
-        if not any(abs(c[0] - o[0]) <= offset and len(own & set(o[2])) / len(own | set(o[2])) >= 0.8 for o in out):
-            out.append(c)
-    return out
-
-
-def split_at_gaps(df: DataFrame, by: list[str], lo: str, hi: str, gap: float) -> DataFrame:
-    """Adds __island: a number for each run of rows of a group whose intervals [lo, hi] lie at most
-    ``gap`` apart. What only acts over shorter distances can be done for each island alone."""
-    own = Window.partitionBy(*by).orderBy(lo, hi)
-    reach = F.max(hi).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    new = (reach.isNull() | (F.col(lo) - reach > gap)).cast("int")
-    return df.withColumn("__new", new).withColumn("__island", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
-
-
-def position_clusters(hits: DataFrame, by: list[str], site: str, pos: str, m: str, valid: str, offset: float = 5, min_frac: float = 0.5) -> DataFrame:
-    """by, cluster_id, median, mad, n_support, sites: see clusters_of. ``valid``: sites of the group
-    before any filtering. A group's hits are dealt out at gaps that no cluster spans."""
-    kinds = dict(hits.dtypes)
-    bounds = Window.partitionBy(*by)
-    dealt = split_at_gaps(hits.withColumns({"__lo": F.min(pos).over(bounds), "__hi": F.max(pos).over(bounds)}), by, pos, pos, 2 * offset)
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        found = clusters_of({"site": x[site], "pos": x[pos], "m": x[m]}, offset, min_frac, int(x[valid].iloc[0]), bounds=(int(x["__lo"].iloc[0]), int(x["__hi"].iloc[0])))
-        if not found:
-            return x.iloc[:0]
-        head = [x[c].iloc[0] for c in by]
-        return pd.DataFrame([(*head, c[0], c[1], len(c[2]), [int(s) for s in c[2]], [float(p) for p in c[3]]) for c in found], columns=[*by, "median", "mad", "n_support", "sites", "at"])
-
-    found = grouped(dealt, [*by, "__island"], run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", median double, mad double, n_support bigint, sites array<bigint>, at array<double>")
-    best = Window.partitionBy(*by).orderBy(F.desc("n_support"), "mad", "median", "at")
-    return found.withColumn("cluster_id", F.row_number().over(best).cast("long") - 1).select(*by, "cluster_id", "median", "mad", "n_support", "sites")
-
-
-def merge_rows(rows: list[tuple], near: list[float], jaccard: float = 0.8) -> list[int]:
-    """The anchor of each row (coordinates..., members) in best-first order: a row is absorbed by the
-    first anchor whose coordinates are all within ``near`` and whose members overlap by Jaccard."""
-    anchors: list[int] = []
-    out = []
-    for i, (at, members) in enumerate(rows):
-        for a in anchors:
-            other, held = rows[a]
-            if all(abs(x - y) <= d for x, y, d in zip(at, other, near)) and len(members & held) >= jaccard * len(members | held):
-                out.append(a)
-                break
-        else:
-            anchors.append(i)
-            out.append(i)
-    return out
-
-
-def greedy_merge(df: DataFrame, by: list[str], key: str, order: list[tuple[str, bool]], near: dict[str, float], members: str, jaccard: float = 0.8) -> DataFrame:
-    """by, key, anchor (the key of the row it is merged into). ``order``: (column, ascending), then key."""
-    kinds = dict(df.dtypes)
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values([*[c for c, _ in order], key], ascending=[*[a for _, a in order], True], kind="stable")
-        at = merge_rows([(t[:-1], set(t[-1])) for t in x[[*near, members]].itertuples(index=False, name=None)], list(near.values()), jaccard)
-        return x[[*by, key]].assign(anchor=x[key].to_numpy()[at])
-
-    rows, keys = df, list(by)
-    for i, (c, d) in enumerate(near.items()):  # nothing merges over a larger gap of a coordinate
-        rows = split_at_gaps(rows, keys, c, c, d).withColumnRenamed("__island", f"__i{i}")
-        keys.append(f"__i{i}")
-    return grouped(rows, keys, run, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, key]) + f", anchor {kinds[key]}")
+from siftline.session import cut, partitions
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -242,5 +57,57 @@ def star_anchor(pairs: DataFrame, by: list[str], a: str, b: str, size: str) -> D
     transitive: members are partners of the anchor itself."""
     both = pairs.select(*by, F.col(a).alias("anchor"), F.col(b).alias("other"), size).union(pairs.select(*by, F.col(b), F.col(a), size))
     star = both.groupBy(*by, "anchor").agg(F.countDistinct("other").alias("members"), F.min(size).alias("size"))
-    order = Window.partitionBy(*by).orderBy(F.desc("members"), "size", "anchor")
-    return star.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "size")
+    return _greatest_star(star, by)
+
+
+def _greatest_star(stars: DataFrame, by: list[str]) -> DataFrame:
+    first = F.min_by(F.struct("anchor", "members"), F.struct((-F.col("members")).alias("m"), "size", "anchor")).alias("s")
+    return stars.groupBy(*by).agg(first).select(*by, "s.anchor", "s.members")
+
+
+def near_star_anchor(df: DataFrame, by: list[str], key: str, value: str, within: float, size: str | None = None) -> DataFrame:
+    """:func:`star_anchor` where partners are the rows of a group whose values differ by ``within`` at most,
+    without their pairs: a row is counted over a range of rows, group by group and cell by cell (a cell is as wide
+    as the range, and holds copies of its neighbours' rows). Rows without a partner are no anchors."""
+    cell = F.floor(F.col(value) / within)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("anchor"), F.col(value).cast("double").alias("v"), (F.lit(0) if size is None else F.col(size)).alias("size"), cell.alias("own"))
+    around = F.expr(f"count(1) over (partition by {', '.join(f'`{c}`' for c in [*by, 'cell'])} order by v range between {float(within)!r}D preceding and {float(within)!r}D following) - 1")
+    stars = rows.withColumn("cell", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).withColumn("members", around)
+    return _greatest_star(stars.where("own = cell and members > 0"), by)
+
+
+def chain_links(df: DataFrame, by: list[str], key: str, value: str, within: float) -> DataFrame:
+    """Links (a, b) that connect whatever the pairs of rows of a group whose values differ by ``within`` at most
+    would: cells of that width hold rows that are all near each other, which are linked to the cell's least one;
+    and a cell's greatest is linked to the next cell's least if they are near."""
+    rows = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(*by, F.col(key).alias("k"), F.col(value).alias("v"), F.floor(F.col(value) / within).alias("cell"))
+    cells = rows.groupBy(*by, "cell").agg(F.min(F.struct("v", "k")).alias("low"), F.max(F.struct("v", "k")).alias("high"))
+    within_cell = rows.join(cells, [*by, "cell"]).select(F.col("low.k").alias("a"), F.col("k").alias("b"))
+    after = cells.select(*by, (F.col("cell") - 1).alias("cell"), F.col("low").alias("next"))
+    between = cells.join(after, [*by, "cell"]).where(F.col("next.v") - F.col("high.v") <= within).select(F.col("high.k").alias("a"), F.col("next.k").alias("b"))
+    return within_cell.where("a != b").unionByName(between)
+
+
+def interval_groups(df: DataFrame, by: list[str], key: str, lo: str, hi: str, least: float) -> DataFrame:
+    """by, key, root: groups of intervals [lo, hi) of one ``by`` (never null or blank) that overlap by ``least``
+    (above 0) or more, directly or through others; root is the least key of a group. Intervals that are empty,
+    shorter than that or of an unknown ``by`` stay alone.
+
+    A sweep over the starts: an interval joins the group before it if the one that reaches furthest so far
+    overlaps it enough, so no pairs are made. Intervals are dealt by range, and what the ranges before
+    reach, and how many groups they begin, is added from a row for each range and ``by``."""
+    known = F.lit(True)
+    for c in by:
+        known = known & F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
+    fits = known & F.coalesce(F.col(hi) - F.col(lo) >= least, F.lit(False))
+    rows = df.where(fits).select(*by, key, lo, hi).repartitionByRange(max(partitions(df.sparkSession), 2), *by, lo, hi, key).withColumn("__part", F.spark_partition_id())
+    rows = cut(rows, "ranges")
+    part, earlier = Window.partitionBy(*by, "__part").orderBy(lo, hi, key), Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*by, "__part").agg(F.max(hi).alias("__m")).withColumn("__before", F.max("__m").over(earlier)).drop("__m")
+    reach = F.greatest(F.max(hi).over(part.rowsBetween(Window.unboundedPreceding, -1)), F.col("__before"))
+    begun = cut(rows.join(before, [*by, "__part"]).withColumn("__new", F.coalesce((reach - F.col(lo) < least).cast("long"), F.lit(1))), "begun")
+    offset = begun.groupBy(*by, "__part").agg(F.sum("__new").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    number = F.sum("__new").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("__first")
+    grouped = begun.join(offset, [*by, "__part"]).withColumn("__group", number).select(*by, key, "__group")
+    roots = grouped.groupBy(*by, "__group").agg(F.min(key).alias("root"))
+    return grouped.join(roots, [*by, "__group"]).select(*by, key, "root").unionByName(df.where(~F.coalesce(fits, F.lit(False))).select(*by, key, F.col(key).alias("root")))

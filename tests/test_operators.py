@@ -13,32 +13,6 @@ def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns or df.columns) for r in df.collect())
 
 
-def hits(positions):
-    return pd.DataFrame({"site": range(len(positions)), "pos": positions, "m": 11})
-
-
-@pytest.mark.parametrize(("positions", "offset", "frac", "support", "median"), [([0, 0, 10, 10], 5, 0.5, 4, 5.0), ([5, 5, 6, 6, 60, 60], 5, 0.3, 4, None), ([0, 5, 10, 50], 5, 0.5, 3, None)])
-def test_clusters(positions, offset, frac, support, median):
-    found = linkage.clusters_of(hits(positions), offset, frac, len(positions))
-    assert len(found[0][2]) == support and (median is None or found[0][0] == median)
-    for mid, _, _, at in found:
-        assert all(abs(p - mid) <= offset for p in at)
-
-
-@pytest.mark.parametrize(("positions", "offset", "frac"), [([0, 1, 10, 10], 5, 0.5), ([2, 3, 4, 5, 6, 7], 1, 0.3), ([0, 0, 10, 10, 10], 5, 0.4)])
-def test_supporters_stay_near(positions, offset, frac):
-    for mid, _, _, at in linkage.clusters_of(hits(positions), offset, frac, len(positions)):
-        assert all(abs(p - mid) <= offset for p in at)
-
-
-def test_merge():
-    sliding = [((p, 0.0), {1, 2, 3}) for p in range(5)]
-    assert set(linkage.merge_rows(sliding, [5, 5])) == {0}
-    chain = [((p, 0.0), {1, 2, 3}) for p in (0, 5, 10, 15, 20)]
-    assert linkage.merge_rows(chain, [5, 5]) == [0, 0, 2, 2, 4]
-    assert linkage.merge_rows([((0,), {0, 1, 2, 3}), ((0,), {4, 5, 6, 7})], [5]) == [0, 1]
-
-
 def test_components_of_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a int, b int")
     assert rows(linkage.components(links, "a", "b")) == [(i, 0) for i in range(41)] + [(100, 100), (101, 100)]
@@ -149,49 +123,6 @@ def test_checks_raise(spark):
         validate.attach_verified(df, side, ["x"], F.col("x").cast("string"), "digest").collect()
 
 
-def loops_over_centres(rows, offset, min_frac, k_valid):
-    """The rule of clusters_of, a centre and a hit at a time: rows (site, pos, m)."""
-    need, found = max(1, int(min_frac * k_valid + 0.9999)), {}
-    lo, hi = min(p for _, p, _ in rows), max(p for _, p, _ in rows)
-    for centre in sorted({c for _, p, _ in rows for c in range(p - offset, p + offset + 1) if lo <= c <= hi}):
-        mid, last = float(centre), None
-        for _ in range(20):
-            best = {}
-            for site, pos, m in rows:
-                rank = (abs(pos - mid), -m, pos)
-                if abs(pos - mid) <= offset and (site not in best or rank < best[site]):
-                    best[site] = rank
-            now = sorted((s, r[2]) for s, r in best.items())
-            if len(now) < need:
-                break
-            mid = float(np.median([p for _, p in now]))
-            if now == last and all(abs(p - mid) <= offset for _, p in now):
-                found[tuple(now)] = (mid, float(np.median([abs(p - mid) for _, p in now])), [s for s, _ in now], [p for _, p in now])
-                break
-            last = now
-    out = []
-    for c in sorted(found.values(), key=lambda c: (-len(c[2]), c[1], c[0], c[3])):
-        if not any(abs(c[0] - o[0]) <= offset and len(set(c[2]) & set(o[2])) / len(set(c[2]) | set(o[2])) >= 0.8 for o in out):
-            out.append(c)
-    return out
-
-
-def test_clusters_equal_loops_and_split_at_gaps(spark):
-    rng = np.random.default_rng(1)
-    rows = []
-    for g in range(25):
-        for _ in range(int(rng.integers(1, 40))):
-            rows.append((g, int(rng.integers(0, 8)), int(rng.integers(0, 90)), int(rng.integers(0, 4))))
-    rows = list(dict.fromkeys(rows))
-    df = spark.createDataFrame([(*r, 8) for r in rows], "g int, site int, pos int, m int, valid int")
-    got = {}
-    for r in linkage.position_clusters(df, ["g"], "site", "pos", "m", "valid", 5, 0.3).orderBy("g", "cluster_id").collect():
-        got.setdefault(r.g, []).append((r["median"], r.mad, r.sites))
-    for g in range(25):
-        own = [r[1:] for r in rows if r[0] == g]
-        assert got.get(g, []) == [(c[0], c[1], c[2]) for c in loops_over_centres(own, 5, 0.3, 8)]
-
-
 def test_pairs_in_blocks_are_all_pairs(spark):
     df = spark.createDataFrame([(i % 2, i, float(i * 37 % 50)) for i in range(60)], "g int, k int, v double")
     rows = df.collect()
