@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.functions.seq import hash_uniform
+from siftline.operators.exact import binomial_tail, clopper_pearson
 from siftline.operators.windows import running
 from siftline.session import cut, ship
 
@@ -15,8 +16,7 @@ from siftline.session import cut, ship
 def auroc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
     """Midrank AUROC (ties count half) from counts per distinct score; null for one class. ``by`` may be empty."""
     counts = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    won = running(counts, by, [score], F.col("n")).withColumn("won", F.col("p") * (F.col("__sum") - F.col("n") / 2))
     total = won.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     return total.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auroc"))
 
@@ -76,59 +76,69 @@ def bootstrap_ratio(facts: DataFrame, unit: str, num: Column, den: Column, n_boo
     return joined.select(*by, "n_units", "ratio", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
 
 
-def _beta_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) >= k)."""
-    if p <= 0 or p >= 1:
-        return float(k <= 0 or p >= 1)
-    term = n * math.log1p(-p)
-    total, out = [], term
-    for i in range(n + 1):
-        if i >= k:
-            total.append(out)
-        if i < n:
-            out += math.log((n - i) / (i + 1)) + math.log(p) - math.log1p(-p)
-    top = max(total, default=-math.inf)
-    return min(1.0, sum(math.exp(x - top) for x in total) * math.exp(top)) if total else 0.0
-
-
-def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
-    """Exact binomial interval; (0, 1) for n = 0. Bisection of the binomial tails."""
-    if not n:
-        return 0.0, 1.0
+def _solved(df: DataFrame, keys: list[str], names: list[str], f) -> DataFrame:
+    """keys (long) and double columns ``names`` of the distinct keys, from arrays of a batch at a time."""
+    ship(df.sparkSession)
 
-    def solve(test) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if test(mid) else (lo, mid)
-        return (lo + hi) / 2
+    def run(batches):
+        for batch in batches:
+            found = f(*[batch.column(k).to_numpy() for k in range(len(keys))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.float64()) for x in found)], [*keys, *names])
 
-    low = 0.0 if k <= 0 else solve(lambda p: _beta_tail(k, n, p) < alpha / 2)
-    high = 1.0 if k >= n else solve(lambda p: 1 - _beta_tail(k + 1, n, p) > alpha / 2)
-    return low, high
+    distinct = df.select(*[F.col(c).cast("long").alias(c) for c in keys]).dropna().distinct()
+    return distinct.mapInArrow(run, ", ".join([f"`{c}` bigint" for c in keys] + [f"{c} double" for c in names]))
 
 
 def with_interval(df: DataFrame, k: str, n: str, alpha: float = 0.05) -> DataFrame:
-    """Adds lo, hi: distinct (k, n) are solved once each."""
-    ship(df.sparkSession)
-
-    def solve(batches):
-        for batch in batches:
-            ci = [clopper_pearson(int(a), int(b), alpha) for a, b in zip(batch[k], batch[n])]
-            yield batch.assign(lo=[x for x, _ in ci], hi=[x for _, x in ci])
-
-    solved = df.select(F.col(k).cast("long").alias(k), F.col(n).cast("long").alias(n)).distinct().mapInPandas(solve, f"{k} bigint, {n} bigint, lo double, hi double")
-    return df.join(solved, [k, n])
+    """Adds lo, hi (Clopper-Pearson) of k of n: distinct pairs are solved once each, many at a time, and the work
+    does not depend on n."""
+    return df.join(_solved(df, [k, n], ["lo", "hi"], lambda a, b: clopper_pearson(a, b, alpha)), [k, n])
 
 
 def tail_table(pairs: DataFrame, length: str, m: str, p: float = 0.25) -> DataFrame:
     """P(Bin(length, p) >= m) of each distinct (length, m)."""
-    def solve(batches):
-        for batch in batches:
-            yield batch.assign(tail=[_beta_tail(int(b), int(a), p) for a, b in zip(batch[length], batch[m])])
-
-    ship(pairs.sparkSession)
-    return pairs.select(F.col(length).cast("long").alias(length), F.col(m).cast("long").alias(m)).distinct().mapInPandas(solve, f"{length} bigint, {m} bigint, tail double")
+    return _solved(pairs, [length, m], ["tail"], lambda n, k: [binomial_tail(k, n, p)])
+
+
+def fp_profile(units: DataFrame, family: str, layers: list[str]) -> DataFrame:
+    """family, layer, n, passed, rate, lo, hi: how many units (a row each) of a family get through each of the
+    boolean columns ``layers``, with exact intervals; a null layer is not passed."""
+    counts = units.groupBy(family).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c)).alias(c) for c in layers])
+    rows = counts.select(family, "n", F.explode(F.array(*[F.struct(F.lit(c).alias("layer"), F.col(c).alias("passed")) for c in layers])).alias("l")).select(family, "l.layer", "n", "l.passed")
+    return with_interval(rows, "passed", "n").select(family, "layer", "n", "passed", (F.col("passed") / F.col("n")).alias("rate"), "lo", "hi")
+
+
+def worst_family(swept: DataFrame, keys: list[str], family: str) -> DataFrame:
+    """keys, worst_family, worst_hi: of every setting of a sweep (keys, family, n, fired) the family whose share
+    may be highest, by the upper end of its exact interval (the least name on ties)."""
+    bound = with_interval(swept, "fired", "n")
+    worst = F.min_by(F.struct(F.col(family).alias("f"), F.col("hi").alias("hi")), F.struct(-F.col("hi"), F.col(family))).alias("w")
+    return bound.groupBy(*keys).agg(worst).select(*keys, F.col("w.f").alias("worst_family"), F.col("w.hi").alias("worst_hi"))
+
+
+def variant_score(peaks: DataFrame, truth: DataFrame, negatives: DataFrame, variant: str, bag: str, pos: str, length: str) -> DataFrame:
+    """The full score of each variant, a row each. ``peaks``: variant, bag, pos, length; ``truth``: bag, gold, gold_length
+    (all positive bags); ``negatives``: variant, family, n, fired (a sweep). coverage: bags with a peak; ppv_peak and
+    ppv_bag: peaks that overlap the gold window by half of the union, and bags of those with peaks that have such a
+    one, with exact intervals; exact_peaks: peaks at the gold place; near_bags: bags whose nearest peak is at most
+    one off; worst_family and worst_hi over the negatives, and selection, the larger the better."""
+    gold = truth.select(bag, "gold", "gold_length")
+    p, g = F.col(pos), F.col("gold")
+    both = F.greatest(F.lit(0), F.least(p + F.col(length), g + F.col("gold_length")) - F.greatest(p, g))
+    right = 2 * both >= F.col(length) + F.col("gold_length") - both
+    away = F.abs(p - g)
+    bags = peaks.join(gold, bag).groupBy(variant, bag).agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("right"), F.count_if(away == 0).alias("exact"), F.min(away).alias("away"))
+    total = gold.select(bag).distinct().agg(F.count(F.lit(1)).alias("n_bags"))
+    found = bags.groupBy(variant).agg(F.count(F.lit(1)).alias("detected"), F.sum("n").alias("n_peaks"), F.sum("right").alias("right_peaks"), F.count_if(F.col("right") > 0).alias("right_bags"), F.sum("exact").alias("exact_peaks"), F.count_if(F.col("away") <= 1).alias("near_bags"))
+    zero = ["detected", "n_peaks", "right_peaks", "right_bags", "exact_peaks", "near_bags"]
+    rows = worst_family(negatives, [variant], "family").join(found, variant, "left").crossJoin(F.broadcast(total)).withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+    rows = with_interval(rows, "right_peaks", "n_peaks").withColumnsRenamed({"lo": "ppv_peak_lo", "hi": "ppv_peak_hi"})
+    rows = with_interval(rows, "right_bags", "detected").withColumnsRenamed({"lo": "ppv_bag_lo", "hi": "ppv_bag_hi"})
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return rows.select(
+        variant, "n_bags", "detected", share("detected", "n_bags").alias("coverage"), "n_peaks", share("right_peaks", "n_peaks").alias("ppv_peak"), "ppv_peak_lo", "ppv_peak_hi",
+        share("right_bags", "detected").alias("ppv_bag"), "ppv_bag_lo", "ppv_bag_hi", "exact_peaks", "near_bags", "worst_family", "worst_hi", (-F.col("worst_hi")).alias("selection"),
+    )
 
 
 def e_values(tails: Column, flank_starts: Column, nc_positions: Column, orients: Column) -> dict[str, Column]:
@@ -144,16 +154,15 @@ def poisson_binomial_tail(ps: Column | str, k: int) -> Column:
 
 
 def threshold_for(df: DataFrame, condition: str, unit: str, score: str, target: float) -> DataFrame:
-    """The smallest observed score that at most ``target`` of any condition's units exceed; pass rates are of > threshold."""
+    """The smallest observed score that at most ``target`` of any condition's units exceed; pass rates are of > threshold.
+    Each condition allows its own scores from some place on, and the threshold is the largest of those places."""
     per = df.groupBy(condition).agg(F.count(F.lit(1)).alias("n"))
-    steps = df.select(score).distinct()
-    # units above t, by condition: from counts per score and a running sum, with every step filled in
-    counts = df.groupBy(condition, score).agg(F.count(F.lit(1)).alias("c"))
-    grid = steps.crossJoin(F.broadcast(per))  # a row for each of a few conditions
-    above = F.coalesce(F.sum("c").over(Window.partitionBy(condition).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rate = grid.join(counts, [condition, score], "left").withColumn("rate", above / F.col("n"))
-    worst = rate.groupBy(score).agg(F.max("rate").alias("worst_rate"))
-    return worst.where(F.col("worst_rate") <= target).agg(F.min(score).alias("threshold"), F.max_by("worst_rate", -F.col(score)).alias("worst_rate"))
+    counts = df.where(F.col(score).isNotNull()).groupBy(condition, score).agg(F.count(F.lit(1)).alias("c"))
+    above = running(counts, [condition], [F.desc(score)], F.col("c")).drop("__n").join(per, condition)
+    own = above.where(F.col("__sum") - F.col("c") <= target * F.col("n")).groupBy(condition).agg(F.min(score).alias("own"))
+    threshold = own.agg((F.max("own") if target < 1 else F.min("own")).alias("threshold"))
+    rates = df.crossJoin(F.broadcast(threshold)).groupBy(condition, "threshold").agg((F.count_if(F.col(score) > F.col("threshold")) / F.count(F.lit(1))).alias("rate"))  # one row
+    return rates.where("threshold is not null").agg(F.first("threshold", True).alias("threshold"), F.max("rate").alias("worst_rate"))
 
 
 def leave_one_out(df: DataFrame, x: str) -> DataFrame:
@@ -180,9 +189,10 @@ def effective_size(weights: DataFrame) -> DataFrame:
 def empirical_tail(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """by, x, p = (1 + #>=x) / (1 + N), and ln(1 / p)."""
     counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("c"))
-    own = Window.partitionBy(*by)
-    p = (1 + F.sum("c").over(own.orderBy(F.desc(x)))) / (1 + F.sum("c").over(own))
-    return counts.select(*by, x, p.alias("p"), (-F.log(p)).alias("log_inverse"))
+    total = counts.groupBy(*by).agg(F.sum("c").alias("total"))
+    tails = running(counts, by, [F.desc(x)], F.col("c"))
+    p = (1 + F.col("__sum")) / (1 + F.col("total"))
+    return (tails.join(total, by) if by else tails.crossJoin(total)).select(*by, x, p.alias("p"), (-F.log(p)).alias("log_inverse"))
 
 
 def cohens_d(df: DataFrame, x: str, first: Column) -> DataFrame:
@@ -320,3 +330,42 @@ def coherence_permutation(hits: DataFrame, bag: str, site: str, key: str, n_perm
     support = every.groupBy("perm", "g", key).agg(F.countDistinct("s").alias("support"))
     steps = support.withColumn("s", F.explode(F.sequence(F.lit(1).cast("long"), F.least("support", F.lit(5)))))
     return steps.groupBy("perm", "s").agg(F.count(F.lit(1)).alias("n"))
+
+
+def probes(df: DataFrame, key: str, features: list[str], label: str, folds: int, steps: int = 25, ridge: float = 0.0, seed: int = 0) -> DataFrame:
+    """feature, fold, intercept, slope, n_pos, n_neg, auroc: a one-feature logistic regression for every feature and
+    fold (of the hash of ``key``), fitted on the other folds and judged on the fold. Fits of one class are left out.
+
+    All fits take their Newton steps together: a step is one aggregation of the gradient and the curvature by
+    (feature, fold) over the rows, which meet the coefficients as they stand (a row for each fit, broadcast), and a
+    2 x 2 system solved in columns. Features are standardised over all rows first. Steps end when no
+    coefficient moves by 1e-10; ``ridge`` / 2 times slope squared is added to the mean loss."""
+    spark = df.sparkSession
+    fold = F.floor(hash_uniform(key, salt=str(seed)) * folds).cast("int")
+    moments = df.select(*[f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in features for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
+    scaled = [F.struct(F.lit(c).alias("feature"), ((F.col(c).cast("double") - F.lit(moments[f"{c}_m"])) / F.lit(moments[f"{c}_s"] or 1.0)).alias("x")) for c in features]
+    rows = df.where(F.col(label).isNotNull()).select(fold.alias("own"), F.col(label).cast("double").alias("y"), F.explode(F.array(*scaled)).alias("f")).select("own", "y", "f.*").where("x is not null")
+    rows = cut(rows, "probes")
+    two = rows.groupBy("feature", "own").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    fits = two.alias("a").join(two.alias("b"), (F.col("a.feature") == F.col("b.feature")) & (F.col("a.own") != F.col("b.own")))
+    fits = fits.groupBy(F.col("a.feature").alias("feature"), F.col("a.own").alias("fold")).agg(F.sum("b.p").alias("p"), F.sum("b.n").alias("n")).where("p > 0 and p < n").collect()
+    at = {(r.feature, r.fold): (0.0, 0.0) for r in fits}
+    schema = "feature string, fold int, b0 double, b1 double"
+    table = lambda: spark.createDataFrame([(*k, *v) for k, v in at.items()], schema)
+    for _ in range(steps if at else 0):
+        q = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("x"))))
+        w = q * (1 - q)
+        terms = {"g0": F.col("y") - q, "g1": (F.col("y") - q) * F.col("x"), "h0": w, "h1": w * F.col("x"), "h2": w * F.col("x") * F.col("x")}
+        sums = rows.join(F.broadcast(table()), "feature").where("own != fold").groupBy("feature", "fold", "b0", "b1").agg(*[F.avg(c).alias(n) for n, c in terms.items()])
+        g1, h2 = F.col("g1") - ridge * F.col("b1"), F.col("h2") + ridge
+        det = F.col("h0") * h2 - F.col("h1") * F.col("h1")
+        moved = sums.select("feature", "fold", ((h2 * F.col("g0") - F.col("h1") * g1) / det).alias("d0"), ((F.col("h0") * g1 - F.col("h1") * F.col("g0")) / det).alias("d1")).collect()
+        for r in moved:
+            b0, b1 = at[r.feature, r.fold]
+            at[r.feature, r.fold] = b0 + (r.d0 or 0.0), b1 + (r.d1 or 0.0)
+        if all(abs(r.d0 or 0) < 1e-10 and abs(r.d1 or 0) < 1e-10 for r in moved):
+            break
+    fitted = table()
+    scored = rows.join(F.broadcast(fitted.withColumnRenamed("fold", "own")), ["feature", "own"]).withColumn("score", F.col("b0") + F.col("b1") * F.col("x"))
+    rates = auroc(scored.withColumnRenamed("own", "fold"), ["feature", "fold"], "score", F.col("y") == 1)
+    return fitted.join(rates, ["feature", "fold"]).select("feature", "fold", F.col("b0").alias("intercept"), F.col("b1").alias("slope"), "n_pos", "n_neg", "auroc")

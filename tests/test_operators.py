@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -6,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import joins, linkage, match, metrics, nulls, topk, validate, windows
+from siftline.functions import seq
+from siftline.operators import exact, joins, linkage, match, metrics, nulls, topk, validate, windows
 
 
 def rows(df, *columns):
@@ -51,9 +53,71 @@ def test_auroc(spark):
 
 
 def test_intervals():
-    lo, hi = metrics.clopper_pearson(5, 10)
-    assert abs(lo - 0.18708603) < 1e-6 and abs(hi - 0.81291397) < 1e-6
-    assert metrics.clopper_pearson(0, 0) == (0.0, 1.0) and metrics.clopper_pearson(0, 10)[0] == 0 and metrics.clopper_pearson(10, 10)[1] == 1
+    lo, hi = exact.clopper_pearson([5, 0, 0, 10], [10, 0, 10, 10])
+    assert np.allclose(lo, [0.18708603, 0, 0, 0.69150289]) and np.allclose(hi, [0.81291397, 1, 0.30849711, 1])
+
+
+def test_tails_equal_sums_of_terms():
+    """Against sums of exact terms, on both sides of every switch of method, and far out."""
+    from fractions import Fraction
+    from math import comb
+
+    for n, p in ((1, 0.5), (12, 0.25), (60, 0.9), (300, 0.01), (2500, 0.4)):
+        q = Fraction(p)
+        for k in sorted({0, 1, n // 4, n // 3, n // 2, int(n * p), min(n, int(n * p) + 3), n, n + 1}):
+            terms = [comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k, n + 1)] if n < 1000 or p != 0.4 else None
+            if terms is None:  # logs for the large one
+                logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
+                want = math.fsum(math.exp(x) for x in logs)
+            else:
+                want = float(sum(terms))
+            got = float(exact.binomial_tail(k, n, p)[0])
+            assert abs(got - want) <= 1e-9 * want + 1e-14, (n, p, k, got, want)
+
+
+def test_intervals_of_very_many_trials():
+    """The ends are where the tails are a fortieth, whatever the number of trials; the work does not grow with it."""
+    k = np.array([0, 1, 7, 10**4, 3 * 10**8, 10**9 - 5])
+    lo, hi = exact.clopper_pearson(k, 10**9)
+    assert np.allclose(exact.binomial_tail(k, 10**9, lo)[1:], 0.025, rtol=1e-6)
+    assert np.allclose(1 - exact.binomial_tail(k + 1, 10**9, hi), 0.025, rtol=1e-6)
+    z = 1.959963984540054 * np.sqrt(0.3 * 0.7 / 10**9)
+    assert abs(lo[4] - (0.3 - z)) < 1e-8 and abs(hi[4] - (0.3 + z)) < 1e-8
+
+
+def test_profiles_and_variants(spark):
+    units = spark.createDataFrame([("a", True, True), ("a", True, None), ("b", False, False)], "family string, l1 boolean, l2 boolean")
+    got = {(r.family, r.layer): (r.n, r.passed, r.rate, round(r.lo, 4), round(r.hi, 4)) for r in metrics.fp_profile(units, "family", ["l1", "l2"]).collect()}
+    assert got == {("a", "l1"): (2, 2, 1.0, 0.1581, 1.0), ("a", "l2"): (2, 1, 0.5, 0.0126, 0.9874), ("b", "l1"): (1, 0, 0.0, 0.0, 0.975), ("b", "l2"): (1, 0, 0.0, 0.0, 0.975)}
+    peaks = spark.createDataFrame([("v", "x", 10, 11), ("v", "x", 40, 11), ("v", "y", 12, 11), ("v", "y", 90, 11)], "variant string, bag string, p int, n int")
+    truth = spark.createDataFrame([(b, 10, 11) for b in "xyz"], "bag string, gold int, gold_length int")
+    swept = spark.createDataFrame([("v", "f", 100, 3), ("v", "g", 10, 1), ("none", "f", 100, 0)], "variant string, family string, n long, fired long")
+    rows = {r.variant: r for r in metrics.variant_score(peaks, truth, swept, "variant", "bag", "p", "n").collect()}
+    v = rows["v"]
+    assert (v.n_bags, v.detected, round(v.coverage, 4), v.ppv_peak, v.ppv_bag, v.exact_peaks, v.near_bags) == (3, 2, 0.6667, 0.5, 1.0, 1, 1)
+    assert v.worst_family == "g" and abs(v.worst_hi - 0.4450161) < 1e-6 and v.selection == -v.worst_hi
+    assert (rows["none"].detected, rows["none"].coverage, rows["none"].ppv_peak_lo, rows["none"].ppv_peak_hi) == (0, 0.0, 0.0, 1.0)
+
+
+def test_probes_equal_single_fits(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    draw = np.random.default_rng(7)
+    y = draw.integers(0, 2, 400)
+    x = np.stack([draw.normal(size=400) + 1.5 * y, draw.normal(size=400) - 0.5 * y, draw.normal(size=400)], axis=1)
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i])) for i in range(400)] + [(900, None, 1.0, 1.0, 1), (901, 1.0, 1.0, 1.0, None)], "k int, a double, b double, c double, y int")
+    got = {(r.feature, r.fold): r for r in metrics.probes(df, "k", ["a", "b", "c"], "y", 3).collect()}
+    assert len(got) == 9
+    fold = df.select("k", F.floor(seq.hash_uniform("k", salt="0") * 3).cast("int").alias("fold"))
+    rows = df.where("y is not null").join(fold, "k")
+    for c in "abc":
+        m = df.agg(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).first()
+        scaled = rows.where(F.col(c).isNotNull()).withColumn("x", (F.col(c) - m.m) / m.s).withColumn("label", F.col("y").cast("double"))
+        model = LogisticRegression(maxIter=200, tol=1e-14, regParam=0.0, standardization=False).fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(scaled.where("fold != 1")))
+        assert abs(got[c, 1].slope - model.coefficients[0]) < 1e-6 and abs(got[c, 1].intercept - model.intercept) < 1e-6
+    assert got["a", 0].auroc > 0.8 > 0.6 > got["c", 0].auroc
+    assert metrics.probes(df.limit(0), "k", ["a"], "y", 3).count() == 0 and metrics.probes(df.where("y = 1"), "k", ["a"], "y", 3).count() == 0
 
 
 def test_poisson_binomial(spark):
