@@ -114,3 +114,19 @@ def nearest_in_range(left: DataFrame, right: DataFrame, on: list[str], value: st
     found = a.join(b, [*on, "__b"]).where(F.abs(F.col(value) - F.col(f"match_{value}")) <= within)
     best = F.row_number().over(Window.partitionBy("__row").orderBy(*order))
     return found.withColumn("__n", best).where("__n = 1").drop("__n", "__b", "__row")
+
+
+def audited_alleles(audit: DataFrame, alleles: DataFrame, locus: str = "locus_id_full", keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """keep, locus, status, longest, shortest: the longest and shortest allele (name of least order on ties) of every
+    audited locus, named ``panel/dir|locus``. ``alleles`` (locus_id, allele, sequence) lies in folders panel=/dir=; of
+    these only such are read as the audit names, since both join keys are partition columns and the audit is
+    the pruning side. status: malformed (no such name), missing (no allele), single (one length), resolved."""
+    part = lambda k: F.regexp_extract(locus, r"^([^/|]+)/([^|]+)\|(.+)$", k)
+    asked = audit.select(*keep, F.col(locus), part(1).alias("panel"), part(2).alias("dir"), part(3).alias("locus_id"))
+    wanted = asked.where("locus_id <> ''").select("panel", "dir", "locus_id").distinct()
+    n = F.length("sequence")
+    order = lambda size: F.struct(size.alias("n"), F.col("allele").alias("a"))
+    pick = F.struct("allele", F.upper("sequence").alias("sequence"))
+    found = alleles.join(wanted, ["panel", "dir", "locus_id"]).groupBy("panel", "dir", "locus_id").agg(F.min_by(pick, order(-n)).alias("longest"), F.min_by(pick, order(n)).alias("shortest"), (F.max(n) > F.min(n)).alias("differ"))
+    status = F.when(F.col("locus_id") == "", "malformed").when(F.col("differ").isNull(), "missing").when(F.col("differ"), "resolved").otherwise("single")
+    return asked.join(found, ["panel", "dir", "locus_id"], "left").select(*keep, locus, status.alias("status"), "longest", "shortest")

@@ -127,12 +127,19 @@ def batches(df: DataFrame, stratum: str, key: str, per_batch: int, seed: int = 0
     return placed.withColumn("batch", F.floor((F.col("__place") - 1) / per_batch)).drop("__place", "__n", "__sum")
 
 
-def mismatch_classes(spark, length: int, n_mm: int) -> DataFrame:
-    """All placements of n_mm mismatches on a word of ``length``: class, positions (a generated dimension table)."""
-    from itertools import combinations
-
-    rows = [(i, list(c)) for i, c in enumerate(combinations(range(length), n_mm))]
-    return spark.createDataFrame(rows, "class int, positions array<int>")
+def mismatch_classes(words: DataFrame, length: str, n_mm: str, most: int = 32) -> DataFrame:
+    """Of each distinct (length, n_mm) all placements of n_mm mismatches on a word of that length: length, n_mm, class
+    (from 0, in the order of the places), positions. A placement grows by a later place a step, as rows."""
+    grown = words.select(F.col(length).cast("int").alias(length), F.col(n_mm).cast("int").alias(n_mm)).dropna().distinct().where(F.col(n_mm).between(0, F.least(F.col(length), F.lit(most)))).withColumn("positions", F.array().cast("array<int>"))
+    whole = None
+    for k in range(grown.agg(F.max(n_mm)).first()[0] or 0):
+        full = grown.where(F.col(n_mm) == k)
+        whole = full if whole is None else whole.unionByName(full)
+        last = F.coalesce(F.try_element_at("positions", F.lit(-1)), F.lit(-1))
+        next_ = F.sequence(last + 1, F.col(length) - F.col(n_mm) + k)
+        grown = grown.where(F.col(n_mm) > k).withColumn("__p", F.explode(next_)).withColumn("positions", F.concat("positions", F.array("__p"))).drop("__p")
+    whole = grown if whole is None else whole.unionByName(grown)
+    return whole.withColumn("class", F.row_number().over(Window.partitionBy(length, n_mm).orderBy("positions")) - 1).select(length, n_mm, "class", "positions")
 
 
 def counterfactual(df: DataFrame, key: str, kind: str, nc: str, flank: str, lo: str, length: str, seed: int = 0) -> DataFrame:

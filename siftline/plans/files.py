@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siftline.operators import validate
+from siftline.operators import joins, validate
 from siftline.registry import query, table
 from siftline.session import shared_dir
 from siftline.sources import readers, sinks
@@ -55,10 +55,10 @@ def io_sites(spark, sf_dir):
     return sites.select("bag_id", "site_id", "flank", F.array_join("nc_regions", ",").alias("regions"), "labels.is_positive", F.col("meta")["generator_version_or_commit"].alias("version"))
 
 
-@query("""SELECT 'r' || p_partkey AS id, 'r' || p_partkey AS header, replace(upper(substr(p_name || p_type, greatest(p_size - 3, 0) + 1, least(length(p_name || p_type), p_size + 13) - greatest(p_size - 3, 0))), ' ', '') AS seq FROM part WHERE p_size < 15""")
+@query("""SELECT 'r' || p_partkey AS id, 'r' || p_partkey AS header, replace(upper(substr(p_name || p_type, greatest(p_size - 3, 0) + 1, least(length(p_name || p_type), p_size + 13) - greatest(p_size - 3, 0))), ' ', '') AS seq FROM part""")
 def io_fasta(spark, sf_dir):
     """Slices of names as FASTA records, read again."""
-    p = table(spark, sf_dir, "part").where("p_size < 15").select(F.concat(F.lit("r"), "p_partkey").alias("name"), F.concat("p_name", "p_type").alias("s"), F.col("p_size").alias("lo"), (F.col("p_size") + 10).alias("hi"))
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("r"), "p_partkey").alias("name"), F.concat("p_name", "p_type").alias("s"), F.col("p_size").alias("lo"), (F.col("p_size") + 10).alias("hi"))
     at = text_file(spark, sinks.fasta_slices(p, "s", "name", "lo", "hi", 3), folder(spark))
     return readers.fasta(spark, at)
 
@@ -71,20 +71,20 @@ def io_gff(spark, sf_dir):
     return readers.gff_cds(spark, text_file(spark, lines, folder(spark)))
 
 
-@query("SELECT 'q' || l_orderkey AS query, 's' || l_partkey AS subject, l_discount * 100 AS identity, CAST(l_quantity AS INTEGER) AS length, l_linenumber AS mismatches, l_extendedprice AS bits FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT 'q' || l_orderkey AS query, 's' || l_partkey AS subject, l_discount * 100 AS identity, CAST(l_quantity AS INTEGER) AS length, l_linenumber AS mismatches, l_extendedprice AS bits FROM lineitem")
 def io_blast(spark, sf_dir):
     c = F.col
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat_ws("\t", F.concat(F.lit("q"), "l_orderkey"), F.concat(F.lit("s"), "l_partkey"), c("l_discount") * 100, c("l_quantity").cast("int"), "l_linenumber", *[F.lit("0")] * 5, F.lit("1e-5"), "l_extendedprice"))
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("\t", F.concat(F.lit("q"), "l_orderkey"), F.concat(F.lit("s"), "l_partkey"), c("l_discount") * 100, c("l_quantity").cast("int"), "l_linenumber", *[F.lit("0")] * 5, F.lit("1e-5"), "l_extendedprice"))
     return readers.blast_tab(spark, text_file(spark, lines, folder(spark))).select("query", "subject", "identity", "length", "mismatches", "bits")
 
 
 @query("""
-    WITH h AS (SELECT 't' || l_partkey AS target, 'q' || l_suppkey AS query, l_linenumber / 1000.0 AS e, l_quantity AS score FROM lineitem WHERE l_linenumber <= 4)
+    WITH h AS (SELECT 't' || l_partkey AS target, 'q' || l_suppkey AS query, l_linenumber / 1000.0 AS e, l_quantity AS score FROM lineitem)
     SELECT query, string_agg(target || ':' || CAST(score AS INTEGER), ',' ORDER BY e, target, score) AS hits FROM h WHERE e <= 0.002 GROUP BY 1""")
 def io_domains(spark, sf_dir):
     """Rows of a domain table with comments; the hits of each query, best first."""
     n, filler = F.col("l_linenumber"), [F.lit("-")]
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(F.concat_ws("   ", F.concat(F.lit("t"), "l_partkey"), *filler * 2, F.concat(F.lit("q"), "l_suppkey"), *filler * 8, n / 1000, "l_quantity"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("   ", F.concat(F.lit("t"), "l_partkey"), *filler * 2, F.concat(F.lit("q"), "l_suppkey"), *filler * 8, n / 1000, "l_quantity"))
     at = text_file(spark, spark.createDataFrame([("# a comment",)], "value string").unionByName(rows.toDF("value")), folder(spark))
     hits = readers.domain_table(spark, at, 0.002)
     return hits.select("query", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["target"], h["score"].cast("int").cast("string"))), ",").alias("hits"))
@@ -210,3 +210,39 @@ def stream_windows(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
     return increments.sessions(e, "ts", ["user_id"], "12 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("""
+    WITH a AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'no name' ELSE 'p' || (p_size % 5) || '/d' || (p_partkey % 7) || '|L' || CAST(floor(p_partkey / 35) AS BIGINT) END AS locus, c_custkey FROM customer JOIN part ON p_partkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND p_size % 5 < 2),
+    x AS (SELECT 'p' || (p_size % 5) || '/d' || (p_partkey % 7) || '|L' || CAST(floor(p_partkey / 35) AS BIGINT) AS locus, 'a' || p_partkey AS allele, upper(p_name) AS s FROM part WHERE p_partkey % 11 > 0),
+    l AS (SELECT locus, arg_min(allele, (-length(s), allele)) AS longest, arg_min(allele, (length(s), allele)) AS shortest, max(length(s)) > min(length(s)) AS differ FROM x GROUP BY 1)
+    SELECT c_custkey, a.locus AS locus_id_full, CASE WHEN a.locus = 'no name' THEN 'malformed' WHEN differ IS NULL THEN 'missing' WHEN differ THEN 'resolved' ELSE 'single' END AS status, longest, shortest FROM a LEFT JOIN l ON l.locus = a.locus""")
+def io_provenance(spark, sf_dir):
+    """Parts as alleles of loci in folders of panels and directories, customers as the audit that asks for some."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    place = {"panel": F.concat(F.lit("p"), (F.col("p_size") % 5).cast("string")), "dir": F.concat(F.lit("d"), (k % 7).cast("string")), "locus_id": F.concat(F.lit("L"), F.floor(k / 35).cast("string"))}
+    at = folder(spark)
+    alleles = part.where(k % 11 > 0).withColumns(place).select(*place, F.concat(F.lit("a"), k).alias("allele"), F.col("p_name").alias("sequence"))
+    alleles.repartition("panel", "dir").write.partitionBy("panel", "dir").parquet(at)
+    asked = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").join(part.where("p_size % 5 < 2").withColumns(place), F.col("c_custkey") == k)
+    name = F.when(F.col("c_custkey") % 10 == 0, "no name").otherwise(F.concat("panel", F.lit("/"), "dir", F.lit("|"), "locus_id"))
+    found = joins.audited_alleles(asked.select("c_custkey", name.alias("locus_id_full")), spark.read.schema("locus_id string, allele string, sequence string, panel string, dir string").parquet(at), keep=["c_custkey"])
+    return found.select("c_custkey", "locus_id_full", "status", F.col("longest.allele").alias("longest"), F.col("shortest.allele").alias("shortest"))
+
+
+def bucketed_pair(spark, sf_dir):
+    """Lines and orders as two tables in buckets of one key, each with the digest of what it was made from."""
+    at, name = folder(spark), f"t{uuid.uuid4().hex}"
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bag"), "l_linenumber", F.col("l_quantity").cast("int").alias("m"))
+    bags = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bag"), F.col("o_orderpriority").alias("family"))
+    facts = {"registry": sinks.digest_of(bags.select("family").distinct()), "dataset": sinks.digest_of(bags)}
+    for df, part in ((lines, "hits"), (bags, "bags")):
+        sinks.write_bucketed(df, f"{name}_{part}", f"{at}/{part}", "bag", 8, facts)
+    return [readers.bucketed(spark, f"{name}_{part}", facts) for part in ("hits", "bags")]
+
+
+@query("""SELECT o_orderkey AS bag, o_orderpriority AS family, count(*) AS n, max(CAST(l_quantity AS INTEGER)) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2""")
+def io_bucketed(spark, sf_dir):
+    """The best of each bag's hits, with its family: the join and the grouping move no row."""
+    hits, bags = bucketed_pair(spark, sf_dir)
+    return hits.join(bags.hint("merge"), "bag").groupBy("bag", "family").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))

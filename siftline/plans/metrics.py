@@ -147,21 +147,33 @@ def metric_normal_intervals(spark, sf_dir):
     return a.select("lang", *[F.round(c, 6).alias(c) for c in ("auroc", "lo", "hi")])
 
 
-@query()
+def intervals_sql(name: str, k: str, n: str, source: str) -> str:
+    """Tables for a query WITH RECURSIVE: {name} (k, n, lo, hi), the exact intervals of the distinct k of n of a table,
+    by halving."""
+    tail = lambda k, p: f"coalesce(list_sum(list_transform(range(CAST({k} AS BIGINT), CAST(n + 1 AS BIGINT)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))), 0)"
+    return f"""{name}_b AS (SELECT DISTINCT {k} AS k, {n} AS n, 0::DOUBLE AS a, 1::DOUBLE AS b, 0::DOUBLE AS c, 1::DOUBLE AS d, 0 AS step FROM {source}
+          UNION ALL SELECT k, n, CASE WHEN low THEN (a + b) / 2 ELSE a END, CASE WHEN low THEN b ELSE (a + b) / 2 END, CASE WHEN high THEN (c + d) / 2 ELSE c END, CASE WHEN high THEN d ELSE (c + d) / 2 END, step + 1
+          FROM (SELECT *, {tail("k", "((a + b) / 2)")} < 0.025 AS low, {tail("k + 1", "((c + d) / 2)")} < 0.975 AS high FROM {name}_b WHERE step < 45)),
+    {name} AS (SELECT k, n, CASE WHEN k = 0 OR n = 0 THEN 0 ELSE a END AS lo, CASE WHEN k = n OR n = 0 THEN 1 ELSE d END AS hi FROM {name}_b WHERE step = 45)"""
+
+
+@query(f"""WITH RECURSIVE {JUDGED.removeprefix("WITH ")}, a AS (SELECT lang, count(*) FILTER (pos) AS n_pos, count(*) AS n FROM j GROUP BY lang), {intervals_sql("ci", "n_pos", "n", "a")}
+    SELECT lang, n_pos, a.n, round(lo, 9) AS lo, round(hi, 9) AS hi FROM a JOIN ci ON ci.k = a.n_pos AND ci.n = a.n""")
 def metric_intervals(spark, sf_dir):
-    """AUROC by language with normal intervals, and exact binomial intervals of the share of good documents."""
-    a = m.hanley_mcneil(m.auroc(judged(spark, sf_dir), ["lang"], "score", F.col("pos"))).withColumnsRenamed({"lo": "auroc_lo", "hi": "auroc_hi"})
-    return m.with_interval(a.withColumn("n", F.col("n_pos") + F.col("n_neg")), "n_pos", "n")
+    """Exact binomial intervals of the share of good documents by language."""
+    a = judged(spark, sf_dir).groupBy("lang").agg(F.count_if("pos").alias("n_pos"), F.count(F.lit(1)).alias("n"))
+    return m.with_interval(a, "n_pos", "n").select("lang", "n_pos", "n", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
 @query("""
-    WITH g AS (SELECT l AS L, m FROM range(5, 17) AS t(l), range(0, 17) AS u(m) WHERE m <= l),
+    WITH g AS (SELECT DISTINCT CAST(p_size % 12 + 5 AS BIGINT) AS L, least(CAST(l_quantity AS BIGINT) % 17, CAST(p_size % 12 + 5 AS BIGINT)) AS m FROM lineitem JOIN part ON p_partkey = l_partkey),
     b AS (SELECT L, m, least(1.0, list_sum(list_transform(range(m, L + 1), lambda k: exp(lgamma(L + 1) - lgamma(k + 1) - lgamma(L - k + 1) + k * ln(0.25) + (L - k) * ln(0.75))))) AS tail FROM g)
     SELECT L, m, round(tail + 1e-10, 7) AS tail, round(tail * (121 - L) * 2 + 1e-7, 3) AS e_position, round(tail * (121 - L) * 2 * (201 - L) + 1e-7, 3) AS e_global, round(tail * (121 - L) * (201 - L) + 1e-7, 3) AS e_record FROM b""")
 def metric_e_values(spark, sf_dir):
-    """Three expectations of binomial tails for windows of up to 16 letters."""
-    grid = spark.range(5, 17).select(F.col("id").alias("L")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("L"))))
-    tails = m.tail_table(grid, "L", "m")
+    """Three expectations of binomial tails for lengths and matches that parts and lines give."""
+    length = (F.col("p_size") % 12 + 5).cast("long")
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select(length.alias("L"), F.least(F.col("l_quantity").cast("long") % 17, length).alias("m"))
+    tails = m.tail_table(lines, "L", "m")
     e = m.e_values(F.col("tail"), F.lit(120) - F.col("L") + 1, F.lit(200) - F.col("L") + 1, F.lit(2))
     return tails.select("L", "m", F.round(F.col("tail") + 1e-10, 7).alias("tail"), *[F.round(c + 1e-7, 3).alias(n) for n, c in e.items()])  # the small term settles ties of rounding
 
@@ -234,3 +246,27 @@ def metric_cross_validated(spark, sf_dir):
     """Held-out AUROC by fold of quality labels, from the size of a text: logistic and boosted trees."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("good")), "doc_id").select("doc_id", "good", F.log1p("n_chars").alias("size"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("upper"))
     return m.cross_validated_auroc(d, "doc_id", ["size", "upper"], "good", 3).withColumn("model", F.lit("logistic")).unionByName(m.cross_validated_auroc(d, "doc_id", ["size", "upper"], "good", 3, model="trees").withColumn("model", F.lit("trees")))
+
+
+_PROBED = f"""
+    d AS (SELECT doc_id AS k, min(quality) AS y, any_value(ln(1 + n_chars)) AS size, any_value(length(regexp_replace(text, '[^A-Z]', '', 'g')) / greatest(length(text), 1)) AS upper,
+                 any_value(length(regexp_replace(text, '[^ ]', '', 'g')) / greatest(length(text), 1)) AS blank FROM documents JOIN labels USING (doc_id) GROUP BY doc_id),
+    w AS (UNPIVOT d ON size, upper, blank INTO NAME feature VALUE v),
+    z AS (SELECT feature, CAST(floor({_DRAW.format("'0::' || k")} * 3) AS INTEGER) AS own, y, (v - avg(v) OVER (PARTITION BY feature)) / stddev_pop(v) OVER (PARTITION BY feature) AS x FROM w),
+    f AS (SELECT DISTINCT feature, own AS fold FROM z),
+    r AS (SELECT feature, fold, 0 AS step, 0::DOUBLE AS b0, 0::DOUBLE AS b1 FROM f
+          UNION ALL SELECT feature, fold, step + 1, b0 + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b1 + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1)
+          FROM (SELECT feature, fold, step, b0, b1, avg(y - q) AS g0, avg((y - q) * x) AS g1, avg(q * (1 - q)) AS h0, avg(q * (1 - q) * x) AS h1, avg(q * (1 - q) * x * x) AS h2
+                FROM (SELECT r.*, z.y, z.x, 1 / (1 + exp(-(b0 + b1 * z.x))) AS q FROM r JOIN z ON z.feature = r.feature AND z.own <> r.fold WHERE step < 12) GROUP BY feature, fold, step, b0, b1)),
+    c AS (SELECT * FROM r WHERE step = 12)"""
+
+
+@query(f"""WITH RECURSIVE {_PROBED}, s AS (SELECT z.feature, z.own AS fold, z.y, b0 + b1 * z.x AS score FROM z JOIN c ON c.feature = z.feature AND c.fold = z.own)
+    SELECT c.feature, c.fold, round(b0, 6) AS intercept, round(b1, 6) AS slope, (SELECT count(*) FROM s WHERE s.feature = c.feature AND s.fold = c.fold AND y = 1) AS n_pos, (SELECT count(*) FROM s WHERE s.feature = c.feature AND s.fold = c.fold AND y = 0) AS n_neg,
+           round((SELECT avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) FROM s a, s b WHERE a.feature = c.feature AND b.feature = c.feature AND a.fold = c.fold AND b.fold = c.fold AND a.y = 1 AND b.y = 0), 6) AS auroc FROM c""")
+def metric_probes(spark, sf_dir):
+    """How well each of three measures of a text tells good documents, alone."""
+    share = lambda letters: F.length(F.regexp_replace("text", letters, "")) / F.greatest(F.length("text"), F.lit(1))
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("y")), "doc_id").select("doc_id", "y", F.log1p("n_chars").alias("size"), share("[^A-Z]").alias("upper"), share("[^ ]").alias("blank"))
+    found = m.probes(d, "doc_id", ["size", "upper", "blank"], "y", 3)
+    return found.select("feature", "fold", *[F.round(c, 6).alias(c) for c in ("intercept", "slope")], "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))

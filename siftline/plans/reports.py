@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.operators import joins, reports as r
+from siftline.operators import joins, metrics, reports as r
+from siftline.plans.metrics import intervals_sql
 from siftline.plans.sequences import PAIRS, pairs
 from siftline.registry import query, table
 
@@ -185,6 +186,13 @@ def sweep_resolution(spark, sf_dir):
     return out.select("tau", "s", *[F.round(c, 9).alias(c) for c in ("worst", "mean", "median")], "place")
 
 
+@query(_SWEEP.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {intervals_sql("ci", "fired", "n", "w")}, b AS (SELECT w.tau, w.s, w.family, ci.hi, row_number() OVER (PARTITION BY w.tau, w.s ORDER BY ci.hi DESC, w.family) AS r FROM w JOIN ci ON ci.k = w.fired AND ci.n = w.n)
+    SELECT tau, s, family AS worst_family, round(hi, 7) AS worst_hi FROM b WHERE r = 1""")
+def sweep_worst_family(spark, sf_dir):
+    """Of each setting, the flag that may fire most often, by the upper end of its exact interval."""
+    return metrics.worst_family(swept(spark, sf_dir), ["tau", "s"], "family").withColumn("worst_hi", F.round("worst_hi", 7))
+
+
 @query(_SWEEP + """, x AS (SELECT tau, s, max(fired / n) AS worst FROM w GROUP BY 1, 2), p AS (SELECT * FROM x ORDER BY worst, tau, s LIMIT 2)
     SELECT DISTINCT CAST(tau + a AS INTEGER) AS tau, CAST(s + b AS INTEGER) AS s FROM p, unnest([-5, 0, 5]) AS t(a), unnest([-1, 0, 1]) AS u(b)""")
 def sweep_refined(spark, sf_dir):

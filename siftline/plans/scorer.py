@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siftline.functions import seq
 from siftline.operators import joins, linkage, match, metrics, nulls, positions, windows
+from siftline.plans.metrics import intervals_sql
 from siftline.registry import query, table
 from siftline.session import cut
 
@@ -224,6 +225,47 @@ def detector_bag_survival(spark, sf_dir):
     return survival(detect_peaks(sites, BAG_SPEC), hits_of(sites, BAG_SPEC), sites).withColumn("rate", F.round("rate", 9))
 
 
+_UNITS = """
+    u AS (SELECT x.bag, x.bag % 3 AS family, max(y.s) IS NOT NULL AS admission, coalesce(max(y.s), 0) >= 3 AS aggregate, max(z.s) IS NOT NULL AS peaks FROM (SELECT DISTINCT bag FROM s) x LEFT JOIN k y ON y.bag = x.bag LEFT JOIN peaks z ON z.bag = x.bag GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {BAGS}, {_UNITS}, l AS (SELECT family, layer, count(*) AS n, count(*) FILTER (passed) AS passed FROM (UNPIVOT u ON admission, aggregate, peaks INTO NAME layer VALUE passed) GROUP BY 1, 2), {intervals_sql("ci", "passed", "n", "l")}
+    SELECT family, layer, l.n, passed, round(passed / l.n, 9) AS rate, round(lo, 9) AS lo, round(hi, 9) AS hi FROM l JOIN ci ON ci.k = l.passed AND ci.n = l.n""")
+def metric_fp_profile(spark, sf_dir):
+    """How many bags of each of three families get through admission, aggregation and peak detection."""
+    sites = digest_bags(spark, sf_dir)
+    hits = cut(hits_of(sites, BAG_SPEC), "hits")
+    counts = hits.groupBy("bag_id", "orient", "i").agg(F.countDistinct("site_ord").alias("s")).groupBy("bag_id").agg(F.max("s").alias("s"))
+    peaks = detect_peaks(sites, BAG_SPEC).select("bag_id").distinct().withColumn("peaks", F.lit(True))
+    units = sites.select("bag_id").distinct().join(counts, "bag_id", "left").join(peaks, "bag_id", "left")
+    units = units.select((F.col("bag_id").cast("long") % 3).alias("family"), F.col("s").isNotNull().alias("admission"), (F.col("s") >= 3).alias("aggregate"), "peaks")
+    found = metrics.fp_profile(units, "family", ["admission", "aggregate", "peaks"])
+    return found.select("family", "layer", "n", "passed", *[F.round(c, 9).alias(c) for c in ("rate", "lo", "hi")])
+
+
+@query(f"""WITH RECURSIVE {BAGS}, found AS (SELECT 'least' || t AS variant, bag, p, s FROM peaks, unnest([3, 4]) AS x(t) WHERE s >= t),
+    negative AS (SELECT 'least' || t AS variant, 'f' || (bag % 3) AS family, count(*) AS n, count(*) FILTER (top >= t) AS fired FROM (SELECT s.bag, max(peaks.s) AS top FROM s LEFT JOIN peaks ON peaks.bag = s.bag WHERE s.bag % 3 > 0 GROUP BY 1), unnest([3, 4]) AS x(t) GROUP BY 1, 2),
+    bags AS (SELECT variant, bag, count(*) AS n, count(*) FILTER (2 * greatest(0, least(p + 11, 24) - greatest(p, 10)) >= 25 - greatest(0, least(p + 11, 24) - greatest(p, 10))) AS ok, count(*) FILTER (p = 10) AS exact, min(abs(p - 10)) AS away FROM found WHERE bag % 3 = 0 GROUP BY 1, 2),
+    total AS (SELECT variant, count(*) AS detected, sum(n)::BIGINT AS n_peaks, sum(ok)::BIGINT AS right_peaks, count(*) FILTER (ok > 0) AS right_bags, sum(exact)::BIGINT AS exact_peaks, count(*) FILTER (away <= 1) AS near_bags FROM bags GROUP BY 1),
+    shares AS (SELECT fired AS k, n FROM negative UNION SELECT right_peaks, n_peaks FROM total UNION SELECT right_bags, detected FROM total), {intervals_sql("ci", "k", "n", "shares")},
+    worst AS (SELECT m.variant, m.family, ci.hi, row_number() OVER (PARTITION BY m.variant ORDER BY ci.hi DESC, m.family) AS r FROM negative m JOIN ci ON ci.k = m.fired AND ci.n = m.n), z AS (SELECT count(DISTINCT bag) AS n_bags FROM s WHERE bag % 3 = 0)
+    SELECT t.variant, n_bags, detected, round(detected / n_bags, 9) AS coverage, n_peaks, round(right_peaks / n_peaks, 9) AS ppv_peak, round(a.lo, 9) AS ppv_peak_lo, round(a.hi, 9) AS ppv_peak_hi, round(right_bags / detected, 9) AS ppv_bag, round(y.lo, 9) AS ppv_bag_lo, round(y.hi, 9) AS ppv_bag_hi,
+           exact_peaks, near_bags, x.family AS worst_family, round(x.hi, 9) AS worst_hi, round(-x.hi, 9) AS selection FROM total t JOIN worst x ON x.variant = t.variant AND x.r = 1 JOIN ci a ON a.k = right_peaks AND a.n = n_peaks JOIN ci y ON y.k = right_bags AND y.n = detected, z""")
+def metric_variant_score(spark, sf_dir):
+    """Two settings of the least support, scored on one family of bags as positives and on the others as negatives."""
+    sites = digest_bags(spark, sf_dir)
+    peaks = cut(detect_peaks(sites, BAG_SPEC), "peaks")
+    variants = F.explode(F.array(*[F.struct(F.lit(f"least{t}").alias("variant"), F.lit(t).alias("t")) for t in (3, 4)])).alias("v")
+    by = peaks.select("*", variants).where(F.col("s") >= F.col("v.t")).select("v.variant", "bag_id", "p", F.lit(11).alias("length"))
+    fired = by.select("variant", "bag_id").distinct().withColumn("f", F.lit(1))
+    family = F.col("bag_id").cast("long") % 3
+    bags = sites.select("bag_id").distinct()
+    swept = bags.where(family > 0).select("bag_id", F.concat(F.lit("f"), family.cast("string")).alias("family"), variants).select("bag_id", "family", "v.variant").join(fired, ["variant", "bag_id"], "left").groupBy("variant", "family").agg(F.count(F.lit(1)).alias("n"), F.count("f").alias("fired"))
+    found = metrics.variant_score(by, bags.where(family == 0).select("bag_id", F.lit(10).alias("gold"), F.lit(14).alias("gold_length")), swept, "variant", "bag_id", "p", "length")
+    exact = ["variant", "n_bags", "detected", "n_peaks", "exact_peaks", "near_bags", "worst_family"]
+    return found.select(*[c if c in exact else F.round(c, 9).alias(c) for c in found.columns])
+
+
 @query()
 def scorer_bag_clusters(spark, sf_dir):
     """Ranked clusters of the same bags."""

@@ -301,10 +301,13 @@ def null_broken_invariants(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT i, j, l FROM range(0, 11) AS t(i), range(0, 11) AS u(j), range(0, 11) AS v(l) WHERE i < j AND j < l)
-    SELECT CAST(row_number() OVER (ORDER BY i, j, l) - 1 AS INTEGER) AS class, i || ',' || j || ',' || l AS positions FROM p""")
+    WITH RECURSIVE g AS (SELECT DISTINCT CAST(p_size % 6 + 6 AS INTEGER) AS length, CAST(p_partkey % 4 AS INTEGER) AS n_mm FROM part),
+    r AS (SELECT length, n_mm, []::INTEGER[] AS positions FROM g UNION ALL SELECT length, n_mm, list_append(positions, CAST(p AS INTEGER)) FROM r, unnest(range(0, 12)) AS t(p) WHERE len(positions) < n_mm AND p < length AND p > coalesce(list_max(positions), -1))
+    SELECT length, n_mm, CAST(row_number() OVER (PARTITION BY length, n_mm ORDER BY positions) - 1 AS INTEGER) AS class, array_to_string(positions, ',') AS positions FROM r WHERE len(positions) = n_mm""")
 def null_mismatch_classes(spark, sf_dir):
-    return nulls.mismatch_classes(spark, 11, 3).select("class", joined(F.col("positions")).alias("positions"))
+    """All places of mismatches for the lengths and numbers that parts give."""
+    words = table(spark, sf_dir, "part").select((F.col("p_size") % 6 + 6).alias("length"), (F.col("p_partkey") % 4).alias("n_mm"))
+    return nulls.mismatch_classes(words, "length", "n_mm").select("length", "n_mm", "class", joined(F.col("positions")).alias("positions"))
 
 
 @query("""

@@ -110,3 +110,15 @@ def required(schema: T.StructType, df: DataFrame) -> DataFrame:
     if wrong:
         raise ValueError(f"missing or of another type: {', '.join(wrong)}")
     return df
+
+
+def bucketed(spark: SparkSession, name: str, facts: dict[str, str]) -> DataFrame:
+    """A table that sinks.write_bucketed has written, if it is complete and was made from what ``facts`` says: a
+    registry or dataset that has changed since is refused, so a stale table is never joined with a new one."""
+    if not spark.catalog.tableExists(f"{name}_facts"):
+        raise ValueError(f"{name} is not complete")
+    held = {r.fact: r.value for r in spark.table(f"{name}_facts").collect()}
+    off = sorted(k for k in facts if held.get(k) != facts[k])
+    if off:
+        raise ValueError(f"{name} was made from another {', '.join(off)}; write it again")
+    return spark.table(name)

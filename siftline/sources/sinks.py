@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, functions as F
@@ -48,3 +49,22 @@ def fasta_slices(df: DataFrame, seq: str, name: str, lo: str, hi: str, pad: int)
     a = F.greatest(F.col(lo) - pad, F.lit(0))
     b = F.least(F.col(hi) + pad, F.length(seq))
     return df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), wrap_fasta(slice_at(seq, a, b - a))).alias("value"))
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, facts: dict[str, str]) -> None:
+    """A table in buckets of ``key``, sorted in them: tables of equal keys and numbers of buckets are joined and
+    grouped by it without moving a row. ``facts`` (digests of what it was made from) become a table {name}_facts
+    beside it, written last: a table without it is not complete."""
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS `{name}_facts`")
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{path}/rows").saveAsTable(name)
+    known = spark.createDataFrame(sorted(facts.items()), "fact string, value string")
+    known.coalesce(1).write.mode("overwrite").format("parquet").option("path", f"{path}/facts").saveAsTable(f"{name}_facts")
+
+
+def digest_of(df: DataFrame) -> str:
+    """A digest of the rows of a table, in whatever order and partitions: sums of two hashes of each row."""
+    columns = sorted(df.columns)
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    sums = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(k), row).cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)]).first()
+    return hashlib.sha256(f"{columns}|{sums.n}|{sums.h0}|{sums.h1}".encode()).hexdigest()

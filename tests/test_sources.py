@@ -1,7 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from siftline.operators import joins
 from siftline.sources import readers, sinks
 from siftline.streaming import increments
 
@@ -59,3 +61,54 @@ def test_windowed_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.n for r in spark.table("w").collect()) == [1, 2]
+
+
+def test_only_audited_folders_are_read(spark, tmp_path):
+    """The plan prunes by what the audit names when it runs, and the files of other folders are not opened."""
+    rows = [(f"p{k % 4}", f"d{k % 5}", f"L{k}", f"a{k}.{n}", "acgt" * (n + 1)) for k in range(40) for n in range(2)]
+    spark.createDataFrame(rows, "panel string, dir string, locus_id string, allele string, sequence string").repartition("panel", "dir").write.partitionBy("panel", "dir").parquet(str(tmp_path / "a"))
+    alleles = spark.read.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(1, "p1/d1|L21"), (2, "p1/d1|L1"), (3, "p2/d2|L99"), (4, "nonsense"), (5, None)], "k int, locus_id_full string").write.parquet(str(tmp_path / "b"))
+    audit = spark.read.parquet(str(tmp_path / "b"))
+    df = joins.audited_alleles(audit, alleles, keep=["k"])
+    got = {r.k: (r.status, r.longest and r.longest.allele, r.shortest and r.shortest.sequence) for r in df.collect()}
+    assert got == {1: ("resolved", "a21.1", "ACGT"), 2: ("resolved", "a1.1", "ACGT"), 3: ("missing", None, None), 4: ("malformed", None, None), 5: ("missing", None, None)}
+    assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString()
+    assert len({f.rsplit("/", 1)[0] for f in alleles.inputFiles()}) == 20
+    scans = []
+
+    def walk(node):
+        if node.nodeName().startswith("Scan parquet") and "sequence" in node.simpleString(200):
+            scans.append(node.metrics().apply("numPartitions").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            walk(node.plan())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    assert scans == [4]  # of 20 folders: each key prunes for itself
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark, tmp_path):
+    hits = spark.createDataFrame([(k % 50, k) for k in range(500)], "bag int, m int")
+    bags = spark.createDataFrame([(k, f"f{k % 3}") for k in range(50)], "bag int, family string")
+    facts = {"registry": sinks.digest_of(bags.select("family").distinct()), "dataset": sinks.digest_of(bags)}
+    for df, name in ((hits, "hits_b"), (bags, "bags_b")):
+        sinks.write_bucketed(df, name, str(tmp_path / name), "bag", 4, facts)
+    a, b = (readers.bucketed(spark, n, facts) for n in ("hits_b", "bags_b"))
+    joined = a.join(b.hint("merge"), "bag").groupBy("bag", "family").agg(F.max("m").alias("m"))
+    assert {(r.bag, r.m) for r in joined.collect()} == {(k, 450 + k) for k in range(50)}
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sinks.digest_of(bags) == sinks.digest_of(bags.repartition(7)) != sinks.digest_of(bags.withColumn("family", F.lit("f0")))
+    changed = facts | {"registry": sinks.digest_of(bags.select("family").distinct().limit(2))}
+    with pytest.raises(ValueError, match="registry"):
+        readers.bucketed(spark, "hits_b", changed)
+    spark.sql("DROP TABLE hits_b_facts")
+    with pytest.raises(ValueError, match="not complete"):
+        readers.bucketed(spark, "hits_b", facts)
+    spark.sql("DROP TABLE hits_b")
+    spark.sql("DROP TABLE bags_b")
+    spark.sql("DROP TABLE bags_b_facts")
