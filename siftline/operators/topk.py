@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftline.functions.seq import hash_uniform
+from siftline.functions.seq import hash_uniform, slice_at, starts
 from siftline.operators.windows import running
 
 
@@ -53,3 +53,15 @@ def stratified_split(df: DataFrame, key: str, stratum: str, ratios: tuple[float,
     a, b = F.bround(F.col("__n") * ratios[0]), F.bround(F.col("__n") * ratios[1])
     split = F.when(F.col("__place") <= a, "train").when(F.col("__place") <= a + b, "val").otherwise("test")
     return placed.withColumn("split", split).drop("__place", "__n", "__sum")
+
+
+def sample_windows(df: DataFrame, by: list[str], keys: list[str], s: str, length: int, n: int, seed: int = 0, accept: Column | None = None, weight: Column | None = None) -> DataFrame:
+    """by, keys, start, word: n windows of ``length`` letters of each group, without replacement: of all windows of all
+    its sequences that ``accept`` (a test of the column word; plain bases unless given) lets pass, each as likely
+    as its ``weight`` (of the row and word; 1 unless given), so longer sequences give more. Weighted sampling by
+    exponential keys: the n least of -ln(u) / weight are taken, u from a hash, so any engine repeats it."""
+    rows = df.select(*dict.fromkeys([*by, *keys]), F.col(s).alias("__s"), F.explode(starts(s, length)).alias("start")).withColumn("word", slice_at("__s", F.col("start"), F.lit(length))).drop("__s")
+    rows = rows.where(F.col("word").rlike("^[ACGT]+$") if accept is None else accept).withColumn("__w", (F.lit(1.0) if weight is None else weight).cast("double")).where("__w > 0")
+    key = -F.log(1 - hash_uniform(*keys, "start", salt=str(seed))) / F.col("__w")
+    first = Window.partitionBy(*by).orderBy(key, *keys, "start")
+    return rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= n).drop("__n", "__w")

@@ -196,11 +196,23 @@ def stream_new_files(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
+def streamed_events(spark, sf_dir, transform):
+    """Events through a stream, in four calls: all of them; some of the first days once more, which are then too late and
+    must not count; and twice an event far ahead, after which all windows of before are final."""
+    at = folder(spark)
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    last = e.agg(F.max("ts").alias("last")).first()["last"]
+    ahead = [spark.createDataFrame([(-1, "end", 0.0)], "user_id long, event_type string, value double").select((F.lit(last) + F.expr(f"interval {y} years")).alias("ts"), "user_id", "event_type", "value") for y in (1, 2)]
+    for k, rows in enumerate((e, e.where(F.col("ts") < F.lit(last) - F.expr("interval 5 days")), *ahead)):
+        rows.write.parquet(f"{at}/in/{k}")
+        increments.run_once(spark, f"{at}/in/*", "ts timestamp, user_id long, event_type string, value double", f"{at}/out", f"{at}/state", transform)
+    return spark.read.parquet(f"{at}/out").where(F.col("start") <= F.lit(last))
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
-    """Event-time windows of a day (the same plan that a stream runs)."""
-    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    w = increments.windowed_counts(e, "ts", ["event_type"], "1 day")
+    """Event-time windows of a day over a stream with a watermark and late rows."""
+    w = streamed_events(spark, sf_dir, lambda e: increments.windowed_counts(e, "ts", ["event_type"], "1 day"))
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -208,8 +220,9 @@ def stream_windows(spark, sf_dir):
     WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, g""")
 def stream_sessions(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    return increments.sessions(e, "ts", ["user_id"], "12 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+    """Sessions of users over the same stream."""
+    w = streamed_events(spark, sf_dir, lambda e: increments.sessions(e, "ts", ["user_id"], "12 hours"))
+    return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query("""
@@ -246,3 +259,17 @@ def io_bucketed(spark, sf_dir):
     """The best of each bag's hits, with its family: the join and the grouping move no row."""
     hits, bags = bucketed_pair(spark, sf_dir)
     return hits.join(bags.hint("merge"), "bag").groupBy("bag", "family").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
+
+
+@query("""
+    WITH a AS (SELECT p_partkey AS k, upper(translate(md5('a' || p_partkey), '0123456789abcdef', 'acgtacgtacgtacgt')) AS s FROM part)
+    SELECT 'r' || k AS id, substr(CASE WHEN k % 5 = 0 THEN replace(s, 'AC', 'NC') ELSE s END, 1, 20) AS flank, substr(reverse(s), 1, 30) AS insert FROM a WHERE k % 3 > 0 AND NOT (k % 5 = 0 AND contains(substr(replace(s, 'AC', 'NC'), 1, 20), 'N'))""")
+def io_paired_fasta(spark, sf_dir):
+    """Records that two FASTA files share, of plain letters only."""
+    at, k = folder(spark), F.col("p_partkey")
+    s = F.translate(F.md5(F.concat(F.lit("a"), k.cast("string"))), "0123456789abcdef", "acgtacgtacgtacgt")
+    p = table(spark, sf_dir, "part").select(k.alias("k"), F.upper(s).alias("s"))
+    record = lambda seq: F.concat(F.lit(">r"), F.col("k").cast("string"), F.lit(" x\n"), seq)
+    empty = text_file(spark, p.where("k % 3 > 0").select(record(F.when(F.col("k") % 5 == 0, F.replace("s", F.lit("AC"), F.lit("NC"))).otherwise(F.col("s")))), f"{at}/empty")
+    filled = text_file(spark, p.select(record(F.lower(F.reverse("s")))), f"{at}/filled")
+    return readers.paired_fasta(spark, filled, empty, 20, 30).select("id", "flank", "insert")

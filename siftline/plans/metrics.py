@@ -270,3 +270,29 @@ def metric_probes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("y")), "doc_id").select("doc_id", "y", F.log1p("n_chars").alias("size"), share("[^A-Z]").alias("upper"), share("[^ ]").alias("blank"))
     found = m.probes(d, "doc_id", ["size", "upper", "blank"], "y", 3)
     return found.select("feature", "fold", *[F.round(c, 6).alias(c) for c in ("intercept", "slope")], "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
+
+
+@query(f"""{JUDGED}, t AS (SELECT lang, pos, doc_id, score, length(source) * 100 + doc_id % 37 AS other FROM j),
+    u AS (SELECT *, row_number() OVER (PARTITION BY lang, pos ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang, pos) AS n FROM t),
+    d AS (SELECT lang, pos, b, CAST(floor({_DRAW.format("'0::' || b || '::' || i || '::' || lang || '::' || pos")} * n) AS BIGINT) AS i FROM u, unnest(range(1, 21)) AS x(b)),
+    r AS (SELECT d.lang, d.b, u.pos, u.score, u.other FROM d JOIN u ON u.lang = d.lang AND u.pos = d.pos AND u.i = d.i),
+    a AS (SELECT p.lang, p.b, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) - avg(CASE WHEN p.other > n.other THEN 1.0 WHEN p.other = n.other THEN 0.5 ELSE 0.0 END) AS delta FROM r p JOIN r n ON n.lang = p.lang AND n.b = p.b WHERE p.pos AND NOT n.pos GROUP BY 1, 2),
+    o AS (SELECT p.lang, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) - avg(CASE WHEN p.other > n.other THEN 1.0 WHEN p.other = n.other THEN 0.5 ELSE 0.0 END) AS delta FROM t p JOIN t n ON n.lang = p.lang WHERE p.pos AND NOT n.pos GROUP BY 1)
+    SELECT o.lang, round(any_value(o.delta), 6) AS delta, round(quantile_cont(a.delta, 0.025), 6) AS lo, round(quantile_cont(a.delta, 0.975), 6) AS hi FROM o JOIN a ON a.lang = o.lang GROUP BY o.lang""")
+def metric_auroc_delta(spark, sf_dir):
+    """Size of a text against another score of it, on the same resamples of good and other documents."""
+    t = judged(spark, sf_dir).select("lang", "pos", "doc_id", "score", (F.length("source") * 100 + F.col("doc_id") % 37).alias("other"))
+    return m.auroc_delta(t, ["lang"], "doc_id", "score", "other", "pos", 20).select("lang", *[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi")])
+
+
+@query(f"""
+    WITH t AS (SELECT l_suppkey AS unit, CAST(l_orderkey % 4 AS INTEGER) AS draw, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS num, CAST(count(*) AS DOUBLE) AS den FROM lineitem GROUP BY 1, 2),
+    f AS (SELECT unit FROM t GROUP BY 1 HAVING count(*) = 4), s AS (SELECT unit FROM f), u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n FROM s),
+    d AS (SELECT b, CAST(floor({_DRAW.format("'0::' || b || '::' || i")} * n) AS BIGINT) AS i FROM u, unnest(range(1, 51)) AS x(b)), c AS (SELECT b, unit, row_number() OVER (PARTITION BY b, unit) AS copy FROM d JOIN u USING (i)),
+    p AS (SELECT b, unit, CAST(floor({_DRAW.format("'inner0::' || b || '::' || unit || '::' || copy")} * 4) AS INTEGER) AS draw FROM c), r AS (SELECT b, sum(num) / sum(den) AS r FROM p JOIN t ON t.unit = p.unit AND t.draw = p.draw GROUP BY b)
+    SELECT (SELECT round(sum(num) / sum(den), 9) FROM t JOIN f USING (unit)) AS ratio, round(quantile_cont(r, 0.025), 9) AS lo, round(quantile_cont(r, 0.975), 9) AS hi FROM r""")
+def metric_nested_bootstrap(spark, sf_dir):
+    """Suppliers are resampled, and each takes one of its four scored draws."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), (F.col("l_orderkey") % 4).cast("int").alias("draw")).agg(F.count_if(F.col("l_returnflag") == "R").cast("double").alias("num"), F.count(F.lit(1)).cast("double").alias("den"))
+    full = lines.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("unit")
+    return m.nested_bootstrap(lines.join(full, "unit"), "unit", "draw", "num", "den", 4, 50).select(*[F.round(c, 9).alias(c) for c in ("ratio", "lo", "hi")])

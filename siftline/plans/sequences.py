@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import arrays, seq
-from siftline.operators import align, match, nulls
+from siftline.operators import align, match, nulls, topk
 from siftline.registry import query, table
 
 HEX = ("0123456789abcdef", "ACGTACGTACGTACGT")
@@ -316,3 +316,12 @@ def null_mismatch_classes(spark, sf_dir):
 def null_target_matches(spark, sf_dir):
     r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").cast("long").alias("m")).agg(F.avg("l_discount").alias("rate"))
     return nulls.target_matches(r, "n", "m", "rate", 0.05, 0.048)
+
+
+@query(f"""WITH {PAIRS}, w AS (SELECT k % 20 AS g, k, CAST(i AS INTEGER) AS start, substr(a, CAST(i + 1 AS BIGINT), 12) AS word FROM s, unnest(range(0, 53)) AS t(i)),
+    v AS (SELECT *, -ln(1 - CAST(('0x' || substr(md5('3::' || k || '::' || start), 1, 8)) AS BIGINT) / 4294967296.0) / (1 + length(regexp_replace(word, '[^GC]', '', 'g'))) AS x FROM w WHERE NOT contains(word, 'N')),
+    o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x, k, start) AS n FROM v) SELECT g, k, start, word FROM o WHERE n <= 25""")
+def sample_windows(spark, sf_dir):
+    """25 windows without N of each group of sequences, those with more G and C more likely."""
+    weight = 1 + F.length(F.regexp_replace("word", "[^GC]", ""))
+    return topk.sample_windows(pairs(spark, sf_dir).withColumn("g", F.col("k") % 20), ["g"], ["k"], "a", 12, 25, 3, weight=weight)

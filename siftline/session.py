@@ -7,10 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_scopes: list[list[str]] = []
+_scope: ContextVar[list[str] | None] = ContextVar("siftline_scope", default=None)  # each thread has its own
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -44,8 +45,8 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     the loss of any executor, and a result that is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,11 +62,11 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes on leaving what :func:`cut` has written inside: for callers that write their result
     before they leave. Without it the tables stay until the shared folder is cleared."""
     own: list[str] = []
-    _scopes.append(own)
+    token = _scope.set(own)
     try:
         yield
     finally:
-        _scopes.remove(own)
+        _scope.reset(token)
         for path in own:
             delete(spark, path)
 

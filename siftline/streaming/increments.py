@@ -21,3 +21,10 @@ def windowed_counts(events: DataFrame, ts: str, by: list[str], width: str, slide
 
 def sessions(events: DataFrame, ts: str, by: list[str], gap: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
+
+
+def run_once(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, transform) -> None:
+    """Takes the Parquet files that have come to a folder since the last call through ``transform`` (which may hold
+    state and a watermark) and appends what is final to ``out``. State and place are kept in ``checkpoint``."""
+    rows = transform(spark.readStream.schema(schema).parquet(folder))
+    rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()

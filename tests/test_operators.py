@@ -209,3 +209,26 @@ def test_running_over_ranges(spark):
             own.append(r)
         for own in groups.values():
             assert [r["__place"] for r in own] == list(range(1, len(own) + 1)) and [r["__sum"] for r in own] == list(np.cumsum([r.v for r in own])) and all(r["__n"] == len(own) for r in own)
+
+
+def test_windows_are_drawn_by_weight(spark):
+    """Of one light and one heavy window a group takes the heavy one as often as its share; longer sequences give more."""
+    df = spark.createDataFrame([(g, k, s) for g in range(900) for k, s in ((0, "AAAA"), (1, "CCCC"), (2, "ANNA"))], "g int, k int, s string")
+    weight = F.when(F.col("word") == "CCCC", 3.0).otherwise(1.0)
+    got = topk.sample_windows(df, ["g"], ["g", "k"], "s", 4, 1, weight=weight).collect()
+    assert len(got) == 900 and abs(sum(r.word == "CCCC" for r in got) / 900 - 0.75) < 0.05
+    assert rows(topk.sample_windows(df.repartition(7), ["g"], ["g", "k"], "s", 4, 1, weight=weight)) == sorted(tuple(r) for r in got)
+    both = spark.createDataFrame([(g, k, "ACGT" * n) for g in range(300) for k, n in ((0, 2), (1, 6))], "g int, k int, s string")
+    got = topk.sample_windows(both, ["g"], ["g", "k"], "s", 4, 2).collect()
+    assert len(got) == 600 and len({(r.g, r.k, r.start) for r in got}) == 600 and abs(sum(r.k for r in got) / 600 - 21 / 26) < 0.06
+    assert topk.sample_windows(both, ["g"], ["g", "k"], "s", 99, 2).count() == 0
+
+
+def test_mismatch_classes_are_all_placements(spark):
+    from itertools import combinations
+
+    df = spark.createDataFrame([(5, 2), (5, 2), (4, 0), (3, 3), (2, 5), (None, 1)], "n int, k int")
+    got = {}
+    for r in nulls.mismatch_classes(df, "n", "k").orderBy("n", "k", "class").collect():
+        got.setdefault((r.n, r.k), []).append(tuple(r.positions))
+    assert got == {(n, k): list(combinations(range(n), k)) for n, k in ((5, 2), (4, 0), (3, 3))}
