@@ -278,9 +278,9 @@ def metric_probes(spark, sf_dir):
     r AS (SELECT d.lang, d.b, u.pos, u.score, u.other FROM d JOIN u ON u.lang = d.lang AND u.pos = d.pos AND u.i = d.i),
     a AS (SELECT p.lang, p.b, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) - avg(CASE WHEN p.other > n.other THEN 1.0 WHEN p.other = n.other THEN 0.5 ELSE 0.0 END) AS delta FROM r p JOIN r n ON n.lang = p.lang AND n.b = p.b WHERE p.pos AND NOT n.pos GROUP BY 1, 2),
     o AS (SELECT p.lang, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) - avg(CASE WHEN p.other > n.other THEN 1.0 WHEN p.other = n.other THEN 0.5 ELSE 0.0 END) AS delta FROM t p JOIN t n ON n.lang = p.lang WHERE p.pos AND NOT n.pos GROUP BY 1)
-    SELECT o.lang, round(any_value(o.delta), 6) AS delta, round(quantile_cont(a.delta, 0.025), 6) AS lo, round(quantile_cont(a.delta, 0.975), 6) AS hi FROM o JOIN a ON a.lang = o.lang GROUP BY o.lang""")
+    SELECT l.lang, round(any_value(o.delta), 6) AS delta, round(quantile_cont(a.delta, 0.025), 6) AS lo, round(quantile_cont(a.delta, 0.975), 6) AS hi FROM (SELECT DISTINCT lang FROM t) l LEFT JOIN o ON o.lang = l.lang LEFT JOIN a ON a.lang = l.lang GROUP BY l.lang""")
 def metric_auroc_delta(spark, sf_dir):
-    """Size of a text against another score of it, on the same resamples of good and other documents."""
+    """Size of a text against another score of it, on the same resamples of good and other documents; null for one class."""
     t = judged(spark, sf_dir).select("lang", "pos", "doc_id", "score", (F.length("source") * 100 + F.col("doc_id") % 37).alias("other"))
     return m.auroc_delta(t, ["lang"], "doc_id", "score", "other", "pos", 20).select("lang", *[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi")])
 
