@@ -3,30 +3,52 @@ done as joins of near rows, so that a group may be of any size."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftline.session import cut
+from siftline.operators.windows import running
+from siftline.session import cut, ship
 
 
-def outranked(conflicts: DataFrame) -> DataFrame:
+FEW = 1_000_000  # conflicts that one task walks through
+
+
+def outranked(conflicts: DataFrame, few: int = FEW) -> DataFrame:
     """The nodes (node) that go when a list is walked through best first and a row goes if it conflicts with
-    one that stays. ``conflicts``: better, worse, any comparable names. This is the independent set that the
-    order names first, found by rounds: who has no better undecided neighbour stays, its neighbours go. A
-    round costs a join of the conflicts that are left; a chain of conflicts in falling order takes a round
-    for every second row."""
-    left = conflicts.select("better", "worse").distinct()
-    gone = None
+    one that stays. ``conflicts``: better, worse, names that compare (better is the lesser).
+
+    This is the independent set that the order names first. Nodes are numbered in their order; by rounds, who
+    has no better undecided neighbour stays and its neighbours go, a join of the conflicts that are left. Once
+    these are counted and no more than ``few``, one task walks through them."""
+    ship(conflicts.sparkSession)
+    edges = cut(conflicts.select("better", "worse").distinct(), "conflicts")
+    nodes = edges.select(F.col("better").alias("node")).union(edges.select("worse")).distinct()
+    ids = cut(running(nodes, [], ["node"]).select("node", F.col("__place").alias("id")), "nodes")
+    left = edges.join(ids.toDF("better", "b"), "better").join(ids.toDF("worse", "w"), "worse").select("b", "w")
+    gone = []
     while True:
-        left = cut(left, "conflicts")
-        if left.isEmpty():
-            return conflicts.select(F.col("worse").alias("node")).limit(0) if gone is None else gone
-        stay = left.select("better").distinct().join(left.select(F.col("worse").alias("better")).distinct(), "better", "left_anti")
-        now = cut(left.join(stay, "better", "left_semi").select(F.col("worse").alias("node")).distinct(), "outranked")
-        gone = now if gone is None else gone.unionByName(now)
-        name = lambda c: now.withColumnRenamed("node", c)
-        left = left.join(stay, "better", "left_anti").join(name("better"), "better", "left_anti").join(name("worse"), "worse", "left_anti")
+        left = cut(left.select("b", "w"), "conflicts")
+        if left.count() <= few:
+            break
+        stay = left.select("b").distinct().join(left.select(F.col("w").alias("b")).distinct(), "b", "left_anti")
+        now = cut(left.join(stay, "b", "left_semi").select(F.col("w").alias("id")).distinct(), "outranked")
+        gone.append(now)
+        left = left.join(stay, "b", "left_anti").join(now.toDF("b"), "b", "left_anti").join(now.toDF("w"), "w", "left_anti")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[int] = set()
+        for batch in batches:  # ends of conflicts in order: whether the better one stays is known before
+            for b, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b not in out:
+                    out.add(w)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.int64())], ["id"])
+
+    rest = left.repartition(1).sortWithinPartitions("b", "w").mapInArrow(walk, "id bigint")
+    found = reduce(lambda x, y: x.unionByName(y), gone, rest)
+    return ids.join(found, "id", "left_semi").select("node")
 
 
 def _ordered(order: list[tuple[str, bool]]) -> list[Column]:

@@ -93,12 +93,19 @@ def test_clusters_equal_loops(spark):
     assert positions.position_clusters(df.limit(0), ["g"], "site", "pos", "m", "valid").count() == 0
 
 
-def test_list_walked_by_rounds(spark):
-    """A chain of conflicts leaves every second; each conflict in a clique but the best goes."""
+@pytest.mark.parametrize("few", [0, 20, 10**6])
+def test_list_walked_by_rounds_and_in_one_task(spark, few):
+    """A chain of conflicts leaves every second; each conflict in a clique but the best goes; and any graph like the walk."""
+    draw = random.Random(few)
     pairs = [(i, i + 1) for i in range(9)] + [(100 + i, 100 + j) for i in range(5) for j in range(i + 1, 5)]
-    gone = positions.outranked(spark.createDataFrame(pairs, "better int, worse int"))
-    assert rows(gone) == [(k,) for k in (1, 3, 5, 7, 9, 101, 102, 103, 104)]
-    assert positions.outranked(spark.createDataFrame([], "better int, worse int")).count() == 0
+    assert rows(positions.outranked(spark.createDataFrame(pairs, "better int, worse int"), few)) == [(k,) for k in (1, 3, 5, 7, 9, 101, 102, 103, 104)]
+    pairs = list({tuple(sorted(draw.sample(range(80), 2))) for _ in range(120)})
+    gone = set()
+    for b, w in sorted(pairs):
+        if b not in gone:
+            gone.add(w)
+    assert rows(positions.outranked(spark.createDataFrame(pairs, "better int, worse int"), few)) == sorted((k,) for k in gone)
+    assert positions.outranked(spark.createDataFrame([], "better int, worse int"), few).count() == 0
 
 
 def test_merge_equals_loop(spark):
