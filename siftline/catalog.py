@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.plans import clusters, files, groups, joins, metrics, reports, scalars, scorer, sequences, shared_passages, windows  # noqa: F401  (they register queries)
+from siftline.plans import clusters, features, files, groups, joins, metrics, reports, scalars, scorer, sequences, shared_passages, windows  # noqa: F401  (they register queries)
 from siftline.registry import QUERIES, SQL  # noqa: F401
 
 flagship = shared_passages.peaks_shared_passages

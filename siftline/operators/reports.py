@@ -333,10 +333,13 @@ def replicated(df: DataFrame, key: list[str], n: int, make) -> DataFrame:
     return make(df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))), [*key, "replicate"])
 
 
+RUNS = r"\(+|\)+"
+
+
 def molecule_summary(values: Column | str, brackets: Column | str, energy: Column, least_energy: Column) -> Column:
-    """struct(unpaired, helices, stability): share of values of 0.5 or more, runs of opening brackets, 1 - energy / least."""
+    """struct(unpaired, helices, stability): share of values of 0.5 or more, runs of equal brackets, 1 - energy / least."""
     share = seq.ratio(F.size(F.filter(seq.col(values), lambda x: x >= 0.5)).cast("double"), F.size(seq.col(values)))
-    return F.struct(share.alias("unpaired"), F.regexp_count(seq.col(brackets), F.lit(r"\(+")).alias("helices"), (1 - seq.ratio(energy, least_energy)).alias("stability"))
+    return F.struct(share.alias("unpaired"), F.regexp_count(seq.col(brackets), F.lit(RUNS)).alias("helices"), (1 - seq.ratio(energy, least_energy)).alias("stability"))
 
 
 def genbank(df: DataFrame, name: str, s: str, features: str) -> DataFrame:

@@ -400,7 +400,7 @@ def null_replicates(spark, sf_dir):
 
 @query("""
     WITH p AS (SELECT p_partkey AS k, [p_size / 50.0, 0.5, p_partkey % 2 * 0.4] AS v, repeat('((.))', CAST(p_partkey % 4 AS BIGINT)) || '..(.)' AS b, -p_size AS e FROM part)
-    SELECT k, round(len(list_filter(v, lambda x: x >= 0.5)) / 3.0, 9) AS unpaired, CAST(k % 4 + 1 AS INTEGER) AS helices, round(1 - e / -50.0, 9) AS stability FROM p""")
+    SELECT k, round(len(list_filter(v, lambda x: x >= 0.5)) / 3.0, 9) AS unpaired, CAST(k % 4 * 2 + 2 AS INTEGER) AS helices, round(1 - e / -50.0, 9) AS stability FROM p""")
 def seq_molecule_summary(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size")
     p = table(spark, sf_dir, "part").select(k.alias("k"), F.array(size / 50.0, F.lit(0.5), (k % 2) * 0.4).alias("v"), F.concat(F.repeat(F.lit("((.))"), (k % 4).cast("int")), F.lit("..(.)")).alias("b"), (-size).cast("double").alias("e"))
