@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from siftline.functions import arrays, seq
 from siftline.operators import reports
 from siftline.operators.match import _CODE
-from siftline.session import free_name, ship
+from siftline.session import free_name, partitions, ship
 
 TILE = 256  # cells along each side of what a task holds at once
 GROUPS = "ABCDE"
@@ -107,7 +107,8 @@ def cells(sites: DataFrame, keys: list[str], nc: str, flank: str, groups: str =
     they run over an end). B: letters, and the sign of the difference of their codes. C: difference of places over
     the sum of lengths. D: perfect seeds in the square of ``radius`` around the cell, per cell of the square.
     E: the first ``depth`` numbers of ``profile`` (array of arrays by place of nc; null or NaN: 0 and not valid).
-    A task holds TILE x TILE cells with their channels, however long a sequence is; nothing is shuffled.
+    A task holds TILE x TILE cells with their channels, however long a sequence is. Sites are
+    dealt anew first, since one becomes thousands of cells; cells are not shuffled.
     Empty sequences have no cells; a group that is not known, or E without a profile, is an error."""
     if not groups or set(groups) - set(GROUPS):
         raise ValueError(f"groups are of {GROUPS}")
@@ -138,7 +139,8 @@ def cells(sites: DataFrame, keys: list[str], nc: str, flank: str, groups: str =
                         yield pa.RecordBatch.from_arrays([*[batch.column(columns.index(c)).take(at) for c in keys], *where, *flat], [*keys, "i", "j", *names])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", i int, j int" + "".join(f", {n} float" for n in names)
-    return sites.where(F.col(nc).isNotNull() & F.col(flank).isNotNull()).select(*columns).mapInArrow(run, schema)
+    rows = sites.where(F.col(nc).isNotNull() & F.col(flank).isNotNull()).select(*columns)
+    return rows.repartition(partitions(sites.sparkSession)).mapInArrow(run, schema)
 
 
 def _placed(n: Column, length: Column, orient: Column, m: Column, f: Column) -> dict[str, Column]:
