@@ -7,7 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from siftline.functions import seq
 from siftline.operators import joins, validate
+from siftline.plans.sequences import PAIRS, pairs
 from siftline.registry import query, table
 from siftline.session import shared_dir
 from siftline.sources import readers, sinks
@@ -273,3 +275,25 @@ def io_paired_fasta(spark, sf_dir):
     empty = text_file(spark, p.where("k % 3 > 0").select(record(F.when(F.col("k") % 5 == 0, F.replace("s", F.lit("AC"), F.lit("NC"))).otherwise(F.col("s")))), f"{at}/empty")
     filled = text_file(spark, p.select(record(F.lower(F.reverse("s")))), f"{at}/filled")
     return readers.paired_fasta(spark, filled, empty, 20, 30).select("id", "flank", "insert")
+
+
+@query(f"""WITH {PAIRS} SELECT 'r' || k AS id, substr(b, 1, 30) AS flank, substr(a, 1, 25) AS insert FROM s WHERE k % 3 <> 1 AND NOT contains(substr(a, 1, 25), 'N') AND NOT contains(substr(b, 1, 30), 'N')""")
+def io_paired_fasta(spark, sf_dir):
+    """Records that a file of inserts and one of empty sites share, of plain letters only."""
+    p, at = pairs(spark, sf_dir), folder(spark)
+    record = lambda c: F.concat(F.lit(">r"), F.col("k").cast("string"), F.lit(" x\n"), seq.wrap_fasta(c))
+    filled, empty = text_file(spark, p.select(record("a")), f"{at}/filled"), text_file(spark, p.where("k % 3 <> 1").select(record("b")), f"{at}/empty")
+    return readers.paired_fasta(spark, filled, empty, 30, 25)
+
+
+@query("""
+    WITH p AS (SELECT *, translate(upper(p_name), 'RYSWKMBDHVN', 'ACGAGACAAAA') AS n, translate(upper(p_type), 'RYSWKMBDHVN', 'ACGAGACAAAA') AS t, count(*) OVER (PARTITION BY p_brand) AS sites FROM part),
+    r AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN ['AAAAA'] WHEN 1 THEN [substr(n, 1, 20)] ELSE CASE WHEN length(n) >= 8 OR length(t) >= 8 THEN [substr(n, 1, 20), substr(t, 1, 20)] ELSE [substr(n, 1, 20)] END END AS kept FROM p)
+    SELECT p_partkey AS site_id, p_brand AS bag, n AS flank, array_to_string(kept, ',') AS regions, CAST(len(kept) AS INTEGER) AS n_regions, CAST(list_sum(list_transform(kept, lambda x: length(x))) AS INTEGER) AS letters, sites AS n_sites, p_size % 2 = 1 AS is_reversed FROM r""")
+def io_site_records(spark, sf_dir):
+    """Parts as flat rows without labels, nested for a reader of sites."""
+    k = F.col("p_partkey") % 4
+    regions = F.when(k == 1, F.array("p_name")).when(k == 2, F.array("p_name", "p_type", "p_brand")).when(k == 3, F.array(F.lit(None).cast("string"), "p_name", "p_type"))
+    flat = table(spark, sf_dir, "part").withColumns({"regions": regions, "orient": F.when(F.col("p_size") % 2 == 1, "rc")})
+    found = readers.site_records(flat, "p_brand", "p_partkey", "p_name", "regions", "orient", most=20, n_regions=2, least=8, filler=5)
+    return found.select("site_id", F.col("transposase_id").alias("bag"), "inputs.flank", F.array_join("inputs.noncoding_regions", ",").alias("regions"), F.col("labels.num_noncoding_regions").alias("n_regions"), F.col("labels.ncrna_length").alias("letters"), "labels.arch.n_sites", "labels.arch.is_reversed")

@@ -296,3 +296,33 @@ def metric_nested_bootstrap(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), (F.col("l_orderkey") % 4).cast("int").alias("draw")).agg(F.count_if(F.col("l_returnflag") == "R").cast("double").alias("num"), F.count(F.lit(1)).cast("double").alias("den"))
     full = lines.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("unit")
     return m.nested_bootstrap(lines.join(full, "unit"), "unit", "draw", "num", "den", 4, 50).select(*[F.round(c, 9).alias(c) for c in ("ratio", "lo", "hi")])
+
+
+@query("""
+    WITH s AS (SELECT l_suppkey AS unit, CAST(l_linenumber % 3 AS INTEGER) AS draw, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS num, CAST(count(*) AS DOUBLE) AS den FROM lineitem GROUP BY 1, 2),
+    u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM s)),
+    d AS (SELECT b, CAST(floor(CAST(('0x' || substr(md5('0::' || b || '::' || i), 1, 8)) AS BIGINT) / 4294967296.0 * n) AS BIGINT) AS i FROM u, unnest(range(1, 201)) AS t(b)),
+    t AS (SELECT b, unit, unnest(range(1, count(*) + 1)) AS copy FROM d JOIN u USING (i) GROUP BY 1, 2),
+    e AS (SELECT b, unit, CAST(floor(CAST(('0x' || substr(md5('inner0::' || b || '::' || unit || '::' || copy), 1, 8)) AS BIGINT) / 4294967296.0 * 3) AS INTEGER) AS draw FROM t),
+    r AS (SELECT b, sum(num) / sum(den) AS r FROM e JOIN s USING (unit, draw) GROUP BY b)
+    SELECT (SELECT round(sum(num) / sum(den), 6) FROM s) AS ratio, round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi FROM r""")
+def metric_nested_bootstrap(spark, sf_dir):
+    """Share of returned lines, suppliers resampled and each one's lines taken from one of three parts."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), (F.col("l_linenumber") % 3).alias("draw")).agg(F.count_if(F.col("l_returnflag") == "R").cast("double").alias("num"), F.count(F.lit(1)).cast("double").alias("den"))
+    return m.nested_bootstrap(rows, "unit", "draw", "num", "den", 3).select(*[F.round(c, 6).alias(c) for c in ("ratio", "lo", "hi")])
+
+
+@query("""
+    WITH s AS (SELECT o_orderpriority AS g, o_orderstatus = 'F' AS pos, o_orderkey AS unit, floor(o_totalprice / 1000) AS x, CAST(o_custkey % 100 AS DOUBLE) AS y FROM orders),
+    u AS (SELECT *, row_number() OVER (PARTITION BY g, pos ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY g, pos) AS n FROM s),
+    d AS (SELECT b, g, pos, CAST(floor(CAST(('0x' || substr(md5('0::' || b || '::' || i || '::' || g || '::' || CAST(pos AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 * n) AS BIGINT) AS i FROM u, unnest(range(1, 41)) AS t(b)),
+    w AS (SELECT 0 AS b, g, pos, x, y FROM s UNION ALL SELECT b, g, pos, x, y FROM d JOIN u USING (g, pos, i)),
+    c AS (SELECT b, g, 'x' AS c, x AS v, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM w GROUP BY ALL UNION ALL SELECT b, g, 'y', y, count(*) FILTER (pos), count(*) FILTER (NOT pos) FROM w GROUP BY ALL),
+    l AS (SELECT *, sum(n) OVER (PARTITION BY b, g, c ORDER BY v) - n AS below FROM c),
+    a AS (SELECT b, g, c, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS a FROM l GROUP BY 1, 2, 3),
+    f AS (SELECT b, g, max(a) FILTER (c = 'x') - max(a) FILTER (c = 'y') AS delta FROM a GROUP BY 1, 2)
+    SELECT g AS o_orderpriority, round(max(delta) FILTER (b = 0), 6) AS delta, round(quantile_cont(delta, 0.025) FILTER (b > 0), 6) AS lo, round(quantile_cont(delta, 0.975) FILTER (b > 0), 6) AS hi FROM f GROUP BY g""")
+def metric_auroc_delta(spark, sf_dir):
+    """How much better an order's price tells its status than its customer's number, by priority, both on the same draws."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", F.floor(F.col("o_totalprice") / 1000).cast("double").alias("x"), (F.col("o_custkey") % 100).cast("double").alias("y"), (F.col("o_orderstatus") == "F").alias("pos"))
+    return m.auroc_delta(rows, ["o_orderpriority"], "o_orderkey", "x", "y", "pos", 40).select("o_orderpriority", *[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi")])

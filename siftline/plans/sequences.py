@@ -325,3 +325,12 @@ def sample_windows(spark, sf_dir):
     """25 windows without N of each group of sequences, those with more G and C more likely."""
     weight = 1 + F.length(F.regexp_replace("word", "[^GC]", ""))
     return topk.sample_windows(pairs(spark, sf_dir).withColumn("g", F.col("k") % 20), ["g"], ["k"], "a", 12, 25, 3, weight=weight)
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT k, reverse(translate(a, 'ACGT', 'TGCA')) AS t FROM s)
+    SELECT k, CAST(j AS INTEGER) AS j, CAST(55 - j AS INTEGER) AS f, substr(t, CAST(j + 1 AS BIGINT), 9) AS word FROM r, unnest(range(0, 56)) AS u(j) WHERE NOT contains(substr(t, CAST(j + 1 AS BIGINT), 9), 'N')""")
+def seq_reverse_windows(spark, sf_dir):
+    """Windows of the other strand that meet no spacer, with where they begin on the forward strand."""
+    t = pairs(spark, sf_dir).select("k", seq.revcomp("a").alias("t"))
+    w = t.select("k", "t", F.explode(seq.starts("t", 9)).alias("j")).withColumn("word", seq.slice_at("t", F.col("j"), 9))
+    return w.where(~seq.straddles_spacer("word")).select("k", "j", seq.rc_position(F.col("j"), 9, F.length("t")).alias("f"), "word")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from siftline.functions import seq
+
 LABELS = "is_positive boolean, is_planted boolean, active_noncoding_index int, match_orientation string, guide_length int, n_mismatches int, planted_start int, guide_dna string, target_dna string, violation_profile string, site_class string, negative_mode string"
 SITE = f"site_id string, transposase_id string, ncrna_id string, inputs struct<flank:string,noncoding_regions:array<string>>, labels struct<{', '.join(x.replace(' ', ':', 1) for x in LABELS.split(', '))}>, generator_metadata map<string,string>"
 
@@ -122,3 +124,19 @@ def bucketed(spark: SparkSession, name: str, facts: dict[str, str]) -> DataFrame
     if off:
         raise ValueError(f"{name} was made from another {', '.join(off)}; write it again")
     return spark.table(name)
+
+
+def site_records(flat: DataFrame, bag: str, site: str, flank: str, regions: str, orient: str | None = None, most: int = 250, n_regions: int = 2, least: int = 20, filler: int = 120) -> DataFrame:
+    """Flat rows as the nested records of :func:`sites`, for data that comes without labels: letters upper case
+    and folded to ACGT, the first ``n_regions`` regions cut to ``most`` letters (only the first where all are
+    shorter than ``least``; ``filler`` A's where there is none), how many sites the bag has, and labels that
+    say that nothing is known. Null regions are left out, a null flank stays null; repeated rows stay."""
+    clean = F.transform(F.filter(F.coalesce(F.col(regions), F.array().cast("array<string>")), lambda r: r.isNotNull()), lambda r: F.substring(seq.fold_iupac(r), 1, most))
+    first = F.slice(clean, 1, n_regions)
+    kept = F.when(F.size(clean) == 0, F.array(F.lit("A" * filler))).when(F.exists(first, lambda r: F.length(r) >= least), first).otherwise(F.slice(clean, 1, 1))
+    sizes = flat.groupBy(F.col(bag).alias("__bag")).agg(F.count(F.lit(1)).alias("__sites"))
+    rows = flat.join(sizes, F.col(bag).eqNullSafe(F.col("__bag"))).withColumns({"__kept": kept, "__orient": F.coalesce(F.col(orient), F.lit("fwd")) if orient else F.lit("fwd")})
+    length = F.aggregate("__kept", F.lit(0), lambda n, r: n + F.length(r))
+    arch = F.struct(F.col("__sites").alias("n_sites"), F.col("__orient").alias("orient"), (F.col("__orient") == "rc").alias("is_reversed"))
+    labels = F.struct(F.lit(0).alias("is_positive"), F.lit(False).alias("is_planted"), F.lit("discovery").alias("negative_mode"), F.size("__kept").alias("num_noncoding_regions"), length.alias("ncrna_length"), arch.alias("arch"))
+    return rows.select(F.col(site).alias("site_id"), F.col(bag).alias("transposase_id"), F.struct(seq.fold_iupac(flank).alias("flank"), F.col("__kept").alias("noncoding_regions")).alias("inputs"), labels.alias("labels"))

@@ -112,3 +112,19 @@ def test_bucketed_tables_meet_without_an_exchange(spark, tmp_path):
     spark.sql("DROP TABLE hits_b")
     spark.sql("DROP TABLE bags_b")
     spark.sql("DROP TABLE bags_b_facts")
+
+
+def test_site_records(spark):
+    from siftline.sources import readers
+
+    rows = [("b", 1, "acgn", ["a" * 30, "RYSW" * 10, "C" * 30], "rc"), ("b", 1, "acgn", ["a" * 30, "RYSW" * 10, "C" * 30], "rc"), ("b", 2, None, ["AC", "GT"], None), ("c", 3, "", [], None), (None, 4, "T", None, "fwd"), ("c", 5, "T", [None, "ac"], "fwd")]
+    flat = spark.createDataFrame(rows, "bag string, site int, flank string, regions array<string>, orient string")
+    got = readers.site_records(flat, "bag", "site", "flank", "regions", "orient", most=25, filler=7)
+    found = {r.site_id: r for r in got.collect()}
+    assert got.count() == 6 and got.limit(0).count() == 0
+    assert found[1].inputs.flank == "ACGA" and found[1].inputs.noncoding_regions == ["A" * 25, ("ACGA" * 10)[:25]]
+    assert found[1].labels.arch.is_reversed and found[1].labels.arch.n_sites == 3 and found[1].labels.ncrna_length == 50
+    assert found[2].inputs.flank is None and found[2].inputs.noncoding_regions == ["AC"] and found[2].labels.arch.orient == "fwd"
+    assert found[3].inputs.noncoding_regions == ["A" * 7] and found[3].inputs.flank == ""
+    assert found[4].transposase_id is None and found[4].labels.arch.n_sites == 1 and found[4].inputs.noncoding_regions == ["A" * 7]
+    assert found[5].inputs.noncoding_regions == ["AC"]
