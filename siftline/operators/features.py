@@ -168,7 +168,8 @@ def feature_rows(candidates: DataFrame, sites: DataFrame, keys: list[str], nc: s
     in its window.
 
     Accessibility is 1 - x / largest x of the channel ``opening``, open where it is 0.5 or more; null and
-    NaN entries are neither open nor below a mean, and means leave them out. Sites are summed up once, before candidates meet them."""
+    NaN entries are neither open nor below a mean, and means leave them out. Sites are summed up once, before candidates meet
+    them; ``candidates`` is read twice (for the pool too), so give a written table where making it is costly."""
     x = F.transform(F.col(opening), lambda v: F.nanvl(v.cast("double"), F.lit(None).cast("double")))
     top = F.greatest(F.coalesce(F.array_max(x), F.lit(0.0)), F.lit(1e-9))
     open_ = F.coalesce(F.transform(x, lambda v: 1 - v / top), F.array().cast("array<double>"))
