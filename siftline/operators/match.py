@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -91,9 +92,9 @@ def window_counts(a: np.ndarray, b: np.ndarray, length: int, least: int) -> Iter
             yield at, np.full(len(at), i), j, m
 
 
-def window_matches(sites: DataFrame, keys: list[str], nc: str, flank: str, lengths: list[int], least=retention_floor) -> DataFrame:
+def window_matches(sites: DataFrame, keys: list[str], nc: str, flank: str, lengths: list[int], least=retention_floor, orients: tuple[str, ...] = ("fwd", "rc"), with_n: bool = False) -> DataFrame:
     """keys, orient, L, i, f, m: all window pairs with at least ``least(L)`` matches; windows of nc that
-    hold N are left out. Sites are counted in batches (see window_counts), and only hits become rows."""
+    hold N are left out, unless ``with_n``. Sites are counted in batches (see window_counts), and only hits become rows."""
     ship(sites.sparkSession)
     floors = {n: least(n) for n in lengths}
     kinds = dict(sites.dtypes)
@@ -104,8 +105,9 @@ def window_matches(sites: DataFrame, keys: list[str], nc: str, flank: str, lengt
         for row, i, j, m in window_counts(codes, other, length, max(0, floors[length])):
             ok = (i + length <= size[row]) & (j + length <= other_size[row])
             row, i, j, m = row[ok], i[ok], j[ok], m[ok]
-            ok = whole[row, i + length] == whole[row, i]
-            row, i, j, m = row[ok], i[ok], j[ok], m[ok]
+            if not with_n:
+                ok = whole[row, i + length] == whole[row, i]
+                row, i, j, m = row[ok], i[ok], j[ok], m[ok]
             yield row, i, j if orient == "fwd" else other_size[row] - j - length, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,7 @@ def window_matches(sites: DataFrame, keys: list[str], nc: str, flank: str, lengt
                 turned = np.full_like(b, 4)
                 inside = np.arange(b.shape[1]) < b_size[:, None]
                 turned[inside] = np.where(b < 4, 3 - b, b)[:, ::-1][inside[:, ::-1]]
-                for orient, side in (("fwd", b), ("rc", turned)):
+                for orient, side in ((o, {"fwd": b, "rc": turned}[o]) for o in orients):
                     for length in floors:
                         for row, i, f, m in found(a, a_size, side, b_size, orient, length):
                             if len(row):
@@ -172,12 +174,57 @@ def motif_reasons(s: Column | str, run: int = 6, period: float = 0.8, at: float
     )
 
 
+TESTS = ["homopolymer", "period1", "period2", "period3", "period4", "at_frac", "entropy"]
+LETTERS = 1 << 22  # of motifs that are tested at once
+
+
+def motif_flags(words: list[str | None], run: int = 6, period: float = 0.8, at: float = 0.85, bits: float = 1.2) -> np.ndarray:
+    """:func:`motif_reasons` of many motifs: bit k is set where TESTS[k] fails. A null one has no letters."""
+    out = np.full(len(words), (0 < bits) << TESTS.index("entropy"), np.int32)
+    order = sorted((k for k in range(len(words)) if words[k] is not None), key=lambda k: len(words[k]))
+    while order:
+        take = max(1, LETTERS // (len(words[order[-1]]) + 1))
+        chunk, order = order[-take:], order[:-take]
+        n = np.array([len(words[k]) for k in chunk])
+        inside = np.arange(n.max()) < n[:, None]
+        x = np.zeros(inside.shape, np.int32)
+        x[inside] = np.frombuffer("".join(words[k] for k in chunk).encode("utf-32-le", "surrogatepass"), np.int32)
+        part = lambda a, b: np.divide(a, b, out=np.zeros(len(n)), where=b > 0)
+        longest = now = (n > 0).astype(np.int64)
+        for k in range(1, x.shape[1]):
+            now = np.where(inside[:, k] & (x[:, k] == x[:, k - 1]), now + 1, 1)
+            longest = np.maximum(longest, np.where(inside[:, k], now, 0))
+        failed = [longest >= run]
+        for p in (1, 2, 3, 4):
+            same = ((x[:, p:] == x[:, : max(0, x.shape[1] - p)]) & inside[:, p:]).sum(1)
+            failed.append(part(same, np.maximum(n - p, 0)) >= period)
+        counts = [(inside & (x == ord(c))).sum(1) for c in "ACGT"]
+        total = sum(counts)
+        failed.append(part(counts[0] + counts[3], total) >= at)
+        entropy = np.zeros(len(n))
+        for c in counts:
+            share = part(c, total)
+            entropy -= share * np.log(share, out=np.zeros(len(n)), where=share > 0) / np.log(2)
+        failed.append(entropy < bits)
+        out[chunk] = sum(f.astype(np.int32) << k for k, f in enumerate(failed))
+    return out
+
+
 def gate(hits: DataFrame, guide: str, target: str, **limits) -> tuple[DataFrame, DataFrame]:
-    """Hits whose guide and target both pass; and (side, reason, n) of what fails."""
-    marked = hits.withColumns({"__g": motif_reasons(guide, **limits), "__t": motif_reasons(target, **limits)})
-    passed = marked.where((F.size("__g") == 0) & (F.size("__t") == 0)).drop("__g", "__t")
-    side = lambda c, name: marked.select(F.lit(name).alias("side"), F.explode(c).alias("reason"))
-    return passed, side("__g", "guide").union(side("__t", "target")).groupBy("side", "reason").agg(F.count(F.lit(1)).alias("n"))
+    """Hits whose guide and target both pass; and (side, reason, n) of what fails. Motifs are tested many at a time."""
+    ship(hits.sparkSession)
+
+    def tested(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for words in batches:
+            yield pd.Series(motif_flags([w if isinstance(w, str) else None for w in words], **limits))
+
+    flags = F.pandas_udf(tested, "int")
+    marked = hits.withColumns({"__g": flags(guide), "__t": flags(target)})
+    passed = marked.where((F.col("__g") == 0) & (F.col("__t") == 0)).drop("__g", "__t")
+    counts = [F.count_if(F.col(c).bitwiseAND(1 << k) != 0) for c in ("__g", "__t") for k in range(len(TESTS))]
+    names = [(side, test) for side in ("guide", "target") for test in TESTS]
+    total = marked.agg(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(test).alias("reason"), c.alias("n")) for (side, test), c in zip(names, counts)]).alias("r"))
+    return passed, total.select(F.explode("r").alias("r")).select("r.*").where("n > 0")
 
 
 def orientation(x: Column | str) -> Column:

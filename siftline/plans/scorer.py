@@ -11,7 +11,7 @@ from siftline.functions import seq
 from siftline.operators import joins, linkage, match, metrics, nulls, positions, windows
 from siftline.plans.metrics import intervals_sql
 from siftline.registry import query, table
-from siftline.session import cut
+from siftline.session import cut, dealt
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,12 @@ def score_clusters(sites: DataFrame, spec: Spec = Spec()) -> DataFrame:
 def detect_peaks(sites: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """bag_id, orient, L, p, s: positions of the nc region at which windows match in at least
     s_threshold sites, local maxima only."""
-    hits = hits_of(sites, spec).withColumnRenamed("i", "p")
+    return peaks_of(hits_of(sites, spec), spec)
+
+
+def peaks_of(hits: DataFrame, spec: Spec = Spec()) -> DataFrame:
+    """:func:`detect_peaks` of hits that are there already."""
+    hits = hits.withColumnRenamed("i", "p")
     by = ["bag_id", "L", *([] if spec.pool_orients else ["orient"])]
     counts = windows.kernel_count(hits, by, "site_ord", "p", spec.tau)
     if spec.pool_orients:
@@ -138,6 +143,7 @@ def item_sites(spark, sf_dir) -> DataFrame:
 
 
 ITEM_SPEC = Spec(lengths=(9,), least=7, s_threshold=2)
+PLACES = ["bag_id", "site_ord", "orient", "L", "i"]  # what counts of hits need of them
 
 
 @query()
@@ -161,8 +167,8 @@ def detector_metrics(spark, sf_dir):
 @query()
 def detector_survival(spark, sf_dir):
     sites = item_sites(spark, sf_dir)
-    hits = hits_of(sites, ITEM_SPEC)
-    return survival(detect_peaks(sites, ITEM_SPEC), hits, sites)
+    hits = cut(hits_of(sites, ITEM_SPEC).select(*PLACES), "hits")
+    return survival(peaks_of(hits, ITEM_SPEC), hits, sites)
 
 
 @query()
@@ -195,7 +201,7 @@ def digest_bags(spark, sf_dir) -> DataFrame:
     k = F.col("p_partkey")
     bag, at = F.floor(k / 4), (k * 7 % 30).cast("int")
     letters = lambda a, b, c: F.translate(F.concat(F.md5(F.concat(F.lit(a), c.cast("string"))), F.md5(F.concat(F.lit(b), c.cast("string")))), "0123456789abcdef", "ACGTACGTACGTACGT")
-    b = table(spark, sf_dir, "part").select(bag.cast("string").alias("bag_id"), (k % 4).cast("int").alias("site_ord"), at.alias("at"), F.substring(letters("n", "m", bag), 1, 48).alias("nc"), letters("f", "g", k).alias("f0"))
+    b = dealt(table(spark, sf_dir, "part").select(k, bag.cast("string").alias("bag_id")), "bag_id").select("bag_id", (k % 4).cast("int").alias("site_ord"), at.alias("at"), F.substring(letters("n", "m", bag), 1, 48).alias("nc"), letters("f", "g", k).alias("f0"))
     return b.select("bag_id", "site_ord", "nc", F.concat(F.substring(F.col("f0"), F.lit(1), F.col("at")), F.substring("nc", 11, 14), F.substring(F.col("f0"), F.col("at") + 15, F.lit(64))).alias("flank"))
 
 
@@ -222,7 +228,8 @@ def detector_bag_metrics(spark, sf_dir):
     SELECT layer, c AS n_bags, round(c / n, 9) AS rate FROM (SELECT 'L1' AS layer, c FROM l1 UNION ALL SELECT 'L2', c FROM l2 UNION ALL SELECT 'L4', c FROM l4 UNION ALL SELECT 'L5', c FROM l5), n""")
 def detector_bag_survival(spark, sf_dir):
     sites = digest_bags(spark, sf_dir)
-    return survival(detect_peaks(sites, BAG_SPEC), hits_of(sites, BAG_SPEC), sites).withColumn("rate", F.round("rate", 9))
+    hits = cut(hits_of(sites, BAG_SPEC).select(*PLACES), "hits")
+    return survival(peaks_of(hits, BAG_SPEC), hits, sites).withColumn("rate", F.round("rate", 9))
 
 
 _UNITS = """
@@ -234,9 +241,9 @@ _UNITS = """
 def metric_fp_profile(spark, sf_dir):
     """How many bags of each of three families get through admission, aggregation and peak detection."""
     sites = digest_bags(spark, sf_dir)
-    hits = cut(hits_of(sites, BAG_SPEC), "hits")
+    hits = cut(hits_of(sites, BAG_SPEC).select(*PLACES), "hits")
     counts = hits.groupBy("bag_id", "orient", "i").agg(F.countDistinct("site_ord").alias("s")).groupBy("bag_id").agg(F.max("s").alias("s"))
-    peaks = detect_peaks(sites, BAG_SPEC).select("bag_id").distinct().withColumn("peaks", F.lit(True))
+    peaks = peaks_of(hits, BAG_SPEC).select("bag_id").distinct().withColumn("peaks", F.lit(True))
     units = sites.select("bag_id").distinct().join(counts, "bag_id", "left").join(peaks, "bag_id", "left")
     units = units.select((F.col("bag_id").cast("long") % 3).alias("family"), F.col("s").isNotNull().alias("admission"), (F.col("s") >= 3).alias("aggregate"), "peaks")
     found = metrics.fp_profile(units, "family", ["admission", "aggregate", "peaks"])

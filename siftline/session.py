@@ -87,3 +87,9 @@ def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has: a small file is one task's, however much is made of its rows.
+    By ``keys``, if any. Deal the columns that the rest is made of, so that little moves."""
+    return df.repartition(partitions(df.sparkSession), *keys)
