@@ -84,9 +84,9 @@ def gc_percent(s: Column | str) -> Column:
 
 
 def entropy_of(counts: Column) -> Column:
-    """Bits, of an array of counts."""
-    total = F.aggregate(counts, F.lit(0.0), lambda t, x: t + x)
-    return F.aggregate(counts, F.lit(0.0), lambda t, x: t - F.when(x > 0, x / total * F.log2(x / total)).otherwise(0.0))
+    """Bits, of an array of counts; array and total are worked out once, not for every entry."""
+    bits = lambda c: let(F.aggregate(c, F.lit(0.0), lambda t, x: t + x), lambda total: F.aggregate(c, F.lit(0.0), lambda t, x: t - F.when(x > 0, x / total * F.log2(x / total)).otherwise(0.0)))
+    return let(counts, bits)
 
 
 def base_entropy(s: Column | str) -> Column:
@@ -234,11 +234,21 @@ def boundaries(occupied: Column | str, empty: Column | str) -> Column:
 
 
 def window_hits(nc: Column | str, flank: Column | str, length: int, least: int) -> Column:
-    """array<struct(i, j, m)>: pairs of windows with m >= least matches, found before anything is exploded."""
+    """array<struct(i, j, m)>: pairs of windows with m >= least matches, found before anything is exploded.
+    Along each diagonal a window's matches are the difference of two running counts."""
+
+    def diagonal(t: Column, o: Column) -> Column:
+        i, j = F.greatest(-o, F.lit(0)), F.greatest(o, F.lit(0))
+        n = F.least(F.size(t["a"]) - i, F.size(t["b"]) - j)
+        same = F.zip_with(F.slice(t["a"], i + 1, n), F.slice(t["b"], j + 1, n), lambda x, y: ((x == y) & (x < 4)).cast("int"))
+        upto = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        m = lambda u, s: F.get(u, s + length) - F.get(u, s)
+        return let(upto, lambda u: F.filter(F.transform(F.sequence(F.lit(0), n - length), lambda s: F.struct((i + s).alias("i"), (j + s).alias("j"), m(u, s).alias("m"))), lambda h: h["m"] >= least))
 
     def hits(t: Column) -> Column:
-        m = lambda i, j: F.aggregate(F.zip_with(F.slice(t["a"], i + 1, length), F.slice(t["b"], j + 1, length), lambda x, y: ((x == y) & (x < 4)).cast("int")), F.lit(0), lambda n, x: n + x)
-        return F.flatten(F.transform(starts(nc, length), lambda i: F.filter(F.transform(starts(flank, length), lambda j: F.struct(i.alias("i"), j.alias("j"), m(i, j).alias("m"))), lambda h: h["m"] >= least)))
+        every = F.transform(F.sequence(length - F.size(t["a"]), F.size(t["b"]) - length), lambda o: diagonal(t, o))
+        long_enough = (F.size(t["a"]) >= length) & (F.size(t["b"]) >= length)
+        return F.when(long_enough, F.array_sort(F.flatten(every))).otherwise(F.array().cast("array<struct<i:int,j:int,m:int>>"))
 
     return let(F.struct(encode(nc).alias("a"), encode(flank).alias("b")), hits)
 
@@ -248,8 +258,14 @@ def seed_repeat(s: Column | str, half: int, least: int, most: int) -> Column:
     first ``half`` of the second share, of equal lengths the nearest pair."""
     mid = F.floor(F.length(col(s)) / 2).cast("int")
     left, right = F.substring(col(s), F.greatest(mid - half, F.lit(0)) + 1, F.least(mid, F.lit(half))), F.substring(col(s), mid + 1, F.lit(half))
-    found = F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda k: F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.lit(half)), lambda i: i + k <= F.length(left)), lambda i: F.transform(F.slice(find_all(right, F.substring(left, i + 1, k)), 1, 1), lambda j: F.struct(k.alias("k"), (i - j).alias("near"), (F.length(left) - i - k + j).alias("gap"), F.substring(left, i + 1, k).alias("word")))))))
-    return F.array_max(found)
+
+    def longest(h: Column) -> Column:
+        word = lambda i, k: F.substring(h["left"], i + 1, k)
+        hit = lambda i, j, k: F.struct(k.alias("k"), (i - j).alias("near"), (F.length(h["left"]) - i - k + j).alias("gap"), word(i, k).alias("word"))
+        at = lambda i, k: let(F.position(word(i, k), h["right"]) - 1, lambda j: F.when((j >= 0) & (k > 0), hit(i, j, k)))
+        return F.array_max(F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.lit(half)), lambda i: i + k <= F.length(h["left"])), lambda i: at(i, k)))))
+
+    return let(F.struct(left.alias("left"), right.alias("right")), longest)
 
 
 def hash_uniform(*parts: Column | str, salt: str = "") -> Column:
