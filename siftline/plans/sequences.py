@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import arrays, seq
 from siftline.operators import align, match, nulls, topk
 from siftline.registry import query, table
+from siftline.session import cut, dealt
 
 HEX = ("0123456789abcdef", "ACGTACGTACGTACGT")
 _MD = "translate(md5('{0}' || p_partkey), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -18,12 +19,14 @@ PAIRS = f"""
 
 
 def pairs(spark, sf_dir):
+    """Written once: rows are dealt to tasks before anything is made of them, and no filter further on is
+    worked out in the scan's one task."""
     k = F.col("p_partkey")
     md = lambda c: F.translate(F.md5(F.concat(F.lit(c), k.cast("string"))), *HEX)
-    x = table(spark, sf_dir, "part").select(k.alias("k"), F.concat(md("a"), md("b")).alias("a0"), F.concat(md("c"), md("d")).alias("b0"))
+    x = dealt(table(spark, sf_dir, "part").select(k)).select(k.alias("k"), F.concat(md("a"), md("b")).alias("a0"), F.concat(md("c"), md("d")).alias("b0"))
     at = (F.col("k") % 40).cast("int")
     planted = F.concat(F.substring(F.col("b0"), F.lit(1), at), F.substring("a0", 11, 20), F.substring(F.col("b0"), at + 21, F.lit(64)))
-    return x.select("k", F.replace("a0", F.lit("AAA"), F.lit("ANA")).alias("a"), F.when(F.col("k") % 3 == 0, planted).otherwise(F.col("b0")).alias("b"))
+    return cut(x.select("k", F.replace("a0", F.lit("AAA"), F.lit("ANA")).alias("a"), F.when(F.col("k") % 3 == 0, planted).otherwise(F.col("b0")).alias("b")), "pairs")
 
 
 def joined(a) -> F.Column:
@@ -99,8 +102,8 @@ def seq_boundaries(spark, sf_dir):
 @query(f"""WITH {PAIRS}, w AS (SELECT k, i, j, list_sum(list_transform(range(1, 9), lambda o: CASE WHEN substr(a, i + o, 1) = substr(b, j + o, 1) AND substr(a, i + o, 1) <> 'N' THEN 1 ELSE 0 END)) AS m FROM s, unnest(range(0, 25)) AS t(i), unnest(range(0, 25)) AS u(j))
     SELECT k, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(m AS INTEGER) AS m FROM w WHERE m >= 7""")
 def seq_window_hits(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    return p.select("k", F.explode(seq.window_hits(F.substring("a", 1, 32), F.substring("b", 1, 32), 8, 7)).alias("h")).select("k", "h.i", "h.j", "h.m")
+    p = pairs(spark, sf_dir).select("k", F.substring("a", 1, 32).alias("a"), F.substring("b", 1, 32).alias("b"))
+    return match.window_matches(p, ["k"], "a", "b", [8], lambda n: n - 1, ("fwd",), with_n=True).select("k", "i", F.col("f").alias("j"), "m")
 
 
 @query(f"""WITH {PAIRS}, h AS (SELECT k, substr(b, 17, 16) AS l, substr(b, 33, 16) AS r FROM s),
