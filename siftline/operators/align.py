@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.functions.seq import col, ratio, revcomp, slice_at
-from siftline.session import ship
+from siftline.session import large, ship
 
 #: The standard genetic code, bases in the order TCAG.
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -186,7 +186,7 @@ def end_repeat(df: DataFrame, keys: list[str], s: str, window: int, seed: int, i
     tail = F.substring(F.col(s), -window, window)
     tail = revcomp(tail) if inverted else tail
     words = lambda x, name: df.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.length(x) - seed, F.lit(0))), lambda i: slice_at(x, i, seed))).alias(name, "w")).where(F.length("w") == seed)
-    both = words(head, "i").join(words(tail, "j"), [*keys, "w"]).withColumn("d", F.col("i") - F.col("j"))
+    both = words(head, "i").join(large(words(tail, "j")), [*keys, "w"]).withColumn("d", F.col("i") - F.col("j"))
     from pyspark.sql import Window
 
     run = F.col("i") - F.row_number().over(Window.partitionBy(*keys, "d").orderBy("i"))

@@ -51,6 +51,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as a side that joins never broadcast: for tables that grow with the input, whose size as Spark
+    guesses it (of files, or of the scan that arrays and structs were made from) says little of their rows in memory."""
+    return df.hint("merge")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared file system, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -78,3 +78,13 @@ def test_sums_of_cells_without_their_rows(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ValueError):
         features.cell_sums(sites, ["k"], "a", "b", {"nothing": 1}, lambda i, j: i * 0 + j * 0)
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    from siftline.operators import align
+    from siftline.plans import features as plans
+
+    rows = spark.createDataFrame([(1, "ACGTACGTTT", "ACGTA")], "k int, s string, t string")
+    assert "BroadcastHashJoin" not in plan(align.end_repeat(rows, ["k"], "s", 5, 3, True))
+    assert "BroadcastHashJoin" not in plan(plans.features_candidates(spark, DIR))
+    assert "BroadcastHashJoin" not in plan(plans.features_patches(spark, DIR))
