@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.operators.windows import running
-from siftline.session import cut, ship
+from siftline.session import cut, large, ship
 
 
 FEW = 1_000_000  # conflicts that one task walks through
@@ -26,11 +26,11 @@ def outranked(conflicts: DataFrame, few: int = FEW) -> DataFrame:
     ship(conflicts.sparkSession)
     edges = cut(conflicts.select("better", "worse").distinct(), "conflicts")
     nodes = edges.select(F.col("better").alias("node")).union(edges.select("worse")).distinct()
-    ids = cut(running(nodes, [], ["node"]).select("node", F.col("__place").alias("id")), "nodes")
+    ids = large(cut(running(nodes, [], ["node"]).select("node", F.col("__place").alias("id")), "nodes"))
     left = edges.join(ids.toDF("better", "b"), "better").join(ids.toDF("worse", "w"), "worse").select("b", "w")
     gone = []
     while True:
-        left = cut(left.select("b", "w"), "conflicts")
+        left = large(cut(left.select("b", "w"), "conflicts"))
         if left.count() <= few:
             break
         stay = left.select("b").distinct().join(left.select(F.col("w").alias("b")).distinct(), "b", "left_anti")
@@ -92,9 +92,9 @@ def dedup_intervals(df: DataFrame, by: list[str], key: str, score: str, spans: l
         union = F.col(f"a_{hi}") - F.col(f"a_{lo}") + F.col(f"b_{hi}") - F.col(f"b_{lo}") - both
         return (both > 0) & (both >= least * union)
 
-    met = a.join(b, [*by, *cells]).where((F.col("a") != F.col("b")) & _all([alike(*s) for s in spans]))
+    met = a.join(large(b), [*by, *cells]).where((F.col("a") != F.col("b")) & _all([alike(*s) for s in spans]))
     gone = outranked(met.select(F.least("a", "b").alias("better"), F.greatest("a", "b").alias("worse")))
-    return rows.join(gone, F.col("__node") == F.col("node"), "left_anti").select(columns)
+    return rows.join(large(gone), F.col("__node") == F.col("node"), "left_anti").select(columns)
 
 
 def _near(rows: DataFrame, by: list[str], near: dict[str, float], take: list[str]) -> DataFrame:
@@ -106,7 +106,7 @@ def _near(rows: DataFrame, by: list[str], near: dict[str, float], take: list[str
         a, b = a.withColumn(f"__c{k}", F.explode(F.array(cell - 1, cell, cell + 1))), b.withColumn(f"__c{k}", cell)
         cells.append(f"__c{k}")
     side = lambda df, s: df.select(*by, *cells, *[F.col(c).alias(f"{s}_{c}") for c in dict.fromkeys([*take, *near])])
-    return side(a, "a").join(side(b, "b"), [*by, *cells]).where(_all([F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= d for c, d in near.items()]))
+    return side(a, "a").join(large(side(b, "b")), [*by, *cells]).where(_all([F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= d for c, d in near.items()]))
 
 
 def _alike(jaccard: float, members: str) -> Column:
@@ -121,11 +121,11 @@ def greedy_merge(df: DataFrame, by: list[str], key: str, order: list[tuple[str,
     rank = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(_ordered(order))], F.col(key).alias("key"))
     rows = cut(df.select(*by, F.struct(*[F.col(c) for c in by], rank.alias("rank")).alias("__node"), *near, members), "rows")
     met = _near(rows, by, near, ["__node", members]).where((F.col("a___node") < F.col("b___node")) & _alike(jaccard, members))
-    conflicts = cut(met.select(F.col("a___node").alias("better"), F.col("b___node").alias("worse")), "near")
-    gone = outranked(conflicts)
+    conflicts = large(cut(met.select(F.col("a___node").alias("better"), F.col("b___node").alias("worse")), "near"))
+    gone = large(outranked(conflicts))
     stays = conflicts.join(gone.withColumnRenamed("node", "better"), "better", "left_anti")
     anchors = stays.join(gone.withColumnRenamed("node", "worse"), "worse", "left_semi").groupBy(F.col("worse").alias("__node")).agg(F.min("better").alias("anchor"))
-    return rows.join(anchors, "__node", "left").select(*by, F.col("__node.rank.key").alias(key), F.coalesce("anchor.rank.key", "__node.rank.key").alias("anchor"))
+    return rows.join(large(anchors), "__node", "left").select(*by, F.col("__node.rank.key").alias(key), F.coalesce("anchor.rank.key", "__node.rank.key").alias("anchor"))
 
 
 def merged(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, spread: list[str], members: str) -> DataFrame:
@@ -179,7 +179,7 @@ def position_clusters(hits: DataFrame, by: list[str], site: str, pos: str, m: st
     own = own.groupBy(*by, "site", "pos").agg(F.max("valid").alias("valid"), F.max("ties").alias("ties"), F.min_by(F.struct("m", "rank", "orient"), "rank").alias("h"))
     own = own.select(*by, "site", "pos", "valid", "ties", "h.*")
     need = F.greatest(F.lit(1), F.ceil(F.round(F.col("valid") * F.lit(min_frac), 9)))
-    ranges = cut(_ranges(own.withColumn("need", need), by, offset), "ranges")
+    ranges = large(cut(_ranges(own.withColumn("need", need), by, offset), "ranges"))
 
     ends = ranges.select(*by, F.explode(F.array(F.ceil("lo"), F.floor("hi") + 1)).alias("at")).distinct()
     bounds = ranges.groupBy(*by).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -191,7 +191,7 @@ def position_clusters(hits: DataFrame, by: list[str], site: str, pos: str, m: st
         if seen is not None:  # the first move leads from centres that are none of a cluster as yet
             moves.append(moved.where("at = to").select(*by, "at"))
         seen = centres.limit(0) if seen is None else seen.unionByName(centres)
-        centres = cut(moved.select(*by, F.col("to").alias("at")).distinct().join(seen, [*by, "at"], "left_anti"), "centres")
+        centres = cut(moved.select(*by, F.col("to").alias("at")).distinct().join(large(seen), [*by, "at"], "left_anti"), "centres")
         if centres.isEmpty():
             break
     stay = reduce(lambda a, b: a.unionByName(b), moves) if moves else centres
@@ -207,7 +207,7 @@ def position_clusters(hits: DataFrame, by: list[str], site: str, pos: str, m: st
     rows = found.withColumn("__node", node)
     met = _near(rows, by, {"median": offset}, ["__node", "sites"]).where((F.col("a___node") < F.col("b___node")) & _alike(jaccard, "sites"))
     gone = outranked(met.select(F.col("a___node").alias("better"), F.col("b___node").alias("worse")))
-    kept = rows.join(gone, F.col("__node") == F.col("node"), "left_anti").drop("__node")
+    kept = rows.join(large(gone), F.col("__node") == F.col("node"), "left_anti").drop("__node")
     number = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n_support"), "mad", "median")).cast("long") - 1
     columns = [*by, "cluster_id", "median", "mad", "n_support", "support_frac", "pos_min", "pos_max", "mean_m", "min_m", "n_best", "mean_ties", "sites"]
     return kept.withColumn("cluster_id", number).select(*columns, *(["n_rc"] if orient else []))

@@ -11,7 +11,7 @@ from siftline.functions import seq
 from siftline.operators import joins, linkage, match, metrics, nulls, positions, windows
 from siftline.plans.metrics import intervals_sql
 from siftline.registry import query, table
-from siftline.session import cut, dealt
+from siftline.session import cut, dealt, large
 
 
 @dataclass(frozen=True)
@@ -54,20 +54,22 @@ def score_clusters(sites: DataFrame, spec: Spec = Spec()) -> DataFrame:
     part = lambda k: F.element_at(F.split("key", r"\|"), k)
     clusters = positions.position_clusters(wide.select("bag_id", "key", "site_ord", "f", "m", "k_valid"), ["bag_id", "key"], "site_ord", "f", "m", "k_valid", spec.offset, spec.min_frac)
     clusters = cut(clusters.withColumns({"orient": part(1), "L": part(2).cast("int"), "i": part(3).cast("int")}).withColumn("mean_frac", F.col("mean_m") / F.col("L")), "clusters")
-    members = clusters.select("bag_id", "key", "cluster_id", "median", F.explode("sites").alias("site_ord")).join(sites.select("bag_id", F.col("site_ord").cast("long").alias("site_ord"), "flank"), ["bag_id", "site_ord"])
+    members = clusters.select("bag_id", "key", "cluster_id", "median", F.explode("sites").alias("site_ord")).join(large(sites.select("bag_id", F.col("site_ord").cast("long").alias("site_ord"), "flank")), ["bag_id", "site_ord"])
+    members = large(cut(members, "members"))
     pairs = joins.pairs_within(members, ["bag_id", "key", "cluster_id"], "site_ord", ["flank", "median"])
     length = part(2).cast("int")
     bounds = lambda side: seq.masked_bounds(F.length(f"flank_{side}"), F.floor("median_a").cast("int"), length, spec.margin)
     same = F.greatest(*[seq.trimmed_identity(c["a"], c["b"]) for c in (seq.side_chunks("flank_a", bounds("a"), "flank_b", bounds("b"), s) for s in ("left", "right"))]) > spec.identity
     cluster = ["bag_id", "key", "cluster_id"]
-    groups = linkage.threshold_groups(members, pairs.where(same), cluster, "site_ord", "site_ord_a", "site_ord_b")
+    linked = cut(pairs.where(same).select(*cluster, "site_ord_a", "site_ord_b"), "linked")  # compared once, not in every round
+    groups = large(linkage.threshold_groups(members, linked, cluster, "site_ord", "site_ord_a", "site_ord_b"))
     gated = linkage.group_gate(groups, ["bag_id", "key", "cluster_id"], spec.least_groups)
-    rows = clusters.join(gated, ["bag_id", "key", "cluster_id"], "left").withColumn("passes", F.coalesce("passes", F.lit(False))).withColumn("id", F.concat_ws("#", "key", "cluster_id"))
+    rows = clusters.join(large(gated), ["bag_id", "key", "cluster_id"], "left").withColumn("passes", F.coalesce("passes", F.lit(False))).withColumn("id", F.concat_ws("#", "key", "cluster_id"))
     # one motif seen at other lengths or a few letters on: the same strand, near places on both sides, nearly the same sites
     near = {"i": spec.nc_offset, "median": spec.offset}
     merged = positions.greedy_merge(rows, ["bag_id", "orient"], "id", [("mean_frac", False), ("L", False), ("mad", True)], near, "sites", spec.jaccard).drop("orient")
     orders = {"rank_support": [F.desc("n_support"), F.asc("mad")], "rank_groups": [F.desc("n_groups"), F.desc("n_support")], "rank_spread": [F.asc("mad"), F.desc("n_support")]}
-    return windows.three_ranks(rows.join(merged, ["bag_id", "id"]), ["bag_id"], orders, "id", F.col("passes"))
+    return windows.three_ranks(rows.join(large(merged), ["bag_id", "id"]), ["bag_id"], orders, "id", F.col("passes"))
 
 
 def detect_peaks(sites: DataFrame, spec: Spec = Spec()) -> DataFrame:
