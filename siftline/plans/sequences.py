@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import arrays, seq
 from siftline.operators import align, match, nulls, topk
 from siftline.registry import query, table
-from siftline.session import cut, dealt
+from siftline.session import cut, tasks_for
 
 HEX = ("0123456789abcdef", "ACGTACGTACGTACGT")
 _MD = "translate(md5('{0}' || p_partkey), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -20,13 +20,16 @@ PAIRS = f"""
 
 def pairs(spark, sf_dir):
     """Written once: rows are dealt to tasks before anything is made of them, and no filter further on is
-    worked out in the scan's one task."""
+    worked out in the scan's one task. A scan packs what is written by bytes, so rows are dealt again, so
+    many to a task: what is made of a row is a hundred times as large, and a task's share must not grow."""
     k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(k)
+    n = tasks_for(part)
     md = lambda c: F.translate(F.md5(F.concat(F.lit(c), k.cast("string"))), *HEX)
-    x = dealt(table(spark, sf_dir, "part").select(k)).select(k.alias("k"), F.concat(md("a"), md("b")).alias("a0"), F.concat(md("c"), md("d")).alias("b0"))
+    x = part.repartition(n, k).select(k.alias("k"), F.concat(md("a"), md("b")).alias("a0"), F.concat(md("c"), md("d")).alias("b0"))
     at = (F.col("k") % 40).cast("int")
     planted = F.concat(F.substring(F.col("b0"), F.lit(1), at), F.substring("a0", 11, 20), F.substring(F.col("b0"), at + 21, F.lit(64)))
-    return cut(x.select("k", F.replace("a0", F.lit("AAA"), F.lit("ANA")).alias("a"), F.when(F.col("k") % 3 == 0, planted).otherwise(F.col("b0")).alias("b")), "pairs")
+    return cut(x.select("k", F.replace("a0", F.lit("AAA"), F.lit("ANA")).alias("a"), F.when(F.col("k") % 3 == 0, planted).otherwise(F.col("b0")).alias("b")), "pairs").repartition(n, "k")
 
 
 def joined(a) -> F.Column:

@@ -99,3 +99,11 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over as many tasks as a shuffle has: a small file is one task's, however much is made of its rows.
     By ``keys``, if any. Deal the columns that the rest is made of, so that little moves."""
     return df.repartition(partitions(df.sparkSession), *keys)
+
+
+ROWS = 8192  # of a table that one task makes many rows of each
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks have ROWS rows of ``df`` each, at least one for each core. Counts them, so ``df`` should be a table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))

@@ -27,6 +27,14 @@ def test_rows_are_dealt_before_anything_is_made_of_them(spark):
     assert parts.count() == parts.select("bag_id").distinct().count()
 
 
+def test_a_task_has_no_more_pairs_as_the_table_grows(spark, monkeypatch):
+    from siftline import session
+
+    n = spark.read.parquet(f"{DIR}/part.parquet").count()
+    monkeypatch.setattr(session, "ROWS", 4, raising=False)
+    assert sequences.pairs(spark, DIR).rdd.getNumPartitions() == n // 4
+
+
 def test_survival_counts_hits_once(spark):
     from siftline.catalog import QUERIES
 
