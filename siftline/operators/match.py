@@ -138,10 +138,14 @@ def window_matches(sites: DataFrame, keys: list[str], nc: str, flank: str, lengt
 def match_table(hits: DataFrame, keys: list[str], exclude: list[int]) -> DataFrame:
     """Per window position the most matches, and its first flank position, for each width of flank that
     is left out next to the junction: keys, orient, L, i, excl, m, f (m 0 and f -1 where nothing is left)."""
-    wide = hits.withColumn("excl", F.explode(F.lit(exclude)))
-    ok = F.col("f") >= F.col("excl")
-    best = F.max(F.when(ok, F.struct(F.col("m"), -F.col("f")))).alias("b")
-    return wide.groupBy(*keys, "orient", "L", "i", "excl").agg(best).select(*keys, "orient", "L", "i", "excl", F.coalesce("b.m", F.lit(0)).alias("m"), F.coalesce(-F.col("b")["col2"], F.lit(-1)).alias("f"))
+    kinds = dict(hits.dtypes)
+    at = 2**32 - 1
+    packed = F.col("m").cast("long") * 2**32 + (at - F.col("f"))  # one number, so that rows are hashed, not sorted
+    best = [F.max(F.when(F.col("f") >= e, packed)) for e in dict.fromkeys(exclude)]
+    each = F.array(*[F.struct(F.lit(e).alias("excl"), b.alias("b")) for e, b in zip(dict.fromkeys(exclude), best)])
+    wide = hits.groupBy(*keys, "orient", "L", "i").agg(each.alias("e")).select(*keys, "orient", "L", "i", F.explode("e").alias("e")).select(*keys, "orient", "L", "i", "e.*")
+    m, f = F.shiftright("b", 32), at - F.col("b").bitwiseAND(F.lit(at))
+    return wide.select(*keys, "orient", "L", "i", "excl", F.coalesce(m.cast(kinds["m"]), F.lit(0)).alias("m"), F.coalesce(f.cast(kinds["f"]), F.lit(-1)).alias("f"))
 
 
 def admit(table: DataFrame, site: list[str], rule: str, threshold: float, e: Column | None = None) -> DataFrame:

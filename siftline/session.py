@@ -102,8 +102,10 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
 
 
 ROWS = 8192  # of a table that one task makes many rows of each
+GROUPED = 32  # times as many, where a row is only hashed or looked up
 
 
-def tasks_for(df: DataFrame) -> int:
-    """How many tasks have ROWS rows of ``df`` each, at least one for each core. Counts them, so ``df`` should be a table."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+def tasks_for(df: DataFrame, times: int = 1) -> int:
+    """How many tasks have ``times`` ROWS rows of ``df`` each, at least one for each core. Counts them, so ``df`` should
+    be a table. For ``repartition``: how many partitions a grouping gets is else guessed from compressed bytes."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // (times * ROWS)))

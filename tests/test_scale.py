@@ -35,6 +35,14 @@ def test_a_task_has_no_more_pairs_as_the_table_grows(spark, monkeypatch):
     assert sequences.pairs(spark, DIR).rdd.getNumPartitions() == n // 4
 
 
+def test_best_matches_are_hashed_once_for_all_widths(spark):
+    hits = spark.createDataFrame([(1, "fwd", 9, 0, 3, 7), (1, "fwd", 9, 0, 12, 8), (1, "fwd", 9, 0, 11, 8), (1, "rc", 9, 2, 0, 0)], "k int, orient string, L int, i int, f int, m int")
+    best = match.match_table(hits, ["k"], [0, 10, 12, 20])
+    assert "SortAggregate" not in plan(best)
+    want = [(1, "fwd", 9, 0, 0, 8, 11), (1, "fwd", 9, 0, 10, 8, 11), (1, "fwd", 9, 0, 12, 8, 12), (1, "fwd", 9, 0, 20, 0, -1), (1, "rc", 9, 2, 0, 0, 0), *((1, "rc", 9, 2, e, 0, -1) for e in (10, 12, 20))]
+    assert sorted(tuple(r) for r in best.collect()) == want
+
+
 def test_survival_counts_hits_once(spark):
     from siftline.catalog import QUERIES
 
@@ -96,3 +104,75 @@ def test_growing_sides_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(align.end_repeat(rows, ["k"], "s", 5, 3, True))
     assert "BroadcastHashJoin" not in plan(plans.features_candidates(spark, DIR))
     assert "BroadcastHashJoin" not in plan(plans.features_patches(spark, DIR))
+
+
+def test_division_deals_parents_by_rows(spark, monkeypatch):
+    from siftline import session
+    from siftline.operators import joins
+
+    monkeypatch.setattr(session, "ROWS", 1, raising=False)
+    monkeypatch.setattr(session, "GROUPED", 1, raising=False)
+    facts = spark.createDataFrame([(k % 50, c) for k in range(90) for c in "ab"[: 1 + k % 2]] + [(None, "a"), (None, "b"), (7, None)], "k int, c string")
+    held = joins.having_all(facts, "k", "c", facts.where("c is not null"))
+    assert "REPARTITION_BY_NUM" in plan(held)
+    assert {(r.k, r.n_held) for r in held.collect()} == {(None, 2), *((k, 2) for k in range(50) if k % 2)}
+
+
+def test_sweep_reads_a_row_once_for_all_settings(spark):
+    from siftline.operators import reports
+
+    grid = spark.createDataFrame([(t, s) for t in range(10) for s in range(9)] + [(3, 3)], "t int, s int")
+    rng = random.Random(2)
+    data = [(rng.choice(["x", "y", None]), rng.randrange(12), rng.randrange(10), rng.choice([*range(9), None])) for _ in range(200)]
+    df = spark.createDataFrame(data, "family string, unit int, a int, b int")
+    found = reports.sweep(df, grid, "family", "unit", (F.col("a") >= F.col("t")) & (F.col("b") >= F.col("s")))
+    assert "NestedLoop" not in plan(found)
+    units = {}
+    for f, u, a, b in data:
+        units.setdefault((f, u), []).append((a, b))
+    want = set()
+    for t in range(10):
+        for s in range(9):
+            for f in ("x", "y", None):
+                own = [v for (g, _), v in units.items() if g == f]
+                want.add((t, s, f, len(own), sum(any(b is not None and a >= t and b >= s for a, b in v) for v in own)))
+    assert found.dtypes == [("t", "int"), ("s", "int"), ("family", "string"), ("n", "bigint"), ("fired", "bigint")]
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert reports.sweep(df, grid.limit(0), "family", "unit", F.col("a") >= F.col("t")).count() == 0
+
+
+def test_draws_move_once_and_are_not_sorted(spark):
+    from siftline.operators import metrics
+
+    facts = spark.createDataFrame([(k, float(k % 3), 1.0) for k in range(60)] + [(None, 5.0, 1.0)], "u int, x double, w double")
+    out = metrics.bootstrap_ratio(facts, "u", F.col("x"), F.col("w"), 30)
+    assert "ShuffledHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
+    r = out.first()
+    sums = {u: x for u, x, _ in facts.collect()}
+    order = sorted(sums, key=lambda u: (u is not None, u or 0))
+    per = metrics.draws(30, facts, "u", 0).where("u is not null").collect()
+    ratios = {}
+    for d in per:
+        a, b = ratios.get(d["__b"], (0, 0))
+        ratios[d["__b"]] = a + sums[d.u] * d.times, b + d.times
+    lo, hi = np.quantile([a / b for a, b in ratios.values()], [0.025, 0.975])
+    assert r.n_units == len(order) and abs(r.lo - lo) < 1e-12 and abs(r.hi - hi) < 1e-12
+
+
+def test_auroc_differences_draw_once_for_both_scores(spark):
+    from siftline.operators import metrics
+
+    df = spark.createDataFrame([(g, k, float(k * 7 % 11), float(k * 5 % 13), k % 3 == 0) for g in "xy" for k in range(40)], "g string, u int, a double, b double, y boolean")
+    out = metrics.auroc_delta(df, ["g"], "u", "a", "b", "y", 20)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("md5") == 1
+    weights = metrics.draws(20, df.select("g", "y", "u"), "u", 0, ["g", "y"]).collect()
+    at = {(r.g, r.u): (r.a, r.b, r.y) for r in df.collect()}
+    for r in out.collect():
+        deltas = []
+        for b in range(1, 21):
+            own = [(*at[r.g, w.u], w.times) for w in weights if w.g == r.g and w["__b"] == b]
+            auc = [sum(p[3] * q[3] * ((p[c] > q[c]) + 0.5 * (p[c] == q[c])) for p in own if p[2] for q in own if not q[2]) for c in (0, 1)]
+            pairs = sum(p[3] for p in own if p[2]) * sum(q[3] for q in own if not q[2])
+            deltas.append((auc[0] - auc[1]) / pairs)
+        assert np.allclose([r.lo, r.hi], np.quantile(deltas, [0.025, 0.975]))
