@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from siftline.session import GROUPED, tasks_for
+
 
 def resolve_unique(requests: DataFrame, candidates: DataFrame, on: list[str], identity: list[str]) -> DataFrame:
     """Each request with the one candidate of its key: status matched, missing or ambiguous, and the
@@ -28,8 +30,9 @@ def audit_chain(start: DataFrame, hops: list[tuple[str, DataFrame, list[str]]])
 
 
 def having_all(facts: DataFrame, parent: str, child: str, required: DataFrame) -> DataFrame:
-    """Relational division: parents that have every required child."""
+    """Relational division: parents that have every required child. Facts are dealt by parent, so many to a task."""
     need = required.select(child).distinct()
+    facts = facts.select(parent, child).repartition(tasks_for(facts, GROUPED), parent)
     n = need.agg(F.count(F.lit(1)).alias("__need"))
     held = facts.join(need, child, "left_semi").groupBy(parent).agg(F.countDistinct(child).alias("n_held"))
     return held.join(F.broadcast(n), F.col("n_held") == F.col("__need")).drop("__need")
