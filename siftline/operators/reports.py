@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from siftline.functions import seq
 from siftline.operators import linkage
 from siftline.operators.aggregates import median
+from siftline.session import GROUPED, free_name, tasks_for
 
 
 def guarded_best(df: DataFrame, by: list[str], step: str, score: str, guards: dict[str, float], tolerance: float) -> DataFrame:
@@ -134,10 +135,26 @@ def top_one(df: DataFrame, by: list[str], slot: str, score: str, truth: str) ->
 
 def sweep(df: DataFrame, grid: DataFrame, family: str, unit: str, test: Column) -> DataFrame:
     """The grid's columns, family, n, fired: for every row of a (small) parameter table how many units of a
-    family fire. One pass over the data, which a row of it joins with each setting."""
+    family fire. One pass over the data: a row's tests are bits of a number, a bit for each setting, and rows are
+    dealt by unit, so many to a task."""
     keys = grid.columns
-    wide = df.crossJoin(F.broadcast(grid)).groupBy(*keys, family, unit).agg(F.max(test).alias("__f"))
-    return wide.groupBy(*keys, family).agg(F.count(F.lit(1)).alias("n"), F.count_if("__f").alias("fired"))
+    settings = grid.distinct().collect()
+    kinds = dict(grid.dtypes)
+    value = lambda row, c: F.lit(row[c]).cast(kinds[c])
+    if not settings:
+        return grid.crossJoin(df.select(family).limit(0)).withColumns({c: F.lit(0).cast("long") for c in ("n", "fired")})
+    masks, tests = [], df
+    for at, row in enumerate(settings):
+        if at % 63 == 0:
+            masks.append(free_name(tests.columns, f"fired{len(masks)}"))
+            tests = tests.withColumn(masks[-1], F.lit(0).cast("long"))
+        bit = F.when(test, F.lit(1 << at % 63).cast("long")).otherwise(F.lit(0).cast("long"))
+        tests = tests.withColumns({c: value(row, c) for c in keys}).withColumn(masks[-1], F.col(masks[-1]).bitwiseOR(bit)).drop(*keys)
+    rows = tests.select(family, unit, *masks).repartition(tasks_for(df, GROUPED), family, unit)
+    units = rows.groupBy(family, unit).agg(*[F.bit_or(c).alias(c) for c in masks])
+    fired = [F.struct(*[value(row, c).alias(c) for c in keys], F.count_if(F.getbit(masks[at // 63], F.lit(at % 63)) == 1).alias("fired")) for at, row in enumerate(settings)]
+    wide = units.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.array(*fired).alias("f"))
+    return wide.select(family, "n", F.explode("f").alias("f")).select(*[f"f.{c}" for c in keys], family, "n", "f.fired")
 
 
 def resolution(swept: DataFrame, keys: list[str]) -> DataFrame:
