@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from siftline.functions.seq import hash_uniform
 from siftline.operators.exact import binomial_tail, clopper_pearson
 from siftline.operators.windows import running
-from siftline.session import cut, ship
+from siftline.session import GROUPED, cut, large, ship, tasks_for
 
 
 def auroc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
@@ -54,22 +54,43 @@ def expected_ranks(df: DataFrame, by: str, score: str, gold: Column, ks: list[in
     return n.select(by, (F.col("above") + 1 + F.col("tied") / 2).alias("rank"), mrr.alias("mrr"), *[recall(k).alias(f"recall_{k}") for k in ks])
 
 
+def _numbered(units: DataFrame, by: list[str], key: str) -> DataFrame:
+    """``units`` (distinct in by and key) with __i, a number from 0 in the order of ``key``, and __n, how many there are; written."""
+    return cut(running(units, by, [key]).withColumn("__i", F.col("__place") - 1).drop("__place", "__sum"), "units")
+
+
+def _picked(n_boot: int, numbered: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """by, __b, __i: a row for each draw. A draw is md5 of (b, place) scaled to the unit's number, so any engine repeats it."""
+    slots = numbered.select(*by, "__i", "__n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("__b"))
+    pick = F.floor(hash_uniform("__b", "__i", *by, salt=str(seed)) * F.col("__n"))
+    return slots.select(*by, "__b", pick.cast("long").alias("__i"))
+
+
 def draws(n_boot: int, units: DataFrame, key: str, seed: int, by: list[str] | None = None) -> DataFrame:
     """by, __b, key, times: how often each unit is drawn in each of n_boot resamples of as many units
-    with replacement. A draw is md5 of (b, place) scaled to the unit's number, so any engine repeats it."""
+    with replacement."""
     by = by or []
-    numbered = cut(running(units.select(*by, key).distinct(), by, [key]).select(*by, key, (F.col("__place") - 1).alias("__i"), "__n"), "units")
-    slots = numbered.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    pick = F.floor(hash_uniform("__b", "__i", *by, salt=str(seed)) * F.col("__n"))
-    drawn = slots.select(*by, "__b", pick.cast("long").alias("__i")).groupBy(*by, "__b", "__i").agg(F.count(F.lit(1)).alias("times"))
+    numbered = _numbered(units.select(*by, key).distinct(), by, key)
+    drawn = _picked(n_boot, numbered, by, seed).groupBy(*by, "__b", "__i").agg(F.count(F.lit(1)).alias("times"))
     return drawn.join(numbered.drop("__n"), [*by, "__i"]).select(*by, "__b", key, "times")
 
 
+def drawn_facts(n_boot: int, numbered: DataFrame, facts: DataFrame, seed: int, by: list[str]) -> DataFrame:
+    """__b and the columns of ``facts`` (by, __i and others) once for each draw of its unit. Draws move once, to the tasks
+    that hold so many units each; they are neither sorted nor counted first, since nearly all are distinct."""
+    n = tasks_for(numbered, GROUPED)
+    on = [*by, "__i"]
+    drawn = _picked(n_boot, numbered.repartition(n, *on), by, seed).repartition(n, *on)
+    return drawn.join(facts.repartition(n, *on).hint("shuffle_hash"), on)
+
+
 def bootstrap_ratio(facts: DataFrame, unit: str, num: Column, den: Column, n_boot: int = 200, seed: int = 0, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """sum(num) / sum(den) with a percentile interval from resampling whole units (clusters)."""
     by = by or []
     sums = facts.groupBy(*by, unit).agg(F.sum(num).cast("double").alias("num"), F.sum(den).cast("double").alias("den"))
-    per = draws(n_boot, sums, unit, seed, by).join(sums, [*by, unit]).groupBy(*by, "__b").agg((F.sum(F.col("num") * F.col("times")) / F.sum(F.col("den") * F.col("times"))).alias("ratio"))
+    sums = _numbered(sums, by, unit)
+    known = sums.where(F.col(unit).isNotNull()).select(*by, "__i", "num", "den")  # no unit is drawn by a null name
+    per = drawn_facts(n_boot, sums, known, seed, by).groupBy(*by, "__b").agg((F.sum("num") / F.sum("den")).alias("ratio"))
     ci = per.groupBy(*by).agg(F.percentile("ratio", F.lit([alpha / 2, 1 - alpha / 2])).alias("ci"))
     point = sums.groupBy(*by).agg((F.sum("num") / F.sum("den")).alias("ratio"), F.count(F.lit(1)).alias("n_units"))
     joined = point.join(ci, by) if by else point.crossJoin(ci)
@@ -251,16 +272,17 @@ def nested_bootstrap(draws_table: DataFrame, unit: str, draw: str, num: str, den
 def auroc_delta(scores: DataFrame, by: list[str], unit: str, a: str, b: str, positive: str, n_boot: int = 200, seed: int = 0) -> DataFrame:
     """by, delta (AUROC of a minus that of b on the same units), lo, hi: positives and negatives are
     resampled apart, both models on the same draw."""
-    weight = draws(n_boot, scores.select(*by, positive, unit), unit, seed, [*by, positive])
-    drawn = weight.join(scores, [*by, positive, unit])
-
-    def rate(score: str) -> DataFrame:
-        counts = drawn.groupBy(*by, "__b", score).agg(F.sum(F.when(F.col(positive), F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col("times"))).alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        won = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy(*by, "__b").agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-        return won.select(*by, "__b", F.try_divide(F.col("w"), F.col("p").cast("double") * F.col("n")).alias(f"auc_{score}"))
-
-    per = rate(a).join(rate(b), [*by, "__b"]).groupBy(*by).agg(F.percentile(F.col(f"auc_{a}") - F.col(f"auc_{b}"), F.lit([0.025, 0.975])).alias("ci"))
+    numbered = _numbered(scores.select(*by, positive, unit).distinct(), [*by, positive], unit)
+    facts = scores.join(large(numbered), [*by, positive, unit]).select(*by, positive, "__i", a, b)
+    drawn = drawn_facts(n_boot, numbered, facts, seed, [*by, positive])
+    kinds = F.array(*[F.struct(F.lit(k).alias("__k"), F.col(c).cast("double").alias("__s")) for k, c in enumerate((a, b))])
+    # both scores from one pass: draws are counted by score before they move
+    seen = drawn.select(*by, "__b", F.col(positive).alias("__pos"), F.explode(kinds).alias("s")).groupBy(*by, "__b", "s.__k", "s.__s").agg(F.count_if(F.col("__pos")).alias("p"), F.count_if(~F.col("__pos")).alias("n"))
+    own = Window.partitionBy(*by, "__b", "__k")
+    below = F.coalesce(F.sum("n").over(own.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = seen.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy(*by, "__b", "__k").agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    auc = lambda k: F.max(F.when(F.col("__k") == k, F.try_divide(F.col("w"), F.col("p").cast("double") * F.col("n"))))
+    per = won.groupBy(*by, "__b").agg((auc(0) - auc(1)).alias("d")).groupBy(*by).agg(F.percentile("d", F.lit([0.025, 0.975])).alias("ci"))
     point = auroc(scores, by, a, F.col(positive)).withColumnRenamed("auroc", "x").join(auroc(scores, by, b, F.col(positive)).select(*by, F.col("auroc").alias("y")), by)
     return point.join(per, by).select(*by, (F.col("x") - F.col("y")).alias("delta"), F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
 
