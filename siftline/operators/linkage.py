@@ -3,9 +3,9 @@ size need no pairs but one link a row or so."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftline.session import cut, partitions
+from siftline.session import cut, large, partitions
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -77,14 +77,14 @@ def near_star_anchor(df: DataFrame, by: list[str], key: str, value: str, within:
 
 
 def chain_links(df: DataFrame, by: list[str], key: str, value: str, within: float) -> DataFrame:
-    """Links (a, b) that connect whatever the pairs of rows of a group whose values differ by ``within`` at most
+    """Links (by, a, b) that connect whatever the pairs of rows of a group whose values differ by ``within`` at most
     would: cells of that width hold rows that are all near each other, which are linked to the cell's least one;
     and a cell's greatest is linked to the next cell's least if they are near."""
     rows = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(*by, F.col(key).alias("k"), F.col(value).alias("v"), F.floor(F.col(value) / within).alias("cell"))
     cells = rows.groupBy(*by, "cell").agg(F.min(F.struct("v", "k")).alias("low"), F.max(F.struct("v", "k")).alias("high"))
-    within_cell = rows.join(cells, [*by, "cell"]).select(F.col("low.k").alias("a"), F.col("k").alias("b"))
+    within_cell = rows.join(cells, [*by, "cell"]).select(*by, F.col("low.k").alias("a"), F.col("k").alias("b"))
     after = cells.select(*by, (F.col("cell") - 1).alias("cell"), F.col("low").alias("next"))
-    between = cells.join(after, [*by, "cell"]).where(F.col("next.v") - F.col("high.v") <= within).select(F.col("high.k").alias("a"), F.col("next.k").alias("b"))
+    between = cells.join(after, [*by, "cell"]).where(F.col("next.v") - F.col("high.v") <= within).select(*by, F.col("high.k").alias("a"), F.col("next.k").alias("b"))
     return within_cell.where("a != b").unionByName(between)
 
 
@@ -111,3 +111,18 @@ def interval_groups(df: DataFrame, by: list[str], key: str, lo: str, hi: str, le
     grouped = begun.join(offset, [*by, "__part"]).withColumn("__group", number).select(*by, key, "__group")
     roots = grouped.groupBy(*by, "__group").agg(F.min(key).alias("root"))
     return grouped.join(roots, [*by, "__group"]).select(*by, key, "root").unionByName(df.where(~F.coalesce(fits, F.lit(False))).select(*by, key, F.col(key).alias("root")))
+
+
+def cell_links(df: DataFrame, by: list[str], key: str, cell: Column) -> DataFrame:
+    """Links (by, a, b) that connect what the pairs of rows of a group and an equal ``cell`` would: each row with the least key of its cell."""
+    rows = df.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("b"), cell.alias("cell")).where("cell is not null")
+    least = rows.groupBy(*by, "cell").agg(F.min("b").alias("a"))
+    return rows.join(large(least), [*by, "cell"]).where("a != b").select(*by, "a", "b")
+
+
+def sum_links(df: DataFrame, by: list[str], key: str, divisor: int) -> DataFrame:
+    """Links (by, a, b) that connect what the pairs of rows of a group whose keys (whole numbers) add up to a multiple of
+    ``divisor`` would: each row with the least key of the remainder that its own lacks."""
+    rows = df.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("b"), F.pmod(-F.col(key), F.lit(divisor)).alias("rest"))
+    least = rows.groupBy(*by, F.pmod(-F.col("rest"), F.lit(divisor)).alias("rest")).agg(F.min("b").alias("a"))
+    return rows.join(large(least), [*by, "rest"]).where("a != b").select(*by, "a", "b")
