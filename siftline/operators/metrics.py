@@ -63,7 +63,7 @@ def _picked(n_boot: int, numbered: DataFrame, by: list[str], seed: int) -> DataF
     """by, __b, __i: a row for each draw. A draw is md5 of (b, place) scaled to the unit's number, so any engine repeats it."""
     slots = numbered.select(*by, "__i", "__n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("__b"))
     pick = F.floor(hash_uniform("__b", "__i", *by, salt=str(seed)) * F.col("__n"))
-    return slots.select(*by, "__b", pick.cast("long").alias("__i"))
+    return slots.select(*by, "__b", F.coalesce(pick.cast("long"), F.lit(0)).alias("__i"))  # never null, or joins would test the hash before they make it
 
 
 def draws(n_boot: int, units: DataFrame, key: str, seed: int, by: list[str] | None = None) -> DataFrame:
@@ -328,6 +328,7 @@ def cross_validated_auroc(df: DataFrame, key: str, features: list[str], positive
     from pyspark.ml.functions import vector_to_array
 
     rows = df.withColumn("label", F.col(positive).cast("double")).withColumn("fold", F.floor(hash_uniform(block or key, salt=str(seed)) * folds).cast("int")).na.drop(subset=[*features, "label"])
+    rows = cut(rows.select("fold", "label", *features), "folds")  # every fit and every step of it reads these again
     steps = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), GBTClassifier(maxIter=10, maxDepth=3, seed=seed) if model == "trees" else LogisticRegression(regParam=0.01)])
     out = None
     for fold in range(folds):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import metrics as m
 from siftline.registry import query, table
+from siftline.session import cut
 
 
 def judged(spark, sf_dir):
@@ -245,6 +246,7 @@ def metric_decision_gate(spark, sf_dir):
 def metric_cross_validated(spark, sf_dir):
     """Held-out AUROC by fold of quality labels, from the size of a text: logistic and boosted trees."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("good")), "doc_id").select("doc_id", "good", F.log1p("n_chars").alias("size"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("upper"))
+    d = cut(d.select("doc_id", "good", "size", "upper"), "sizes")  # texts are read once for both models
     return m.cross_validated_auroc(d, "doc_id", ["size", "upper"], "good", 3).withColumn("model", F.lit("logistic")).unionByName(m.cross_validated_auroc(d, "doc_id", ["size", "upper"], "good", 3, model="trees").withColumn("model", F.lit("trees")))
 
 

@@ -176,3 +176,35 @@ def test_auroc_differences_draw_once_for_both_scores(spark):
             pairs = sum(p[3] for p in own if p[2]) * sum(q[3] for q in own if not q[2])
             deltas.append((auc[0] - auc[1]) / pairs)
         assert np.allclose([r.lo, r.hi], np.quantile(deltas, [0.025, 0.975]))
+
+
+def test_evidence_makes_few_pairs_with_the_groups_of_all(spark):
+    from siftline.operators import linkage
+
+    rng = random.Random(9)
+    df = spark.createDataFrame([(g, k, rng.choice([None, rng.uniform(-3000, 9000)])) for g in range(4) for k in rng.sample(range(200), 30)], "g int, k int, v double")
+    by_sum, by_cell = linkage.sum_links(df, ["g"], "k", 10), linkage.cell_links(df, ["g"], "k", F.floor(F.col("v") / 1000))
+    rows = df.collect()
+    for links, test in ((by_sum, lambda x, y: (x.k + y.k) % 10 == 0), (by_cell, lambda x, y: None not in (x.v, y.v) and x.v // 1000 == y.v // 1000)):
+        found = [tuple(r) for r in links.collect()]
+        assert len(found) <= len(rows)
+        root = {(r.g, r.k): (r.g, r.k) for r in rows}
+
+        def top(x):
+            return x if root[x] == x else top(root[x])
+
+        for g, a, b in found:
+            assert test(*[next(r for r in rows if (r.g, r.k) == (g, k)) for k in (a, b)])
+            root[top((g, a))] = top((g, b))
+        assert all(top((x.g, x.k)) == top((y.g, y.k)) for x in rows for y in rows if x.g == y.g and x.k != y.k and test(x, y))
+
+
+def test_folds_read_their_features_from_a_written_table(spark, monkeypatch):
+    from siftline.operators import metrics
+
+    written = []
+    real = metrics.cut
+    monkeypatch.setattr(metrics, "cut", lambda df, name="step": written.append((name, df.columns)) or real(df, name))
+    df = spark.createDataFrame([(k, float(k % 7), "t" * k, k % 3 == 0) for k in range(30)], "k int, a double, text string, y boolean")
+    assert len(metrics.cross_validated_auroc(df, "k", ["a"], "y", 2).collect()) == 2
+    assert ("folds", ["fold", "label", "a"]) in written
