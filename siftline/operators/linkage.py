@@ -7,16 +7,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.session import cut, large, partitions
 
+FEW = 1 << 13  # links whose least ones may be broadcast
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One half round over links (u, v) with u > v."""
-    if large:
+
+def _star(links: DataFrame, wide: bool, many: bool) -> DataFrame:
+    """One half round (a large star or, not ``wide``, a small one) over links (u, v) with u > v."""
+    side = large if many else lambda df: df  # written names are a small part of their size in memory
+    if wide:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.where("v > u").join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = links.groupBy("u").agg(F.min("v").alias("m"))
-        out = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = links.join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
 
@@ -27,10 +30,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     are written and read again every round; a lost executor costs its own part of one. Raises if
     ``rounds`` don't suffice (the number needed grows with the logarithm of the longest chain)."""
     at = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    seen = None
+    seen, many = None, True
     for _ in range(rounds):
-        at = cut(_star(_star(at, True), False), "links")
+        at = cut(_star(_star(at, True, many), False, many), "links")
         now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        many = now[0] > FEW
         if now == seen:
             roots = at.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return at.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

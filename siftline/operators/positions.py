@@ -33,8 +33,8 @@ def outranked(conflicts: DataFrame, few: int = FEW) -> DataFrame:
         left = large(cut(left.select("b", "w"), "conflicts"))
         if left.count() <= few:
             break
-        stay = left.select("b").distinct().join(left.select(F.col("w").alias("b")).distinct(), "b", "left_anti")
-        now = cut(left.join(stay, "b", "left_semi").select(F.col("w").alias("id")).distinct(), "outranked")
+        stay = large(cut(left.select("b").distinct().join(left.select(F.col("w").alias("b")).distinct(), "b", "left_anti"), "staying"))
+        now = large(cut(left.join(stay, "b", "left_semi").select(F.col("w").alias("id")).distinct(), "outranked"))  # a join's result has no hint of its own
         gone.append(now)
         left = left.join(stay, "b", "left_anti").join(now.toDF("b"), "b", "left_anti").join(now.toDF("w"), "w", "left_anti")
 

@@ -208,3 +208,19 @@ def test_folds_read_their_features_from_a_written_table(spark, monkeypatch):
     df = spark.createDataFrame([(k, float(k % 7), "t" * k, k % 3 == 0) for k in range(30)], "k int, a double, text string, y boolean")
     assert len(metrics.cross_validated_auroc(df, "k", ["a"], "y", 2).collect()) == 2
     assert ("folds", ["fold", "label", "a"]) in written
+
+
+def test_rounds_do_not_broadcast_what_grows(spark, monkeypatch):
+    from siftline.operators import linkage, positions
+
+    seen = []
+    for module in (linkage, positions):
+        monkeypatch.setattr(module, "cut", lambda df, name, write=module.cut: seen.append(plan(df)) or write(df, name))
+    monkeypatch.setattr(linkage, "FEW", 0, raising=False)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(9)], "better int, worse int")
+    gone = positions.outranked(chain, 0)
+    assert sorted(r.node for r in gone.collect()) == list(range(1, 10, 2))
+    roots = linkage.components(chain, "better", "worse")
+    assert {r.root for r in roots.collect()} == {0} and roots.count() == 10
+    joined = [p for p in seen if "Join" in p and "__c0" not in p]  # __c0: a row for each range
+    assert joined and not [p for p in joined if "BroadcastHashJoin" in p]
