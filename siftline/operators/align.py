@@ -169,13 +169,60 @@ def translate(s: Column | str, frame: int = 0) -> Column:
     return F.when(n > 0, F.array_join(made, "")).otherwise("")
 
 
+#: Amino acids by 25 * first + 5 * second + third letter (in the order of BASES, 4 for others).
+_CODON = np.frombuffer("".join(AMINO[16 * x + 4 * y + z] if max(x, y, z) < 4 else "X" for x in range(5) for y in range(5) for z in range(5)).encode(), np.uint8)
+_STOP = ord("*")
+LETTERS = 1 << 20  # of sequences that are translated at once
+
+
+def _frame_runs(codes: np.ndarray, size: np.ndarray, frame: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, length, letters) of the stretches without a stop of rows of base codes, letters being those of all one after another."""
+    n = np.maximum((size - frame) // 3, 0)
+    top = int(n.max(initial=0))
+    part = codes[:, frame : frame + 3 * top].astype(np.uint8)
+    amino = np.full((len(codes), top + 1), _STOP, np.uint8)  # behind its end each row has a stop
+    amino[:, :top] = np.where(np.arange(top) < n[:, None], _CODON[25 * part[:, ::3] + 5 * part[:, 1::3] + part[:, 2::3]], _STOP)
+    row, stop = np.nonzero(amino == _STOP)
+    before = np.where(np.r_[-1, row[:-1]] == row, np.r_[-1, stop[:-1]], -1)
+    keep = (stop <= n[row]) & (stop - before - 1 >= least)
+    row, start, length = row[keep], (before + 1)[keep], (stop - before - 1)[keep]
+    ends = np.cumsum(length)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(row * amino.shape[1] + start, length)
+    return row, start, length, amino.ravel()[at]
+
+
 def open_frames(df: DataFrame, keys: list[str], s: str, least: int) -> DataFrame:
-    """keys, strand, frame, start (amino acids from the frame's begin), protein: stretches without a stop."""
-    six = F.array(*[F.struct(F.lit(strand).alias("strand"), F.lit(f).alias("frame"), translate(x, f).alias("aa")) for strand, x in (("+", F.upper(s)), ("-", revcomp(F.upper(s)))) for f in range(3)])
-    parts = df.select(*keys, F.explode(six).alias("t")).select(*keys, "t.strand", "t.frame", F.split("t.aa", r"\*").alias("p"))
-    begins = F.aggregate("p", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    rows = parts.select(*keys, "strand", "frame", F.explode(F.arrays_zip(F.slice(begins, 1, F.size("p")).alias("start"), F.col("p").alias("protein"))).alias("o"))
-    return rows.select(*keys, "strand", "frame", "o.start", "o.protein").where(F.length("protein") >= least)
+    """keys, strand, frame, start (amino acids from the frame's begin), protein: stretches without a stop. Sequences
+    are translated in batches, and only long enough stretches become rows."""
+    ship(df.sparkSession)
+    kinds = dict(df.dtypes)
+    names = [*keys, "strand", "frame", "start", "protein"]
+    letter = np.full(256, 4, np.uint8)
+    letter[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(keys)).to_pylist()
+            order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+            while order:
+                take = max(1, LETTERS // (len(texts[order[-1]]) + 1))
+                chunk, order = np.array(order[-take:]), order[:-take]
+                size = np.array([len(texts[k]) for k in chunk])
+                codes = np.full((len(chunk), int(size.max())), 4, np.uint8)
+                inside = np.arange(codes.shape[1]) < size[:, None]
+                codes[inside] = letter[np.frombuffer("".join(texts[k] for k in chunk).encode("latin-1", "replace"), np.uint8)]
+                turned = np.full_like(codes, 4)  # A, C, G, T are 2, 1, 3, 0
+                turned[inside] = np.array([2, 3, 0, 1, 4], np.uint8)[codes][:, ::-1][inside[:, ::-1]]
+                for strand, side in (("+", codes), ("-", turned)):
+                    for frame in range(3):
+                        row, start, length, letters = _frame_runs(side, size, frame, least)
+                        if len(row):
+                            proteins = pa.StringArray.from_buffers(len(row), pa.py_buffer(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.py_buffer(letters.tobytes()))
+                            own = [batch.column(k).take(pa.array(chunk[row])) for k in range(len(keys))]
+                            yield pa.RecordBatch.from_arrays([*own, pa.array([strand]).take(pa.array(np.zeros(len(row), np.int32))), pa.array(np.full(len(row), frame), pa.int32()), pa.array(start, pa.int32()), proteins], names)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", strand string, frame int, start int, protein string"
+    return df.select(*keys, F.coalesce(F.upper(s), F.lit("")).alias("__s")).mapInArrow(run, schema)
 
 
 def end_repeat(df: DataFrame, keys: list[str], s: str, window: int, seed: int, inverted: bool) -> DataFrame:

@@ -224,3 +224,26 @@ def test_rounds_do_not_broadcast_what_grows(spark, monkeypatch):
     assert {r.root for r in roots.collect()} == {0} and roots.count() == 10
     joined = [p for p in seen if "Join" in p and "__c0" not in p]  # __c0: a row for each range
     assert joined and not [p for p in joined if "BroadcastHashJoin" in p]
+
+
+def test_open_frames_are_found_in_batches(spark, monkeypatch):
+    from siftline.operators import align
+
+    monkeypatch.setattr(align, "LETTERS", 64, raising=False)
+    rng = random.Random(4)
+    words = [None, "", "AC", "TAA", "TTATTATTA", "nacgtaß"] + ["".join(rng.choices("ACGTNt", [5, 2, 3, 6, 1, 1], k=rng.randint(0, 90))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(words)), "k int, s string")
+    codons = {x + y + z: align.AMINO[16 * i + 4 * j + m] for i, x in enumerate("TCAG") for j, y in enumerate("TCAG") for m, z in enumerate("TCAG")}
+    for least in (0, 2):
+        found = align.open_frames(rows, ["k"], "s", least)
+        assert "MapInArrow" in plan(found)
+        want = []
+        for k, w in enumerate(words):
+            s = (w or "").upper()
+            for strand, x in (("+", s), ("-", s.translate(str.maketrans("ACGT", "TGCA"))[::-1])):
+                for f in range(3):
+                    at = 0
+                    for protein in "".join(codons.get(x[i : i + 3], "X") for i in range(f, len(x) - 2, 3)).split("*"):
+                        want += [(k, strand, f, at, protein)] * (len(protein) >= least)
+                        at += len(protein) + 1
+        assert sorted(map(tuple, found.collect())) == sorted(want)
