@@ -247,3 +247,19 @@ def test_open_frames_are_found_in_batches(spark, monkeypatch):
                         want += [(k, strand, f, at, protein)] * (len(protein) >= least)
                         at += len(protein) + 1
         assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_shifts_are_compared_in_batches(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice([None, "", "AAAAAA", "\U0001d11eACN"] + ["".join(rng.choices("ACN", [5, 2, 1], k=rng.randint(0, 20))) for _ in range(6)])
+    data = [(k, word(), word()) for k in range(200)]
+    found = spark.createDataFrame(data, "k int, a string, b string").select("k", seq.offset_identity("a", "b", 3, 4).alias("r"))
+    assert "ArrowEvalPython" in plan(found) and "lambda" not in plan(found)
+    for r, (_, a, b) in zip(sorted(found.collect()), data):
+        tried = []
+        for o in range(-3, 4) if a is not None and b is not None else ():
+            x, y = a[max(o, 0) :], b[max(-o, 0) :]
+            n = min(len(x), len(y))
+            if n >= 4:
+                tried.append((sum(p == q for p, q in zip(x, y)) / n, -abs(o), o, n))
+        assert (r.r and tuple(r.r)) == max(tried, default=None)
