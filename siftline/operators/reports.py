@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from siftline.functions import seq
 from siftline.operators import linkage
 from siftline.operators.aggregates import median
-from siftline.session import GROUPED, free_name, tasks_for
+from siftline.session import GROUPED, free_name, large, tasks_for
 
 
 def guarded_best(df: DataFrame, by: list[str], step: str, score: str, guards: dict[str, float], tolerance: float) -> DataFrame:
@@ -330,16 +330,18 @@ def with_flanks(sites: DataFrame, new: DataFrame, key: list[str], flank: str, ev
     says from then on that the flank is a conditional null."""
     from siftline.operators.validate import refuse
 
-    both = sites.join(new.select(*key, F.col(flank).alias("__new")), key)
+    both = sites.join(large(new.select(*key, F.col(flank).alias("__new"))), key)
     both = refuse(both, F.length("__new") != F.length(flank), "a flank of another length")
     return both.withColumns({flank: F.col("__new"), evidence: F.lit("conditional_null")}).drop("__new")
 
 
 def shuffled_around(df: DataFrame, key: list[str], s: str, lo: Column, n: Column, seed: int) -> DataFrame:
-    """``s`` with the letters outside [lo, lo + n) dealt anew, left and right apart, in hash order."""
+    """``s`` with the letters outside [lo, lo + n) dealt anew, left and right apart, in hash order: that of
+    :func:`seq.hash_uniform` of key and place, whose eight hex digits sort as its number does."""
     def deal(part: Column, side: str) -> Column:
-        marked = F.transform(seq.chars(part), lambda c, i: F.struct(seq.hash_uniform(*key, i, salt=f"{side}{seed}").alias("u"), i.alias("i"), c.alias("c")))
-        return F.array_join(F.transform(F.array_sort(marked), lambda x: x["c"]), "")
+        named = F.concat_ws("::", F.lit(f"{side}{seed}"), *[F.col(c).cast("string") for c in key], F.lit(""))
+        marked = lambda name: F.transform(seq.chars(part), lambda c, i: F.struct(F.substring(F.md5(F.concat(name, i.cast("string"))), 1, 8).alias("u"), i.alias("i"), c.alias("c")))
+        return F.array_join(F.transform(F.sort_array(seq.let(named, marked)), lambda x: x["c"]), "")
 
     left, right = seq.slice_at(s, F.lit(0), lo), F.substring(F.col(s), (lo + n + 1).cast("int"), F.length(s))
     return df.withColumn(s, F.concat(deal(left, "l"), seq.slice_at(s, lo, n), deal(right, "r")))

@@ -263,3 +263,23 @@ def test_shifts_are_compared_in_batches(spark):
             if n >= 4:
                 tried.append((sum(p == q for p, q in zip(x, y)) / n, -abs(o), o, n))
         assert (r.r and tuple(r.r)) == max(tried, default=None)
+
+
+def test_flanks_dealt_anew_are_those_of_the_hashes(spark):
+    import hashlib
+
+    from siftline.operators import reports
+    from siftline.plans import reports as plans
+
+    rows = [(1, "ACGTACGTTTGGCA"), (2, ""), (3, None), (None, "ACGGT")]
+    df = spark.createDataFrame(rows, "k int, s string")
+    made = reports.replicated(df, ["k"], 2, lambda x, key: reports.shuffled_around(x, key, "s", F.lit(3), F.lit(4), 7))
+    assert "conv(" not in plan(made) and "array_sort" not in plan(made)
+
+    def deal(part, side, k, rep):
+        u = lambda i: int(hashlib.md5("::".join([f"{side}7", *[str(x) for x in (k, rep) if x is not None], str(i)]).encode()).hexdigest()[:8], 16)
+        return "".join(part[i] for i in sorted(range(len(part)), key=lambda i: (u(i), i)))
+
+    want = {(k, rep, s and deal(s[:3], "l", k, rep) + s[3:7] + deal(s[7:], "r", k, rep)) for k, s in rows for rep in (1, 2)}
+    assert {(r.k, r.replicate, r.s) for r in made.collect()} == want
+    assert "BroadcastHashJoin" not in plan(plans.null_replicates(spark, DIR))
