@@ -52,8 +52,21 @@ def threshold_groups(nodes: DataFrame, linked: DataFrame, by: list[str], key: st
 
 def group_gate(groups: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     """by, n_groups, passes, reason."""
-    n = groups.groupBy(*by).agg(F.countDistinct("root").alias("n_groups"))
-    return n.withColumns({"passes": F.col("n_groups") >= least, "reason": F.when(F.col("n_groups") < least, "insufficient_bg_groups")})
+    return gated(groups.groupBy(*by).agg(F.countDistinct("root").alias("n_groups")), least)
+
+
+def gated(counts: DataFrame, least: int) -> DataFrame:
+    """Adds passes and reason to rows with n_groups."""
+    return counts.withColumns({"passes": F.col("n_groups") >= least, "reason": F.when(F.col("n_groups") < least, "insufficient_bg_groups")})
+
+
+def group_counts(sets: DataFrame, members: str, linked: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Adds n_groups to rows that hold their nodes (``members``, an array without repeats): how many groups the pairs
+    ``linked`` (by, a, b) make of them, as of :func:`threshold_groups`, but nodes without a link are not moved."""
+    name = lambda c: F.struct(*by, F.col(c).alias("k"))
+    led = components(linked.select(name(a).alias("a"), name(b).alias("b"))).where("node != root")
+    less = led.select(*[F.col(f"node.{c}").alias(c) for c in by]).groupBy(*by).agg(F.count(F.lit(1)).alias("__less"))
+    return sets.join(large(less), by, "left").withColumn("n_groups", F.size(members).cast("long") - F.coalesce("__less", F.lit(0))).drop("__less")
 
 
 def star_anchor(pairs: DataFrame, by: list[str], a: str, b: str, size: str) -> DataFrame:

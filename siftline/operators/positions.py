@@ -8,9 +8,10 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from siftline.operators.windows import running
-from siftline.session import cut, large, ship
+from siftline.session import cut, large, partitions, ship
 
 
 FEW = 1_000_000  # conflicts that one task walks through
@@ -20,14 +21,19 @@ def outranked(conflicts: DataFrame, few: int = FEW) -> DataFrame:
     """The nodes (node) that go when a list is walked through best first and a row goes if it conflicts with
     one that stays. ``conflicts``: better, worse, names that compare (better is the lesser).
 
-    This is the independent set that the order names first. Nodes are numbered in their order; by rounds, who
-    has no better undecided neighbour stays and its neighbours go, a join of the conflicts that are left. Once
-    these are counted and no more than ``few``, one task walks through them."""
+    This is the independent set that the order names first. Nodes are numbered in their order, unless their names are
+    whole numbers; by rounds, who has no better undecided neighbour stays and its neighbours go, a join of the
+    conflicts that are left. Once these are counted and no more than ``few``, one task walks through them."""
     ship(conflicts.sparkSession)
-    edges = cut(conflicts.select("better", "worse").distinct(), "conflicts")
-    nodes = edges.select(F.col("better").alias("node")).union(edges.select("worse")).distinct()
-    ids = large(cut(running(nodes, [], ["node"]).select("node", F.col("__place").alias("id")), "nodes"))
-    left = edges.join(ids.toDF("better", "b"), "better").join(ids.toDF("worse", "w"), "worse").select("b", "w")
+    edges, ids = conflicts.select("better", "worse"), None
+    kind = edges.schema["better"].dataType
+    if isinstance(kind, IntegralType) and kind == edges.schema["worse"].dataType:
+        left = edges.select(F.col("better").cast("long").alias("b"), F.col("worse").cast("long").alias("w")).dropna()
+    else:
+        edges = cut(edges.distinct(), "conflicts")
+        nodes = edges.select(F.col("better").alias("node")).union(edges.select("worse")).distinct()
+        ids = large(cut(running(nodes, [], ["node"]).select("node", F.col("__place").alias("id")), "nodes"))
+        left = edges.join(ids.toDF("better", "b"), "better").join(ids.toDF("worse", "w"), "worse").select("b", "w")
     gone = []
     while True:
         left = large(cut(left.select("b", "w"), "conflicts"))
@@ -48,6 +54,8 @@ def outranked(conflicts: DataFrame, few: int = FEW) -> DataFrame:
 
     rest = left.repartition(1).sortWithinPartitions("b", "w").mapInArrow(walk, "id bigint")
     found = reduce(lambda x, y: x.unionByName(y), gone, rest)
+    if ids is None:
+        return found.select(F.col("id").cast(kind).alias("node"))
     return ids.join(found, "id", "left_semi").select("node")
 
 
@@ -117,15 +125,18 @@ def _alike(jaccard: float, members: str) -> Column:
 def greedy_merge(df: DataFrame, by: list[str], key: str, order: list[tuple[str, bool]], near: dict[str, float], members: str, jaccard: float = 0.8) -> DataFrame:
     """by, key, anchor (the key of the row it is merged into, its own if it stays). Best first (``order``: column,
     ascending; then key), a row is absorbed by the first one that stays of those whose coordinates are all within
-    ``near`` and whose members (an array without repeats) overlap by ``jaccard``; else it stays, as an anchor."""
-    rank = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(_ordered(order))], F.col(key).alias("key"))
-    rows = cut(df.select(*by, F.struct(*[F.col(c) for c in by], rank.alias("rank")).alias("__node"), *near, members), "rows")
-    met = _near(rows, by, near, ["__node", members]).where((F.col("a___node") < F.col("b___node")) & _alike(jaccard, members))
-    conflicts = large(cut(met.select(F.col("a___node").alias("better"), F.col("b___node").alias("worse")), "near"))
-    gone = large(outranked(conflicts))
+    ``near`` and whose members (an array without repeats) overlap by ``jaccard``; else it stays, as an anchor. ``key`` is
+    unique within ``by``. Rows are numbered in that order once, so that conflicts are pairs of numbers in every join."""
+    columns, rank = [*dict.fromkeys([*by, key, *near, members])], [*_ordered(order), F.col(key)]
+    names = [f"__o{k}" for k in range(len(rank))]
+    ranked = df.select(*columns, *[c.alias(n) for c, n in zip(rank, names, strict=True)]).repartitionByRange(max(partitions(df.sparkSession), 2), *by, *names).sortWithinPartitions(*by, *names)
+    rows = cut(ranked.select(*columns, F.monotonically_increasing_id().alias("__node")), "rows")
+    met = _near(rows, by, near, ["__node", key, members]).where((F.col("a___node") < F.col("b___node")) & _alike(jaccard, members))
+    conflicts = large(cut(met.select(F.col("a___node").alias("better"), F.col("b___node").alias("worse"), F.col(f"a_{key}").alias("__anchor")), "near"))
+    gone = large(cut(outranked(conflicts), "gone"))
     stays = conflicts.join(gone.withColumnRenamed("node", "better"), "better", "left_anti")
-    anchors = stays.join(gone.withColumnRenamed("node", "worse"), "worse", "left_semi").groupBy(F.col("worse").alias("__node")).agg(F.min("better").alias("anchor"))
-    return rows.join(large(anchors), "__node", "left").select(*by, F.col("__node.rank.key").alias(key), F.coalesce("anchor.rank.key", "__node.rank.key").alias("anchor"))
+    anchors = stays.join(gone.withColumnRenamed("node", "worse"), "worse", "left_semi").groupBy(F.col("worse").alias("__node")).agg(F.min_by("__anchor", "better").alias("__anchor"))
+    return rows.join(large(anchors), "__node", "left").select(*by, key, F.coalesce("__anchor", key).alias("anchor"))
 
 
 def merged(rows: DataFrame, anchors: DataFrame, by: list[str], key: str, spread: list[str], members: str) -> DataFrame:

@@ -62,9 +62,8 @@ def score_clusters(sites: DataFrame, spec: Spec = Spec()) -> DataFrame:
     same = F.greatest(*[seq.trimmed_identity(c["a"], c["b"]) for c in (seq.side_chunks("flank_a", bounds("a"), "flank_b", bounds("b"), s) for s in ("left", "right"))]) > spec.identity
     cluster = ["bag_id", "key", "cluster_id"]
     linked = cut(pairs.where(same).select(*cluster, "site_ord_a", "site_ord_b"), "linked")  # compared once, not in every round
-    groups = large(linkage.threshold_groups(members, linked, cluster, "site_ord", "site_ord_a", "site_ord_b"))
-    gated = linkage.group_gate(groups, ["bag_id", "key", "cluster_id"], spec.least_groups)
-    rows = clusters.join(large(gated), ["bag_id", "key", "cluster_id"], "left").withColumn("passes", F.coalesce("passes", F.lit(False))).withColumn("id", F.concat_ws("#", "key", "cluster_id"))
+    counted = linkage.gated(linkage.group_counts(clusters, "sites", linked, cluster, "site_ord_a", "site_ord_b"), spec.least_groups)
+    rows = cut(counted.withColumn("id", F.concat_ws("#", "key", "cluster_id")), "counted")
     # one motif seen at other lengths or a few letters on: the same strand, near places on both sides, nearly the same sites
     near = {"i": spec.nc_offset, "median": spec.offset}
     merged = positions.greedy_merge(rows, ["bag_id", "orient"], "id", [("mean_frac", False), ("L", False), ("mad", True)], near, "sites", spec.jaccard).drop("orient")

@@ -226,6 +226,37 @@ def test_rounds_do_not_broadcast_what_grows(spark, monkeypatch):
     assert joined and not [p for p in joined if "BroadcastHashJoin" in p]
 
 
+def test_merge_moves_numbers_instead_of_names(spark, monkeypatch):
+    from siftline.operators import positions
+
+    written = []
+    real = positions.cut
+    monkeypatch.setattr(positions, "cut", lambda df, name="step": written.append((name, dict(df.dtypes))) or real(df, name))
+    df = spark.createDataFrame([("g", f"k{k:02d}", k % 5, float(k // 2), [1, 2, 3]) for k in range(40)] + [("h", "k00", None, 0.0, [1, 2, 3])], "g string, k string, score int, at double, sites array<int>")
+    got = {(r.g, r.k): r.anchor for r in positions.greedy_merge(df, ["g"], "k", [("score", False)], {"at": 3.0}, "sites").collect()}
+    want, stay = {("h", "k00"): "k00"}, []
+    for k in sorted(range(40), key=lambda k: (-(k % 5), k)):
+        first = next((a for a in stay if abs(a // 2 - k // 2) <= 3), k)
+        stay += [k] if first == k else []
+        want["g", f"k{k:02d}"] = f"k{first:02d}"
+    assert got == want
+    near = [kinds for name, kinds in written if name == "near"]
+    assert [(k["better"], k["worse"]) for k in near] == [("bigint", "bigint")]
+    assert not [name for name, kinds in written if "struct" in "".join(kinds.values())] and "nodes" not in [name for name, _ in written]
+
+
+def test_groups_are_counted_from_links(spark):
+    from siftline.operators import linkage
+
+    sets = spark.createDataFrame([("x", 0, [1, 2, 3, 4, 5]), ("x", 1, [1, 2]), ("y", 0, [7, 8, 9]), ("y", 1, [])], "g string, c int, sites array<long>")
+    linked = spark.createDataFrame([("x", 0, 1, 2), ("x", 0, 2, 3), ("x", 0, 1, 3), ("x", 0, 4, 5), ("y", 0, 7, 9)], "g string, c int, a long, b long")
+    nodes = sets.select("g", "c", F.explode("sites").alias("k"))
+    want = linkage.group_gate(linkage.threshold_groups(nodes, linked, ["g", "c"], "k", "a", "b"), ["g", "c"], 2)
+    got = linkage.gated(linkage.group_counts(sets, "sites", linked, ["g", "c"], "a", "b"), 2).drop("sites")
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.where("n_groups > 0").collect())) == sorted(map(tuple, want.collect())) == sorted([("x", 0, 2, True, None), ("x", 1, 2, True, None), ("y", 0, 2, True, None)])
+
+
 def test_open_frames_are_found_in_batches(spark, monkeypatch):
     from siftline.operators import align
 
