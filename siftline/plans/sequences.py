@@ -213,13 +213,23 @@ def align_side(spark, sf_dir):
     return found.select("k", c("left.eligible").alias("left_ok"), c("right.eligible").alias("right_ok"), "chosen.side", F.round("chosen.metrics.identity", 9).alias("identity"), "chosen.metrics.paired_bp")
 
 
-_WINDOWS = f"""WITH {PAIRS},
-    f AS (SELECT k, 'fwd' AS orient, substr(a, 1, 40) AS x, substr(b, 1, 40) AS y FROM s UNION ALL SELECT k, 'rc', substr(a, 1, 40), reverse(translate(substr(b, 1, 40), 'ACGT', 'TGCA')) FROM s),
-    w AS (SELECT k, orient, i, j, x, list_sum(list_transform(range(1, 10), lambda o: CASE WHEN substr(x, i + o, 1) = substr(y, j + o, 1) AND substr(x, i + o, 1) <> 'N' THEN 1 ELSE 0 END)) AS m FROM f, unnest(range(0, 32)) AS t(i), unnest(range(0, 32)) AS u(j)),
-    h AS (SELECT k, orient, CAST(i AS INTEGER) AS i, CAST(CASE WHEN orient = 'fwd' THEN j ELSE 31 - j END AS INTEGER) AS f, CAST(m AS INTEGER) AS m FROM w WHERE m >= 7 AND NOT contains(substr(x, i + 1, 9), 'N'))"""
+def _windows(a: str, b: str, n: str, m: str, last: str, held: str = "x") -> str:
+    """SQL of the hits of two texts, in windows that begin at n places of one and m of the other, the last of them ``last``."""
+    return f"""WITH {PAIRS},
+    f AS (SELECT k, 'fwd' AS orient, {a} AS x, {b} AS y FROM s UNION ALL SELECT k, 'rc', {a}, reverse(translate({b}, 'ACGT', 'TGCA')) FROM s),
+    w AS (SELECT k, orient, i, j, {held}, list_sum(list_transform(range(1, 10), lambda o: CASE WHEN substr(x, i + o, 1) = substr(y, j + o, 1) AND substr(x, i + o, 1) <> 'N' THEN 1 ELSE 0 END)) AS m FROM f, unnest(range(0, {n})) AS t(i), unnest(range(0, {m})) AS u(j)),
+    h AS (SELECT k, orient, CAST(i AS INTEGER) AS i, CAST(CASE WHEN orient = 'fwd' THEN j ELSE {last} - j END AS INTEGER) AS f, CAST(m AS INTEGER) AS m FROM w WHERE m >= 7 AND NOT contains(substr(x, i + 1, 9), 'N'))"""
+
+
+_WINDOWS = _windows("substr(a, 1, 40)", "substr(b, 1, 40)", "32", "32", "31")
+
+
+def whole_hits(spark, sf_dir):
+    return match.window_matches(pairs(spark, sf_dir), ["k"], "a", "b", [9], lambda n: 7)
 
 
 def window_hits(spark, sf_dir):
+    """The hits of the first 40 letters, which is what the SQL of match_windows, match_admission and match_pooled takes."""
     p = pairs(spark, sf_dir).select("k", F.substring("a", 1, 40).alias("a"), F.substring("b", 1, 40).alias("b"))
     return match.window_matches(p, ["k"], "a", "b", [9], lambda n: 7)
 
@@ -229,17 +239,19 @@ def match_windows(spark, sf_dir):
     return window_hits(spark, sf_dir).drop("L")
 
 
-_TABLE = _WINDOWS + """, e AS (SELECT k, orient, i, excl, max(m) FILTER (f >= excl) AS m FROM h, unnest([0, 10, 20]) AS t(excl) GROUP BY 1, 2, 3, 4),
+_BEST = """, e AS (SELECT k, orient, i, excl, max(m) FILTER (f >= excl) AS m FROM h, unnest([0, 10, 20]) AS t(excl) GROUP BY 1, 2, 3, 4),
     t AS (SELECT e.k, e.orient, e.i, e.excl, coalesce(e.m, 0) AS m, coalesce(min(h.f), -1) AS f FROM e LEFT JOIN h ON h.k = e.k AND h.orient = e.orient AND h.i = e.i AND h.m = e.m AND h.f >= e.excl GROUP BY 1, 2, 3, 4, e.m)"""
+_TABLE = _WINDOWS + _BEST
 
 
-def best_table(spark, sf_dir):
-    return match.match_table(window_hits(spark, sf_dir), ["k"], [0, 10, 20])
+def best_table(hits):
+    return match.match_table(hits, ["k"], [0, 10, 20])
 
 
-@query(_TABLE + " SELECT k, orient, i, CAST(excl AS INTEGER) AS excl, m, f FROM t")
+@query(_windows("a", "b", "length(x) - 8", "length(y) - 8", "length(y) - 9", "x, y") + _BEST + " SELECT k, orient, i, CAST(excl AS INTEGER) AS excl, m, f FROM t")
 def match_best(spark, sf_dir):
-    return best_table(spark, sf_dir).drop("L")
+    """Of the whole texts."""
+    return best_table(whole_hits(spark, sf_dir)).drop("L")
 
 
 @query(_TABLE + """, a AS (SELECT 'm' AS rule, * FROM t WHERE m >= 8 UNION ALL SELECT 'e', * FROM t WHERE pow(0.25, m) * (40 - excl) < 0.0005
@@ -247,7 +259,7 @@ def match_best(spark, sf_dir):
     SELECT rule, k, orient, i, CAST(excl AS INTEGER) AS excl, m, f FROM a""")
 def match_admission(spark, sf_dir):
     """The three rules by which positions are admitted."""
-    t = best_table(spark, sf_dir).drop("L")
+    t = best_table(window_hits(spark, sf_dir)).drop("L")
     e = F.pow(F.lit(0.25), F.col("m"))
     parts = {"m": match.admit(t, ["k"], "m", 8), "e": match.admit(t, ["k"], "e", 0.0005, e * (40 - F.col("excl"))), "top": match.admit(t.where("excl = 0"), ["k"], "top", 2, e)}
     a, b, c = [df.withColumn("rule", F.lit(name)) for name, df in parts.items()]
