@@ -13,6 +13,9 @@ Method: a metric-space join under the Jaccard distance 1 - |x & y| / |x | y|.
    k = D + 1 + E parts at least 1 + E of its projections are at distance 0: the pair meets in a region.
    (So each set leaves out its E smallest projections, in an order that sets share: of 1 + E equal
    ones at most E go on either side, and those are the same. E grows with the expected empty parts.)
+   Texts that share a common line meet by chance, the more the larger the corpus, so sets do not move for a
+   meeting alone: a sketch (a byte for each of 2 D + 8 parts of the universe) differs in no more parts than
+   the sets in elements. Of what met a region's pivot, only what sketches connect goes on, to its least name.
 3. A region's pivot is its point of least name; only (point, pivot) pairs go on. Where the points that such
    pairs connect are few (``leaf`` points and ``mass`` hashes), they are one cell and each set is copied once.
    Where they are many, since chance meetings chain, the cells are the pivots' own: a pivot and what it met.
@@ -47,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.llm.textops import U, mix, shingle_sets, slices
 from siftline.operators.linkage import components
-from siftline.session import cut, partitions, ship
+from siftline.session import cut, large, partitions, ship
 
 NUM, DEN = 90, 100  # linked when DEN * |x & y| >= NUM * |x | y|
 SHELL = 1.3
@@ -56,6 +59,7 @@ LEAF, MASS = 4096, 1 << 22  # points and hashes (32 MB) of a cell that one task
 DIVIDES = 0.6  # a division is worth while if its regions' pairs are at most this part of the cell's
 PIVOTS = 8
 BITS = 26
+PAIRS, MET, MET_MASS = 64, 1 << 16, 1 << 25  # points that are compared all at once; points and bytes of sketches one by one
 
 
 class Shells:
@@ -76,6 +80,10 @@ class Shells:
         other = least * self.den // self.num
         return (least + other) * (self.den - self.num) // (self.den + self.num)
 
+    def sketch(self, j: int) -> int:
+        """Parts of the sketches of a shell: a linked pair's are equal in more than half of them."""
+        return 2 * self.differ[j] + 8
+
     def of(self, n: int) -> list[int]:
         """The shell of a set's own size, and lower ones that hold sizes it may link with."""
         own = int(np.searchsorted(self.edges, n, "right")) - 1
@@ -100,6 +108,68 @@ def regions_of(s: np.ndarray, shells: Shells) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def sketch_of(s: np.ndarray, shells: Shells) -> bytes:
+    """Its sketches for its shells, one after the other: for each part of the universe the sum of its elements' bytes."""
+    out, place, low = [], s >> U(32), (mix(s) & U(255)).astype(np.float64)
+    for j in shells.of(len(s)):
+        k = shells.sketch(j)
+        out.append((np.bincount(((place * U(k)) >> U(32)).astype(np.int64), low, k).astype(np.int64) & 255).astype(np.uint8).tobytes())
+    return b"".join(out)
+
+
+def connected(cell: np.ndarray, node: np.ndarray, sizes: np.ndarray, sketches: list[bytes], shells: Shells) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node) of what is connected, within a cell (equal numbers, in a run), by sketches that are as near as those of linked sets."""
+    label = np.arange(len(cell))
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for r, n in enumerate(sizes.tolist()):
+        at = 0
+        for j in shells.of(n):
+            rows.setdefault(j, []).append((r, at))
+            at += shells.sketch(j)
+
+    def near(m: np.ndarray, i: np.ndarray | int, k: np.ndarray, of: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(k), bool)
+        for a in range(0, len(k), step := max(1, (1 << 22) // m.shape[1])):
+            x, y = i if isinstance(i, int) else i[a : a + step], k[a : a + step]
+            out[a : a + step] = (m[x] != m[y]).sum(1) * (shells.den + shells.num) <= (of[x] + of[y]) * (shells.den - shells.num)
+        return out
+
+    for j, held in rows.items():
+        own, at, q = np.array([r for r, _ in held]), [b for _, b in held], shells.sketch(j)
+        m = np.frombuffer(b"".join(sketches[r][b : b + q] for r, b in zip(own.tolist(), at)), np.uint8).reshape(len(own), q)
+        edge = np.flatnonzero(np.concatenate([[True], cell[own][1:] != cell[own][:-1], [True]]))
+        count = np.diff(edge)
+        few = np.repeat(count <= PAIRS, count)
+        later = np.where(few, np.repeat(edge[1:], count) - np.arange(len(own)) - 1, 0)
+        i = np.repeat(np.arange(len(own)), later)
+        k = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+        met = near(m, i, k, sizes[own])
+        i, k = own[i[met]], own[k[met]]
+        while (label[i] != label[k]).any():  # labels are rows of the same cell, and lead to lesser ones
+            low = np.minimum(label[i], label[k])
+            np.minimum.at(label, label[i], low)
+            np.minimum.at(label, label[k], low)
+            label = label[label]
+        label = _ends(label)
+        for a, b in zip(edge[:-1][count > PAIRS].tolist(), edge[1:][count > PAIRS].tolist()):
+            whole = slice(*np.searchsorted(cell, cell[own[a]] + np.array([0, 1])))
+            for x in range(a, b - 1):
+                others = np.arange(x + 1, b)
+                others = others[label[own[others]] != label[own[x]]]
+                for y in others[near(m, x, others, sizes[own])]:
+                    one, other = label[own[x]], label[own[y]]
+                    label[whole][label[whole] == max(one, other)] = min(one, other)
+    least = np.full(len(cell), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, node)
+    return node, least[label]
+
+
+def _ends(label: np.ndarray) -> np.ndarray:
+    while (label != label[label]).any():
+        label = label[label]
+    return label
+
+
 def _name(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -191,17 +261,18 @@ def join_cell(sets: list[np.ndarray], num: int = NUM, den: int = DEN, leaf: int
     return links
 
 
-def _points(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, node and n of every document."""
+def _points(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
+    """id, node, n and sketch of every document."""
+    shells = Shells(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 sets = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], [id_col, "node", "n"])
+                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s, shells) if len(s) else b"" for s in sets], pa.binary())], [id_col, "node", "n", "sketch"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(text_col).alias("__text"), id_col).mapInArrow(run, f"`{id_col}` {kind}, node bigint, n bigint")
+    return docs.select(F.col(text_col).alias("__text"), id_col).mapInArrow(run, f"`{id_col}` {kind}, node bigint, n bigint, sketch binary")
 
 
 def _meets(docs: DataFrame, text_col: str, size: int, num: int, den: int) -> DataFrame:
@@ -227,6 +298,31 @@ def _meets(docs: DataFrame, text_col: str, size: int, num: int, den: int) -> Dat
     return rows.withColumn("pivot", F.min("node").over(Window.partitionBy("region"))).where("node > pivot").select("node", "pivot").distinct()
 
 
+def _near_meets(meets: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """``meets`` (node, pivot) without those of chance: of the points that met a pivot, each that sketches connect with
+    others, with the least of them. Points of a pivot that has more of them than a task compares go on as they are."""
+    shells = Shells(num, den)
+    sketches = points.where("n > 0").select("node", "n", "sketch").dropDuplicates(["node"])
+    held = meets.unionByName(meets.select(F.col("pivot").alias("node"), "pivot").distinct())
+    met = cut(held.join(large(sketches), "node"), "met")
+    sizes = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("points"), F.sum(F.length("sketch")).alias("mass"))
+    many = cut(sizes.where((F.col("points") > MET) | (F.col("mass") > MET_MASS)).select("pivot"), "many")
+    rows, mass = met.agg(F.count(F.lit(1)), F.sum(F.length("sketch"))).first()
+    groups = max(partitions(meets.sparkSession), rows // 8192, (mass or 0) >> 22)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["pivot", "n", "node"])
+        cell = np.cumsum(np.concatenate([[0], np.diff(group["pivot"].to_numpy()) != 0]))
+        node, least = connected(cell, group["node"].to_numpy(), group["n"].to_numpy(), group["sketch"].tolist(), shells)
+        return pd.DataFrame({"node": node, "pivot": least})[node != least].drop_duplicates()
+
+    few, kept = met, None
+    if not many.isEmpty():
+        few, kept = met.join(large(many), "pivot", "left_anti"), meets.join(large(many), "pivot", "left_semi").select("node", "pivot")
+    near = few.withColumn("g", F.pmod(F.xxhash64("pivot"), F.lit(groups))).groupBy("g").applyInPandas(run, "node bigint, pivot bigint")
+    return (near if kept is None else near.unionByName(kept)).distinct()
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
     """node and set (bytes of its sorted hashes) of the texts whose node is in ``wanted`` (node and what else it carries)."""
     prefix = F.shiftrightunsigned("node", 64 - BITS)
@@ -389,24 +485,24 @@ def _links(members: DataFrame, leaf: int, mass: int, num: int, den: int, turns:
 
 
 def _cells(docs: DataFrame, meets: DataFrame, text_col: str, size: int, leaf: int, mass: int) -> DataFrame:
-    """Members (cell, node, set): components of ``meets`` (node, pivot) that fit a task, pivots with what they met for the others."""
+    """Members (cell, node, set), written: components of ``meets`` (node, pivot) that fit a task, pivots with what they met for the others."""
     linked = cut(components(meets, "node", "pivot").select("node", F.col("root").alias("cell")), "region-cells")
     sets = cut(_sets(docs, linked, text_col, size), "members")
     sizes = cut(_weighed(sets), "sizes")
     fits = (F.col("size") <= leaf) & (F.col("mass") <= mass)
     if sizes.where(~fits).isEmpty():
         return sets.select("cell", "node", "set")
-    large = sets.join(sizes.where(~fits).select("cell"), "cell").select("node", "set")
+    wide = sets.join(sizes.where(~fits).select("cell"), "cell").select("node", "set")
     own = meets.select("node", F.col("pivot").alias("cell")).unionByName(meets.select(F.col("pivot").alias("node"), F.col("pivot").alias("cell")).distinct())
-    return sets.join(sizes.where(fits).select("cell"), "cell").select("cell", "node", "set").unionByName(own.join(large, "node").select(F.xxhash64("cell", F.lit("pivot")).alias("cell"), "node", "set"))
+    return cut(sets.join(sizes.where(fits).select("cell"), "cell").select("cell", "node", "set").unionByName(own.join(wide, "node").select(F.xxhash64("cell", F.lit("pivot")).alias("cell"), "node", "set")), "cells")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = NUM, den: int = DEN, leaf: int = LEAF, mass: int = MASS) -> DataFrame:
     """id_col, n_shingles, node (equal for equal sets), component_id: the least id reachable by links."""
     ship(docs.sparkSession)
-    points = cut(_points(docs, id_col, text_col, size), "points")
-    meets = cut(_meets(docs, text_col, size, num, den), "meets")
-    members = cut(_cells(docs, meets, text_col, size, leaf, mass), "cells")
+    points = cut(_points(docs, id_col, text_col, size, num, den), "points")
+    meets = cut(_near_meets(cut(_meets(docs, text_col, size, num, den), "meets"), points, num, den), "near")
+    members = _cells(docs, meets, text_col, size, leaf, mass)
     roots = components(_links(members, leaf, mass, num, den))
     nodes = points.where("n > 0").groupBy("node").agg(F.min(id_col).alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("own").alias("component_id"))

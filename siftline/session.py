@@ -40,6 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind (of Spark 4.1 on): else they stay until the driver happens to
+    collect its garbage, and the disk holds those of all steps. A later read would make them again."""
+    before = spark.conf.get(FREED, None)
+    if not spark.conf.isModifiable(FREED):
+        yield
+        return
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a short lineage that survives
     the loss of any executor, and a result that is computed once."""
@@ -47,7 +65,8 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
     if (scope := _scope.get()) is not None:
         scope.append(path)
-    df.write.parquet(path)
+    with freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
