@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siftline.functions import seq
-from siftline.operators import joins, linkage, match, metrics, nulls, positions, windows
+from siftline.operators import bagwise, joins, linkage, match, metrics, nulls, positions, windows
 from siftline.plans.metrics import intervals_sql
 from siftline.registry import query, table
-from siftline.session import cut, dealt, large
+from siftline.session import cut, dealt, large, ship
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,24 @@ def hits_of(sites: DataFrame, spec: Spec) -> DataFrame:
 
 def score_clusters(sites: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """Clusters of flank positions that recur across the sites of a bag at one nc window, with the
-    number of distinct backgrounds behind them, ranked three ways."""
+    number of distinct backgrounds behind them, ranked three ways. Bags that fit a task are worked out
+    there, many at once (``bagwise``); larger ones, and sites of other types, with joins."""
+    kinds = dict(sites.dtypes)
+    if (kinds["bag_id"], kinds["site_ord"]) != ("string", "int"):
+        return joined_clusters(sites, spec)
+    ship(sites.sparkSession)
+    rules = bagwise.Rules(spec.offset, spec.min_frac, spec.margin, spec.identity, spec.least_groups, spec.jaccard, spec.nc_offset)
+    hits = hits_of(sites, spec).select("bag_id", "site_ord", F.col("k_valid").alias("valid"), (F.col("orient") == "rc").cast("int").alias("orient"), "L", "i", "f", "m", F.lit(None).cast("string").alias("flank"))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in hits.dtypes[2:-1]]
+    rows = dealt(hits.unionByName(sites.select("bag_id", "site_ord", *none, "flank")).where("bag_id is not null"), "bag_id").sortWithinPartitions("bag_id")
+    found = cut(rows.mapInArrow(lambda batches: bagwise.scored(batches, rules), bagwise.SCHEMA), "scored")
+    beyond = found.where("id is null").select("bag_id")
+    found = found.where("id is not null")
+    return found if beyond.isEmpty() else found.unionByName(joined_clusters(sites.join(large(beyond), "bag_id", "left_semi"), spec))
+
+
+def joined_clusters(sites: DataFrame, spec: Spec) -> DataFrame:
+    """:func:`score_clusters` of bags of any size."""
     hits = hits_of(sites, spec)
     wide = hits.withColumn("key", F.concat_ws("|", "orient", "L", "i"))
     part = lambda k: F.element_at(F.split("key", r"\|"), k)
